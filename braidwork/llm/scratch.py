@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -34,9 +35,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more go only when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def path_of(table: DataFrame) -> str:
+    """The folder of a table that materialise() gave."""
+    return table.inputFiles()[0].rpartition("/")[0]
+
+
 def make_dir(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
