@@ -1,17 +1,16 @@
-"""Registered queries, one for each operator, with the SQL that they are held against."""
+"""Registered queries, one or more for each operator, with the SQL that they are held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import groups, metrics, relational  # noqa: F401
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "W01_group_advantage"
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
