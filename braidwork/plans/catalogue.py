@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import groups, metrics, relational, scoring  # noqa: F401
+from . import files, groups, metrics, relational, scoring  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "W01_group_advantage"
