@@ -27,8 +27,8 @@ def _tagged(text: Column, block: str, name: str, pair: str) -> Column:
     bodies = F.regexp_extract_all(text, F.lit(block), 1)
 
     def call(b: Column) -> Column:
-        keys = F.transform(F.regexp_extract_all(b, F.lit(pair), 1), F.trim)
-        values = F.transform(F.regexp_extract_all(b, F.lit(pair), 2), F.trim)
+        keys = F.transform(F.regexp_extract_all(b, F.lit(pair), 1), lambda x: F.trim(x))
+        values = F.transform(F.regexp_extract_all(b, F.lit(pair), 2), lambda x: F.trim(x))
         return F.struct(F.trim(F.regexp_extract(b, name, 1)).alias("name"), F.to_json(F.map_from_arrays(keys, values)).alias("arguments"))
 
     return F.transform(bodies, call)
