@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, groups, messages, metrics, packing, relational, scoring  # noqa: F401
+from . import files, groups, messages, metrics, packing, relational, scoring, streams  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "W01_group_advantage"
