@@ -19,17 +19,22 @@ def group_stats(df: DataFrame, group: str, value: str, eps: float = 1e-6) -> Dat
     )
 
 
-def group_codes(df: DataFrame, label: str) -> DataFrame:
-    """Adds `code`: whole numbers and their strings keep their value, near-integers are rounded, all else is numbered in sorted order.
+def group_codes(df: DataFrame, label: str, name: str = "code") -> DataFrame:
+    """Adds a code: where all labels of the column are whole numbers, their strings, or within 1e-6 of whole numbers, that number; else
+    every label is numbered in sorted order. Null labels have no code.
 
-    Other labels are numbered over their distinct values, so the one ordered task sees each label once.
+    Labels are numbered over their distinct values, so the one ordered task sees each label once.
     """
-    text = F.col(label).cast("string")
-    number = text.try_cast("double")
-    whole = F.when(F.abs(number - F.round(number)) < 1e-6, F.round(number).cast("long"))
-    other = df.filter(whole.isNull()).select(text.alias("_label")).distinct()
-    coded = other.select("_label", (F.dense_rank().over(Window.orderBy("_label")) - 1).cast("long").alias("_code"))
-    return df.join(coded, text == F.col("_label"), "left").withColumn("code", F.coalesce(whole, "_code")).drop("_label", "_code")
+    column, kind = F.col(label), dict(df.dtypes)[label]
+    if kind in ("double", "float"):
+        whole = F.when(F.abs(column - F.round(column)) <= 1e-6, F.round(column).cast("long"))
+    else:
+        whole = column.try_cast("long")
+    distinct = df.filter(column.isNotNull()).select(column.alias("_label"), whole.alias("_whole")).distinct()
+    all_whole = distinct.agg(F.coalesce(F.bool_and(F.col("_whole").isNotNull()), F.lit(True)).alias("_all"))
+    ranked = distinct.withColumn("_rank", (F.dense_rank().over(Window.orderBy("_label")) - 1).cast("long")).crossJoin(F.broadcast(all_whole))
+    codes = ranked.select("_label", F.when(F.col("_all"), F.col("_whole")).otherwise(F.col("_rank")).alias(name))
+    return df.join(codes, column == F.col("_label"), "left").drop("_label")
 
 
 def weighted_reward(df: DataFrame, columns: list[str], weights: list[float], name: str = "reward") -> DataFrame:

@@ -27,15 +27,14 @@ def a01(spark, sf):
 
 
 @query("A02_group_codes", """
-WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN CAST(user_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) || '.0000001' END AS label FROM events),
-n AS (SELECT *, CASE WHEN abs(TRY_CAST(label AS DOUBLE) - round(TRY_CAST(label AS DOUBLE))) < 1e-6 THEN CAST(round(TRY_CAST(label AS DOUBLE)) AS BIGINT) END AS whole FROM x),
-c AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM n WHERE whole IS NULL))
-SELECT event_id, n.label, coalesce(whole, code) AS code FROM n LEFT JOIN c USING (label)""")
+WITH x AS (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS label FROM events)
+SELECT event_id, dense_rank() OVER (ORDER BY label) - 1 AS mixed, user_id AS digits, user_id AS near FROM x""")
 def a02(spark, sf):
     user = F.col("user_id").cast("string")
-    label = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, user).otherwise(F.concat(user, F.lit(".0000001")))
-    rows = table(spark, sf, "events").select("event_id", label.alias("label"))
-    return groups.group_codes(rows, "label").select("event_id", "label", "code")
+    rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(user).alias("a"), user.alias("b"), (F.col("user_id") + 1e-8).alias("c"))
+    for label, name in (("a", "mixed"), ("b", "digits"), ("c", "near")):
+        rows = groups.group_codes(rows, label, name)
+    return rows.select("event_id", "mixed", "digits", "near")
 
 
 @query("A03_weighted_reward", f"""
