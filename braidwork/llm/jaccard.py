@@ -39,7 +39,10 @@ _LAST = 2**63 - 1
 PAIRS_PER_CLASS = 4
 LEADER_ROUNDS = 10
 
-SETS = "doc_id long, n long, digest binary, lead int, keys array<long>, level array<byte>"
+#: Longs of a set's parity bitmap.
+MARK_LONGS = 8
+
+SETS = "doc_id long, n long, digest binary, lead int, keys array<long>, level array<byte>, mark array<long>"
 
 
 def _sets(payload: bytes, n: int) -> tuple[Block, list[np.ndarray]]:
@@ -82,6 +85,13 @@ def _answer_frequency(blobs: list[bytes]) -> list[bytes]:
     return [planes(x) for x in np.split(level, np.cumsum([len(k) for k in keys])[:-1])]
 
 
+def _mark(keys: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set: two sets' bitmaps differ in no more bits than the sets have elements apart."""
+    bits = 64 * MARK_LONGS
+    odd = np.bincount(((keys >> np.uint64(11)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _select(plan: Plan, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +101,7 @@ def _select(plan: Plan, n: int, percent: int):
                 keys = np.unique(plan.keys(np.concatenate(sets)))
                 levels = [unplanes(x) for x in in_order(row["answers"])]
                 levels = np.concatenate(levels) if levels else np.zeros(0, np.uint8)
-                size, digest, lead, kept, kept_level = [], [], [], [], []
+                size, digest, lead, kept, kept_level, mark = [], [], [], [], [], []
                 for s in sets:
                     level = levels[np.searchsorted(keys, plan.keys(s))]
                     order = np.argsort(level, kind="stable")  # the hashes are sorted already
@@ -104,11 +114,13 @@ def _select(plan: Plan, n: int, percent: int):
                         lead.append(None)
                         kept.append(None)
                         kept_level.append(None)
+                        mark.append(None)
                     else:
                         digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                         lead.append(prefix - alone)
                         kept.append(s[alone:].view(np.int64))
                         kept_level.append(level[alone:].view(np.int8))
+                        mark.append(_mark(s[alone:]))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(block.ids, pa.int64(), mask=block.null_id),
@@ -117,6 +129,7 @@ def _select(plan: Plan, n: int, percent: int):
                         "lead": pa.array(lead, pa.int32()),
                         "keys": pa.array(kept, pa.list_(pa.int64())),
                         "level": pa.array(kept_level, pa.list_(pa.int8())),
+                        "mark": pa.array(mark, pa.list_(pa.int64())),
                     }
                 )
 
@@ -153,19 +166,49 @@ def _cut(counts: np.ndarray, fragments: int):
     return run
 
 
-def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) whose overlap, counted by fragment and summed, is enough."""
+def _counted(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Adds the overlap of one fragment, `shared`, to each pair (a, b, ...) and fragment that both have."""
     a = parts.select(F.col("uid").alias("a"), "part", F.col("keys").alias("keys_a"))
     b = parts.select(F.col("uid").alias("b"), "part", F.col("keys").alias("keys_b"))
-    counted = pairs.join(a, "a").join(b, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("keys_a", "keys_b")).alias("shared"))
-    summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return summed.filter((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    counted = pairs.join(a, "a").join(b, ["b", "part"]).withColumn("shared", F.size(F.array_intersect("keys_a", "keys_b")))
+    return counted.drop("keys_a", "keys_b", "part")
 
 
-def _possible(n_a, u_a, n_b, u_b, percent: int):
-    """Sizes n and n-grams shared with anyone u allow the pair."""
+def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b, ...) whose overlap, counted by fragment and summed, is enough.
+
+    The rarest fragment is counted first. With what the sizes of the other segments allow at most it settles most pairs that
+    do not belong together; the others are counted in every fragment left.
+    """
+    need = percent * (F.col("n_a") + F.col("n_b"))
+    size = F.struct("part", F.size("keys").alias("m"))
+    sizes = parts.groupBy("uid").agg(F.map_from_entries(F.collect_list(size)).alias("sizes"))
+    first = _counted(pairs.select("a", "b"), parts.filter("part = 0")).select("a", "b", F.col("shared").alias("rare"))
+    left = pairs.join(first, ["a", "b"], "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    left = left.join(sizes.select(F.col("uid").alias("a"), F.col("sizes").alias("sizes_a")), "a")
+    left = left.join(sizes.select(F.col("uid").alias("b"), F.col("sizes").alias("sizes_b")), "b")
+    most = F.col("rare")
+    for part in range(1, FRAGMENTS):
+        most = most + F.least(*[F.coalesce(F.try_element_at(s, F.lit(part)), F.lit(0)) for s in ("sizes_a", "sizes_b")])
+    left = left.filter((100 + percent) * most >= need).drop("sizes_a", "sizes_b")
+    left = materialise(left, "jaccard-left")
+    rest = _counted(left.select("a", "b"), parts.filter("part > 0")).groupBy("a", "b").agg(F.sum("shared").alias("common"))
+    summed = left.join(rest, ["a", "b"], "left")
+    return summed.filter((100 + percent) * (F.col("rare") + F.coalesce("common", F.lit(0))) >= need).drop("rare", "common")
+
+
+def _possible(n_a, at_a, n_b, at_b, percent: int):
+    """Whether a pair can be similar whose first common n-gram has these places in the order of their sets."""
     need = percent * (n_a + n_b)
-    return ((100 + percent) * F.least(u_a, u_b) >= need) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+    return ((100 + percent) * (n_a - at_a) >= need) & ((100 + percent) * (n_b - at_b) >= need)
+
+
+def _near(percent: int):
+    """Whether the n-grams that the sets a and b surely don't share are few enough: those of their own and where the bitmaps differ."""
+    apart = F.col("alone_a") + F.col("alone_b")
+    for i in range(MARK_LONGS):
+        apart = apart + F.bit_count(F.col("mark_a")[i].bitwiseXOR(F.col("mark_b")[i]))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
 def _relabel(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -198,10 +241,13 @@ def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERC
     counts = np.zeros(66, np.int64)
     for level, number in first.select("level").mapInArrow(_level_counts, "level int, n long").groupBy("level").sum("n").collect():
         counts[level] = number
-    parts = first.select("uid", "keys", "level").mapInArrow(_cut(counts, FRAGMENTS), "uid long, part int, keys array<long>")
-    postings = first.select("uid", "n", F.size("keys").alias("u"), F.explode(F.slice("keys", F.lit(1), F.col("lead"))).alias("s"))
-    postings = materialise(postings, "jaccard-postings")
-    comp = _components(postings, parts, classes.count(), percent, pairs_per_class)
+    parts = materialise(first.select("uid", "keys", "level").mapInArrow(_cut(counts, FRAGMENTS), "uid long, part int, keys array<long>"), "jaccard-parts")
+    # `at` is the place of the n-gram in the order of the whole set, whose first are those that no other document has
+    postings = first.select("uid", "n", (F.col("n") - F.size("keys")).alias("alone"), F.posexplode(F.slice("keys", F.lit(1), F.col("lead"))).alias("at", "s"))
+    postings = materialise(postings.select("s", "uid", "n", "alone", (F.col("alone") + F.col("at")).alias("at")), "jaccard-postings")
+    marks = materialise(first.select("uid", "mark"), "jaccard-marks")
+    drop(spark, [path_of(first)] if first.inputFiles() else [])
+    comp = _components(postings, parts, marks, classes.count(), percent, pairs_per_class)
 
     lows = comp.join(classes, "uid").groupBy("comp").agg(F.min("low").alias("component"))
     per_class = comp.join(classes, "uid").join(lows, "comp").select(F.col("digest").alias("_digest"), "component")
@@ -211,39 +257,50 @@ def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERC
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _components(postings: DataFrame, parts: DataFrame, n_classes: int, percent: int, pairs_per_class: int) -> DataFrame:
+def _components(postings: DataFrame, parts: DataFrame, marks: DataFrame, n_classes: int, percent: int, pairs_per_class: int) -> DataFrame:
     comp = materialise(postings.select("uid", F.col("uid").alias("comp")).distinct(), "jaccard-comp")
-    most = pairs_per_class * n_classes + 10_000
+    most, last = pairs_per_class * n_classes + 10_000, False
     for turn in range(LEADER_ROUNDS + 1):
         now = postings.join(comp, "uid")
-        order = F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("comp").alias("comp_b"))
+        # A leader has few n-grams of its own: of a group of near copies the one that most are copies of. Later turns try others.
+        central = F.col("alone") / F.col("n") + F.lit(0.02 * turn) * F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(1000)) / 1000
+        order = F.struct(central.alias("h"), F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("comp").alias("comp_b"))
         # Counted by n-gram and component first, so that a frequent n-gram is aggregated before it is gathered.
         by_comp = now.groupBy("s", "comp").agg(F.count("*").alias("m"), F.min(order).alias("lead"))
-        leads = by_comp.groupBy("s").agg(F.min("lead").alias("lead"), F.sum("m").alias("m"), F.sum(F.col("m").cast("double") ** 2).alias("m2"), F.count("*").alias("k"))
-        leads = materialise(leads.filter("k > 1").select("s", "lead.*", ((F.col("m").cast("double") ** 2 - F.col("m2")) / 2).alias("pairs")), "jaccard-leads")
+        leads = by_comp.groupBy("s").agg(F.min("lead").alias("lead"), F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("k"))
+        # at most so many pairs across components: the rows outside an n-gram's largest component, times all its rows
+        pairs = ((F.col("m") - F.col("top.m")).cast("double") * F.col("m")).alias("pairs")
+        leads = materialise(leads.filter("k > 1").select("s", "lead.*", F.col("top.comp").alias("top"), pairs), "jaccard-leads")
         left = leads.agg(F.sum("pairs")).first()[0]
         if not left:
             break
-        last = left <= most or turn == LEADER_ROUNDS
-        now = now.withColumnsRenamed({"uid": "a", "n": "n_a", "u": "u_a", "comp": "comp_a"})
-        if last:
-            open_ = now.join(leads.select("s"), "s", "left_semi")
-            other = open_.withColumnsRenamed({"a": "b", "n_a": "n_b", "u_a": "u_b", "comp_a": "comp_b"})
-            pairs = open_.join(other, "s").filter("a < b and comp_a <> comp_b")
-        else:
-            pairs = now.join(leads.drop("pairs"), "s").filter("comp_a <> comp_b")
-        pairs = pairs.filter(_possible(F.col("n_a"), F.col("u_a"), F.col("n_b"), F.col("u_b"), percent))
+        last = last or left <= most or turn == LEADER_ROUNDS
+        now = now.withColumnsRenamed({"uid": "a", "n": "n_a", "at": "at_a", "alone": "alone_a", "comp": "comp_a"})
+        fits = _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent)
         if last:
-            pairs = pairs.select("a", "b", "n_a", "n_b", "comp_a", "comp_b").distinct()
+            now = now.join(marks.withColumnsRenamed({"uid": "a", "mark": "mark_a"}), "a")
+            open_ = now.join(leads.select("s", "top"), "s")
+            other = now.join(leads.select("s"), "s", "left_semi")
+            other = other.withColumnsRenamed({c: c[:-1] + "b" for c in ("a", "n_a", "at_a", "alone_a", "comp_a", "mark_a")})
+            fits = fits & _near(percent)
+            once = (F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b"))
+            pairs = open_.filter("comp_a <> top").join(other, "s").filter((F.col("comp_a") != F.col("comp_b")) & once & fits)
+            sides = F.array_sort(F.array(*[F.struct(F.col(x).alias("v"), F.col(f"n_{x}").alias("n"), F.col(f"comp_{x}").alias("comp")) for x in "ab"]))
+            pairs = pairs.select(sides.alias("p")).distinct()
+            pairs = pairs.select(*[F.col("p")[i][f].alias(name) for i, x in enumerate("ab") for f, name in (("v", x), ("n", f"n_{x}"), ("comp", f"comp_{x}"))])
         else:  # each class is held against the leader with which it shares most of its prefix
+            pairs = now.join(leads.drop("pairs", "top"), "s").filter((F.col("comp_a") != F.col("comp_b")) & fits)
             pairs = pairs.groupBy("a", "b", "n_a", "n_b", "comp_a", "comp_b").count()
             best = F.max(F.struct("count", "b", "n_b", "comp_b")).alias("best")
             pairs = pairs.groupBy("a", "n_a", "comp_a").agg(best).select("a", "best.b", "n_a", "best.n_b", "comp_a", "best.comp_b")
         pairs = materialise(pairs, "jaccard-pairs")
-        links = _linked(pairs.select("a", "b", "n_a", "n_b"), parts, percent)
-        links = materialise(links.join(pairs.select("a", "b", "comp_a", "comp_b"), ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "jaccard-links")
-        if not links.isEmpty():
+        links = _linked(pairs, parts, percent)
+        links = materialise(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "jaccard-links")
+        found = links.count()
+        if found:
             comp = materialise(_relabel(comp, links), "jaccard-comp")
         if last:
             break
+        # Leaders that find little more leave the rest to the count of all pairs across components.
+        last = 50 * found < n_classes
     return comp
