@@ -174,15 +174,13 @@ def _counted(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return counted.drop("keys_a", "keys_b", "part")
 
 
-def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b, ...) whose overlap, counted by fragment and summed, is enough.
 
     The rarest fragment is counted first. With what the sizes of the other segments allow at most it settles most pairs that
     do not belong together; the others are counted in every fragment left.
     """
     need = percent * (F.col("n_a") + F.col("n_b"))
-    size = F.struct("part", F.size("keys").alias("m"))
-    sizes = parts.groupBy("uid").agg(F.map_from_entries(F.collect_list(size)).alias("sizes"))
     first = _counted(pairs.select("a", "b"), parts.filter("part = 0")).select("a", "b", F.col("shared").alias("rare"))
     left = pairs.join(first, ["a", "b"], "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
     left = left.join(sizes.select(F.col("uid").alias("a"), F.col("sizes").alias("sizes_a")), "a")
@@ -242,12 +240,15 @@ def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERC
     for level, number in first.select("level").mapInArrow(_level_counts, "level int, n long").groupBy("level").sum("n").collect():
         counts[level] = number
     parts = materialise(first.select("uid", "keys", "level").mapInArrow(_cut(counts, FRAGMENTS), "uid long, part int, keys array<long>"), "jaccard-parts")
+    # Sizes of segments by class, written so that a join with pairs deals both sides anew and splits a leader of many.
+    size = F.struct("part", F.size("keys").alias("m"))
+    sizes = materialise(parts.groupBy("uid").agg(F.map_from_entries(F.collect_list(size)).alias("sizes")), "jaccard-sizes")
     # `at` is the place of the n-gram in the order of the whole set, whose first are those that no other document has
     postings = first.select("uid", "n", (F.col("n") - F.size("keys")).alias("alone"), F.posexplode(F.slice("keys", F.lit(1), F.col("lead"))).alias("at", "s"))
     postings = materialise(postings.select("s", "uid", "n", "alone", (F.col("alone") + F.col("at")).alias("at")), "jaccard-postings")
     marks = materialise(first.select("uid", "mark"), "jaccard-marks")
     drop(spark, [path_of(first)] if first.inputFiles() else [])
-    comp = _components(postings, parts, marks, classes.count(), percent, pairs_per_class)
+    comp = _components(postings, parts, sizes, marks, classes.count(), percent, pairs_per_class)
 
     lows = comp.join(classes, "uid").groupBy("comp").agg(F.min("low").alias("component"))
     per_class = comp.join(classes, "uid").join(lows, "comp").select(F.col("digest").alias("_digest"), "component")
@@ -257,7 +258,7 @@ def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERC
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _components(postings: DataFrame, parts: DataFrame, marks: DataFrame, n_classes: int, percent: int, pairs_per_class: int) -> DataFrame:
+def _components(postings: DataFrame, parts: DataFrame, sizes: DataFrame, marks: DataFrame, n_classes: int, percent: int, pairs_per_class: int) -> DataFrame:
     comp = materialise(postings.select("uid", F.col("uid").alias("comp")).distinct(), "jaccard-comp")
     most, last = pairs_per_class * n_classes + 10_000, False
     for turn in range(LEADER_ROUNDS + 1):
@@ -294,7 +295,7 @@ def _components(postings: DataFrame, parts: DataFrame, marks: DataFrame, n_class
             best = F.max(F.struct("count", "b", "n_b", "comp_b")).alias("best")
             pairs = pairs.groupBy("a", "n_a", "comp_a").agg(best).select("a", "best.b", "n_a", "best.n_b", "comp_a", "best.comp_b")
         pairs = materialise(pairs, "jaccard-pairs")
-        links = _linked(pairs, parts, percent)
+        links = _linked(pairs, parts, sizes, percent)
         links = materialise(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "jaccard-links")
         found = links.count()
         if found:

@@ -1,0 +1,382 @@
+"""Operators against brute force, on the smallest tables and on rows that are hard to bear."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from braidwork.llm import bpecodec, chat, decontaminate, exactdedup, jaccard, substring, tokencount, toxicity, urlfilter, warc
+from braidwork.llm.blocks import Plan
+from braidwork.llm.components import components
+from braidwork.llm.vocabulary import Vocabulary
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def sha(t):
+    return hashlib.sha256(t.encode()).hexdigest()
+
+
+def rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+@pytest.fixture(params=["tables", "odd", "empty"])
+def case(request, texts, odd):
+    return {"tables": texts, "odd": odd, "empty": []}[request.param]
+
+
+# ---- 1 and 5
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def test_token_counts(case, make, library):
+    want = Counter((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in case)
+    assert rows(tokencount.count_tokens(make(case), VOCABULARY)) == want
+
+
+def test_codec(case, make, library):
+    want = Counter()
+    for i, t in case:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[(i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))] += 1
+    assert rows(bpecodec.encode_digests(make(case), VOCABULARY)) == want
+
+
+def test_codec_returns_ids(make, library):
+    got = bpecodec.encode(make([(1, "Hello there"), (2, None)]), VOCABULARY).orderBy("doc_id").collect()
+    assert got[0]["ids"] == library.encode("Hello there", add_special_tokens=False).ids and got[1]["ids"] == [] and got[1]["decoded"] == ""
+
+
+def test_tokenizing_random_texts(library):
+    rng = random.Random(5)
+    alphabet = "aaabcdeéßñΣσİ'stdon’ \n\t\x0b\x1c\x85  1234½²٣你🙂ﬁÅ!?.,-_[]{}"
+    tricky = ["<|endoftext|>", "a<|startoftext|>b", "aaaaaaaaaaa", "ΑΣ ΟΔΟΣ", "x\x1dy", "’s'S", "\u0345", "e\u0301\u0323"]
+    cases = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    cases += [" ".join(rng.choice(tricky) for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    want = [e.ids for e in library.encode_batch(cases, add_special_tokens=False)]
+    content = open(VOCABULARY).read()
+    codec, counter = bpecodec.Codec(Vocabulary(content)), tokencount.Counter(Vocabulary(content))
+    assert [list(map(int, e[0].split())) for e in codec.encode(cases)] == want
+    assert counter.count(cases) == [len(w) for w in want]
+    assert 0 < codec.failures < codec.words
+
+
+# ---- 2
+
+def test_toxicity(spark, make):
+    rng = random.Random(1)
+    plain, bad = [f"v{i}" for i in range(300)], ["vile", "rotten"]
+    docs, labels = [], []
+    for i in range(600):
+        w = [rng.choice(plain) for _ in range(rng.randint(1, 60))]
+        toxic = i % 4 == 0
+        if toxic:
+            w.insert(rng.randrange(len(w) + 1), rng.choice(bad) + rng.choice(["", "ly", "ness"]))
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    docs += [(1000, None), (1001, ""), (None, "vile")]
+    labels += [(1, 1, None), (None, 0, 1), (2, 0, 7)]
+    model = toxicity.fit(make(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.score(make(docs), model).collect()
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 600]
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) >= 0.95 * len(held)
+    empty = {r["doc_id"]: r["score"] for r in got if r["doc_id"] in (1000, 1001)}
+    assert empty[1000] == empty[1001] < 0.5
+    kept = toxicity.clean(make(docs), model)
+    assert kept.columns == make([]).columns and kept.count() < len(docs)
+
+
+def test_toxicity_pooling_agrees_in_batches():
+    rng = np.random.default_rng(3)
+    n = toxicity.WORD_BUCKETS + toxicity.STEM_BUCKETS
+    embed = rng.normal(size=(n + 1, toxicity.DIM))
+    embed[-1] = 0
+    model = toxicity.Model(embed, [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], np.zeros(24), np.ones(24))
+    texts = ["a b c d", "", None, "one", "x y", " ".join(f"t{i}" for i in range(500))]
+    one = np.stack([model.pool(*toxicity.buckets(t)) for t in texts])
+    assert np.allclose(model.pools(texts), one)
+    toxicity.CHUNK_WORDS, before = 7, toxicity.CHUNK_WORDS
+    try:
+        assert np.allclose(model.pools(texts), one)
+        assert np.allclose(np.stack([model.pool(*toxicity.buckets(t)) for t in texts]), one)
+    finally:
+        toxicity.CHUNK_WORDS = before
+
+
+def test_toxicity_without_both_kinds(spark, make):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in toxicity.score(make([(1, "a")]), toxicity.fit(make([(1, "a")]), labels)).collect()] == [0.0]
+
+
+# ---- 3
+
+def brute_substrings(docs, k):
+    last = 2**63
+    low = {}
+    for d, t in docs:
+        w = words(t)
+        for i in range(len(w) - k + 1):
+            key = tuple(w[i : i + k])
+            low[key] = min(low.get(key, last), last - 1 if d is None else d)
+    out = Counter()
+    for d, t in docs:
+        w, me = words(t), last - 1 if d is None else d
+        gone = [False] * len(w)
+        for i in range(len(w) - k + 1):
+            if low[tuple(w[i : i + k])] < me:
+                gone[i : i + k] = [True] * k
+        out[(d, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g)))] += 1
+    return out
+
+
+def test_substrings(case, make):
+    assert rows(substring.dedup_substrings(make(case), digest=True)) == brute_substrings(case, 13)
+
+
+@pytest.mark.parametrize("bits", [8, 14, 64])
+def test_substrings_whatever_the_hashes(texts, make, bits):
+    plan = Plan(0, 1)
+    plan.bits, plan.buckets = bits, 8
+    assert rows(substring.dedup_substrings(make(texts), digest=True, plan=plan)) == brute_substrings(texts, 13)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substrings_with_few_words(make, seed):
+    rng = random.Random(seed)
+    docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    assert rows(substring.dedup_substrings(make(docs), k=5, digest=True)) == brute_substrings(docs, 5)
+
+
+def test_substrings_give_texts(make):
+    long = " ".join(f"w{i}" for i in range(20))
+    got = {r["doc_id"]: r["kept"] for r in substring.dedup_substrings(make([(1, long), (2, f"a {long}  b")])).collect()}
+    assert got == {1: long, 2: "a b"}
+
+
+# ---- 4
+
+def test_exact_dedup(case, make):
+    groups = defaultdict(list)
+    for i, t in case:
+        groups[(t or "").translate(UP)].append(i)
+    want = Counter()
+    for i, t in case:
+        norm = (t or "").translate(UP)
+        ids = groups[norm]
+        keep = max((x for x in ids if x is not None), default=None)
+        want[(i, keep if len(ids) > 1 else i, len(ids), i == keep or len(ids) == 1, sha(norm))] += 1
+    got = exactdedup.dedup(make(case))
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"] and rows(got) == want
+    for split in (F.lit(True), F.lit(False)):
+        assert rows(exactdedup.dedup(make(case), is_history=split)) == want
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(1)
+    digests = np.unique(rng.integers(0, 256, (5000, 32), dtype=np.uint8), axis=0)
+    levels, rest, slot = exactdedup.build(digests)
+    assert sorted(slot) == list(range(len(digests)))
+    table = digests[np.argsort(slot)]
+    assert (exactdedup.look_up(levels, len(rest), table, digests) == slot).all()
+    other = rng.integers(0, 256, (2000, 32), dtype=np.uint8)
+    assert (exactdedup.look_up(levels, len(rest), table, other) == -1).all()
+
+
+# ---- 6
+
+def brute_jaccard(docs, n=4, percent=85):
+    sets = []
+    for _, t in docs:
+        w = words((t or "").translate(UP))
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by = defaultdict(list)
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in by[x])
+        for j, both in shared.items():
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+        for x in s:
+            by[x].append(i)
+    low = {}
+    for i, (d, _) in enumerate(docs):
+        low[find(i)] = min(low.get(find(i), 2**63), 2**63 if d is None else d)
+    return Counter((d, len(sets[i]), None if low[find(i)] == 2**63 else low[find(i)]) for i, (d, _) in enumerate(docs))
+
+
+def test_jaccard(case, make):
+    assert rows(jaccard.similarity_components(make(case))) == brute_jaccard(case)
+
+
+@pytest.mark.parametrize("pairs", [-(10**12), 10**12])
+def test_jaccard_of_a_group_of_near_copies(make, pairs):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(120):
+        w = base[:]
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        docs.append((i, " ".join(w)))
+    docs += [(500 + i, " ".join(f"z{rng.randrange(400)}" for _ in range(40))) for i in range(40)]
+    assert rows(jaccard.similarity_components(make(docs), pairs_per_class=pairs)) == brute_jaccard(docs)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r["v"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}}
+
+
+# ---- 7
+
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("split", [50, 777, 1 << 20])
+def test_warc(spark, split):
+    big = "é" * 600
+    pages = [(1, "http://a/", big), (2, None, big), (2, "x\r\ny", big), (3, "u", None), (4, "u", ""), (5, "u", "x" * 999), (6, "u", "x" * 999), (7, "u", "y" * 1000), (8, "u", "y" * 1000), (None, "u", "y" * 1000), (9, "u", "\x1f\x8b\x08WARC/1.1" * 40)]
+    rng = random.Random(4)
+    pages += [(100 + i, f"http://h/{i}", "".join(chr(rng.randrange(32, 1000)) for _ in range(rng.randrange(3000)))) for i in range(60)]
+    manifest = warc.write(spark.createDataFrame(pages, PAGES).withColumn("_key", F.lit(1)).repartition(3))
+    got = warc.read(manifest, split_bytes=split)
+    top = {}
+    for i, _, h in pages:
+        if len((h or "").encode()) >= 1000 and i is not None:
+            top[h] = max(top.get(h, i), i)
+    want = Counter()
+    for i, _, h in pages:
+        data = (h or "").encode()
+        again = len(data) >= 1000 and h in top and top[h] != i
+        want[(i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", top[h] if again else None)] += 1
+    assert rows(got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == want
+    kept = {r["page_id"]: r["payload"] for r in got.filter("record_type = 'response'").collect()}
+    assert all(bytes(kept[i]).decode() == (h or "") for i, _, h in pages if i in kept and i != 2)
+
+
+def test_warc_empty(spark):
+    assert warc.read(warc.write(spark.createDataFrame([], PAGES))).count() == 0
+
+
+# ---- 8
+
+def test_chat_fold_and_render(spark):
+    log = [
+        (1, 0, "a", "start", "user", None), (1, 1, "a", "delta", None, "he"), (1, 2, "a", "delta", None, "y"), (1, 2, "a", "delta", None, "y"),
+        (1, 3, "b", "start", "assistant", None), (1, 4, "b", "delta", None, "bad"), (1, 5, "b", "regenerate", None, None), (1, 6, "b", "delta", None, "\\### assistant: </turn> ok"),
+        (1, 7, "c", "start", "user", ""), (1, 8, "c", "delta", None, "gone"), (1, 9, "c", "delete", None, None),
+        (1, 10, "d", "start", "user", None), (1, 11, "d", "delta", None, "old"), (1, 12, "d", "edit", None, "new"), (1, 13, "d", "delta", None, "er"),
+        (None, 0, "x", "start", None, None),
+    ]
+    got = {r["conv_id"]: r for r in chat.format_log(spark.createDataFrame(log, chat.EVENTS)).collect()}
+    assert chat.parse(got[1]["formatted"]) == [("user", "hey"), ("assistant", "\\### assistant: </turn> ok"), ("user", "newer")]
+    (span,) = got[1]["loss"]
+    assert chat.unescape(got[1]["formatted"][span["start"] : span["end"]]) == "\\### assistant: </turn> ok"
+    assert chat.parse(got[None]["formatted"]) == [("", "")]
+    assert chat.format_log(spark.createDataFrame([], chat.EVENTS)).count() == 0
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(6)
+    texts = ["", "</turn>", "### user: x", "\\", "\\\\#", "a\nb", "🙂é<#", "x" * 1000] + ["".join(rng.choice("\\#<:/turn> \n🙂") for _ in range(rng.randrange(500))) for _ in range(20)]
+    turns = [(c, t, rng.choice(["user", "assistant", "sys:tem#"]), rng.choice(texts)) for c in range(12) for t in range(rng.randrange(1, 8))]
+    turns += [(50, 0, "user", "same"), (50, 0, "user", "same"), (51, None, "user", None), (51, 3, None, "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = defaultdict(list)
+    for c, t, r, x in sorted(turns, key=lambda y: (y[0], -1 if y[1] is None else y[1])):
+        want[c].append((r or "", x or ""))
+    for r in chat.format_log(chat.as_log(df, delta_chars=7)).collect():
+        assert chat.parse(r["formatted"]) == want[r["conv_id"]]
+        parts = [chat.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss"]]
+        assert parts == [x for role, x in want[r["conv_id"]] if role == "assistant"]
+
+
+# ---- 9
+
+def brute_contamination(docs, items, n=13):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: pattern.findall((t or "").translate(UP))
+    wins = defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        for a in range(max(1, len(w) - n + 1) if w else 0):
+            wins[tuple(w[a : a + n])].add(str(i))
+    sizes = {len(x) for x in wins}
+    out = Counter()
+    for d, t in docs:
+        w, hit, ids = split(t), set(), set()
+        for m in sizes:
+            for a in range(len(w) - m + 1):
+                if (key := tuple(w[a : a + m])) in wins:
+                    hit.update(range(a, a + m))
+                    ids |= wins[key]
+        out[(d, len(w), len(hit), ",".join(sorted(ids)))] += 1
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 20, 2000])
+def test_decontamination(spark, case, make, most):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    items += [(900, "W1 w2"), (901, None), (902, "..."), (903, "One"), (904, " ".join(f"w{i}" for i in range(5, 40))), (905, "日本語")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan(make(case), bench, max_pattern_bytes=most)
+    assert rows(got.select("doc_id", "n_words", "n_hit", F.array_join("item_ids", ","))) == brute_contamination(case, items)
+
+
+def test_decontamination_spans_and_empty_benchmark(spark, make):
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    (r,) = decontaminate.scan(make([(1, "É one -- TWO,\nthree! four")]), bench).collect()
+    assert [("É one -- TWO,\nthree! four")[s["start"] : s["end"]] for s in r["spans"]] == ["TWO,\nthree"]
+    assert [x["n_hit"] for x in decontaminate.scan(make([(1, "two three")]), bench.limit(0)).collect()] == [0]
+    assert [x["doc_id"] for x in decontaminate.clean(make([(1, "two three"), (2, "x")]), bench).collect()] == [2]
+
+
+# ---- 10
+
+def brute_url(url, rules, default="allow"):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        rest = re.split(r"[?#]", rest)[0]
+        host, slash, tail = rest.partition("/")
+        host, path = host.translate(UP), slash + tail
+    fit = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit) if fit else None
+    return host, path, best[3] if best else None, best[4] if best else default
+
+
+@pytest.mark.parametrize("cap", [8 << 20, 0])
+def test_urls(spark, monkeypatch, cap):
+    monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", cap)
+    rules = urlfilter.CONTRACT_RULES + [("block", "a.b.org", "/"), ("allow", "co.uk", "/x?"), ("block", "", "/never"), ("block", "dup.net", "/"), ("allow", "dup.net", "/")]
+    urls = [None, "", "nothing", "http://", "http://example.org", "http://EXAMPLE.org/es/x", "https://sub.example.org/en/123?q#f", "x://y://example.org/en/1", "http://notexample.org/es/", "http://a.b.org/", "http://x.a.b.org/p/", "http://user@example.org:80/es/", "http://example.org?/es/", "http://example.org#/es/", "http://é.com/fr/ü", "http://m.com/de/1", "http://com/fr/", "http://dup.net/1", "http://.org/", "http://org./"]
+    urls += urls[:4]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "rule", "verdict", "digest", "x")})
+    got = urlfilter.judge(df, urlfilter.rules_table(spark, rules))
+    assert rows(got) == Counter((i, *brute_url(u, rules)) for i, u in enumerate(urls))
+    none = urlfilter.judge(df, urlfilter.rules_table(spark, rules).limit(0), default="block")
+    assert {r["verdict"] for r in none.collect()} == {"block"} and none.count() == len(urls)
+    assert urlfilter.judge(df.limit(0), urlfilter.rules_table(spark, rules)).count() == 0
