@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,17 +64,65 @@ def cosine_top_k(base: DataFrame, queries: DataFrame, k: int, least: float, key:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Questions up to this number are broadcast; more are joined by word.
+MAX_QUESTIONS = 4096
+
+
 def keyword_top_k(docs: DataFrame, questions: DataFrame, key: str, text: str, question_key: str, question_text: str, k: int) -> DataFrame:
     """question, key, score, rank: sum over the question's distinct words of count / words of the text; rows without a common word don't count.
 
-    Words of texts are counted before they meet those of questions, so the join is on (word) with one row a word and text.
+    A common word joins nearly all texts with nearly all questions, so a bounded number of questions goes to the texts
+    instead: a task scores its texts by one sparse product and passes on k rows a question and batch.
     """
+    asked = questions.select(F.col(question_key).cast("long"), question_text).filter(F.col(question_key).isNotNull() & F.col(question_text).isNotNull())
+    few = asked.limit(MAX_QUESTIONS + 1).collect()
+    if len(few) > MAX_QUESTIONS:
+        scored = _keyword_join(docs, asked, key, text, question_key, question_text)
+    else:
+        scored = _keyword_scan(docs, [tuple(r) for r in few], key, text, k)
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.round("score", 10).desc(), key))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _keyword_scan(docs: DataFrame, questions: list[tuple[int, str]], key: str, text: str, k: int) -> DataFrame:
+    ids = np.array([q for q, _ in questions], np.int64)
+    owners: dict[str, list[int]] = {}
+    for i, (_, t) in enumerate(questions):
+        for w in set(_words(t)):
+            owners.setdefault(w, []).append(i)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, {w: np.array(o) for w, o in owners.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, owners = shared.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                keys, scores = part.column("_key").to_numpy(), np.zeros((part.num_rows, len(ids)))
+                for row, t in zip(scores, part.column("_text").to_pylist()):
+                    found = Counter(_words(t))
+                    n = max(1, found.total())
+                    for w, c in found.items():
+                        if (o := owners.get(w)) is not None:
+                            row[o] += c / n
+                order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -np.round(scores, 10)), axis=0)[:k]
+                best = np.take_along_axis(scores, order, 0)
+                a, q = np.nonzero(best > 0)
+                yield pa.RecordBatch.from_pydict({"question": pa.array(ids[q]), key: pa.array(keys[order[a, q]]), "score": pa.array(best[a, q])})
+
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).filter("_key is not null and _text is not null")
+    return rows.mapInArrow(run, f"question long, `{key}` long, score double")
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+
+
+def _keyword_join(docs: DataFrame, questions: DataFrame, key: str, text: str, question_key: str, question_text: str) -> DataFrame:
+    """Words of texts are counted before they meet those of questions: one row a word and text on either side."""
 
     def words(c: str) -> Column:
         return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
 
     counted = docs.select(key, F.size(words(text)).alias("_n"), F.explode(words(text)).alias("_w")).groupBy(key, "_n", "_w").agg(F.count("*").alias("_c"))
     asked = questions.select(F.col(question_key).alias("question"), F.explode(F.array_distinct(words(question_text))).alias("_w"))
-    scored = counted.join(asked, "_w").groupBy("question", key).agg(F.sum(F.col("_c") / F.greatest("_n", F.lit(1))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.round("score", 10).desc(), key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return counted.join(asked, "_w").groupBy("question", key).agg(F.sum(F.col("_c") / F.greatest("_n", F.lit(1))).alias("score"))

@@ -245,3 +245,14 @@ def test_tolerant_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{bad\n{"k": 2}\n')
     rows, counts = files.tolerant_jsonl(spark, f"file://{tmp_path}/a.jsonl", T.StructType([T.StructField("k", T.LongType())]))
     assert sorted(r["k"] for r in rows.collect()) == [1, 2] and tuple(counts.first()) == (2, 1)
+
+
+def test_keyword_top_k_either_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "B c"), (3, ""), (4, None), (5, "a a a a")], "doc_id long, text string")
+    questions = spark.createDataFrame([(1, "A b"), (2, "zzz"), (3, None), (4, "c a")], "item_id long, text string")
+    scan = retrieval.keyword_top_k(docs, questions, "doc_id", "text", "item_id", "text", 2)
+    want = sorted((r["question"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in scan.collect())
+    assert want == [(1, 1, 1.0, 1), (1, 5, 1.0, 2), (4, 2, 0.5, 2), (4, 5, 1.0, 1)]
+    monkeypatch.setattr(retrieval, "MAX_QUESTIONS", 1)
+    join = retrieval.keyword_top_k(docs, questions, "doc_id", "text", "item_id", "text", 2)
+    assert sorted((r["question"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in join.collect()) == want
