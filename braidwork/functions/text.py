@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from collections import Counter
 from fractions import Fraction
 
 import pandas as pd
@@ -49,7 +50,7 @@ def any_contained(prediction: Column, golds: Column) -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Elements common to two arrays, counting repeats."""
+    """Elements common to two arrays, counting repeats. Its work is the product of the sizes: for short arrays."""
     return F.aggregate(
         F.array_distinct(a),
         F.lit(0),
@@ -59,7 +60,7 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of word multisets; both empty is 1. Columns of normalised words."""
-    both, n, m = multiset_overlap(a, b), F.size(a), F.size(b)
+    both, n, m = word_overlap_udf(a, b), F.size(a), F.size(b)
     return F.when((n == 0) & (m == 0), 1.0).when(both == 0, 0.0).otherwise(2.0 * both / (n + m))
 
 
@@ -384,3 +385,9 @@ def python_literal_udf(s: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def finance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([finance_match(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf(T.LongType())
+def word_overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """As multiset_overlap, in linear time: for the words of long texts."""
+    return pd.Series([0 if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b)], dtype="int64")

@@ -102,5 +102,5 @@ def x35(spark, sf):
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = table(spark, sf, "conversations").withColumn("next", nxt).filter("next is not null")
     rows = rows.select("conv_id", "turn", tx.words(F.lower("text")).alias("x"), tx.words(F.lower("next")).alias("y"))
-    both, n = tx.multiset_overlap(F.col("x"), F.col("y")), F.size("x") + F.size("y")
+    both, n = tx.word_overlap_udf(F.col("x"), F.col("y")), F.size("x") + F.size("y")
     return rows.select("conv_id", "turn", F.round(F.when(both == 0, 0.0).otherwise(2.0 * both / n), 6).alias("rouge_1"))
