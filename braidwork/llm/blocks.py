@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resident import release
 from .scratch import materialise
 from .words import encode
 
@@ -156,6 +157,7 @@ def ask(rows: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]], a
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]

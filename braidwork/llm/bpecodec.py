@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resident import resident
 from .tokencount import CACHE, CACHE_CHARS, merge_ragged, read_vocabulary, slices
 from .vocabulary import Vocabulary
 
@@ -198,22 +199,11 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec_of(content: str) -> Codec:
-    """A worker's codec for a vocabulary, kept from task to task."""
-    if content not in _codecs:
-        _codecs.clear()
-        _codecs[content] = Codec(Vocabulary(content))
-    return _codecs[content]
-
-
 def _run(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared.value)
+        codec = resident("codec", shared.value, lambda: Codec(Vocabulary(shared.value)))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):

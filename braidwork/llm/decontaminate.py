@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resident import resident
 from .words import encode
 
 WINDOW = 13
@@ -98,16 +99,6 @@ def in_original(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]
     return [{"start": int(char[starts[a]]), "end": int(char[ends[b - 1]])} for a, b in spans]
 
 
-_matchers: dict[str, Matcher] = {}
-
-
-def _matcher(key: str, items: list[tuple[str, str | None]], n: int) -> Matcher:
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(items, n)
-    return _matchers[key]
-
-
 def _scanner(shared: list, n: int, keep: bool):
     """keep: pass on the whole rows that are not contaminated, else give a row of HITS for each."""
 
@@ -123,7 +114,7 @@ def _scanner(shared: list, n: int, keep: bool):
                         matchers = matchers or {}
                         matcher = matchers.get(key) or matchers.setdefault(key, Matcher(items, n))
                     else:
-                        matcher = _matcher(key, items, n)
+                        matcher = resident("matcher", (key, n), lambda: Matcher(items, n))  # noqa: B023
                     n_words, s, i = matcher.scan(text)
                     spans += s
                     ids |= i

@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resident import resident
 from .vocabulary import Vocabulary
 
 #: A vocabulary file is broadcast; larger ones are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Chunks whose result a worker keeps, and the longest chunk kept.
-CACHE, CACHE_CHARS = 400_000, 64
+CACHE, CACHE_CHARS = 120_000, 64
 #: Symbols merged together.
 BATCH_SYMBOLS = 1 << 20
 
@@ -127,16 +128,6 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
-
-
-def counter_of(content: str) -> Counter:
-    """A worker's counter for a vocabulary, kept from task to task."""
-    if content not in _counters:
-        _counters.clear()
-        _counters[content] = Counter(Vocabulary(content))
-    return _counters[content]
-
 
 def read_vocabulary(path: str) -> str:
     if Path(path).stat().st_size > MAX_VOCABULARY_BYTES:
@@ -144,7 +135,7 @@ def read_vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def slices(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about `most` characters, so that a batch of long texts is worked through piece by piece."""
     begin = size = 0
     for i, text in enumerate(texts):
@@ -161,7 +152,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(shared.value)
+        counter = resident("counter", shared.value, lambda: Counter(Vocabulary(shared.value)))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [n for a, b in slices(texts) for n in counter.count(texts[a:b])]

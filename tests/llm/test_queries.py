@@ -29,7 +29,7 @@ def test_query(spark, con, name):
     if name in queries.oracle_sql():
         oracle.same(df, con, queries.oracle_sql()[name])
     else:
-        assert df.count() == con.sql("SELECT count(*) FROM documents").fetchone()[0]
+        assert df.count() == con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
 
 
 def test_pipeline(spark):
