@@ -205,9 +205,8 @@ def _run(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, sche
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = resident("codec", shared.value, lambda: Codec(Vocabulary(shared.value)))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a)} | columns(codec.encode(texts[a:b])))
+            for begin, texts in slices(batch.column("text")):
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(begin, len(texts))} | columns(codec.encode(texts)))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

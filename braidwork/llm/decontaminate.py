@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .resident import resident
+from .tokencount import slices
 from .words import encode
 
 WINDOW = 13
@@ -105,8 +106,8 @@ def _scanner(shared: list, n: int, keep: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = None
         for batch in batches:
-            texts, rows = batch.column("text").to_pylist(), []
-            for text in texts:
+            rows, placed = [], []
+            for text in (t for _, texts in slices(batch.column("text")) for t in texts):
                 n_words, spans, ids = 0, [], set()
                 for handle in shared:
                     key, items = handle.value
@@ -122,6 +123,7 @@ def _scanner(shared: list, n: int, keep: bool):
                     n_words = len(words_of(text))
                 spans = merged(spans)
                 rows.append((n_words, sum(b - a for a, b in spans), spans, ids))
+                placed.append(in_original(text, spans) if spans and not keep else [])
             if keep:
                 clean = pa.array([not contaminated(w, h) for w, h, _, _ in rows], pa.bool_())
                 yield batch.filter(clean)
@@ -132,7 +134,7 @@ def _scanner(shared: list, n: int, keep: bool):
                         "n_words": pa.array([r[0] for r in rows], pa.int64()),
                         "n_hit": pa.array([r[1] for r in rows], pa.int64()),
                         "item_ids": pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string())),
-                        "spans": pa.array([in_original(t, r[2]) if r[2] else [] for t, r in zip(texts, rows)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        "spans": pa.array(placed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     }
                 )
 

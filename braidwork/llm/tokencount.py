@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,16 +136,15 @@ def read_vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about `most` characters, so that a batch of long texts is worked through piece by piece."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= most:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column in runs of about `most` bytes, with where each begins, so that a batch is never a list of strings as a whole."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(column):
+        upto = (size[begin - 1] if begin else 0) + most
+        end = max(begin + 1, int(np.searchsorted(size, upto, side="right")))
+        yield begin, column.slice(begin, end - begin).to_pylist()
+        begin = end
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -154,8 +154,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = resident("counter", shared.value, lambda: Counter(Vocabulary(shared.value)))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            counts = [n for a, b in slices(texts) for n in counter.count(texts[a:b])]
+            counts = [n for _, texts in slices(batch.column("text")) for n in counter.count(texts)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
