@@ -67,9 +67,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, message, seq, role, text) of a log; seq is that of the message's first event."""
     event = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"), "role")
-    rows = events.select("conv_id", "message", event.alias("e")).distinct()
-    log = F.array_sort(F.collect_list("e"))
-    rows = rows.groupBy("conv_id", "message").agg(log.alias("log"))
+    # a repeated event has the same message, so repeats go where messages are gathered, with no shuffle of their own
+    rows = events.select("conv_id", "message", event.alias("e")).groupBy("conv_id", "message").agg(F.array_sort(F.collect_set("e")).alias("log"))
     resets = F.transform("log", lambda e, i: F.when(e["kind"].isin(*RESETS), i + 1))
     rows = rows.withColumn("from", F.coalesce(F.array_max(resets), F.lit(1)))
     live = F.slice("log", F.col("from"), F.size("log"))
