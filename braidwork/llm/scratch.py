@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="braidwork-")
+        folder = tempfile.mkdtemp(prefix="braidwork-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = f"file://{folder}"
     return _own[app]
 
 
