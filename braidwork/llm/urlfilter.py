@@ -25,7 +25,7 @@ CONTRACT_RULES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this many bytes may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
-#: Distinct (labels, path length) shapes a rule table may have; a bounded property of rules, not of urls.
+#: Up to so many distinct (labels, path length) shapes of rules, a url is expanded to those alone; beyond, to all of its own suffixes and prefixes.
 MAX_SHAPES = 4096
 
 
@@ -55,24 +55,28 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
         (r[0], r[1])
         for r in lowered.select(F.size(F.split("rule_host", r"\.")), F.char_length("rule_path")).distinct().limit(MAX_SHAPES + 1).collect()
     ]
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"the rules have more than {MAX_SHAPES} shapes of host labels and path length")
     host, path = split_url(F.col(url_col))
     rows = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if not shapes:
         return rows.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     labels = F.size(F.split("host", r"\."))
-    made = [
-        F.when(
-            (labels >= n) & (F.char_length("path") >= m),
-            F.struct(F.substring_index("host", ".", -n).alias("h"), F.substring("path", 1, m).alias("p")),
-        )
-        for n, m in sorted(shapes)
-    ]
+    if len(shapes) <= MAX_SHAPES:
+        made = [
+            F.when(
+                (labels >= n) & (F.char_length("path") >= m),
+                F.struct(F.substring_index("host", ".", -n).alias("h"), F.substring("path", 1, m).alias("p")),
+            )
+            for n, m in sorted(shapes)
+        ]
+        made = F.filter(F.array(*made), lambda x: x.isNotNull())
+    else:
+        suffixes = F.transform(F.sequence(F.lit(1), labels), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
+        prefixes = F.transform(F.sequence(F.lit(0), F.char_length("path")), lambda m: F.substr(F.col("path"), F.lit(1), m))
+        made = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
     # A row's expressions stay together up to the partial aggregate, so the shuffle carries one row per url whatever its host.
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.select("*", F.explode_outer(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x"))
+    parts = rows.select("*", F.explode_outer(made).alias("x"))
     parts = parts.select(id_col, "host", "path", "_row", _digest(F.col("x.h"), F.col("x.p")).alias("digest"))
     known = lowered.withColumn("rule_digest", _digest(F.col("rule_host"), F.col("rule_path")))
     known = known.withColumn("rule_key", F.substring("rule_digest", 1, 8)).withColumnRenamed("verdict", "rule_verdict")

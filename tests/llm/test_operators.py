@@ -369,8 +369,10 @@ def brute_url(url, rules, default="allow"):
 
 
 @pytest.mark.parametrize("cap", [8 << 20, 0])
-def test_urls(spark, monkeypatch, cap):
+@pytest.mark.parametrize("shapes", [4096, 1])
+def test_urls(spark, monkeypatch, cap, shapes):
     monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", cap)
+    monkeypatch.setattr(urlfilter, "MAX_SHAPES", shapes)
     rules = urlfilter.CONTRACT_RULES + [("block", "a.b.org", "/"), ("allow", "co.uk", "/x?"), ("block", "", "/never"), ("block", "dup.net", "/"), ("allow", "dup.net", "/")]
     urls = [None, "", "nothing", "http://", "http://example.org", "http://EXAMPLE.org/es/x", "https://sub.example.org/en/123?q#f", "x://y://example.org/en/1", "http://notexample.org/es/", "http://a.b.org/", "http://x.a.b.org/p/", "http://user@example.org:80/es/", "http://example.org?/es/", "http://example.org#/es/", "http://é.com/fr/ü", "http://m.com/de/1", "http://com/fr/", "http://dup.net/1", "http://.org/", "http://org./"]
     urls += urls[:4]
