@@ -190,7 +190,7 @@ def x23(spark, sf):
     from braidwork.functions import tools
 
     steps = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    plans = table(spark, sf, "events").filter("event_id % 3 = 0").groupBy("user_id").agg(steps.alias("s"))
+    plans = table(spark, sf, "events").groupBy("user_id").agg(steps.alias("s"))
     plan = tools.render_plan(F.transform("s", lambda x: x["event_type"]), F.transform("s", lambda x: x["event_id"].cast("string")))
     parsed = plans.select("user_id", F.explode(tools.parse_plan(plan)).alias("p"))
     return parsed.groupBy("user_id").agg(F.count("*").alias("steps"), F.max(F.col("p.argument").cast("long")).alias("last"))

@@ -195,6 +195,15 @@ def test_parsers(spark):
         assert got[1] == []
 
 
+def test_plan_grammar_takes_every_event(spark, sf):
+    from braidwork.plans import catalogue
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    want = events.groupBy("user_id").agg(F.count("*").alias("steps"), F.max("event_id").alias("last"))
+    got = catalogue.queries()["X23_plan_grammar"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_rename_collision(spark):
     df = spark.createDataFrame([(1, 2)], "Answer int, output int")
     assert messages.alias_columns(df).columns == ["Answer", "output"]
