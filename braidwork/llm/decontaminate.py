@@ -7,8 +7,9 @@ text once, and the end of a match maps through the word's ordinal to bytes and c
 The automaton is broadcast as its patterns, whose size is checked: above `MAX_PATTERN_BYTES` the items are cut into groups,
 each scanned with an automaton of its own, and the hits are united, so memory stays bounded for any benchmark.
 
-Defined results: null or empty text has no words and is never contaminated; items without words have no window; repeated
-rows give repeated results; an empty benchmark hits nothing. Only the named columns are read.
+Defined results: null or empty text has no words and is never contaminated; items without words have no window; the
+windows of an item with a null id count as hits, but no id is listed for them; repeated rows give repeated results; an empty
+benchmark hits nothing. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -49,11 +50,13 @@ def windows_of(text: str | None, n: int = WINDOW) -> list[str]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[str, str | None]], n: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int = WINDOW):
         owners: dict[str, set[str]] = {}
         for item_id, text in items:
             for window in windows_of(text, n):
-                owners.setdefault(window, set()).add(item_id)
+                ids = owners.setdefault(window, set())
+                if item_id is not None:
+                    ids.add(item_id)
         self.automaton = ahocorasick.Automaton()
         for window, ids in owners.items():
             self.automaton.add_word(window, (window.count(" ") - 1, sorted(ids)))
@@ -158,8 +161,6 @@ def _groups(benchmark: DataFrame, item_col: str, text_col: str, most: int):
         group, size = [], 0
 
     for item_id, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).orderBy(item_col).toLocalIterator():
-        if item_id is None:
-            continue
         cost = WINDOW * len(encode(text))
         if size + cost > most:
             close()

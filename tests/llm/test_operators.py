@@ -354,6 +354,15 @@ def test_decontamination_spans_and_empty_benchmark(spark, make):
     assert [x["doc_id"] for x in decontaminate.clean(make([(1, "two three"), (2, "x")]), bench).collect()] == [2]
 
 
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_decontamination_by_items_without_an_id(spark, make, most):
+    bench = spark.createDataFrame([(None, "two three"), (None, "five six"), (7, "Two three"), (8, "nine")], "item_id long, text string")
+    docs = make([(1, "one two three four"), (2, "x five six y"), (3, "nine z"), (4, "three two")])
+    got = decontaminate.scan(docs, bench, max_pattern_bytes=most)
+    assert rows(got.select("doc_id", "n_hit", F.array_join("item_ids", ","))) == Counter([(1, 2, "7"), (2, 2, ""), (3, 1, "8"), (4, 0, "")])
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [4]
+
+
 # ---- 10
 
 def brute_url(url, rules, default="allow"):
