@@ -119,6 +119,33 @@ def test_toxicity_pooling_agrees_in_batches():
         toxicity.CHUNK_WORDS = before
 
 
+def test_toxicity_learns_from_the_end_of_very_long_texts(spark, make):
+    body = " ".join(f"v{i % 300}" for i in range(50_100))
+    docs = [(i, body + (" vile" if i % 2 else " mild")) for i in range(50)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit(make(docs), labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(make(docs + [(100, "v1 vile"), (101, "v1 mild")]), model).collect()}
+    assert got.pop(100) == 1 and got.pop(101) == 0
+    assert all(p == i % 2 for i, p in got.items())
+
+
+def test_toxicity_takes_whole_texts_within_the_budget():
+    drawn, sizes = [(5, 1), (9, 0), (2, 1), (2, 1), (7, 0)], {5: 60, 9: 50, 2: 20}
+    assert toxicity._fitting(drawn, sizes, 100) == [(5, 1), (2, 1), (2, 1), (7, 0)]
+    assert toxicity._fitting(drawn, sizes, 10) == [(7, 0)]
+
+
+def test_toxicity_trains_alike_in_parts_of_a_batch(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 5000, rng.integers(0, 200)).astype(np.int32) for _ in range(80)]
+    stems = [(w % 700 + toxicity.WORD_BUCKETS).astype(np.int32) for w in words]
+    y = np.array([float((w < 60).any()) for w in words])
+    whole = toxicity.train(words, stems, y)
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 97)
+    parts = toxicity.train(words, stems, y)
+    assert np.allclose(whole.embed, parts.embed) and np.allclose(whole.out, parts.out)
+
+
 def test_toxicity_without_both_kinds(spark, make):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.score(make([(1, "a")]), toxicity.fit(make([(1, "a")]), labels)).collect()] == [0.0]
