@@ -194,6 +194,11 @@ def boxed(text: str | None) -> str | None:
     at = at if at >= 0 else text.rfind("\\fbox{")
     if at < 0:
         return None
+    return _braced(text, at)
+
+
+def _braced(text: str, at: int) -> str | None:
+    """Content of the first braces from `at` on; null if they are not closed."""
     depth, begin = 0, text.index("{", at)
     for i in range(begin, len(text)):
         depth += (text[i] == "{") - (text[i] == "}")
@@ -225,6 +230,53 @@ def final_answer(text: str) -> str:
     return text.strip()
 
 
+def last_box(text: str) -> str | None:
+    """Content of the last \\boxed{...}, braces matched; null if there is none or it is not closed."""
+    at = text.rfind("\\boxed{")
+    return _braced(text, at) if at >= 0 else None
+
+
+def minerva(solution: str, truth: str, extract: bool = False) -> tuple[bool, str]:
+    """Whether the last `Answer: ..` line and the truth (extract: its last box) are equal when normalised, and the answer.
+
+    A truth without a box to extract equals nothing.
+    """
+    found = re.findall(r"(?i)Answer\s*:\s*([^\n]+)", solution)
+    answer = final_answer(found[-1] if found else "[INVALID]")
+    truth = last_box(truth) if extract else truth
+    return truth is not None and answer == final_answer(truth), answer
+
+
+def strict_box(prediction: str, truth: str, pause: list[int] | None = None) -> tuple[int, str | None]:
+    """1 or -1: whether the last box in the last 100 characters (from 100 before the last of four pause places) is the truth itself."""
+    if pause is not None and len(pause) != 4:
+        raise ValueError("four pause places are needed")
+    box = last_box(prediction[pause[-1] - 100 :] if pause is not None else prediction[-100:])
+    return (1 if box == truth else -1), box
+
+
+def weight_map(query: str | None, response: str, response_map: dict[str, list[float]], query_map: dict[str, list[float]] | None = None) -> list[tuple[str, float]]:
+    """Parts of a response and their loss weights, which rejoin to the response.
+
+    The first key of query_map in the query weighs the whole response. Else keys of response_map with two weights are delimiters,
+    weighed by the first, and what follows by the second; without such keys, those with one weight are regular expressions
+    that weigh the parts they match. Anything else weighs 1.
+    """
+    for key, weight in (query_map or {}).items():
+        if key in (query or ""):
+            return [(response, float(weight[0] if isinstance(weight, list) else weight))]
+    plain = [k for k, v in response_map.items() if len(v) == 2]
+    keys = plain or [k for k, v in response_map.items() if len(v) == 1]
+    found = list(re.finditer("|".join(f"(?:{re.escape(k) if plain else k})" for k in keys), response, re.DOTALL)) if keys else []
+    ends = [m.start() for m in found[1:]] + [len(response)]
+    parts = [("", response[: found[0].start()] if found else response)] + [(m[0], response[m.end() : e]) for m, e in zip(found, ends)]
+    if plain:
+        out = [(parts[0][1], 1.0)] if parts[0][1] else []
+        return out + [x for k, c in parts[1:] for x in zip((k, c), map(float, response_map[k]))]
+    own = lambda p: next((response_map[k][0] for k in keys if re.match(k, p, re.DOTALL)), 1.0)
+    return [(p, float(own(p))) for pair in parts for p in pair if p]
+
+
 def latex_plain(text: str) -> str:
     """A LaTeX answer without spacing, size and unit marks; fractions, roots and decimals in one form."""
     for a, b in (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0.")):
@@ -391,3 +443,28 @@ def finance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 def word_overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """As multiset_overlap, in linear time: for the words of long texts."""
     return pd.Series([0 if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b)], dtype="int64")
+
+
+@F.pandas_udf(T.StructType([T.StructField("correct", T.BooleanType()), T.StructField("answer", T.StringType())]))
+def minerva_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if x is None or y is None else minerva(x, y) for x, y in zip(a, b)], columns=["correct", "answer"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("correct", T.BooleanType()), T.StructField("answer", T.StringType())]))
+def minerva_boxed_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if x is None or y is None else minerva(x, y, True) for x, y in zip(a, b)], columns=["correct", "answer"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("answer", T.StringType())]))
+def strict_box_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if x is None or y is None else strict_box(x, y) for x, y in zip(a, b)]
+    return pd.DataFrame({"score": pd.Series([r[0] for r in rows], dtype="Int32"), "answer": pd.Series([r[1] for r in rows], dtype="object")})
+
+
+def weight_map_udf(response_map: dict[str, list[float]], query_map: dict[str, list[float]] | None = None):
+    @F.pandas_udf("array<struct<content: string, weight: double>>")
+    def weights(query: pd.Series, response: pd.Series) -> pd.Series:
+        rows = [None if r is None else weight_map(q, r, response_map, query_map) for q, r in zip(query, response)]
+        return pd.Series([None if w is None else [{"content": c, "weight": x} for c, x in w] for w in rows], dtype="object")
+
+    return weights

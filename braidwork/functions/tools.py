@@ -92,15 +92,42 @@ def register(name: str, parser: Callable[[Column], Column]) -> None:
     PARSERS[name] = parser
 
 
-def render_plan(names: Column, arguments: Column) -> Column:
-    """`Step k: name(argument)` lines."""
-    both = F.arrays_zip(names.alias("n"), arguments.alias("a"))
-    lines = F.transform(both, lambda x, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), x["n"], F.lit("("), x["a"], F.lit(")")))
-    return F.array_join(lines, "\n")
+def render_plan(steps: Column) -> Column:
+    """Plan of array<array<struct<name, arguments>>>: a step of one call is `Step k: call name(arguments)`, one of more is
+    `Step k (parallel):` with a line `    - call name(arguments)` for each. Steps without calls are left out and not numbered."""
+
+    def call(c: Column) -> Column:
+        return F.concat(F.lit("call "), c["name"], F.lit("("), c["arguments"], F.lit(")"))
+
+    def step(calls: Column, i: Column) -> Column:
+        head = F.concat(F.lit("Step "), (i + 1).cast("string"))
+        lines = F.array_join(F.transform(calls, lambda c: F.concat(F.lit("\n    - "), call(c))), "")
+        return F.when(F.size(calls) == 1, F.concat(head, F.lit(": "), call(calls[0]))).otherwise(F.concat(head, F.lit(" (parallel):"), lines))
+
+    return F.array_join(F.transform(F.filter(steps, lambda c: F.size(c) > 0), step), "\n")
+
+
+def _lenient(arguments: Column) -> Column:
+    """JSON text as it is, with ' read as \" where only that makes it JSON; other text stays."""
+    quoted = F.replace(arguments, F.lit("'"), F.lit('"'))
+    valid = lambda x: F.try_parse_json(x).isNotNull()
+    return F.when(~valid(arguments) & valid(quoted), quoted).otherwise(arguments)
 
 
 def parse_plan(text: Column) -> Column:
-    """array<struct<step, name, argument>> of `Step k: name(argument)` lines; other lines are skipped."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^Step \d+: [\w.-]+\(.*\)$"))
-    pattern = r"^Step (\d+): ([\w.-]+)\((.*)\)$"
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).cast("int").alias("step"), F.regexp_extract(x, pattern, 2).alias("name"), F.regexp_extract(x, pattern, 3).alias("argument")))
+    """array<struct<step, name, argument>>: the calls of a plan as render_plan writes it, single and parallel.
+
+    A step is numbered by its place; a call outside any step and other lines are skipped.
+    """
+    lines = F.regexp_replace(text, "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
+    pattern = r"(?U)^(?:Step \d+(?: \(parallel\))?:|\s*-)\s*call\s+(.+?)\((.*)\)\s*$"
+    # pieces begin at the heads of steps; the one before the first step is none
+    steps = F.filter(F.split(lines, r"(?m)(?=^Step \d+(?: \(parallel\))?:)"), lambda x: x.rlike(r"^Step \d+(?: \(parallel\))?:"))
+
+    def calls(piece: Column, i: Column) -> Column:
+        def one(x: Column) -> Column:
+            return F.struct((i + 1).cast("int").alias("step"), F.regexp_extract(x, pattern, 1).alias("name"), _lenient(F.regexp_extract(x, pattern, 2)).alias("argument"))
+
+        return F.transform(F.filter(F.split(piece, "\n"), lambda x: x.rlike(pattern)), one)
+
+    return F.flatten(F.transform(steps, calls))

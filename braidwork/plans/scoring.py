@@ -96,6 +96,24 @@ def x10(spark, sf):
     return table(spark, sf, "events").select("event_id", tx.final_answer_udf(t).alias("answer"))
 
 
+@query("X10_minerva", "SELECT event_id, event_id % 2 = 0 AND event_id % 5 <> 0 AS correct, event_id % 2 = 0 AND event_id % 5 <> 0 AS boxed, CASE WHEN event_id % 5 = 0 THEN '[INVALID]' ELSE CAST(user_id AS VARCHAR) || '000' END AS answer FROM events")
+def x10_minerva(spark, sf):
+    u, end = F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "000").otherwise("001")
+    line = F.when(F.col("event_id") % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("Answer: 1\nanswer : x = $\\text{"), u, F.lit(",000}$ dollars\nEnd")))
+    m = tx.minerva_udf(line, F.concat(u, end))
+    boxed = tx.minerva_boxed_udf(line, F.concat(F.lit("so \\boxed{"), u, F.lit(","), end, F.lit("}.")))
+    rows = table(spark, sf, "events").select("event_id", m.alias("m"), boxed.alias("b"))
+    return rows.select("event_id", F.col("m.correct").alias("correct"), F.col("b.correct").alias("boxed"), F.col("m.answer").alias("answer"))
+
+
+@query("X10_strict_box", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 1 ELSE -1 END AS score, CASE WHEN event_id % 4 < 2 THEN CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) || '.0' END END AS answer FROM events")
+def x10_strict(spark, sf):
+    u, m = F.col("user_id").cast("string"), F.col("event_id") % 4
+    box = F.concat(F.lit("\\boxed{0} then \\boxed{"), u, F.when(m == 1, ".0").otherwise(""), F.lit("}"))
+    text = F.when(m < 2, box).when(m == 2, F.concat(box, F.lit("." * 100))).otherwise(F.concat(F.lit("\\boxed{"), u))
+    return table(spark, sf, "events").select("event_id", tx.strict_box_udf(text, u).alias("s")).select("event_id", "s.score", "s.answer")
+
+
 @query("X11_latex_equal", "SELECT event_id, user_id % 10 = event_id % 10 AS equal FROM events")
 def x11(spark, sf):
     a = F.concat((F.col("user_id") % 10).cast("string"), F.lit("/7"))
@@ -185,15 +203,25 @@ def x22(spark, sf):
     return calls.select("event_id", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.id").cast("long").alias("arg"), (F.col("i") + 1).alias("k"))
 
 
+def parsed_plans(spark, sf):
+    """Events of a user as the calls of a plan, those of an hour in one step, rendered and parsed back."""
+    from braidwork.functions import tools
+
+    call = F.struct(F.col("event_type").alias("name"), F.to_json(F.struct(F.col("event_id").alias("id"))).alias("arguments"))
+    turns = table(spark, sf, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(call)).alias("calls"))
+    plans = turns.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "calls"))), lambda x: x["calls"]).alias("steps"))
+    parsed = plans.select("user_id", F.explode(tools.parse_plan(tools.render_plan(F.col("steps")))).alias("p"))
+    return parsed.select("user_id", F.get_json_object("p.argument", "$.id").cast("long").alias("event_id"), F.col("p.name").alias("name"), F.col("p.step").alias("step"))
+
+
 @query("X23_plan_grammar", "SELECT user_id, count(*) AS steps, max(event_id) AS last FROM events WHERE event_id % 3 = 0 GROUP BY 1")
 def x23(spark, sf):
-    from braidwork.functions import tools
+    return parsed_plans(spark, sf).groupBy("user_id").agg(F.count("*").alias("steps"), F.max("event_id").alias("last"))
 
-    steps = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    plans = table(spark, sf, "events").groupBy("user_id").agg(steps.alias("s"))
-    plan = tools.render_plan(F.transform("s", lambda x: x["event_type"]), F.transform("s", lambda x: x["event_id"].cast("string")))
-    parsed = plans.select("user_id", F.explode(tools.parse_plan(plan)).alias("p"))
-    return parsed.groupBy("user_id").agg(F.count("*").alias("steps"), F.max(F.col("p.argument").cast("long")).alias("last"))
+
+@query("X23_plan_steps", "SELECT user_id, event_id, event_type AS name, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts)) AS INT) AS step FROM events")
+def x23_steps(spark, sf):
+    return parsed_plans(spark, sf)
 
 
 @query("X24_advice_kind", "SELECT event_id, event_type AS body, CASE WHEN event_type = 'error' THEN 'fix' ELSE 'plan' END AS kind FROM events")
@@ -316,6 +344,17 @@ def x36(spark, sf):
     return rows.select("conv_id", "turn", own.cast("double").alias("default_weight"), F.coalesce(own & (F.col("turn") > F.col("last_user")), F.lit(False)).cast("double").alias("last_round"), F.lit(1.0).alias("all_weight"))
 
 
+@query("X36_weight_map", """
+SELECT event_id, 'delimiter' AS kind, unnest([0, 1, 2, 3, 4]) AS i, unnest(['x ', 'Action:', event_type, 'Result:', CAST(user_id AS VARCHAR)]) AS content, CAST(unnest([1, 2, 3, 0, 0.5]) AS DOUBLE) AS weight FROM events WHERE event_type <> 'error'
+UNION ALL SELECT event_id, 'delimiter', 0, 'x Action:error' || 'Result:' || CAST(user_id AS VARCHAR), 0.25 FROM events WHERE event_type = 'error'
+UNION ALL SELECT event_id, 'regex', unnest([0, 1, 2]), unnest(['x ', 'Action:' || event_type || 'Result:', CAST(user_id AS VARCHAR)]), CAST(unnest([1, 4, 1]) AS DOUBLE) FROM events""")
+def x36_map(spark, sf):
+    t = F.concat(F.lit("x Action:"), "event_type", F.lit("Result:"), F.col("user_id").cast("string"))
+    maps = {"delimiter": tx.weight_map_udf({"Action:": [2, 3], "Result:": [0, 0.5], "x": [9]}, {"error": [0.25]}), "regex": tx.weight_map_udf({"Action:.*?Result:": [4]})}
+    parts = [table(spark, sf, "events").select("event_id", F.lit(kind).alias("kind"), F.posexplode(f(F.col("event_type"), t)).alias("i", "p")) for kind, f in maps.items()]
+    return parts[0].unionByName(parts[1]).select("event_id", "kind", "i", "p.content", "p.weight")
+
+
 @query("X37_rubrics", "SELECT event_id, round(CASE WHEN value >= 20 THEN 1.0 ELSE 0.0 END * 0.25 + CASE WHEN user_id % 2 = 0 THEN value / 500 ELSE 0 END * 0.75, 6) AS weighted, round(CASE WHEN value / 500 < 0.1 THEN 0.0 ELSE value / 500 END, 6) AS gated, round(CASE WHEN user_id % 2 = 1 THEN 0.0 ELSE value / 500 END, 6) AS sequential FROM events")
 def x37(spark, sf):
     from braidwork.functions import rubrics

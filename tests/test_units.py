@@ -204,6 +204,35 @@ def test_plan_grammar_takes_every_event(spark, sf):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_plan_grammar_single_and_parallel(spark):
+    text = "intro\n    - call lost({})\nStep 1: call f({\"x\": \"(1)\"})\n\nStep 2 (parallel):\n    - call g({'y': 2})\nnote\n    - call h.i(raw's)  \nStep 9: f(1)\nStep 9: call k({})"
+    df = spark.createDataFrame([(text,), ("plain",), ("",), (None,)], "t string")
+    got = [r["p"] for r in df.select(tools.parse_plan(F.col("t")).alias("p")).collect()]
+    want = [(1, "f", '{"x": "(1)"}'), (2, "g", '{"y": 2}'), (2, "h.i", "raw's"), (4, "k", "{}")]
+    assert [tuple(c) for c in got[0]] == want and got[1:] == [[], [], None]
+    steps = [[("f", '{"x": 1}')], [], [("g", "{}"), ("h", "{}")]]
+    plan = spark.createDataFrame([(steps,)], "s array<array<struct<name: string, arguments: string>>>").select(tools.render_plan(F.col("s"))).first()[0]
+    assert plan == 'Step 1: call f({"x": 1})\nStep 2 (parallel):\n    - call g({})\n    - call h({})'
+
+
+def test_final_answer_comparison():
+    assert tx.minerva("Answer: 3\nanswer : x = 1,000 dollars\nend", "1000") == (True, "1000")
+    assert tx.minerva("1000", "1000") == (False, "[INVALID]")
+    assert tx.minerva("Answer: \\frac12", "so \\boxed{\\frac{1}{2}}", True)[0] and not tx.minerva("Answer: 1", "1", True)[0]
+    assert tx.strict_box("\\boxed{1} \\boxed{\\frac{1}{2}}.", "\\frac{1}{2}") == (1, "\\frac{1}{2}")
+    assert tx.strict_box("\\boxed{1}" + "." * 100, "1") == (-1, None) and tx.strict_box("\\boxed{1", "1") == (-1, None)
+    assert tx.strict_box("\\boxed{1}" + "." * 200, "1", [0, 0, 0, 100]) == (1, "1")
+    assert tx.strict_box("\\boxed{a \\boxed b$}", "a \\boxed b$") == (1, "a \\boxed b$")
+
+
+def test_weight_map():
+    both = {"Action:": [2, 3], "Result:": [0, 1], "x": [9]}
+    assert tx.weight_map("q", "x Action:aResult:", both) == [("x ", 1.0), ("Action:", 2.0), ("a", 3.0), ("Result:", 0.0), ("", 1.0)]
+    assert tx.weight_map("a query", "Action:a", both, {"none": [5], "query": [0.5]}) == [("Action:a", 0.5)]
+    assert tx.weight_map(None, "a<b>c", {"<.*?>": [2]}) == [("a", 1.0), ("<b>", 2.0), ("c", 1.0)]
+    assert tx.weight_map("", "", both) == [] and tx.weight_map("", "plain", {}) == [("plain", 1.0)]
+
+
 def test_rename_collision(spark):
     df = spark.createDataFrame([(1, 2)], "Answer int, output int")
     assert messages.alias_columns(df).columns == ["Answer", "output"]
