@@ -3,6 +3,10 @@
 Every stage takes what the one before kept, written as Parquet and read again. All but the last return the columns of
 documents. Which rows go: toxic ones by the threshold of their language; all but the largest doc_id of equal texts; all but the
 smallest doc_id of a component of near copies; contaminated ones. The last encodes what is left.
+
+Exactly the rows judged go, whatever their ids: a row with a null doc_id goes if a row with an id has its text or is in its
+component, and stays where all have none; rows that share an id are judged by their own texts, and those of the kept id that
+are equal or near copies of each other all stay.
 """
 
 from __future__ import annotations
@@ -35,11 +39,6 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]):
     return run
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    ids = materialise(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(ids, docs["doc_id"] == ids["_dropped"], "left_anti")
-
-
 @_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -47,12 +46,25 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exactdedup.dedup(docs).filter("not kept"))
+    # rows of equal id and text are judged alike, so id and digest tell the rows to drop
+    judged = exactdedup.dedup(docs).filter("not kept").select(F.col("doc_id").alias("_dropped"), "text_sha256")
+    judged = materialise(judged.distinct(), "dropped")
+    digest = F.sha2(exactdedup.normalised(docs["text"]).cast("binary"), 256)
+    return docs.join(judged, docs["doc_id"].cast("long").eqNullSafe(judged["_dropped"]) & (digest == judged["text_sha256"]), "left_anti")
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard.similarity_components(docs).filter("component_id <> doc_id"))
+    # components are of rows, told by a key of their own, whatever the ids
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = jaccard.similarity_components(keyed, id_col="_row").select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_component"))
+    found = materialise(found, "components")
+    large = found.filter("_of <> _component").select("_component").distinct()
+    member = found.join(large, "_component", "left_semi").join(keyed.select("_row", F.col("doc_id").cast("long").alias("_id")), F.col("_of") == F.col("_row"))
+    member = materialise(member.select("_of", "_component", "_id"), "members")
+    first = member.groupBy(F.col("_component").alias("_first")).agg(F.min("_id").alias("_kept"))
+    judged = member.join(first, F.col("_component") == F.col("_first")).filter("not (_id <=> _kept)").select("_of")
+    return keyed.join(materialise(judged, "dropped"), F.col("_row") == F.col("_of"), "left_anti").select(*docs.columns)
 
 
 @_stage

@@ -59,6 +59,19 @@ def test_pipeline(spark):
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()} == want
 
 
+def test_stages_drop_the_rows_judged_whatever_their_ids(spark, make, sf):
+    def left(stage, rows):
+        out = stage(spark, make(rows), sf)
+        assert out.columns == make([]).columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    exact = [(None, "Same"), (5, "same"), (7, "same"), (7, "other"), (5, "only five"), (None, "lone"), (None, "lone")]
+    assert left(corpus_pipeline.exact_dedup, exact) == sorted(exact[2:], key=str)
+    base, far = " ".join(f"w{i}" for i in range(60)), " ".join(f"x{i}" for i in range(60))
+    near = [(None, base + " tail"), (9, base + " end"), (3, base), (9, "only nine"), (3, "only three"), (None, far), (None, far + " end")]
+    assert left(corpus_pipeline.near_dedup, near) == sorted(near[2:], key=str)
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     for p in (root / "braidwork").rglob("*.py"):
