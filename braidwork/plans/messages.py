@@ -225,10 +225,13 @@ def p30(spark, sf):
 
     root = files.new_path(spark, "runs")
     docs = table(spark, sf, "documents")
-    for lang in ("de", "en", "es", "fr"):
-        docs.filter(F.col("lang") == lang).select("doc_id").write.parquet(f"{root}/{lang}/plain/qa")
-    parts = F.split(F.input_file_name(), "/")
-    return spark.read.schema("doc_id long").parquet(f"{root}/*/*/*").groupBy(F.element_at(parts, -4).alias("model")).agg(F.count("*").alias("n"))
+    # the folder of a language is its text in hex after an x, so that any name, an empty one and null (no x) are told apart
+    folder = F.coalesce(F.concat(F.lit("x"), F.hex(F.col("lang").cast("binary"))), F.lit("null"))
+    docs.select("doc_id", folder.alias("model"), F.lit("plain").alias("mode"), F.lit("qa").alias("task")).write.partitionBy("model", "mode", "task").parquet(root)
+    name = F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -4), "^model=(.*)$", 1)
+    model = F.when(name != "null", F.decode(F.unhex(F.substring(name, 2, 1 << 30)), "UTF-8"))
+    rows = spark.read.schema("doc_id long").parquet(f"{root}/*/*/*")
+    return rows.groupBy(model.alias("model")).agg(F.count("*").alias("n"))
 
 
 @query("P31_messages_to_history", f"""

@@ -233,6 +233,15 @@ def test_weight_map():
     assert tx.weight_map("", "", both) == [] and tx.weight_map("", "plain", {}) == [("plain", 1.0)]
 
 
+def test_path_columns_take_every_language(spark, tmp_path):
+    from braidwork.plans import catalogue
+
+    langs = ["en", "en", "pt", "a/b c", "", None]
+    spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["P30_path_columns"](spark, str(tmp_path)).collect()
+    assert {r["model"]: r["n"] for r in got} == {"en": 2, "pt": 1, "a/b c": 1, "": 1, None: 1}
+
+
 def test_rename_collision(spark):
     df = spark.createDataFrame([(1, 2)], "Answer int, output int")
     assert messages.alias_columns(df).columns == ["Answer", "output"]
