@@ -73,24 +73,33 @@ def keyword_top_k(docs: DataFrame, questions: DataFrame, key: str, text: str, qu
 
     A common word joins nearly all texts with nearly all questions, so a bounded number of questions goes to the texts
     instead: a task scores its texts by one sparse product and passes on k rows a question and batch.
+
+    Texts that share an id are one entry with the sum of their scores, questions that share an id are one of the distinct words
+    of all; rows without id or text don't count. Texts of a repeated id are joined by word, since their sum is known only
+    when all of them have been scored.
     """
+    docs = docs.select(F.col(key).cast("long").alias(key), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
     asked = questions.select(F.col(question_key).cast("long"), question_text).filter(F.col(question_key).isNotNull() & F.col(question_text).isNotNull())
     few = asked.limit(MAX_QUESTIONS + 1).collect()
     if len(few) > MAX_QUESTIONS:
         scored = _keyword_join(docs, asked, key, text, question_key, question_text)
     else:
-        scored = _keyword_scan(docs, [tuple(r) for r in few], key, text, k)
+        repeated = docs.groupBy(F.col(key).alias("_repeated")).count().filter("count > 1").select("_repeated")
+        once = docs.join(repeated, docs[key] == repeated["_repeated"], "left_anti")
+        more = docs.join(repeated, docs[key] == repeated["_repeated"], "left_semi")
+        scored = _keyword_scan(once, [tuple(r) for r in few], key, text, k).unionByName(_keyword_join(more, asked, key, text, question_key, question_text))
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.round("score", 10).desc(), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _keyword_scan(docs: DataFrame, questions: list[tuple[int, str]], key: str, text: str, k: int) -> DataFrame:
-    ids = np.array([q for q, _ in questions], np.int64)
+    place = {q: i for i, q in enumerate(dict.fromkeys(q for q, _ in questions))}
+    ids = np.array(list(place), np.int64)
     owners: dict[str, list[int]] = {}
-    for i, (_, t) in enumerate(questions):
+    for q, t in questions:
         for w in set(_words(t)):
-            owners.setdefault(w, []).append(i)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, {w: np.array(o) for w, o in owners.items()}))
+            owners.setdefault(w, []).append(place[q])
+    shared = docs.sparkSession.sparkContext.broadcast((ids, {w: np.unique(o) for w, o in owners.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, owners = shared.value
@@ -124,5 +133,5 @@ def _keyword_join(docs: DataFrame, questions: DataFrame, key: str, text: str, qu
         return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
 
     counted = docs.select(key, F.size(words(text)).alias("_n"), F.explode(words(text)).alias("_w")).groupBy(key, "_n", "_w").agg(F.count("*").alias("_c"))
-    asked = questions.select(F.col(question_key).alias("question"), F.explode(F.array_distinct(words(question_text))).alias("_w"))
+    asked = questions.select(F.col(question_key).alias("question"), F.explode(words(question_text)).alias("_w")).distinct()
     return counted.join(asked, "_w").groupBy("question", key).agg(F.sum(F.col("_c") / F.greatest("_n", F.lit(1))).alias("score"))

@@ -303,3 +303,17 @@ def test_keyword_top_k_either_way(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MAX_QUESTIONS", 1)
     join = retrieval.keyword_top_k(docs, questions, "doc_id", "text", "item_id", "text", 2)
     assert sorted((r["question"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in join.collect()) == want
+
+
+def test_keyword_top_k_of_repeated_ids_either_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a c"), (1, "a"), (2, "a"), (3, "a d"), (4, "b b"), (None, "a b")], "doc_id long, text string")
+    questions = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b c")], "item_id long, text string")
+
+    def ranked():
+        out = retrieval.keyword_top_k(docs.repartition(3), questions, "doc_id", "text", "item_id", "text", 2)
+        return sorted((r["question"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in out.collect())
+
+    want = [(1, 1, 2.0, 1), (1, 2, 1.0, 2), (2, 1, 1.0, 1), (2, 4, 1.0, 2)]
+    assert ranked() == want
+    monkeypatch.setattr(retrieval, "MAX_QUESTIONS", 1)
+    assert ranked() == want
