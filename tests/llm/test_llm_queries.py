@@ -33,7 +33,7 @@ def test_query(spark, con, name):
 
 
 def test_pipeline(spark):
-    from test_operators import brute_contamination, brute_jaccard
+    from test_llm_operators import brute_contamination, brute_jaccard
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
