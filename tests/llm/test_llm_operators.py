@@ -1,6 +1,7 @@
 """Operators against brute force, on the smallest tables and on rows that are hard to bear."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braidwork.llm import bpecodec, chat, decontaminate, exactdedup, jaccard, substring, tokencount, toxicity, urlfilter, warc
+from braidwork.llm import bpecodec, chat, decontaminate, exactdedup, jaccard, substring, tokencount, toxicity, urlfilter, vocabulary, warc
 from braidwork.llm.blocks import Plan
 from braidwork.llm.components import components
 from braidwork.llm.vocabulary import Vocabulary
@@ -76,6 +77,35 @@ def test_tokenizing_random_texts(library):
     assert 0 < codec.failures < codec.words
 
 
+def test_tokenizing_every_code_point(library):
+    content = open(VOCABULARY).read()
+    codec, counter = bpecodec.Codec(Vocabulary(content)), tokencount.Counter(Vocabulary(content))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for begin in range(0, len(points), 20_000):
+        cases = [f"a{chr(c)}b {chr(c)}1{chr(c)} e{chr(c)}\u0301" for c in points[begin : begin + 20_000]]
+        want = [e.ids for e in library.encode_batch(cases, add_special_tokens=False)]
+        assert [list(map(int, e[0].split())) for e in codec.encode(cases)] == want
+        assert counter.count(cases) == [len(w) for w in want]
+
+
+def test_tokenizing_mixes_of_odd_characters(library):
+    rng = random.Random(7)
+    tables = (vocabulary.LETTERS, vocabulary.NUMBERS, vocabulary.UNORDERED, " ".join(r for r, _ in vocabulary.LOWERED))
+    odd = [chr(c) for t in tables for a, b in vocabulary._ranges(t) for c in range(a, min(b, a + 40) + 1)]
+    plain = list("abcé1 '\n.ẹΣİ각\U00011935\U00011930") + [chr(c) for c in range(0x300, 0x345)]
+    cases = ["".join(rng.choice(odd if rng.random() < 0.3 else plain) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    want = [e.ids for e in library.encode_batch(cases, add_special_tokens=False)]
+    assert [list(map(int, e[0].split())) for e in bpecodec.Codec(Vocabulary(open(VOCABULARY).read())).encode(cases)] == want
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"model": {"type": "Unigram"}}])
+def test_vocabularies_of_another_kind_are_refused(change):
+    spec = json.loads(open(VOCABULARY).read())
+    spec |= {k: spec[k] | v if k == "model" else v for k, v in change.items()}
+    with pytest.raises(ValueError, match="another kind"):
+        Vocabulary(json.dumps(spec))
+
+
 # ---- 2
 
 def test_toxicity(spark, make):
