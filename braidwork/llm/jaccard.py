@@ -7,8 +7,13 @@ n-gram of frequency one is shared by none: most documents end here. Rows of equa
 The order is cut into fragments, and each class's set with it. For a pair of classes the overlap is counted in each fragment
 separately, by a join on (class, fragment), and summed per pair. Pairs come from shared prefix n-grams, but not all of them:
 per round each class is held against the best of the leaders of its n-grams, links join classes into components, and only pairs
-across components remain. When few are left, all of them are counted, so no link between different components is lost and a
-group of thousands of near copies does not become all its pairs.
+across components remain. All of those are counted at the end, so no link between different components is lost and a group of
+thousands of near copies does not become all its pairs. Where they are many they are counted in turns, each of a share of the
+classes and of no more pairs than a bound, and links found in one turn spare the next ones pairs.
+
+Sets of so few n-grams that one more or less is below the threshold are linked only with equal ones and are told by the bytes of
+their words. Larger ones are told by 64-bit hashes, where a wrong link takes a chance meeting between two sets that are one n-gram
+below the threshold, and wrong equality as many as the sets have n-grams apart.
 
 Defined results: null, empty and wordless texts have no n-grams and are linked with nothing, not even each other; texts of fewer
 words than n are one n-gram; of repeated rows each gets the result of its text; a null doc_id counts as larger than any other
@@ -18,6 +23,7 @@ and is given back as null unless a smaller id is reached. Only the id and text c
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +41,9 @@ N_WORDS = 4
 PERCENT = 85
 FRAGMENTS = 8
 _LAST = 2**63 - 1
-#: Pairs across components, for each class, that are counted at once; above it another round of leaders comes first.
-PAIRS_PER_CLASS = 4
+#: Pairs across components, for each class, above which another round of leaders comes first, as long as leaders find links for
+#: one class in 50; and how many are looked at in one turn after that.
+PAIRS_PER_CLASS, PAIRS_PER_TURN = 4, 64
 LEADER_ROUNDS = 10
 
 #: Longs of a set's parity bitmap.
@@ -92,6 +99,15 @@ def _mark(keys: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def _digest(keys: np.ndarray, text: bytes, bounds: tuple[int, int], n: int, percent: int) -> bytes:
+    """Tells sets apart: by the n-grams themselves where only equal sets are similar, else by their hashes."""
+    if (100 - percent) * len(keys) >= 100:
+        return hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
+    words = text[bounds[0] : bounds[1]].split()
+    grams = sorted({b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))})
+    return hashlib.blake2b(b"\n".join(grams), digest_size=16, person=b"words").digest()
+
+
 def _select(plan: Plan, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +118,8 @@ def _select(plan: Plan, n: int, percent: int):
                 levels = [unplanes(x) for x in in_order(row["answers"])]
                 levels = np.concatenate(levels) if levels else np.zeros(0, np.uint8)
                 size, digest, lead, kept, kept_level, mark = [], [], [], [], [], []
-                for s in sets:
+                bounds = list(zip(block.begin.tolist(), block.end.tolist()))
+                for d, s in enumerate(sets):
                     level = levels[np.searchsorted(keys, plan.keys(s))]
                     order = np.argsort(level, kind="stable")  # the hashes are sorted already
                     s, level = s[order], level[order]
@@ -116,7 +133,7 @@ def _select(plan: Plan, n: int, percent: int):
                         kept_level.append(None)
                         mark.append(None)
                     else:
-                        digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                        digest.append(_digest(s, block.text, bounds[d], n, percent))
                         lead.append(prefix - alone)
                         kept.append(s[alone:].view(np.int64))
                         kept_level.append(level[alone:].view(np.int8))
@@ -196,9 +213,10 @@ def _linked(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int)
 
 
 def _possible(n_a, at_a, n_b, at_b, percent: int):
-    """Whether a pair can be similar whose first common n-gram has these places in the order of their sets."""
+    """Whether a pair of unequal sets can be similar whose first common n-gram has these places in the order of their sets."""
     need = percent * (n_a + n_b)
-    return ((100 + percent) * (n_a - at_a) >= need) & ((100 + percent) * (n_b - at_b) >= need)
+    unequal = (100 - percent) * F.greatest(n_a, n_b) >= 100
+    return unequal & ((100 + percent) * (n_a - at_a) >= need) & ((100 + percent) * (n_b - at_b) >= need)
 
 
 def _near(percent: int):
@@ -215,8 +233,10 @@ def _relabel(comp: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(merged, "comp", "left").select("uid", F.coalesce("_to", "comp").alias("comp"))
 
 
-def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", pairs_per_class: int = PAIRS_PER_CLASS) -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", pairs_per_class: int = PAIRS_PER_CLASS, pairs_per_turn: int = PAIRS_PER_TURN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; linked where intersection / union >= percent / 100."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0 and at most 100")
     spark = docs.sparkSession
     with recorded() as paths:
         blocks = write_blocks(docs, id_col, text_col, lower_ascii)
@@ -248,7 +268,7 @@ def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERC
     postings = materialise(postings.select("s", "uid", "n", "alone", (F.col("alone") + F.col("at")).alias("at")), "jaccard-postings")
     marks = materialise(first.select("uid", "mark"), "jaccard-marks")
     drop(spark, [path_of(first)] if first.inputFiles() else [])
-    comp = _components(postings, parts, sizes, marks, classes.count(), percent, pairs_per_class)
+    comp = _components(postings, parts, sizes, marks, classes.count(), percent, pairs_per_class, pairs_per_turn)
 
     lows = comp.join(classes, "uid").groupBy("comp").agg(F.min("low").alias("component"))
     per_class = comp.join(classes, "uid").join(lows, "comp").select(F.col("digest").alias("_digest"), "component")
@@ -258,9 +278,10 @@ def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERC
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _components(postings: DataFrame, parts: DataFrame, sizes: DataFrame, marks: DataFrame, n_classes: int, percent: int, pairs_per_class: int) -> DataFrame:
+def _components(postings: DataFrame, parts: DataFrame, sizes: DataFrame, marks: DataFrame, n_classes: int, percent: int, pairs_per_class: int, pairs_per_turn: int) -> DataFrame:
+    """(uid, comp) of every class with a posting."""
     comp = materialise(postings.select("uid", F.col("uid").alias("comp")).distinct(), "jaccard-comp")
-    most, last = pairs_per_class * n_classes + 10_000, False
+    most, at_once, productive = pairs_per_class * n_classes + 10_000, pairs_per_turn * n_classes + 10_000, True
     for turn in range(LEADER_ROUNDS + 1):
         now = postings.join(comp, "uid")
         # A leader has few n-grams of its own: of a group of near copies the one that most are copies of. Later turns try others.
@@ -274,34 +295,53 @@ def _components(postings: DataFrame, parts: DataFrame, sizes: DataFrame, marks:
         leads = materialise(leads.filter("k > 1").select("s", "lead.*", F.col("top.comp").alias("top"), pairs), "jaccard-leads")
         left = leads.agg(F.sum("pairs")).first()[0]
         if not left:
-            break
-        last = last or left <= most or turn == LEADER_ROUNDS
+            return comp
+        if left <= most or not productive or turn == LEADER_ROUNDS:
+            return _all_pairs(postings, parts, sizes, marks, comp, leads, math.ceil(left / at_once), percent)
         now = now.withColumnsRenamed({"uid": "a", "n": "n_a", "at": "at_a", "alone": "alone_a", "comp": "comp_a"})
+        # each class is held against the leader with which it shares most of its prefix
         fits = _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent)
-        if last:
-            now = now.join(marks.withColumnsRenamed({"uid": "a", "mark": "mark_a"}), "a")
-            open_ = now.join(leads.select("s", "top"), "s")
-            other = now.join(leads.select("s"), "s", "left_semi")
-            other = other.withColumnsRenamed({c: c[:-1] + "b" for c in ("a", "n_a", "at_a", "alone_a", "comp_a", "mark_a")})
-            fits = fits & _near(percent)
-            once = (F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b"))
-            pairs = open_.filter("comp_a <> top").join(other, "s").filter((F.col("comp_a") != F.col("comp_b")) & once & fits)
-            sides = F.array_sort(F.array(*[F.struct(F.col(x).alias("v"), F.col(f"n_{x}").alias("n"), F.col(f"comp_{x}").alias("comp")) for x in "ab"]))
-            pairs = pairs.select(sides.alias("p")).distinct()
-            pairs = pairs.select(*[F.col("p")[i][f].alias(name) for i, x in enumerate("ab") for f, name in (("v", x), ("n", f"n_{x}"), ("comp", f"comp_{x}"))])
-        else:  # each class is held against the leader with which it shares most of its prefix
-            pairs = now.join(leads.drop("pairs", "top"), "s").filter((F.col("comp_a") != F.col("comp_b")) & fits)
-            pairs = pairs.groupBy("a", "b", "n_a", "n_b", "comp_a", "comp_b").count()
-            best = F.max(F.struct("count", "b", "n_b", "comp_b")).alias("best")
-            pairs = pairs.groupBy("a", "n_a", "comp_a").agg(best).select("a", "best.b", "n_a", "best.n_b", "comp_a", "best.comp_b")
-        pairs = materialise(pairs, "jaccard-pairs")
-        links = _linked(pairs, parts, sizes, percent)
-        links = materialise(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "jaccard-links")
-        found = links.count()
-        if found:
-            comp = materialise(_relabel(comp, links), "jaccard-comp")
-        if last:
-            break
-        # Leaders that find little more leave the rest to the count of all pairs across components.
-        last = 50 * found < n_classes
+        pairs = now.join(leads.drop("pairs", "top"), "s").filter((F.col("comp_a") != F.col("comp_b")) & fits)
+        pairs = pairs.groupBy("a", "b", "n_a", "n_b", "comp_a", "comp_b").count()
+        best = F.max(F.struct("count", "b", "n_b", "comp_b")).alias("best")
+        pairs = pairs.groupBy("a", "n_a", "comp_a").agg(best).select("a", "best.b", "n_a", "best.n_b", "comp_a", "best.comp_b")
+        comp, found = _join_linked(comp, pairs, parts, sizes, percent)
+        productive = 50 * found >= n_classes
+    return comp
+
+
+def _join_linked(comp: DataFrame, pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """Components after the similar of the pairs (a, b, n_a, n_b, comp_a, comp_b) were linked, and how many links there were."""
+    links = _linked(materialise(pairs, "jaccard-pairs"), parts, sizes, percent)
+    links = materialise(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "jaccard-links")
+    found = links.count()
+    return (materialise(_relabel(comp, links), "jaccard-comp") if found else comp), found
+
+
+def _all_pairs(postings: DataFrame, parts: DataFrame, sizes: DataFrame, marks: DataFrame, comp: DataFrame, leads: DataFrame, turns: int, percent: int) -> DataFrame:
+    """Counts every pair across components that shares an n-gram of both prefixes, in turns over shares of the classes.
+
+    Of such a pair one class at least is open, that is not in the n-gram's largest component as it is now. A turn has the open
+    rows of its share of the classes, so every pair has its turn, whichever components have been joined by then. Classes of one
+    n-gram meet by length class, as similar sets are about equally large.
+    """
+    step = 1.000001 * math.log(100 / percent) or 1.0
+    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
+    rows = postings.join(leads.select("s", "top"), "s").withColumn("length", length)
+    rows = rows.join(comp.select("uid", F.col("comp").alias("at_first")), "uid").join(marks, "uid")
+    rows = materialise(rows.withColumn("open", F.col("at_first") != F.col("top")).drop("top", "at_first"), "jaccard-rows-left")
+    names = {"uid": "a", "n": "n_a", "at": "at_a", "alone": "alone_a", "mark": "mark_a", "comp": "comp_a", "open": "open_a"}
+    for turn in range(turns):
+        now = rows.join(comp, "uid").withColumnsRenamed(names)
+        own = now.filter("open_a").filter(F.pmod(F.xxhash64("a"), F.lit(turns)) == turn)
+        near = F.array(*[F.col("length") + i for i in (-1, 0, 1)])
+        own = own.withColumn("length", F.explode(near))
+        other = now.withColumnsRenamed({c: c[:-1] + "b" for c in names.values()})
+        fits = _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent) & _near(percent)
+        once = ~F.col("open_b") | (F.col("a") < F.col("b"))
+        pairs = own.join(other, ["s", "length"]).filter((F.col("comp_a") != F.col("comp_b")) & once & fits)
+        sides = F.array_sort(F.array(*[F.struct(F.col(x).alias("v"), F.col(f"n_{x}").alias("n"), F.col(f"comp_{x}").alias("comp")) for x in "ab"]))
+        pairs = pairs.select(sides.alias("p")).distinct()
+        pairs = pairs.select(*[F.col("p")[i][f].alias(name) for i, x in enumerate("ab") for f, name in (("v", x), ("n", f"n_{x}"), ("comp", f"comp_{x}"))])
+        comp, _ = _join_linked(comp, pairs, parts, sizes, percent)
     return comp

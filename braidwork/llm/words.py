@@ -53,6 +53,9 @@ def hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, most: int | None =
     np.cumsum(size[:-1], out=first[1:])
     place = np.arange(first[-1] + size[-1], dtype=np.int64) - np.repeat(first, size)
     value = _BYTE[raw[place + np.repeat(starts, size)]]
+    if size.max() > len(_PLACE):  # places beyond the table have factors of their own
+        far = np.flatnonzero(place >= len(_PLACE))
+        value[far] *= mix(place[far].astype(np.uint64)) | np.uint64(1)
     place &= 255
     value *= _PLACE[place]
     return mix(np.add.reduceat(value, first) + size.astype(np.uint64))

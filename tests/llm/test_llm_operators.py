@@ -80,7 +80,7 @@ def test_tokenizing_random_texts(library):
 def test_tokenizing_every_code_point(library):
     content = open(VOCABULARY).read()
     codec, counter = bpecodec.Codec(Vocabulary(content)), tokencount.Counter(Vocabulary(content))
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [c for c in [*range(0x20000), *range(0x20000, 0x110000, 97), *range(0x2B700, 0x2CF00), *range(0x32300, 0x33500)] if not 0xD800 <= c < 0xE000]
     for begin in range(0, len(points), 20_000):
         cases = [f"a{chr(c)}b {chr(c)}1{chr(c)} e{chr(c)}\u0301" for c in points[begin : begin + 20_000]]
         want = [e.ids for e in library.encode_batch(cases, add_special_tokens=False)]
@@ -287,8 +287,8 @@ def test_jaccard(case, make):
     assert rows(jaccard.similarity_components(make(case))) == brute_jaccard(case)
 
 
-@pytest.mark.parametrize("pairs", [-(10**12), 10**12])
-def test_jaccard_of_a_group_of_near_copies(make, pairs):
+@pytest.mark.parametrize(("pairs", "turn"), [(-(10**12), 10**6), (10**12, 10**6), (-(10**12), -55)])
+def test_jaccard_of_a_group_of_near_copies(make, pairs, turn):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(120)]
     docs = []
@@ -298,7 +298,27 @@ def test_jaccard_of_a_group_of_near_copies(make, pairs):
             w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
         docs.append((i, " ".join(w)))
     docs += [(500 + i, " ".join(f"z{rng.randrange(400)}" for _ in range(40))) for i in range(40)]
-    assert rows(jaccard.similarity_components(make(docs), pairs_per_class=pairs)) == brute_jaccard(docs)
+    assert rows(jaccard.similarity_components(make(docs), pairs_per_class=pairs, pairs_per_turn=turn)) == brute_jaccard(docs)
+
+
+def test_jaccard_of_long_words(make):
+    halves = [("a" * 256, "b" * 256), ("c" * 300, "d" * 300), ("x" * 256 + "y" * 255 + "z", "z" + "y" * 255 + "x" * 256)]
+    docs = [(2 * i + j, a + b if j else b + a) for i, (a, b) in enumerate(halves) for j in (0, 1)]
+    docs += [(100 + i, " ".join([t] + [f"w{j}" for j in range(40)])) for i, t in docs]
+    assert rows(jaccard.similarity_components(make(docs))) == brute_jaccard(docs)
+    assert rows(substring.dedup_substrings(make(docs), k=3, digest=True)) == brute_substrings(docs, 3)
+
+
+@pytest.mark.parametrize("percent", [50, 100])
+def test_jaccard_of_other_thresholds(make, texts, percent):
+    assert rows(jaccard.similarity_components(make(texts[:80]), n=2, percent=percent)) == brute_jaccard(texts[:80], 2, percent)
+
+
+def test_jaccard_of_documents_that_share_one_line(make):
+    """A line of 5 n-grams in 5000 documents whose rest is their own: none is linked, and not all pairs are made."""
+    docs = [(i, f"one line that all share here {i} x{i % 7} y{i % 11} z{i}") for i in range(5000)]
+    got = jaccard.similarity_components(make(docs), pairs_per_class=-(10**12), pairs_per_turn=200).collect()
+    assert len(got) == 5000 and all(r["component_id"] == r["doc_id"] for r in got)
 
 
 def test_components(spark):
