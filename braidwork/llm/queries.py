@@ -129,6 +129,16 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+_OP6 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("text", _LOWER.format("text"))} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 2)), lambda i: array_to_string(ws[i:i + 3], ' '))) AS g FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY ALL
+"""
+
 _OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
 g AS (SELECT h, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h)
@@ -177,6 +187,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": _OP3,
         "op4_exact_dedup": _OP4,
+        "op6_jaccard_join": _OP6,
         "op7_warc": _OP7,
         "op8_chat_format": _OP8,
         "op9_decontaminate": _OP9,
