@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -16,26 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        folder = tempfile.mkdtemp(prefix="braidwork-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own[app] = f"file://{folder}"
-    return _own[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    stem, dot, ext = name.partition(".")
-    return f"{shared_dir(spark)}/braidwork/{stem}-{uuid.uuid4().hex}{dot}{ext}"
-
+from .shared import new_path, shared_dir  # noqa: F401
 
 FORMATS = {"jsonl": "json", "json": "json", "txt": "text", "csv": "csv", "parquet": "parquet", "orc": "orc"}
 
