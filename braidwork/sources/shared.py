@@ -32,14 +32,14 @@ def root(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/braidwork-{spark.sparkContext.applicationId}"
     if path not in _roots:
         _roots[path] = path
-        atexit.register(_forget, spark.sparkContext._jvm, path)
+        atexit.register(_forget, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
     return path
 
 
-def _forget(jvm, path: str) -> None:
+def _forget(jvm, conf, path: str) -> None:
     try:
         where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        where.getFileSystem(conf).delete(where, True)
     except Exception:  # the JVM may have ended before: then there is no one to delete it
         return
 
