@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-_written: list[str] = []
-
+from braidwork.sources import shared
 
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where it is unset, as in tests, a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        folder = tempfile.mkdtemp(prefix="braidwork-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own[app] = f"file://{folder}"
-    return _own[app]
+_written: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/braidwork/{name}-{uuid.uuid4().hex}"
+    path = shared.new_path(spark, name)
     _written.append(path)
     return path
 

@@ -8,6 +8,10 @@ Reader: the manifest is cut to byte ranges. A range scans for gzip magic, decode
 takes the first that begins a WARC record; from there members follow one another. It owns the records that start inside it
 and reads past its end to finish the last. Memory is bounded by the largest record and one range.
 
+Damage does not pass in silence: where a record ought to begin and none does, or one begins and cannot be decoded to its end, a range
+raises, or with on_damage="report" gives a row of type `damaged` with archive and offset and goes on at the next record it
+finds. A range looks at the header behind its last record too, so a broken header on a border is seen by one of both.
+
 Defined results: null payload is empty, null url leaves the target out, a null id leaves X-Row-Id out and reads back null; a
 url's control characters are percent-encoded; repeated rows make repeated records. Empty tables give no archives and no
 rows. Archives are reached through pyarrow's file systems, by the scheme of the shared folder.
@@ -139,50 +143,60 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     return materialise(rows.mapInArrow(_write_partition(folder), "path string, bytes long, records long"), "warc-manifest")
 
 
-def members(read, start: int, end: int, size: int, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each gzip member that starts in [start, end). read(offset, length) gives bytes of the archive."""
+def members(read, start: int, end: int, size: int, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, record) of each gzip member that starts in [start, end); None in place of a record that is damaged.
+
+    read(offset, length) gives bytes of the archive.
+    """
 
-    def member(at: int) -> tuple[bytes, int] | None:
-        """The record that starts at `at`, decoded, and where it ends; None if no WARC record does."""
+    def member(at: int, head_only: bool = False) -> tuple[bytes | None, int] | None:
+        """The record that starts at `at`, decoded, and where it ends; no record if it is damaged; None if no WARC record begins here."""
         d, parts, pos, seen = zlib.decompressobj(31), [], at, 0
         while not d.eof:
             data = read(pos, min(chunk if parts else 16 << 10, size - pos))
-            if not data:
-                return None
             pos += len(data)
             try:
                 parts.append(d.decompress(data))
+                lost = not data
             except zlib.error:
-                return None
+                lost = True
             if seen < 5:
                 head = b"".join(parts)
                 seen = len(head)
-                if not head.startswith(b"WARC/"[:seen]):
+                if not head.startswith(b"WARC/"[:seen]) or (lost and seen < 5):
                     return None
+            if lost or (head_only and seen >= 5):
+                return None, at
         return b"".join(parts), pos - len(d.unused_data)
 
-    at, base, held = start, start, b""
+    at, base, held, due = start, start, b"", start == 0  # due: a record must begin here
     while at < end:
-        # look for magic in the range; two bytes past its end can belong to a magic that starts inside
-        if at + 2 >= base + len(held) or at < base:
-            base, held = at, read(at, min(chunk, end + 2 - at, size - at))
-        found = held.find(MAGIC, at - base)
-        if found < 0:
-            step = max(at + 1, base + len(held) - 2)
-            if step >= end or step >= size or len(held) < 3:
+        if not due:
+            # look for magic in the range; two bytes past its end can belong to a magic that starts inside
+            if at + 2 >= base + len(held) or at < base:
+                base, held = at, read(at, min(chunk, end + 2 - at, size - at))
+            found = held.find(MAGIC, at - base)
+            if found < 0:
+                at = max(at + 1, base + len(held) - 2)
+                if at >= size or len(held) < 3:
+                    return
+                continue
+            at = base + found
+            if at >= end:
                 return
-            at = step
-            continue
-        at = base + found
-        if at >= end:
-            return
-        while at < end and (got := member(at)) is not None:
+        got = member(at)
+        if got is not None and got[0] is not None:
             yield at, got[0]
-            at = got[1]
-        at += 0 if at >= end else 1
+            at, due = got[1], True
+            continue
+        if due or got is not None:
+            yield at, None
+        at, due = at + 1, False
+    if due and at < size and member(at, head_only=True) is None:
+        yield at, None
 
 
-def _read_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_splits(batches: Iterator[pa.RecordBatch], on_damage: str) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("archive", pa.string()), ("offset", pa.int64())])
     for batch in batches:
         for path, start, end, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end", "bytes"))):
@@ -201,8 +215,10 @@ def _read_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     return block[1][offset - block[0] : offset - block[0] + length]
 
                 for offset, record in members(read, start, end, size):
-                    rows.append(decode_record(record) | {"archive": os.path.basename(path), "offset": offset})
-                    held += len(record)
+                    if record is None and on_damage == "raise":
+                        raise ValueError(f"{path}: damaged at byte {offset}")
+                    rows.append((decode_record(record) if record is not None else {"record_type": "damaged"}) | {"archive": os.path.basename(path), "offset": offset})
+                    held += len(record or b"")
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0
@@ -210,12 +226,20 @@ def _read_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+#: Tasks that a read is dealt to at most; each then takes several ranges.
+MAX_TASKS = 1 << 14
+
+
+def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, on_damage: str = "raise") -> DataFrame:
     """The records of the archives in manifest (path, bytes), one row each."""
+    if on_damage not in ("raise", "report"):
+        raise ValueError("on_damage is raise or report")
+    # dealt to as many tasks as there are ranges: their rows are tiny, so a number left open would be coalesced to one
+    ranges = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     splits = manifest.filter("bytes > 0").select("path", "bytes", starts.alias("start"))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))
-    return splits.repartition(F.col("path"), F.col("start")).mapInArrow(_read_splits, RECORD)
+    return splits.repartition(min(int(ranges), MAX_TASKS), "path", "start").mapInArrow(lambda batches: _read_splits(batches, on_damage), RECORD)
 
 
 def manifest_of(spark: SparkSession, paths_and_sizes: list[tuple[str, int]]) -> DataFrame:

@@ -332,7 +332,7 @@ def test_components(spark):
 PAGES = "page_id long, url string, html string"
 
 
-@pytest.mark.parametrize("split", [50, 777, 1 << 20])
+@pytest.mark.parametrize("split", [300, 777, 1 << 20])
 def test_warc(spark, split):
     big = "é" * 600
     pages = [(1, "http://a/", big), (2, None, big), (2, "x\r\ny", big), (3, "u", None), (4, "u", ""), (5, "u", "x" * 999), (6, "u", "x" * 999), (7, "u", "y" * 1000), (8, "u", "y" * 1000), (None, "u", "y" * 1000), (9, "u", "\x1f\x8b\x08WARC/1.1" * 40)]
@@ -354,6 +354,41 @@ def test_warc(spark, split):
     assert all(bytes(kept[i]).decode() == (h or "") for i, _, h in pages if i in kept and i != 2)
 
 
+def test_warc_reads_in_many_tasks(spark):
+    rng = random.Random(8)
+    pages = [(i, "u", "".join(chr(rng.randrange(32, 1000)) for _ in range(2000))) for i in range(300)]
+    manifest = warc.write(spark.createDataFrame(pages, PAGES).repartition(2))
+    got = warc.read(manifest, split_bytes=64 << 10).withColumn("task", F.spark_partition_id())
+    assert got.count() == 300 and got.select("task").distinct().count() > 3
+
+
+@pytest.mark.parametrize("split", [100, 1000, 1 << 20])
+def test_warc_damage_is_raised_or_reported(spark, split, tmp_path):
+    records = [warc.gzip_member(warc.encode_record(i, "u", random.Random(i).randbytes(300 + 40 * i), None, False)) for i in range(12)]
+    starts = [sum(map(len, records[:i])) for i in range(13)]
+    for name, bad, at in [("header", 5, 1), ("start", 0, 0), ("body", 7, 200), ("end", 11, len(records[11]) - 6)]:
+        data = bytearray(b"".join(records))
+        for k in range(4):
+            data[starts[bad] + at + k] ^= 0x55
+        (tmp_path / name).write_bytes(data)
+        manifest = warc.manifest_of(spark, [(f"file://{tmp_path}/{name}", len(data))])
+        got = warc.read(manifest, split, "report").select("page_id", "record_type", "offset").collect()
+        assert sorted(r["page_id"] for r in got if r["record_type"] == "response") == [i for i in range(12) if i != bad]
+        assert [r["offset"] for r in got if r["record_type"] == "damaged"] == [starts[bad]]
+        with pytest.raises(Exception, match="damaged at byte"):
+            warc.read(manifest, split).collect()
+    (tmp_path / "short").write_bytes(b"".join(records)[:-3])
+    got = warc.read(warc.manifest_of(spark, [(f"file://{tmp_path}/short", starts[12] - 3)]), split, "report").collect()
+    assert Counter(r["record_type"] for r in got) == {"response": 11, "damaged": 1}
+
+
+def test_warc_very_long_payload(spark):
+    big = "".join(random.Random(3).choice("abcdefgh é\n") for _ in range(3_000_000))
+    got = warc.read(warc.write(spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", "x")], PAGES)), split_bytes=100_000).collect()
+    assert {r["page_id"]: (r["record_type"], r["payload_bytes"]) for r in got} == {1: ("revisit", len(big.encode())), 2: ("response", len(big.encode())), 3: ("response", 1)}
+    assert next(bytes(r["payload"]).decode() for r in got if r["page_id"] == 2) == big
+
+
 def test_warc_empty(spark):
     assert warc.read(warc.write(spark.createDataFrame([], PAGES))).count() == 0
 
