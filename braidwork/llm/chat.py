@@ -9,8 +9,8 @@ Rendering writes `### role: text</turn>` and a line end per message, every `\\`,
 a backslash, so control strings cannot arise from texts and unescaping is exact. Loss spans are code points of the output.
 
 Defined results: null text is empty, null role is empty; an event delivered twice (equal in all columns) counts once; events of
-one seq fold in order of kind, text; messages are ordered by (message, and within it as given); a null conv_id is a
-conversation; empty logs give no rows.
+one seq fold in order of kind, text; messages are ordered by the seq of their first event, then role, text and message; `seq` may be
+of any type that orders, nulls first; a null conv_id is a conversation; empty logs give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -98,27 +98,29 @@ def _render_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_log(events: DataFrame) -> DataFrame:
     """conv_id, formatted, loss of each conversation of a log."""
-    turns = fold(events).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "message", "role", "text"))).alias("turns"))
-    return turns.mapInArrow(_render_rows, FORMATTED)
+    turns = fold(events).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text", "message"))).alias("turns"))
+    return turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).mapInArrow(_render_rows, FORMATTED)
 
 
 def as_log(messages: DataFrame, delta_chars: int = 200) -> DataFrame:
     """A log of (conv_id, turn, role, text) rows as a chat service would have written it.
 
     Texts are streamed in deltas; of some turns a draft comes first and is regenerated, of some a first version is edited. Rows
-    that are equal in all columns stay separate messages. Null turns come first; equal turns go by role, then text.
+    that are equal in all columns stay separate messages. `seq` is (turn, step). Null turns come first, before negative ones; equal
+    turns go by role, then text.
     """
     rows = messages.groupBy("conv_id", "turn", "role", "text").count()
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
     text = F.coalesce("text", F.lit(""))
-    order = F.concat(
-        F.when(F.col("turn").isNull(), F.lit("-")).otherwise(F.lit("0")),
-        F.lpad((F.coalesce("turn", F.lit(0)).cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0"),
-        F.lit("|"),
+    # tells the messages of a conversation apart; format_log() orders them
+    name = F.concat_ws(
+        "|",
+        F.coalesce(F.col("turn").cast("string"), F.lit("-")),
         F.coalesce("role", F.lit("")),
-        F.lit("|"),
         F.sha2(text.cast("binary"), 256),
-        F.lpad(F.col("copy").cast("string"), 19, "0"),
+        F.col("role").isNull().cast("int").cast("string"),
+        F.col("text").isNull().cast("int").cast("string"),
+        F.col("copy").cast("string"),
     )
     n = F.greatest(F.ceil(F.char_length(text) / delta_chars), F.lit(1)).cast("int")
     kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
@@ -136,11 +138,10 @@ def as_log(messages: DataFrame, delta_chars: int = 200) -> DataFrame:
         .when(kind == 1, F.concat(draft, F.array(event(3, "edit", text))))
         .otherwise(F.concat(F.array(event(0, "start", F.lit(""))), deltas))
     )
-    rows = rows.select("conv_id", order.alias("message"), F.coalesce("turn", F.lit(0)).alias("turn"), "role", F.explode(history).alias("e"))
+    rows = rows.select("conv_id", name.alias("message"), "turn", "role", F.explode(history).alias("e"))
     return rows.select(
         "conv_id",
-        # a running number of the conversation: its turns are numbered, and each has room for a million events
-        (F.col("turn") * 1_000_000 + F.col("e.step")).alias("seq"),
+        F.struct("turn", "e.step").alias("seq"),
         "message",
         F.col("e.kind").alias("kind"),
         F.when(F.col("e.kind") == "start", F.col("role")).alias("role"),

@@ -426,6 +426,24 @@ def test_chat_round_trip(spark):
         assert parts == [x for role, x in want[r["conv_id"]] if role == "assistant"]
 
 
+def test_chat_orders_ties_and_extreme_turns(spark):
+    most = 2**63 - 1
+    turns = [(1, most, "user", "last"), (1, 10**13, "user", "late"), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, -5, "user", "early"), (1, None, "user", "first"), (1, -most - 1, "x", "least"), (1, 0, None, ""), (1, 0, "", None), (1, 0, "user", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("seq", "message", "kind", "copy", "count", "e")})
+    (got,) = chat.format_log(chat.as_log(df)).collect()
+    want = sorted(((-1, 0) if t is None else (0, t), r or "", x or "") for _, t, r, x in turns)
+    assert chat.parse(got["formatted"]) == [(r, x) for _, r, x in want]
+
+
+def test_chat_very_long_text(spark):
+    long = "ab\\#<é🙂" * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_log(chat.as_log(df, delta_chars=5000)).collect()}
+    assert chat.parse(got[1]["formatted"]) == [("user", long), ("assistant", long)] and chat.parse(got[2]["formatted"]) == [("assistant", "")]
+    (span,) = got[1]["loss"]
+    assert chat.unescape(got[1]["formatted"][span["start"] : span["end"]]) == long
+
+
 # ---- 9
 
 def brute_contamination(docs, items, n=13):
