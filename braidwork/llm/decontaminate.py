@@ -4,8 +4,10 @@ Normalising lower-cases A-Z and takes words of digits, letters and all non-ASCII
 words (an item of fewer is one window) with a space at either end, so matches fall on word bounds; the automaton reads each
 text once, and the end of a match maps through the word's ordinal to bytes and characters of the original.
 
-The automaton is broadcast as its patterns, whose size is checked: above `MAX_PATTERN_BYTES` the items are cut into groups,
-each scanned with an automaton of its own, and the hits are united, so memory stays bounded for any benchmark.
+The automaton is broadcast as its items, whose size is checked first: beyond `MAX_PATTERN_BYTES` of patterns (an automaton has
+a node of about 40 bytes for each byte that patterns don't share) the items are dealt to passes by hash, an item larger than a pass
+is cut to overlapping pieces, and the texts are scanned once a pass. Driver and workers then hold one pass's items at a time, and the
+hits of a text, written by each pass, are united by a key of its row.
 
 Defined results: null or empty text has no words and is never contaminated; items without words have no window; the
 windows of an item with a null id count as hits, but no id is listed for them; repeated rows give repeated results; an empty
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -23,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resident import resident
+from .resident import release, resident
+from .scratch import materialise
 from .tokencount import slices
 from .words import encode
 
 WINDOW = 13
-MAX_PATTERN_BYTES = 64 << 20
+MAX_PATTERN_BYTES = 8 << 20
 
 #: Word bytes keep themselves, A-Z lower-cased; all others of ASCII part words.
 _TABLE = bytes(
@@ -103,80 +107,134 @@ def in_original(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]
     return [{"start": int(char[starts[a]]), "end": int(char[ends[b - 1]])} for a, b in spans]
 
 
-def _scanner(shared: list, n: int, keep: bool):
+#: Of a row: matches as (first, last + 1) ordinals of words, ids of the items.
+FOUND = "_scan_of long, spans array<struct<first:long,last:long>>, ids array<string>"
+
+
+def _matches(shared, n: int, batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    key, items = shared.value
+    matcher = resident("matcher", (key, n), lambda: Matcher(items, n))
+    for _, texts in slices(batch.column("text")):
+        for text in texts:
+            n_words, spans, ids = matcher.scan(text)
+            yield n_words, merged(spans), ids
+
+
+def _hits(batch: pa.RecordBatch, rows: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.RecordBatch:
+    texts = batch.column("text")
+    placed = [in_original(texts[i].as_py(), spans) if spans else [] for i, (_, spans, _) in enumerate(rows)]
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": batch.column("doc_id"),
+            "n_words": pa.array([r[0] for r in rows], pa.int64()),
+            "n_hit": pa.array([_words_in(r[1]) for r in rows], pa.int64()),
+            "item_ids": pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
+            "spans": pa.array(placed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        }
+    )
+
+
+def _words_in(spans: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in spans)
+
+
+def _scanner(shared, n: int, keep: bool):
     """keep: pass on the whole rows that are not contaminated, else give a row of HITS for each."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = None
         for batch in batches:
-            rows, placed = [], []
-            for text in (t for _, texts in slices(batch.column("text")) for t in texts):
-                n_words, spans, ids = 0, [], set()
-                for handle in shared:
-                    key, items = handle.value
-                    if len(shared) > 1:
-                        matchers = matchers or {}
-                        matcher = matchers.get(key) or matchers.setdefault(key, Matcher(items, n))
-                    else:
-                        matcher = resident("matcher", (key, n), lambda: Matcher(items, n))  # noqa: B023
-                    n_words, s, i = matcher.scan(text)
-                    spans += s
-                    ids |= i
-                if not shared:
-                    n_words = len(words_of(text))
-                spans = merged(spans)
-                rows.append((n_words, sum(b - a for a, b in spans), spans, ids))
-                placed.append(in_original(text, spans) if spans and not keep else [])
+            rows = list(_matches(shared, n, batch))
+            yield batch.filter(pa.array([not contaminated(w, _words_in(s)) for w, s, _ in rows], pa.bool_())) if keep else _hits(batch, rows)
+
+    return scan
+
+
+def _finder(shared, n: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, spans, sorted(ids)) for i, (_, spans, ids) in zip(batch.column("_scan_row").to_pylist(), _matches(shared, n, batch)) if spans]
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            spans = [[{"first": a, "last": b} for a, b in x] for _, x, _ in found]
+            yield pa.RecordBatch.from_pydict({"_scan_of": pa.array([x[0] for x in found], pa.int64()), "spans": pa.array(spans, kind), "ids": pa.array([x[2] for x in found], pa.list_(pa.string()))})
+
+    return scan
+
+
+def _uniter(keep: bool):
+    """Like _scanner, of rows that bring the matches of all passes along."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            count = [len(words_of(t)) for _, texts in slices(batch.column("text")) for t in texts]
+            rows = []
+            for words, spans, ids in zip(count, batch.column("_scan_spans").to_pylist(), batch.column("_scan_ids").to_pylist()):
+                rows.append((words, merged([(s["first"], s["last"]) for s in spans or []]), set(ids or [])))
             if keep:
-                clean = pa.array([not contaminated(w, h) for w, h, _, _ in rows], pa.bool_())
-                yield batch.filter(clean)
+                clean = batch.filter(pa.array([not contaminated(w, _words_in(s)) for w, s, _ in rows], pa.bool_()))
+                yield clean.drop_columns(["_scan_row", "_scan_spans", "_scan_ids"])
             else:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id"),
-                        "n_words": pa.array([r[0] for r in rows], pa.int64()),
-                        "n_hit": pa.array([r[1] for r in rows], pa.int64()),
-                        "item_ids": pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string())),
-                        "spans": pa.array(placed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    }
-                )
+                yield _hits(batch, rows)
 
-    return scan
+    return unite
 
 
 def contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def _groups(benchmark: DataFrame, item_col: str, text_col: str, most: int):
-    """Broadcasts of items in groups whose patterns take at most `most` bytes each (an item larger than that is a group)."""
-    sc = benchmark.sparkSession.sparkContext
-    shared, group, size = [], [], 0
-
-    def close():
-        nonlocal group, size
-        if group:
-            key = hashlib.sha1(repr(group).encode("utf-8", "surrogatepass")).hexdigest()
-            shared.append(sc.broadcast((key, group)))
-        group, size = [], 0
-
-    for item_id, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).orderBy(item_col).toLocalIterator():
-        cost = WINDOW * len(encode(text))
-        if size + cost > most:
-            close()
-        group.append((item_id, text))
-        size += cost
-    close()
-    return shared
+def batches_of(items: list[tuple[str | None, str | None]], n: int, most: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items whose patterns take about `most` bytes at most; longer ones in pieces that overlap by n - 1 words."""
+    group, size = [], 0
+    for item_id, text in items:
+        words = words_of(text)
+        average = max(1, len(b" ".join(words)) // max(1, len(words)))
+        step = max(1, most // (n * (average + 1)))
+        for i in range(0, max(1, len(words) - n + 1), step):
+            piece = b" ".join(words[i : i + step + n - 1]).decode("utf-8", "surrogatepass")
+            cost = n * len(piece)
+            if group and size + cost > most:
+                yield group
+                group, size = [], 0
+            group.append((item_id, piece))
+            size += cost
+    if group:
+        yield group
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, n: int, most: int, keep: bool) -> DataFrame:
+    sc = docs.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
+    cost = n * (F.coalesce(F.octet_length("text"), F.lit(0)) + 1) + F.coalesce(F.octet_length("id"), F.lit(0))
+    total = items.agg(F.sum(cost.cast("long"))).first()[0] or 0
+
+    def share(batch: list):
+        batch = sorted(batch, key=lambda x: (x[0] is not None, x[0] or "", x[1] or ""))
+        return sc.broadcast((hashlib.sha1(repr(batch).encode("utf-8", "surrogatepass")).hexdigest(), batch))
+
+    schema = docs.schema if keep else HITS
+    if total <= most:
+        return docs.mapInArrow(_scanner(share([tuple(r) for r in items.collect()]), n, keep), schema)
+    keyed = materialise(docs.withColumn("_scan_row", F.monotonically_increasing_id()), "decontaminate-rows")
+    texts, found = keyed.select("_scan_row", "text"), []
+    passes = -(-2 * total // most)
+    for i in range(passes):
+        own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == i).collect()
+        for batch in batches_of([tuple(r) for r in own], n, most):
+            shared = share(batch)
+            found.append(materialise(texts.mapInArrow(_finder(shared, n), FOUND), "decontaminate-found"))
+            shared.unpersist()
+    united = reduce(DataFrame.union, found).groupBy("_scan_of").agg(F.flatten(F.collect_list("spans")).alias("_scan_spans"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("_scan_ids"))
+    united = materialise(united, "decontaminate-united")
+    return keyed.join(united, F.col("_scan_row") == F.col("_scan_of"), "left").drop("_scan_of").mapInArrow(_uniter(keep), schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings) and spans (characters of the original) of each row."""
-    shared = _groups(benchmark, item_col, item_text_col, max_pattern_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scanner(shared, n, False), HITS)
+    return _scanned(rows, benchmark, item_col, item_text_col, n, max_pattern_bytes, False)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
-    return docs.mapInArrow(_scanner(_groups(benchmark, "item_id", "text", MAX_PATTERN_BYTES), n, True), docs.schema)
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated. Texts are in `text`, items in `item_id` and `text`."""
+    return _scanned(docs, benchmark, "item_id", "text", n, max_pattern_bytes, True)
