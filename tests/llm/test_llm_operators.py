@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 from braidwork.llm import bpecodec, chat, decontaminate, exactdedup, jaccard, substring, tokencount, toxicity, urlfilter, vocabulary, warc
 from braidwork.llm.blocks import Plan
 from braidwork.llm.components import components
+from braidwork.llm import words as words_
 from braidwork.llm.vocabulary import Vocabulary
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -176,6 +178,60 @@ def test_toxicity_trains_alike_in_parts_of_a_batch(monkeypatch):
     assert np.allclose(whole.embed, parts.embed) and np.allclose(whole.out, parts.out)
 
 
+def test_toxicity_held_out_rows_and_brute_force_scores(spark, texts, make, odd):
+    """held_out by zlib, and scores of whole texts by a plain loop over words and filters."""
+    docs = texts + odd
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(make(docs), labels)
+    seen = Counter()
+    for r in toxicity.score(make(docs), model).collect():
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        seen[(r["doc_id"], round(r["score"], 4))] += 1
+
+    def brute(text):
+        found = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").translate(UP).encode())
+        pad = np.zeros(toxicity.DIM)
+
+        def vector(w):
+            a, b = np.array([0]), np.array([len(w)])
+            word = int(words_.hashes(w, a, b)[0] % np.uint64(toxicity.WORD_BUCKETS))
+            stem = int(words_.hashes(w[: toxicity.STEM_BYTES], a, np.minimum(b, toxicity.STEM_BYTES))[0] % np.uint64(toxicity.STEM_BUCKETS))
+            return model.embed[word].astype(float) + model.embed[toxicity.WORD_BUCKETS + stem]
+
+        rows_ = [vector(w) for w in found] + [pad] * (max(toxicity.WIDTHS) + 1)
+        top = []
+        for f in model.filters:
+            top += [max(sum(rows_[i + o] @ f[o][:, k] for o in range(len(f))) for i in range(len(found) + 1)) for k in range(toxicity.FILTERS)]
+        z = model.scale * (np.maximum(np.array(top) + model.bias, 0) @ model.out + model.shift) + model.moved
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    short = [(i, t) for i, t in docs if len(t or "") < 3000]
+    got = defaultdict(list)
+    for (i, s), n in seen.items():
+        got[i].append(s)
+    assert len(short) > 100
+    for i, t in short:
+        assert any(abs(brute(t) - s) < 2e-3 for s in got[i]), i
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark, make):
+    docs = [(i % 40, f"v{i} " + ("vile" if i % 2 else "mild")) for i in range(120)]
+    labels = [(i, i % 2) for i in range(40)] + [(1, 1), (1, 0)]
+    scores = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(docs)
+        random.Random(seed).shuffle(labels)
+        model = toxicity.fit(make(docs).repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+        scores.append(rows(toxicity.score(make(docs), model)))
+    assert scores[0] == scores[1]
+
+
+def test_toxicity_of_empty_tables(spark, make):
+    model = toxicity.fit(make([]), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert toxicity.score(make([]), model).count() == 0 and toxicity.clean(make([]), model).columns == make([]).columns
+    assert [r["score"] for r in toxicity.score(make([(1, "a")]), model).collect()] == [0.0]
+
+
 def test_toxicity_without_both_kinds(spark, make):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.score(make([(1, "a")]), toxicity.fit(make([(1, "a")]), labels)).collect()] == [0.0]
@@ -490,7 +546,19 @@ def test_decontamination_by_items_without_an_id(spark, make, most):
     docs = make([(1, "one two three four"), (2, "x five six y"), (3, "nine z"), (4, "three two")])
     got = decontaminate.scan(docs, bench, max_pattern_bytes=most)
     assert rows(got.select("doc_id", "n_hit", F.array_join("item_ids", ","))) == Counter([(1, 2, "7"), (2, 2, ""), (3, 1, "8"), (4, 0, "")])
-    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [4]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench, max_pattern_bytes=most).collect()] == [4]
+
+
+def test_decontamination_by_items_larger_than_a_pass(make):
+    text = " ".join(f"w{i}" for i in range(400))
+    for most in (200, 1000, 10_000):
+        pieces = [p for b in decontaminate.batches_of([("a", text), ("b", "x y"), ("c", None)], 13, most) for p in b]
+        assert [w for i, p in pieces if i == "a" for w in decontaminate.windows_of(p)] == decontaminate.windows_of(text)
+    bench = make([]).sparkSession.createDataFrame([("a", text), ("b", "x y")], "item_id string, text string")
+    docs = [(1, text[300:600]), (2, "x y z"), (3, "w1 w2"), (4, None), (None, text), (5, "q " * 50_000 + text)]
+    got = decontaminate.scan(make(docs), bench, max_pattern_bytes=3000)
+    assert rows(got.select("doc_id", "n_words", "n_hit", F.array_join("item_ids", ","))) == brute_contamination(docs, [("a", text), ("b", "x y")])
+    assert got.columns == decontaminate.scan(make(docs), bench).columns
 
 
 # ---- 10
