@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import finished, materialise, recorded
 from .urlfilter import LOWER, UPPER
 
 #: Digests in a shard, on average.
@@ -187,7 +187,9 @@ def decide(digests: DataFrame, is_history: Column) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_history: Column | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row. History is by default the half of the ids with an even CRC."""
-    digests = materialise(digests_of(docs, id_col, text_col), "digests")
-    if is_history is None:
-        is_history = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
-    return decide(digests, is_history)
+    with recorded() as paths:
+        digests = materialise(digests_of(docs, id_col, text_col), "digests")
+        if is_history is None:
+            is_history = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+        out = decide(digests, is_history)
+    return finished(out, "exact", paths)

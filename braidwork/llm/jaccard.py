@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, Plan, ask, in_order, join_blobs, plan_for, planes, split_blobs, unplanes, write_blocks
 from .components import components
-from .scratch import drop, materialise, path_of, recorded
+from .scratch import drop, finished, materialise, path_of, recorded
 from .substring import _grouped
 from .words import hashes, lower_ascii, mix, spans, windows
 
@@ -237,6 +237,12 @@ def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERC
     """doc_id, n_shingles, component_id of each row; linked where intersection / union >= percent / 100."""
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
+    with recorded() as paths:
+        out = _similarity_components(docs, n, percent, id_col, text_col, pairs_per_class, pairs_per_turn)
+    return finished(out, "jaccard", paths)
+
+
+def _similarity_components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, pairs_per_class: int, pairs_per_turn: int) -> DataFrame:
     spark = docs.sparkSession
     with recorded() as paths:
         blocks = write_blocks(docs, id_col, text_col, lower_ascii)

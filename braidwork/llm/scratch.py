@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import gc
+import threading
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from braidwork.sources import shared
 
-_written: list[str] = []
+_own = threading.local()
+
+
+def _written() -> list[str]:
+    """What this thread has written and not dropped."""
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = shared.new_path(spark, name)
-    _written.append(path)
+    _written().append(path)
     return path
 
 
@@ -33,6 +41,13 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def finished(result: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    """Writes a result whose rows are short, so that the tables it was made from, in paths, can go at once."""
+    out = materialise(result, name)
+    drop(result.sparkSession, paths)
+    return out
+
+
 def path_of(table: DataFrame) -> str:
     """The folder of a table that materialise() gave."""
     return table.inputFiles()[0].rpartition("/")[0]
@@ -47,16 +62,16 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        if path in _written:
-            _written.remove(path)
+        if path in _written():
+            _written().remove(path)
 
 
 @contextmanager
 def recorded():
     """Collects the paths written inside, so that a caller can drop them once their readers are done."""
-    before = len(_written)
+    before = set(_written())
     paths: list[str] = []
     try:
         yield paths
     finally:
-        paths.extend(_written[before:])
+        paths.extend(p for p in _written() if p not in before)
