@@ -8,54 +8,37 @@ Exactly the rows judged go, whatever their ids: a row with a null doc_id goes if
 component, and stays where all have none; rows that share an id are judged by their own texts, and those of the kept id that
 are equal or near copies of each other all stay.
 
+Texts that are null or empty are documents like others: all of them but one go as exact copies. An empty table gives no rows; columns of
+any name pass through, but for those that begin with an underscore. Rows that tie go by the rules above; ties beyond them stay.
+
 Near copies are those of op6's contract, 4 words and 85 percent, so that the stage drops what the query op6_jaccard_join links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm import bpecodec, decontaminate, exactdedup, jaccard, toxicity
-from braidwork.llm.scratch import drop, materialise, path_of, recorded
-
-_previous: list[str] = []
-
-
-def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """Drops the tables that the stage before worked with: its result has been written when the next one begins."""
-
-    @wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, _previous)
-        _previous.clear()
-        with recorded() as paths:
-            out = f(spark, docs, sf_dir)
-        _previous.extend(paths)
-        return out
-
-    return run
+from braidwork.llm.scratch import drop, materialise, recorded
 
 
-@_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-@_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows of equal id and text are judged alike, so id and digest tell the rows to drop
     judged = exactdedup.dedup(docs).filter("not kept").select(F.col("doc_id").alias("_dropped"), "text_sha256")
-    judged = materialise(judged.distinct(), "dropped")
+    # the rows to drop are few and short: hashed, so that the texts need not be sorted for the join
+    judged = materialise(judged.distinct(), "dropped").hint("shuffle_hash")
     digest = F.sha2(exactdedup.normalised(docs["text"]).cast("binary"), 256)
     return docs.join(judged, docs["doc_id"].cast("long").eqNullSafe(judged["_dropped"]) & (digest == judged["text_sha256"]), "left_anti")
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # components are of rows, told by a key of their own, whatever the ids
     keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
@@ -69,12 +52,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(materialise(judged, "dropped"), F.col("_row") == F.col("_of"), "left_anti").select(*docs.columns)
 
 
-@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpecodec.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -92,12 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, table = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """The rows of the last stage. Each stage's result is written; what the stage worked with goes then, and its input once the next has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        out = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-        if table is not None and table.inputFiles():
-            drop(spark, [path_of(table)])
-        docs = table = out
+        with recorded() as worked:
+            out = stage(spark, docs, sf_dir)
+        with recorded() as written:
+            docs = materialise(out, f"stage-{name.replace(' ', '-')}")
+        drop(spark, worked + before)
+        before = written
     return docs
 
 
