@@ -7,6 +7,8 @@ import json
 import re
 from collections import Counter
 from fractions import Fraction
+from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -207,27 +209,18 @@ def _braced(text: str, at: int) -> str | None:
     return None
 
 
-#: Fixed values of final-answer normalising: replaced pairs, then removed expressions.
+#: Fixed values of final-answer normalising: texts replaced, texts removed, then patterns replaced, in this order.
 REPLACED = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), (r"\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
 REMOVED = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", r"\mathrm{th}", r"^\circ", r"^{\circ}", r"\;", r",\!", "{,}", '"', "\\dots"]
+UNWRAPPED = [(r".*?\$(.*?)\$.*", r"\1"), (r"\\text\{(.*?)\}", r"\1"), (r"\\textbf\{(.*?)\}", r"\1"), (r"\\overline\{(.*?)\}", r"\1"), (r"\\boxed\{(.*)\}", r"\1"), (r"frac([^{])(.)", r"frac{\1}{\2}"), (r"sqrt([^{])", r"sqrt{\1}"), (r"\$", "")]
+_FINAL = [(re.compile(p), r) for p, r in [*((re.escape(a), b.replace("\\", r"\\")) for a, b in [*REPLACED, *((x, "") for x in REMOVED)]), *UNWRAPPED]]
 
 
 def final_answer(text: str) -> str:
-    text = text.rpartition("=")[2]
-    for a, b in REPLACED:
-        text = text.replace(a, b)
-    for a in REMOVED:
-        text = text.replace(a, "")
-    if (m := re.search(r"\$(.*?)\$", text)) is not None:
-        text = m[1]
-    for name in ("text", "textbf", "overline"):
-        text = re.sub(rf"\\{name}\{{(.*?)\}}", r"\1", text)
-    text = re.sub(r"\\boxed\{(.*)\}", r"\1", text)
-    text = re.sub(r"frac([^{])(.)", r"frac{\1}{\2}", text)
-    text = re.sub(r"sqrt([^{])", r"sqrt{\1}", text).replace("$", "")
-    if text.replace(",", "").isdigit():
-        text = text.replace(",", "")
-    return text.strip()
+    """What follows the last =, by the table above; a number loses its commas."""
+    answer = reduce(lambda t, step: step[0].sub(step[1], t), _FINAL, text.rpartition("=")[2])
+    digits = answer.replace(",", "")
+    return (digits if digits.isdigit() else answer).strip()
 
 
 def last_box(text: str) -> str | None:
@@ -277,28 +270,58 @@ def weight_map(query: str | None, response: str, response_map: dict[str, list[fl
     return [(p, float(own(p))) for pair in parts for p in pair if p]
 
 
+#: Fixed values of LaTeX comparison: texts replaced before units go, and after.
+LATEX_REPLACED = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
+LATEX_AFTER_UNITS = [("\\\\%", ""), ("\\%", ""), (" .", " 0."), ("{.", "{0.")]
+UNITS = "\\text{ "
+
+
+def _replaced(text: str, table: list[tuple[str, str]]) -> str:
+    return reduce(lambda t, pair: t.replace(*pair), table, text)
+
+
+def _braces_given(text: str, command: str, arguments: int) -> str:
+    """Each of a command's single-character arguments in braces, where its first has none.
+
+    A text where a command has nothing behind it can't be read (ValueError); one where an argument is missing stays as it is.
+    """
+    pieces = text.split(command)
+    if any(not p for p in pieces[1:]):
+        raise ValueError(f"nothing after {command}")
+    bare = [not p.startswith("{") for p in pieces]
+    if any(b and len(p) < arguments for b, p in zip(bare[1:], pieces[1:])):
+        return text
+
+    def given(piece: str) -> str:
+        own, rest = piece[:arguments], piece[arguments:]
+        return "".join(c if i and c == "{" else f"{{{c}}}" for i, c in enumerate(own)) + rest
+
+    return command.join([pieces[0], *(given(p) if b else p for b, p in zip(bare[1:], pieces[1:]))])
+
+
 def latex_plain(text: str) -> str:
-    """A LaTeX answer without spacing, size and unit marks; fractions, roots and decimals in one form."""
-    for a, b in (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0.")):
-        text = text.replace(a, b)
-    text = text.partition("\\text{ ")[0]
-    if text.startswith("."):
-        text = "0" + text
-    left, eq, right = text.partition("=")
-    if eq and "=" not in right and len(left) <= 2:
-        text = right
-    text = re.sub(r"\\sqrt(?!\{)\s*(\w)", r"\\sqrt{\1}", text).replace(" ", "")
-    text = re.sub(r"\\frac(\w)(\w)", r"\\frac{\1}{\2}", text)
-    text = re.sub(r"\\frac(\w)\{", r"\\frac{\1}{", text)
-    if text == "0.5":
-        return "\\frac{1}{2}"
-    return re.sub(r"^(-?\d+)/(-?\d+)$", r"\\frac{\1}{\2}", text)
+    """A LaTeX answer without spacing, size, unit and percent marks; fractions, roots and decimals in one form."""
+    text = _replaced(text, LATEX_REPLACED)
+    if text.count(UNITS) > 1:
+        raise ValueError("units twice")
+    text = _replaced(text.partition(UNITS)[0], LATEX_AFTER_UNITS)
+    text = "0" + text if text.startswith(".") else text
+    if text.count("=") == 1 and text.index("=") <= 2:  # a name such as `x =`
+        text = text.partition("=")[2]
+    text = _braces_given(text, "\\sqrt", 1).replace(" ", "")
+    text = _braces_given(text, "\\frac", 2)
+    whole = r"(0|-?[1-9]\d*)"
+    return "\\frac{1}{2}" if text == "0.5" else re.sub(rf"\A{whole}/{whole}\Z", r"\\frac{\1}{\2}", text)
 
 
 def latex_equal(a: str | None, b: str | None) -> bool:
+    """Whether two answers are the same in plain form; where one can't be read, whether they are the same text."""
     if a is None or b is None:
         return a is b
-    return latex_plain(a) == latex_plain(b)
+    try:
+        return latex_plain(a) == latex_plain(b)
+    except ValueError:
+        return a == b
 
 
 def tool_call_score(truth: list[dict], predicted: list[dict], high: float = 3.0, low: float = -3.0) -> float:
@@ -326,25 +349,46 @@ def tool_call_score(truth: list[dict], predicted: list[dict], high: float = 3.0,
     return (high - low) * score / most + low
 
 
+def _syntax_error(lines: list[str]) -> int:
+    """The line, from 1, of the first error in Python code; 0 without."""
+    try:
+        ast.parse("\n".join(lines))
+    except SyntaxError as e:
+        return max(e.lineno or 1, 1)
+    except (ValueError, MemoryError, RecursionError):
+        return len(lines)
+    return 0
+
+
 def longest_code(text: str) -> str:
-    """The longest run of lines that Python parses; of equal ones the first.
+    """Of the runs of two lines or more that Python parses the one with most lines that are not blank; of equal ones the first, and
+    of these the shortest. Without one, the first line.
 
-    An error in line k of a run stays for every longer run from the same line, so the run is cut before k and tried again.
+    An error in line k of a run stays for every longer run from the same line, so the longest run is cut before k and tried again.
     """
-    lines, best, at = text.split("\n"), 0, 0
-    for begin in range(len(lines)):
-        if not lines[begin].strip():
-            continue
-        end = len(lines)
-        while end - begin > best:
-            try:
-                ast.parse("\n".join(lines[begin:end]))
-                best, at = end - begin, begin
-            except SyntaxError as e:
-                end = min(end - 1, begin + max((e.lineno or 1) - 1, 0))
-            except ValueError:
-                end -= 1
-    return "\n".join(lines[at : at + best])
+    lines = text.split("\n")
+    filled = [bool(line.strip()) for line in lines]
+    before = [0, *accumulate(filled)]  # lines that are not blank before each line
+    ends = [i + 1 for i, f in enumerate(filled) if f]
+    best, kept = 0, (0, 1)
+    for begin in range(len(lines) - 1):
+        if before[-1] - before[begin] <= best:
+            break
+        end = max(ends[-1], begin + 2) if ends else 0
+        while end >= begin + 2 and before[end] - before[begin] > best:
+            error = _syntax_error(lines[begin:end])
+            last = ends[before[end] - 1]
+            if error and lines[last - 1].endswith("\\"):  # blank lines behind a backslash can end its statement
+                blank = [e for e in range(end + 1, min(last + 2, len(lines)) + 1) if not any(filled[end:e])]
+                found = next((e for e in blank if not _syntax_error(lines[begin:e])), None)
+                error, end = (0, found) if found else (error, end)
+            if not error:
+                best, kept = before[end] - before[begin], (begin, end)
+                break
+            end = min(end - 1, begin + max(error - 1, 0))
+            # a run ends with a line that is not blank, unless it would be too short
+            end = max(ends[before[end] - 1] if before[end] else 0, min(end, begin + 2))
+    return "\n".join(lines[slice(*kept)])
 
 
 def python_literal(text: str | None) -> str | None:

@@ -273,7 +273,7 @@ def e09(spark, sf):
     from braidwork.functions import tools
 
     t = F.concat(F.lit("<tool_call><function="), "event_type", F.lit("><parameter=id>"), F.col("user_id").cast("string"), F.lit("</parameter></function></tool_call>"))
-    calls = table(spark, sf, "events").select("event_id", F.explode(tools.PARSERS["qwen3_coder"](t)).alias("c"))
+    calls = table(spark, sf, "events").select("event_id", F.explode(tools.parsed("qwen3_coder", t)["calls"]).alias("c"))
     return calls.select("event_id", "c.name", F.get_json_object("c.arguments", "$.id").alias("id"))
 
 

@@ -114,6 +114,17 @@ def x10_strict(spark, sf):
     return table(spark, sf, "events").select("event_id", tx.strict_box_udf(text, u).alias("s")).select("event_id", "s.score", "s.answer")
 
 
+@query("X11_latex_marks", """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN user_id = 50 WHEN 1 THEN true WHEN 2 THEN user_id < 10 WHEN 3 THEN true WHEN 4 THEN user_id % 2 = 0 ELSE user_id = 0 END AS equal FROM events""")
+def x11_marks(spark, sf):
+    u, m = F.col("user_id").cast("string"), F.col("event_id") % 6
+    # a bare percent sign counts, an escaped one doesn't; roots take one character; units, names and decimals go
+    a = F.when(m == 0, F.lit("50\\%")).when(m == 1, F.concat(u, F.lit("\\%"))).when(m == 2, F.concat(F.lit("\\sqrt"), u)).when(m == 3, F.concat(F.lit("x = "), u, F.lit("\\text{ cm}")))
+    a = a.when(m == 4, F.concat(F.lit("."), F.when(F.col("user_id") % 2 == 0, "5").otherwise("7"))).otherwise(F.concat(u, F.lit("%")))
+    b = F.when(m == 0, u).when(m == 1, u).when(m == 2, F.concat(F.lit("\\sqrt{"), u, F.lit("}"))).when(m == 3, u).when(m == 4, F.lit("\\dfrac12")).otherwise(F.lit("0%"))
+    return table(spark, sf, "events").select("event_id", tx.latex_equal_udf(a, b).alias("equal"))
+
+
 @query("X11_latex_equal", "SELECT event_id, user_id % 10 = event_id % 10 AS equal FROM events")
 def x11(spark, sf):
     a = F.concat((F.col("user_id") % 10).cast("string"), F.lit("/7"))
@@ -199,10 +210,41 @@ def x22(spark, sf):
     body = F.to_json(F.struct(F.col("event_type").alias("name"), F.struct(F.col("user_id").alias("id")).alias("arguments")))
     more = F.when(F.col("event_id") % 2 == 0, F.lit('<tool_call>{"name": "stop", "arguments": {}}</tool_call>')).otherwise("")
     t = F.concat(F.lit("I will <tool_call>\n"), body, F.lit("\n</tool_call>"), more)
-    calls = table(spark, sf, "events").select("event_id", F.posexplode(tools.PARSERS["hermes"](t)).alias("i", "c"))
+    calls = table(spark, sf, "events").select("event_id", F.posexplode(tools.parsed("hermes", t)["calls"]).alias("i", "c"))
     return calls.select("event_id", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.id").cast("long").alias("arg"), (F.col("i") + 1).alias("k"))
 
 
+@query("X22_tool_formats", """
+SELECT event_id, unnest(['glm', 'seed', 'minimax', 'kimi', 'gemma4', 'qwen3_coder', 'gpt-oss']) AS format, 'I will ' AS content, event_type AS name, '{"id": ' || user_id || ', "ok": true}' AS arguments FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, unnest(['glm', 'seed', 'minimax', 'kimi', 'gemma4', 'qwen3_coder', 'gpt-oss']), 'no call', NULL, NULL FROM events WHERE event_id % 2 = 1""")
+def x22_formats(spark, sf):
+    from braidwork.functions import tools
+
+    name, arg = F.col("event_type"), F.col("user_id").cast("string")
+    made = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    tags = ("<parameter=id>", arg, "</parameter><parameter=ok>true</parameter></function>")
+    body = made('{"id": ', arg, ', "ok": true}')
+    texts = {
+        "glm": made("<think>call:no</think>I will <tool_call>", name, "<arg_key>id</arg_key><arg_value>", arg, "</arg_value>\n<arg_key>ok</arg_key><arg_value>true</arg_value></tool_call>"),
+        "seed": made("I will <seed:tool_call><function=", name, ">", *tags, "</seed:tool_call>"),
+        "minimax": made('I will <minimax:tool_call><invoke name="', name, '"><parameter name="id">', arg, '</parameter><parameter name="ok">true</parameter></invoke></minimax:tool_call>'),
+        "kimi": made("I will <|tool_calls_section_begin|><|tool_call_begin|>functions.", name, ":0<|tool_call_argument_begin|>", body, "<|tool_call_end|><|tool_calls_section_end|>"),
+        "gemma4": made("I will <|tool_call>call:", name, "{id:", arg, ",ok:true}<tool_call|>"),
+        "qwen3_coder": made("I will <tool_call>\n<function=", name, ">\n", *tags, "\n</tool_call>"),
+        "gpt-oss": made("<|channel|>analysis<|message|><|start|>assistant<|channel|>x to=functions.no <|constrain|>json<|message|>{}<|call|><|end|>I will <|start|>assistant<|channel|>commentary to=functions.", name, " <|constrain|>json<|message|>", body, "<|call|>"),
+    }
+    kinds = {n: {"properties": {"id": {"type": "integer"}, "ok": {"type": "boolean"}}, "required": ["id"]} for n in ("view", "click", "purchase", "signup", "error")}
+    events = table(spark, sf, "events")
+    out = None
+    for form, text in texts.items():
+        said = F.when(F.col("event_id") % 2 == 0, text).otherwise(F.lit("no call"))
+        rows = events.select("event_id", F.lit(form).alias("format"), tools.parsed(form, said, kinds).alias("p"))
+        rows = rows.select("event_id", "format", "p.content", F.explode_outer("p.calls").alias("c"))
+        rows = rows.select("event_id", "format", "content", "c.name", "c.arguments")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def parsed_plans(spark, sf):
     """Events of a user as the calls of a plan, those of an hour in one step, rendered and parsed back."""
     from braidwork.functions import tools
@@ -214,7 +256,7 @@ def parsed_plans(spark, sf):
     return parsed.select("user_id", F.get_json_object("p.argument", "$.id").cast("long").alias("event_id"), F.col("p.name").alias("name"), F.col("p.step").alias("step"))
 
 
-@query("X23_plan_grammar", "SELECT user_id, count(*) AS steps, max(event_id) AS last FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+@query("X23_plan_grammar", "SELECT user_id, count(*) AS steps, max(event_id) AS last FROM events GROUP BY 1")
 def x23(spark, sf):
     return parsed_plans(spark, sf).groupBy("user_id").agg(F.count("*").alias("steps"), F.max("event_id").alias("last"))
 
@@ -244,6 +286,13 @@ def x26(spark, sf):
     return table(spark, sf, "events").select("event_id", tx.longest_code_udf(t).alias("code"))
 
 
+@query("X26_code_runs", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a = ' || user_id || chr(10) || 'b = 2' || chr(10) || 'c = 3' WHEN 1 THEN chr(10) || 'x = ' || user_id ELSE 'only words' END AS code FROM events")
+def x26_runs(spark, sf):
+    u, m = F.col("user_id").cast("string"), F.col("event_id") % 3
+    t = F.when(m == 0, F.concat(F.lit("x = 1\n\n\n\ny = 2\n??? no\na = "), u, F.lit("\nb = 2\nc = 3"))).when(m == 1, F.concat(F.lit("some words\n\nx = "), u, F.lit("\nmore words here"))).otherwise(F.lit("only words"))
+    return table(spark, sf, "events").select("event_id", tx.longest_code_udf(t).alias("code"))
+
+
 @query("X27_test_payload", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 2 END AS cases FROM events")
 def x27(spark, sf):
     body = F.when(F.col("event_id") % 3 == 0, F.lit('{"inputs": ["1"], "outputs": ["1", "2"]}')).otherwise(F.lit('{"inputs": ["1", "2"], "outputs": ["1", "2"]}'))

@@ -1,6 +1,9 @@
 """Hand-computed cases of single operators."""
 
+import ast
+import json
 import math
+import random
 
 import pytest
 from hypothesis import given
@@ -177,22 +180,74 @@ def test_tool_call_score():
     assert tx.tool_call_score(a, []) == -3.0
 
 
-def test_parsers(spark):
+def quadratic_code(text):
+    """Every run of two lines or more, in order; a longer count of lines that are not blank wins."""
+    lines = text.split("\n")
+    best, kept = 0, (0, 0)
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines)):
+            count = sum(bool(x.strip()) for x in lines[i : j + 1])
+            if count > best:
+                try:
+                    ast.parse("\n".join(lines[i : j + 1]))
+                except (SyntaxError, ValueError):
+                    continue
+                best, kept = count, (i, j)
+    return "\n".join(lines[kept[0] : kept[1] + 1])
+
+
+def test_longest_code_is_that_of_every_run():
+    pieces = ["x = 1", "", "  ", "y = (2,", ")", "if x:", "    z = 3", "else:", "some words here", "def f(a):", "    return a", "try:", "except E:", "    pass", "s = \"\"\"", "t = x \\", "d = {", "1: 2,", "}", "@deco", "g(a b", "# note", "\tq = 1", "f(x for x in y, 1)", "class A: pass", "x = [1,", "2 3]", "\x0c"]
+    rng = random.Random(3)
+    cases = ["x = 1\n\n\n\ny = 2\n??? no\na = 1\nb = 2\nc = 3", "", "one line", "\nx = 1", "bad text\n\nx = 1\nbad text", "x = 1 \\\n\n\nno no"]
+    cases += ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    for case in cases:
+        assert tx.longest_code(case) == quadratic_code(case), case
+
+
+def test_latex_marks():
+    assert not tx.latex_equal("50%", "50") and tx.latex_equal("50\\%", "50") and tx.latex_equal("x = .5", "\\frac12")
+    assert tx.latex_plain("\\sqrt3") == "\\sqrt{3}" and tx.latex_plain("\\sqrt 3") == "\\sqrt{}3" and tx.latex_plain("\\frac1{72}") == "\\frac{1}{72}" and tx.latex_plain("\\frac1") == "\\frac1"
+    assert tx.latex_plain("01/2") == "01/2" and tx.latex_plain("-1/2") == "\\frac{-1}{2}" and tx.latex_plain("3\\text{ cm}") == "3"
+    assert not tx.latex_equal("\\sqrt", "\\sqrt ") and tx.latex_equal("\\frac", "\\frac") and tx.latex_equal("", "")
+    assert tx.final_answer("y = the $\\text{1,000}$ dollars") == "1000" and tx.final_answer("\\fracab") == "\\frac{a}{b}" and tx.final_answer("x=\\sqrt2") == "\\sqrt{2}"
+
+
+def test_tool_formats(spark):
+    full = "<|tool_calls_section_begin|>"
     cases = {
-        "hermes": '<tool_call>{"name": "f", "arguments": {"x": "1"}}</tool_call>',
-        "qwen3_coder": "<tool_call><function=f><parameter=x>1</parameter></function></tool_call>",
-        "glm": "<tool_call>f<arg_key>x</arg_key><arg_value>1</arg_value></tool_call>",
-        "seed": "<seed:tool_call><function=f><parameter=x>1</parameter></function></seed:tool_call>",
-        "minimax": '<invoke name="f"><parameter name="x">1</parameter></invoke>',
-        "gpt-oss": '<|channel|>commentary to=functions.f <|constrain|>json<|message|>{"x": "1"}<|call|>',
-        "kimi": '<|tool_call_begin|>functions.f:0<|tool_call_argument_begin|>{"x": "1"}<|tool_call_end|>',
-        "gemma4": '<|tool_call>call:f{"x": "1"}<tool_call|>',
+        "hermes": 'a<tool_call>{"name": "f", "arguments": {"x": 1}}</tool_call>b<tool_call>broken</tool_call>',
+        "qwen3_coder": "a<tool_call><function=f><parameter=x>\n1\n</parameter></function></tool_call>b",
+        "glm": "<think>no</think>a<tool_call>f<arg_key>x</arg_key><arg_value>1</arg_value></tool_call>b",
+        "seed": "a<seed:tool_call><function=f><parameter=x>1</parameter></function></seed:tool_call>",
+        "minimax": 'a<minimax:tool_call><invoke name="f"><parameter name="x">1</parameter></invoke></minimax:tool_call>',
+        "gpt-oss": '<|channel|>analysis<|message|><|start|>assistant<|channel|>c to=functions.no <|constrain|>json<|message|>{}<|call|><|end|>a<|start|>assistant<|channel|>commentary to=functions.f <|constrain|>json<|message|>{"x": 1}<|call|>',
+        "kimi": f'a{full}<|tool_call_begin|>functions.f:0<|tool_call_argument_begin|>{{"x": 1}}<|tool_call_end|>',
+        "gemma4": "a<|tool_call>call:f{x:1}<tool_call|>",
     }
+    schemas = {"f": {"properties": {"x": {"type": "integer"}}, "required": ["x"]}}
     for name, text in cases.items():
-        df = spark.createDataFrame([(text,), ("plain",), (None,)], "t string")
-        got = [r["c"] for r in df.select(tools.PARSERS[name](F.col("t")).alias("c")).collect()]
-        assert [c["name"] for c in got[0]] == ["f"] and '"x"' in got[0][0]["arguments"].replace(" ", ""), name
-        assert got[1] == []
+        df = spark.createDataFrame([(text,), ("plain",), (None,), ("",)], "t string")
+        got = [r["c"] for r in df.select(tools.parsed(name, F.col("t"), schemas).alias("c")).collect()]
+        assert [(c["name"], json.loads(c["arguments"])) for c in got[0]["calls"]] == [("f", {"x": 1})], name
+        assert got[0]["content"] == ("ab<tool_call>broken</tool_call>".replace("<tool_call>broken</tool_call>", "") if name == "hermes" else "a"), name
+        assert (got[1]["content"], got[1]["calls"]) == ("plain", []) and got[2] is None and (got[3]["content"], got[3]["calls"]) == ("", [])
+    assert tools.extract(cases["minimax"].replace("minimax:", ""), tools.FORMATS["minimax"])[1] == []
+
+
+def test_tool_arguments_by_schema():
+    kinds = [("7", "int32", 7), ("x", "integer", "x"), ("2.0", "number", 2), ("2.5", "float", 2.5), ("TRUE", "boolean", True), ("no", "bool", False), ("NULL", "integer", None), ('{"a": 1}', "object", {"a": 1}), ("[1, 'b']", "array", [1, "b"]), ("f(x)", "array", "f(x)"), ("1", "string", "1"), ("1", None, "1"), ("1e400", "number", "1e400"), ("{'a': 1}", "dict", {"a": 1})]
+    for value, kind, want in kinds:
+        assert tools.by_schema(value, kind) == want and type(tools.by_schema(value, kind)) is type(want), (value, kind)
+    coder = tools.FORMATS["qwen3_coder"]
+    assert tools.extract("a<tool_call><function=f><parameter=x>1", coder, {"f": {"properties": {"x": {"type": "int"}}}}) == ("a", [("f", '{"x": 1}', "")])
+    assert tools.extract("a<tool_call><function=f</function></tool_call>", coder) == ("a", []) and tools.extract("a<tool_call>b", coder) == ("a<tool_call>b", [])
+    kimi = lambda raw, args, schemas: tools.extract(f"<|tool_calls_section_begin|><|tool_call_begin|>{raw}<|tool_call_argument_begin|>{args}<|tool_call_end|>", tools.FORMATS["kimi"], schemas)[1][0]
+    both = {"get_weather": {"required": ["city"]}, "search": {"required": ["q"]}}
+    assert kimi("functions.get-weather:0", "{}", both)[0] == "get_weather" and kimi("t:1", '{"q": 1}', both) == ("search", '{"q": 1}', "t:1") and kimi("t:1", "[]", both) == ("t:1", "{}", "t:1")
+    assert tools.extract('<|tool_call>call:f{a:<|"|>x, y<|"|>,b:True,c:null,d:1.5,e:word}<tool_call|>', tools.FORMATS["gemma4"])[1] == [("f", '{"a": "x, y", "b": true, "c": null, "d": 1.5, "e": "word"}', "")]
+    with pytest.raises(ValueError, match="registered"):
+        tools.register("hermes", coder)
 
 
 def test_plan_grammar_takes_every_event(spark, sf):
