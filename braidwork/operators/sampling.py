@@ -6,6 +6,8 @@ A global order is needed only where an exact number of rows is asked for; there
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,34 +61,47 @@ def split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     return rows.withColumn("part", F.when(F.col("_at") < F.col("_val"), "val").otherwise("train")).drop("_at", "_val")
 
 
+#: Slots pick their source by so many equal parts of the whole.
+PARTS = 1_000_000
+
+
+def _picked(slots: DataFrame, seed: int, shares: list[float]) -> DataFrame:
+    """Adds `source`: the one in whose share of [0, 1) the slot's hash falls."""
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col("slot").cast("string")))
+    u = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(PARTS)) / PARTS
+    source = F.lit(len(shares) - 1)
+    for i in reversed(range(len(shares) - 1)):
+        source = F.when(u < sum(shares[: i + 1]), i).otherwise(source)
+    return slots.withColumn("source", source)
+
+
 def interleave(parts: list[tuple[DataFrame, float]], key: str, seed: int = 42, until: str = "first") -> DataFrame:
     """Rows of several sources in one order: slot s goes to the source that hash(seed, s) picks by probability.
 
-    A source's k-th slot has its k-th row in order of key. `first`: slots end when a source is used up; `all`: sources are used up
-    one by one, each slot's row wrapping round until the last source is through. Adds `source` and `slot`.
+    A source's k-th slot has its k-th row in order of key. `first`: slots end when a source is used up; `all`: they go on until every
+    source is through, those used up beginning again. Adds `source` and `slot`. Slots are made until that point is among
+    them, twice as many each time, so no row is lost however small a probability; one that no slot can pick is refused.
     """
-    spark = parts[0][0].sparkSession
-    numbered = []
-    for i, (df, _) in enumerate(parts):
-        numbered.append(shuffled(df, key, seed + i, "_k").withColumn("source", F.lit(i)))
-    rows = numbered[0]
-    for df in numbered[1:]:
-        rows = rows.unionByName(df)
+    spark, shares = parts[0][0].sparkSession, [p for _, p in parts]
+    if until not in ("first", "all"):
+        raise ValueError("until is first or all")
+    if min(shares) * PARTS < 1 or abs(sum(shares) - 1) > 1e-9:
+        raise ValueError(f"probabilities are at least 1 / {PARTS} and sum to 1")
+    numbered = [shuffled(df, key, seed + i, "_k").withColumn("source", F.lit(i)) for i, (df, _) in enumerate(parts)]
+    rows = reduce(DataFrame.unionByName, numbered)
     sizes = {r[0]: r[1] for r in rows.groupBy("source").count().collect()}
     if len(sizes) < len(parts):
         return rows.limit(0).withColumn("slot", F.lit(0).cast("long")).drop("_k")
-    # enough slots that each source has had its turn: by the rarest source, with room for chance
-    need = max(int(n / p * 1.5) + 1000 for (_, p), n in zip(parts, (sizes[i] for i in range(len(parts)))))
-    slots = spark.range(need).withColumnRenamed("id", "slot")
-    u = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(1_000_000)) / 1_000_000
-    pick, upto = F.lit(len(parts) - 1), 0.0
-    bounds = []
-    for i, (_, p) in enumerate(parts[:-1]):
-        upto += p
-        bounds.append((i, upto))
-    for i, b in reversed(bounds):
-        pick = F.when(u < b, i).otherwise(pick)
-    slots = slots.withColumn("source", pick)
+    due = [int(sizes[i] / p * 1.2) + 1000 for i, p in enumerate(shares)]
+    need = min(due) if until == "first" else max(due)
+    while True:
+        slots = _picked(spark.range(need).withColumnRenamed("id", "slot"), seed, shares)
+        had = {r[0]: r[1] for r in slots.groupBy("source").count().collect()}
+        through = [had.get(i, 0) >= n for i, n in sizes.items()]
+        if any(through) if until == "first" else all(through):
+            break
+        need *= 2
+    # the place of a slot among its source's: by blocks of slots, each a small window, moved by the blocks before
     block = F.floor(F.col("slot") / 4096)
     per = slots.groupBy("source", block.alias("_b")).agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -95,11 +110,9 @@ def interleave(parts: list[tuple[DataFrame, float]], key: str, seed: int = 42, u
     slots = slots.withColumn("_b", block).withColumn("_i", inner).join(per, ["source", "_b"]).withColumn("_k", F.col("_i") + F.col("_before")).drop("_b", "_i", "_before")
     size = F.element_at(F.create_map(*[x for i, n in sizes.items() for x in (F.lit(i), F.lit(n))]), F.col("source"))
     slots = slots.withColumn("_size", size.cast("long"))
-    ends = slots.filter("_k = _size - 1").select("slot")
-    last = ends.agg((F.min("slot") if until == "first" else F.max("slot")).alias("_last"))
-    slots = slots.crossJoin(F.broadcast(last)).filter("slot <= _last")
-    slots = slots.withColumn("_k", F.pmod("_k", "_size")).drop("_size", "_last")
-    return slots.join(rows, ["source", "_k"]).drop("_k")
+    ends = slots.filter("_k = _size - 1").agg((F.min("slot") if until == "first" else F.max("slot")).alias("_last"))
+    slots = slots.crossJoin(F.broadcast(ends)).filter("slot <= _last")
+    return slots.withColumn("_k", F.pmod("_k", "_size")).drop("_size", "_last").join(rows, ["source", "_k"]).drop("_k")
 
 
 def shards(df: DataFrame, ordinal: str, world: int, batch: int, drop_last: bool = True) -> DataFrame:
@@ -111,6 +124,22 @@ def shards(df: DataFrame, ordinal: str, world: int, batch: int, drop_last: bool
     return rows.join(full, ["rank", "batch"], "left_semi")
 
 
+def length_grouped(df: DataFrame, key: str, length: str, batch: int, seed: int = 42, most: int = 50) -> DataFrame:
+    """Adds `ordinal`, an order for shards() in which batches (of all ranks together) hold rows of like length.
+
+    Rows in hash order are cut to mega-batches of up to `most` batches, at least four of which the table holds if it can; within each
+    the longest come first. The longest of all changes places with the first row, so that memory runs out at once or never.
+    """
+    rows = shuffled(df, key, seed, "_at")
+    size = df.agg((F.greatest(F.least(F.floor(F.count("*") / (4 * batch)), F.lit(most)), F.lit(1)) * batch).alias("_size"))
+    rows = rows.crossJoin(F.broadcast(size)).withColumn("_mega", F.floor(F.col("_at") / F.col("_size")))
+    place = F.row_number().over(Window.partitionBy("_mega").orderBy(F.col(length).desc(), "_at")) - 1
+    rows = rows.withColumn("_n", F.col("_mega") * F.col("_size") + place)
+    longest = rows.agg(F.max_by("_n", F.struct(F.col(length), -F.col("_n"))).alias("_longest"))
+    moved = F.when(F.col("_n") == F.col("_longest"), 0).when(F.col("_n") == 0, F.col("_longest")).otherwise(F.col("_n"))
+    return rows.crossJoin(F.broadcast(longest)).withColumn("ordinal", moved).drop("_at", "_mega", "_size", "_n", "_longest")
+
+
 def held_out(df: DataFrame, excluded: DataFrame, keys: list[str], group: str, order: list[str | Column], most: int) -> DataFrame:
     """One row of each group that isn't excluded, for at most `most` groups in order."""
     free = df.join(excluded, keys, "left_anti")

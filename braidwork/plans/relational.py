@@ -329,6 +329,21 @@ e AS (SELECT {until}(slot) AS last FROM t, n WHERE k = CASE source WHEN 0 THEN n
 SELECT slot, source, coalesce(a.id, b.id) AS id FROM t, e, n LEFT JOIN a ON source = 0 AND a.k = t.k % na LEFT JOIN b ON source = 1 AND b.k = t.k % nb WHERE slot <= last"""
 
 
+@query("T05_interleave_rare", """
+WITH s AS (SELECT slot, CASE WHEN (CAST('0x' || substr(md5('42|' || slot), 1, 8) AS BIGINT) % 1000000) / 1000000.0 < 0.9997 THEN 0 ELSE 1 END AS source FROM range(0, 500000) AS r(slot)),
+t AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM s),
+a AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY md5('42|' || s_suppkey), s_suppkey) - 1 AS k, count(*) OVER () AS n, 0 AS source FROM supplier
+  UNION ALL SELECT r_regionkey, row_number() OVER (ORDER BY md5('43|' || r_regionkey), r_regionkey) - 1, count(*) OVER (), 1 FROM region),
+e AS (SELECT max(slot) AS last FROM t JOIN (SELECT DISTINCT source, n FROM a) USING (source) WHERE k = n - 1)
+SELECT t.source AS source, id, count(*) AS times, min(slot) AS first, (SELECT last FROM e) AS last FROM t JOIN a ON t.source = a.source AND t.k % a.n = a.k WHERE slot <= (SELECT last FROM e) GROUP BY ALL""")
+def t05_rare(spark, sf):
+    """Every row of a source that hardly any slot goes to."""
+    parts = [(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id")), 0.9997), (table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id")), 0.0003)]
+    rows = sampling.interleave(parts, "id", until="all")
+    last = rows.agg(F.max("slot").alias("last"))
+    return rows.groupBy("source", "id").agg(F.count("*").alias("times"), F.min("slot").alias("first")).crossJoin(F.broadcast(last))
+
+
 def _interleave(spark, sf, until):
     a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     b = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
@@ -379,6 +394,14 @@ def t10(spark, sf):
     return sampling.shards(table(spark, sf, "documents").select("doc_id"), "doc_id", 4, 32).select("doc_id", "rank", "batch")
 
 
+@query("T10_length_grouped", f"""
+WITH h AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY {_DOC_H}, doc_id) - 1 AS place, greatest(least(count(*) OVER () // 32, 50), 1) * 8 AS size FROM documents),
+m AS (SELECT doc_id, n_chars, place // size * size + row_number() OVER (PARTITION BY place // size ORDER BY n_chars DESC, place) - 1 AS n FROM h), f AS (SELECT max_by(n, (n_chars, -n)) AS longest FROM m)
+SELECT doc_id, CAST(CASE n WHEN longest THEN 0 WHEN 0 THEN longest ELSE n END AS BIGINT) AS ordinal FROM m, f""")
+def t10_lengths(spark, sf):
+    return sampling.length_grouped(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 8).select("doc_id", "ordinal")
+
+
 @query("T11_piece", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () // 7 AS piece FROM documents) WHERE o >= 2 * piece AND o < 3 * piece")
 def t11(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
