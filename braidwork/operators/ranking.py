@@ -72,3 +72,8 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def first_seen(df: DataFrame, keys: list[str], line: str, value: str, first: str = "first_line", last: str = "last_value") -> DataFrame:
+    """One row a key of a log: the line where it was seen first, which orders the keys, and its value in its last line."""
+    return df.groupBy(*keys).agg(F.min(line).alias(first), F.max_by(value, line).alias(last))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from braidwork.operators import groups, ranking
+from braidwork.operators import filters, groups, ranking
 
 from .registry import query, table
 
@@ -58,8 +58,7 @@ def a04(spark, sf):
 @query("F14_zero_variance_groups", """
 SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING coalesce(stddev_samp(l_quantity), 0) = 0""")
 def f14(spark, sf):
-    out = _lines(spark, sf).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)).alias("std"))
-    return out.filter("std = 0").select("l_orderkey", "n")
+    return filters.constant_groups(_lines(spark, sf), "l_orderkey", "l_quantity")
 
 
 def _advantage(name, estimator, scale, sql):
@@ -187,7 +186,7 @@ def w17(spark, sf):
 @query("W18_first_seen", """
 SELECT user_id, event_type, min(event_id) AS first_line, max_by(value, event_id) AS last_value FROM events GROUP BY ALL""")
 def w18(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_line"), F.max_by("value", "event_id").alias("last_value"))
+    return ranking.first_seen(table(spark, sf, "events"), ["user_id", "event_type"], "event_id", "value", "first_line", "last_value")
 
 
 @query("J11_ordinal_pairs", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from braidwork.operators import relational, retrieval, sampling
+from braidwork.operators import filters, relational, retrieval, sampling
 
 from .registry import query, table
 
@@ -18,14 +18,14 @@ _DOC_H = _H.format("doc_id")
 @query("F01_drop_on_error", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 <> 0")
 def f01(spark, sf):
     k = F.get_json_object("props", "$.k").try_cast("long")
-    return table(spark, sf, "events").select("event_id", F.when(k % 7 != 0, k).alias("k")).filter("k is not null")
+    return filters.drop_on_error(table(spark, sf, "events"), {"k": F.when(k % 7 != 0, k)}).select("event_id", "k")
 
 
 @query("F02_reject_equal_response", "SELECT conv_id, any_value(c) AS last FROM (SELECT conv_id, max_by(text, turn) AS c, max_by(role, turn) AS r FROM conversations GROUP BY 1) WHERE r = 'assistant' AND length(c) % 5 <> 0 GROUP BY conv_id")
 def f02(spark, sf):
     last = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.max_by("role", "turn").alias("r"))
     rejected = F.when(F.col("r") != "assistant", F.lit(None)).when(F.char_length("last") % 5 == 0, F.col("last")).otherwise(F.concat("last", F.lit("!")))
-    return last.withColumn("rejected", rejected).filter("rejected is not null and rejected <> last").select("conv_id", "last")
+    return filters.rejected_differs(last.withColumn("rejected", rejected), "last", "rejected").select("conv_id", "last")
 
 
 @query("F03_overlong_prompts", "SELECT doc_id, n_chars FROM documents WHERE n_chars <= 2048")
@@ -40,8 +40,8 @@ def f04(spark, sf):
 
 @query("F05_hard_success_fanout", "SELECT o_orderkey, g AS copy FROM orders, range(0, 4) AS r(g) WHERE o_orderstatus = 'F' AND o_totalprice > 200000 AND o_orderpriority <> '5-LOW'")
 def f05(spark, sf):
-    rows = table(spark, sf, "orders").filter("o_orderstatus = 'F' and o_totalprice > 200000 and o_orderpriority <> '5-LOW'")
-    return rows.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("copy"))
+    hard = (F.col("o_totalprice") > 200000) & (F.col("o_orderpriority") != "5-LOW")
+    return filters.hard_successes(table(spark, sf, "orders"), F.col("o_orderstatus") == "F", hard, 4).select("o_orderkey", "copy")
 
 
 @query("F06_label_present", "SELECT DISTINCT p_partkey FROM part WHERE length(p_type) > 0")
@@ -53,8 +53,8 @@ def f06(spark, sf):
 SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars > 10000 THEN 'long' WHEN lang <> 'en' THEN 'language' WHEN contains(text, '###') THEN 'markup' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1""")
 def f07(spark, sf):
     n = F.col("n_chars")
-    reason = F.when(n < 200, "short").when(n > 10000, "long").when(F.col("lang") != "en", "language").when(F.contains("text", F.lit("###")), "markup").otherwise("kept")
-    return table(spark, sf, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    rules = [("short", n < 200), ("long", n > 10000), ("language", F.col("lang") != "en"), ("markup", F.contains("text", F.lit("###")))]
+    return filters.reject_reasons(table(spark, sf, "documents"), rules)
 
 
 @query("F08_dead_end_calls", r"""
@@ -62,12 +62,9 @@ WITH c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORD
 r AS (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error')
 SELECT event_id, coalesce(regexp_matches(lower(props), 'error|: [45]\d'), false) AS dead_end FROM c LEFT JOIN r USING (user_id, k)""")
 def f08(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = table(spark, sf, "events").filter("event_type in ('click', 'error')")
-    calls = events.filter("event_type = 'click'").select("user_id", "event_id", F.row_number().over(w).alias("k"))
-    results = events.filter("event_type = 'error'").select("user_id", "props", F.row_number().over(w).alias("k"))
-    dead = F.coalesce(F.lower("props").rlike(r"error|: [45]\d"), F.lit(False))
-    return calls.join(results, ["user_id", "k"], "left").select("event_id", dead.alias("dead_end"))
+    events = table(spark, sf, "events")
+    calls = events.filter("event_type = 'click'").select("user_id", "ts", "event_id")
+    return filters.dead_ends(calls, events.filter("event_type = 'error'"), ["user_id"], ["ts", "event_id"], "props").select("event_id", "dead_end")
 
 
 @query("F09_action_filter", "SELECT event_id FROM events WHERE event_type NOT IN ('signup', 'error') AND value > 1")
@@ -78,16 +75,20 @@ def f09(spark, sf):
 @query("F10_missing_fields", """
 SELECT 'k' AS path, count(*) FILTER (json_extract_string(props, '$.k') IS NULL) AS missing FROM events UNION ALL SELECT 'absent', count(*) FILTER (json_extract_string(props, '$.absent') IS NULL) FROM events UNION ALL SELECT 'value', count(*) FILTER (value IS NULL) FROM events""")
 def f10(spark, sf):
-    e = table(spark, sf, "events")
     paths = {"k": F.get_json_object("props", "$.k"), "absent": F.get_json_object("props", "$.absent"), "value": F.col("value")}
-    counts = e.agg(*[F.count_if(c.isNull()).alias(n) for n, c in paths.items()])
-    return counts.unpivot([], list(paths), "path", "missing")
+    return filters.missing_by_path(table(spark, sf, "events"), paths)
 
 
-@query("F11_task_selection", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 100 AND 900 OR o_orderkey IN (5, 7, 5000) ORDER BY o_orderkey LIMIT 500")
+@query("F11_task_selection", """
+SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer) WHERE place BETWEEN 2 AND 90 OR place = 100 ORDER BY 1 LIMIT 80""")
 def f11(spark, sf):
-    key = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter(key.between(100, 900) | key.isin(5, 7, 5000)).select("o_orderkey").orderBy("o_orderkey").limit(500)
+    return filters.select_tasks(table(spark, sf, "customer").select("c_custkey"), "c_custkey", "c_custkey", places="2-90,100", most=80)
+
+
+@query("F11_task_ids", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (5, 7, 33, 100, 400)")
+def f11_ids(spark, sf):
+    wanted = [5, 7, 33, 100, 400, -1]  # the last is in no table and is ignored
+    return filters.select_tasks(table(spark, sf, "orders"), "o_orderkey", "o_orderkey", ids=wanted, unknown="ignore").select("o_orderkey", "o_totalprice")
 
 
 @query("F12_warmup_exclusion", "SELECT event_id FROM events WHERE user_id > 1 AND user_id <= 100 AND event_type <> 'signup'")
@@ -97,14 +98,13 @@ def f12(spark, sf):
 
 @query("F13_corrupt_exclusion", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, CASE WHEN n_chars < 100 THEN 1 ELSE 0 END) = 0")
 def f13(spark, sf):
-    docs, labels = table(spark, sf, "documents").select("doc_id", "n_chars"), table(spark, sf, "labels").select("doc_id", "toxic")
-    return docs.join(labels, "doc_id", "left").filter(F.coalesce("toxic", F.when(F.col("n_chars") < 100, 1).otherwise(0)) == 0).select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return filters.corrupt_excluded(docs, table(spark, sf, "labels"), "doc_id", "toxic", F.col("n_chars") < 100).select("doc_id")
 
 
 @query("F15_keep_predicate", "SELECT count(*) FILTER (value > 25) AS kept, count(*) FILTER (NOT value > 25) AS dropped FROM events")
 def f15(spark, sf):
-    keep = F.col("value") > 25
-    return table(spark, sf, "events").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("dropped"))
+    return filters.kept_and_dropped(table(spark, sf, "events"), F.col("value") > 25)
 
 
 @query("F16_score_mask", "SELECT event_id, value > 30 AS keep FROM events")
@@ -114,17 +114,13 @@ def f16(spark, sf):
 
 @query("F17_row_validity", "SELECT count(*) FILTER (length(trim(url)) > 0 AND length(trim(html)) > 0) AS kept, count(*) FILTER (NOT (length(trim(url)) > 0 AND length(trim(html)) > 0)) AS skipped FROM pages")
 def f17(spark, sf):
-    ok = (F.length(F.trim("url")) > 0) & (F.length(F.trim("html")) > 0)
-    return table(spark, sf, "pages").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped"))
+    return filters.kept_and_dropped(table(spark, sf, "pages"), filters.has_text("url", "html"), "kept", "skipped")
 
 
 @query("F18_exact_subset", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT c_custkey FROM customer)")
 def f18(spark, sf):
     wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_orderkey"))
-    found = table(spark, sf, "orders").join(wanted, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
-    check = wanted.agg(F.count("*").alias("_n"), F.count_distinct("o_orderkey").alias("_d")).crossJoin(found.agg(F.count("*").alias("_f")))
-    ok = F.when((F.col("_n") == F.col("_d")) & (F.col("_d") == F.col("_f")), True).otherwise(F.raise_error(F.lit("missing or duplicate ids")).cast("boolean"))
-    return found.crossJoin(F.broadcast(check)).filter(ok).drop("_n", "_d", "_f")
+    return filters.exact_subset(table(spark, sf, "orders"), wanted, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 # ---- joins
