@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles, value_counts
+
 
 def _has(name: Column, *words: str) -> Column:
     out = F.lit(False)
@@ -70,6 +72,18 @@ def reduce_metrics(df: DataFrame, rule: Column, name: str = "name", value: str =
     return by.select(name, "rule", out.alias("value"))
 
 
+#: Fixed value: metrics that weigh by another one of their step, whose name is what stands before the ending.
+STALENESS, ENDING = "/off_policy/dropped_samples_staleness/mean", "_staleness/mean"
+
+
+def staleness_weighted(df: DataFrame, name: str = "name", value: str = "value", weight: str = "weight", step: str = "step") -> DataFrame:
+    """Metrics in long form with the weight of each staleness mean replaced by the samples that its step dropped, where the step has that metric."""
+    of = F.when(F.endswith(F.col(name), F.lit(STALENESS)), F.substring_index(F.col(name), ENDING, 1))
+    dropped = df.filter(F.endswith(F.col(name), F.lit(STALENESS.removesuffix(ENDING)))).groupBy(F.col(step).alias("_step"), F.col(name).alias("_of")).agg(F.last(F.floor(value)).alias("_dropped"))
+    both = df.withColumn("_name", of).join(dropped, (F.col(step) == F.col("_step")) & (F.col("_name") == F.col("_of")), "left")
+    return both.withColumn(weight, F.coalesce("_dropped", weight)).select(*df.columns)
+
+
 def derived(df: DataFrame, made: str, numerator: str, denominator: str, difference: bool = False, factor: float = 1.0) -> DataFrame:
     """Replaces or adds the metric `made` from two others of a reduced table, where both are there."""
     pick = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
@@ -91,15 +105,17 @@ def typed_metrics(df: DataFrame, name: str, kind: str, rank: str, value: str) ->
 def batch_stats(df: DataFrame, time: str, start: str, end: str) -> DataFrame:
     """One row: mean, extremes and percentiles (linear interpolation) of a time; span and share of rows whose versions differ."""
     span = F.abs(F.col(end) - F.col(start))
-    return df.agg(
+    names = ("p50", "p95", "p99")
+    percentiles = [F.lit(q).cast("double").alias(n) for n, q in zip(names, quantiles(df, time, [0.5, 0.95, 0.99]))]
+    out = df.agg(
         F.avg(time).alias("avg"),
         F.max(time).alias("max"),
         F.min(time).alias("min"),
-        F.percentile(time, F.array(*map(F.lit, (0.5, 0.95, 0.99)))).alias("p"),
         F.max(span).alias("max_span"),
         F.avg(F.when(span == 0, 0.0).otherwise(1.0)).alias("partial_ratio"),
         F.count_distinct(end).alias("diversity"),
-    ).select("avg", "max", "min", *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "max_span", "partial_ratio", "diversity")
+    )
+    return out.select("avg", "max", "min", *percentiles, "max_span", "partial_ratio", "diversity")
 
 
 def truthy(text: Column) -> Column:
@@ -142,21 +158,40 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def upper_median(df: DataFrame, value: str, key: str) -> DataFrame:
     """rows, max and sorted[n // 2] of a column, from counts by value: no task sorts the whole table."""
-    from pyspark.sql import Window
-
-    by = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v"))
     total = df.agg(F.count("*").alias("rows"), F.max(value).alias("max"))
-    ranked = by.withColumn("upto", upto).crossJoin(F.broadcast(total))
     half = F.floor(F.col("rows") / 2)
-    return ranked.filter(F.col("upto") > half).groupBy("rows", "max").agg(F.min("v").alias("upper_median"))
+    ranked = value_counts(df, value).crossJoin(F.broadcast(total))
+    found = ranked.filter((F.col("before") <= half) & (F.col("before") + F.col("n") > half)).select(F.col(value).alias("upper_median"))
+    return total.join(found, F.lit(True), "left").select("rows", "max", "upper_median")
+
+
+#: Rows whose digests, of five characters each, one task may hold.
+MAX_CHECKSUM_ROWS = 10_000_000
 
 
 def table_checksum(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """md5 over the first five characters of each row's md5, rows in order. One string of five characters a row is gathered, as its definition demands."""
+    """md5 over the first five characters of each row's md5, rows in order.
+
+    By its definition one string of five characters a row is digested, so a table of over MAX_CHECKSUM_ROWS rows is refused; for those
+    take range_checksum.
+    """
     row = F.substring(F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in columns])), 1, 5)
+    count = df.agg(F.count("*").alias("_n"))
+    few = F.when(F.col("_n") <= MAX_CHECKSUM_ROWS, True).otherwise(F.raise_error(F.lit("too many rows for this checksum")).cast("boolean"))
     packed = F.array_sort(F.collect_list(F.struct(*order, row.alias("h"))))
-    return df.agg(F.md5(F.array_join(F.transform(packed, lambda x: x["h"]), "")).alias("checksum"))
+    return df.crossJoin(F.broadcast(count)).filter(few).agg(F.md5(F.array_join(F.transform(packed, lambda x: x["h"]), "")).alias("checksum"))
+
+
+def range_checksum(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """A checksum of any number of rows, which no order of theirs changes: rows, and the sums of the halves of each row's 128-bit md5 as md5.
+
+    Equal tables have equal checksums; it is not table_checksum's digest.
+    """
+    cells = [F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in [*order, *columns]]
+    digest = F.md5(F.concat_ws("|", *cells))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)"))
+    sums = df.agg(F.count("*").alias("rows"), half(1).alias("a"), half(17).alias("b"))
+    return sums.select("rows", F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"))).alias("checksum"))
 
 
 def memory_contribution(df: DataFrame, memory: str, kind: str, chosen: str, reward: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from braidwork.operators import metrics
+from braidwork.operators import metrics, reports
 
 from .registry import query, table
 
@@ -29,8 +29,7 @@ def _rounded(df, n=4):
 SELECT source, round(avg(s), 4) AS score FROM (SELECT source, (quality + toxic) / 2 AS s FROM documents JOIN labels USING (doc_id)) GROUP BY source""")
 def a05(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id").withColumn("scores", F.array("quality", "toxic"))
-    mean = F.aggregate("scores", F.lit(0), lambda a, x: a + x) / F.size("scores")
-    return _rounded(rows.groupBy("source").agg(F.avg(mean).alias("score")))
+    return _rounded(reports.mean_by_source(rows, "source", "scores"))
 
 
 @query("A06_reduce_by_name", f"""
@@ -60,6 +59,21 @@ def a08(spark, sf):
     return _rounded(metrics.derived(out, "global_seqlen/minmax_diff", "global_seqlen/max", "global_seqlen/min", difference=True), 3)
 
 
+_DROPS = """(SELECT CAST(event_id AS BIGINT) AS step, event_type, user_id % 4 AS dropped, value, 7 AS samples FROM events)"""
+
+
+@query("A08_staleness_weights", f"""
+SELECT 'training/off_policy/dropped_samples' AS name, 'sum' AS rule, CAST(sum(dropped) AS DOUBLE) AS value FROM {_DROPS} WHERE event_type <> 'error'
+UNION ALL SELECT 'training/off_policy/dropped_samples_staleness/mean', 'weighted_avg', round(sum(value * CASE WHEN event_type = 'error' THEN samples ELSE dropped END) / sum(CASE WHEN event_type = 'error' THEN samples ELSE dropped END), 4) FROM {_DROPS}""")
+def a08_staleness(spark, sf):
+    """A step's staleness weighs as many samples as the step dropped; where the step doesn't say, as its samples."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("step"), "event_type", (F.col("user_id") % 4).cast("double").alias("dropped"), "value", F.lit(7).alias("weight"))
+    drops = e.filter("event_type <> 'error'").select("step", F.lit("training/off_policy/dropped_samples").alias("name"), F.col("dropped").alias("value"), "weight")
+    stale = e.select("step", F.lit("training/off_policy/dropped_samples_staleness/mean").alias("name"), "value", "weight")
+    rows = metrics.staleness_weighted(drops.unionByName(stale))
+    return _rounded(metrics.reduce_metrics(rows, metrics.weighted_rule(F.col("name"))))
+
+
 @query("A09_async_metrics", f"""
 WITH r AS (SELECT name, CASE WHEN contains(name, 'timing_s/') THEN 'time_sum' WHEN contains(name, 'mean') THEN 'avg' WHEN contains(name, 'max') THEN 'max' WHEN contains(name, 'min') THEN 'min' ELSE 'avg' END AS rule,
   CASE WHEN contains(name, 'timing_s/') THEN sum(value) WHEN contains(name, 'mean') THEN avg(value) WHEN contains(name, 'max') THEN max(value) ELSE min(value) END AS value
@@ -97,17 +111,8 @@ def a11(spark, sf):
 SELECT event_type, count(*) AS episodes, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 4) AS pass_rate, round(avg(value), 4) AS avg_reward, count(*) FILTER (value < 1) AS early_exits,
   count(*) FILTER (user_id % 2 = 0) AS with_advice, round(avg(value) FILTER (user_id % 2 = 0), 4) AS avg_with, round(avg(value) FILTER (user_id % 2 = 1), 4) AS avg_without FROM events GROUP BY event_type""")
 def a12(spark, sf):
-    advice = F.col("user_id") % 2 == 0
-    out = table(spark, sf, "events").groupBy("event_type").agg(
-        F.count("*").alias("episodes"),
-        F.avg((F.col("value") > 50).cast("double")).alias("pass_rate"),
-        F.avg("value").alias("avg_reward"),
-        F.count_if(F.col("value") < 1).alias("early_exits"),
-        F.count_if(advice).alias("with_advice"),
-        F.avg(F.when(advice, F.col("value"))).alias("avg_with"),
-        F.avg(F.when(~advice, F.col("value"))).alias("avg_without"),
-    )
-    return _rounded(out)
+    v, u = F.col("value"), F.col("user_id")
+    return _rounded(reports.episode_report(table(spark, sf, "events"), "event_type", "value", v > 50, v < 1, u % 2 == 0))
 
 
 @query("A13_pass_groups", """
@@ -122,9 +127,7 @@ SELECT o_orderstatus, o_orderpriority, c_mktsegment, count(*) AS n, round(avg(CA
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (c_mktsegment), ())""")
 def a14(spark, sf):
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    cols = ["o_orderstatus", "o_orderpriority", "c_mktsegment"]
-    right = F.avg((F.col("o_totalprice") > 250000).cast("double")).alias("accuracy")
-    return _rounded(rows.groupingSets([["o_orderstatus"], ["o_orderpriority"], ["c_mktsegment"], []], *cols).agg(F.count("*").alias("n"), right))
+    return _rounded(reports.accuracy_by(rows, ["o_orderstatus", "o_orderpriority", "c_mktsegment"], F.col("o_totalprice") > 250000))
 
 
 @query("A15_summary_by_type", """
@@ -134,10 +137,7 @@ UNION ALL SELECT 'overall', count(*), round(avg(em), 4), round(avg(coalesce(f1,
 def a15(spark, sf):
     v, u = F.col("value"), F.col("user_id")
     rows = table(spark, sf, "events").select(F.col("event_type").alias("qa_type"), (v > 50).cast("double").alias("em"), F.when(u % 4 != 0, v / 500).alias("f1"), F.when(u % 3 != 0, v / 400).alias("judge"))
-    judge, good = F.avg("judge").alias("judge"), F.avg((F.col("judge") >= 0.5).cast("double")).alias("accuracy")
-    by = rows.groupBy("qa_type").agg(F.count("*").alias("n"), F.avg("em").alias("em"), F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"), judge, good)
-    all_ = rows.agg(F.lit("overall").alias("qa_type"), F.count("*").alias("n"), F.avg("em").alias("em"), F.avg(F.coalesce("f1", F.lit(0.0))).alias("f1"), judge, good)
-    return _rounded(by.unionByName(all_))
+    return _rounded(reports.qa_summary(rows, "qa_type", "em", "f1", "judge"))
 
 
 @query("A16_leaderboard", """
@@ -157,30 +157,25 @@ def a17(spark, sf):
 WITH a AS (SELECT l_orderkey, avg(l_quantity / 50) AS acc FROM lineitem GROUP BY 1)
 SELECT round(avg(acc), 4) AS mean, round(var_pop(acc), 4) AS variance, round(stddev_pop(acc), 4) AS std, round(stddev_pop(acc) / avg(acc), 4) AS cv FROM a""")
 def a18(spark, sf):
-    a = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.avg(F.col("l_quantity") / 50).alias("acc"))
-    return _rounded(a.agg(F.avg("acc").alias("mean"), F.var_pop("acc").alias("variance"), F.stddev_pop("acc").alias("std"), (F.stddev_pop("acc") / F.avg("acc")).alias("cv")))
+    return _rounded(reports.difficulty(table(spark, sf, "lineitem").withColumn("acc", F.col("l_quantity") / 50), "l_orderkey", "acc"))
 
 
 _BINS = "CASE WHEN n_chars < 500 THEN '<500' WHEN n_chars < 1000 THEN '500-1K' WHEN n_chars < 4000 THEN '1K-4K' WHEN n_chars < 16000 THEN '4K-16K' ELSE '16K+' END"
 
 
-def length_bin(n):
-    return F.when(n < 500, "<500").when(n < 1000, "500-1K").when(n < 4000, "1K-4K").when(n < 16000, "4K-16K").otherwise("16K+")
-
-
 @query("A19_stats_by_bin", f"""
 SELECT lang, bin, count(*) AS n, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 4) AS avg FROM (SELECT *, {_BINS} AS bin FROM documents) GROUP BY CUBE (lang, bin)""")
 def a19(spark, sf):
-    rows = table(spark, sf, "documents").select("lang", "n_chars", length_bin(F.col("n_chars")).alias("bin"))
-    return _rounded(rows.cube("lang", "bin").agg(F.count("*").alias("n"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.avg("n_chars").alias("avg")))
+    bins = [(500, "<500"), (1000, "500-1K"), (4000, "1K-4K"), (16000, "4K-16K")]
+    rows = table(spark, sf, "documents").select("lang", "n_chars", reports.binned(F.col("n_chars"), bins, "16K+").alias("bin"))
+    return _rounded(reports.stats_by(rows, "lang", "bin", "n_chars"))
 
 
 @query("A20_array_stats", """
 SELECT label, round(avg(s), 4) AS mean, round(stddev_pop(s), 4) AS std, round(min(s), 4) AS min, round(max(s), 4) AS max, count(*) AS size FROM (SELECT label, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS s FROM embeddings) GROUP BY label""")
 def a20(spark, sf):
     s = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    rows = table(spark, sf, "embeddings").select("label", s.alias("s"))
-    return _rounded(rows.groupBy("label").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.min("s").alias("min"), F.max("s").alias("max"), F.count("*").alias("size")))
+    return _rounded(reports.array_stats(table(spark, sf, "embeddings").select("label", s.alias("s")), "label", "s"))
 
 
 @query("A21_pass_at_k", """
@@ -195,31 +190,23 @@ SELECT event_type AS suite, count(*) AS n, count(*) FILTER (value > 60) AS passe
   count(*) FILTER (user_id % 13 = 0) AS errors, round(avg(CASE WHEN user_id % 5 <> 0 THEN value END), 4) AS mean_tokens FROM events GROUP BY 1""")
 def a22(spark, sf):
     u, v = F.col("user_id"), F.col("value")
-    out = table(spark, sf, "events").groupBy(F.col("event_type").alias("suite")).agg(
-        F.count("*").alias("n"), F.count_if(v > 60).alias("passed"), F.avg((v > 60).cast("double")).alias("pass_at_1"),
-        F.count_if(u % 11 == 0).alias("length_limit"), F.count_if(u % 13 == 0).alias("errors"), F.avg(F.when(u % 5 != 0, v)).alias("mean_tokens"),
-    )
-    return _rounded(out)
+    rows = table(spark, sf, "events").withColumnRenamed("event_type", "suite")
+    return _rounded(reports.suite_table(rows, "suite", v > 60, u % 11 == 0, u % 13 == 0, F.when(u % 5 != 0, v)))
 
 
 @query("A23_speed_comparison", """
 WITH s AS (SELECT event_type, avg(value) AS mean, median(value) AS median, count(*) * 3600 / sum(value) AS per_hour, sum(user_id) / sum(value) AS tokens_s FROM events GROUP BY 1)
 SELECT event_type, round(mean, 4) AS mean, round(median, 4) AS median, round(per_hour, 4) AS per_hour, round(tokens_s, 4) AS tokens_s, round(mean / (SELECT mean FROM s WHERE event_type = 'view'), 4) AS ratio FROM s""")
 def a23(spark, sf):
-    s = table(spark, sf, "events").groupBy("event_type").agg(
-        F.avg("value").alias("mean"), F.median("value").alias("median"), (F.count("*") * 3600 / F.sum("value")).alias("per_hour"), (F.sum("user_id") / F.sum("value")).alias("tokens_s"),
-    )
-    base = s.filter("event_type = 'view'").select(F.col("mean").alias("_b"))
-    return _rounded(s.crossJoin(F.broadcast(base)).withColumn("ratio", F.col("mean") / F.col("_b")).drop("_b"))
+    return _rounded(reports.speed_comparison(table(spark, sf, "events"), "event_type", "value", "user_id", "view"))
 
 
 @query("A24_score_delta", """
 WITH a AS (SELECT o_orderpriority AS p, year(o_orderdate) AS y, avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS acc FROM orders GROUP BY ALL)
 SELECT a.p AS suite, a.y AS year, round((a.acc - b.acc) * 100, 4) AS delta_pp FROM a JOIN a b ON a.p = b.p AND a.y = b.y + 1""")
 def a24(spark, sf):
-    a = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("suite"), F.year("o_orderdate").alias("year")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("acc"))
-    before = a.select("suite", (F.col("year") + 1).alias("year"), F.col("acc").alias("old"))
-    return a.join(before, ["suite", "year"]).select("suite", "year", F.round((F.col("acc") - F.col("old")) * 100, 4).alias("delta_pp"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("suite"), F.year("o_orderdate").alias("year"), "o_orderstatus")
+    return _rounded(reports.score_delta(rows, "suite", "year", F.col("o_orderstatus") == "F"))
 
 
 @query("A25_cluster_profile", """
@@ -227,12 +214,8 @@ WITH c AS (SELECT label, vec_id % 17 AS scenario, count(*) AS n FROM embeddings
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, scenario) AS rk, sum(n) OVER (PARTITION BY label) AS size FROM c)
 SELECT label, scenario, n, rk AS rank, CAST(size AS BIGINT) AS size FROM r WHERE rk <= 10""")
 def a25(spark, sf):
-    from pyspark.sql import Window
-
-    c = table(spark, sf, "embeddings").groupBy("label", (F.col("vec_id") % 17).alias("scenario")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("label")
-    out = c.withColumn("rank", F.row_number().over(w.orderBy(F.col("n").desc(), "scenario"))).withColumn("size", F.sum("n").over(w))
-    return out.filter("rank <= 10")
+    rows = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 17).alias("scenario"))
+    return reports.cluster_profile(rows, "label", "scenario")
 
 
 @query("A26_upper_median", """
@@ -244,8 +227,7 @@ def a26(spark, sf):
 @query("A27_manifest_stats", """
 SELECT lang, count(*) AS rows, count(*) FILTER (contains(text, '###')) AS functional, count(*) FILTER (NOT contains(text, '###')) AS stdin, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 4) AS mean FROM documents GROUP BY lang""")
 def a27(spark, sf):
-    marked = F.contains("text", F.lit("###"))
-    return _rounded(table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("rows"), F.count_if(marked).alias("functional"), F.count_if(~marked).alias("stdin"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.avg("n_chars").alias("mean")))
+    return _rounded(reports.manifest_stats(table(spark, sf, "documents"), "lang", F.contains("text", F.lit("###")), "n_chars"))
 
 
 @query("A28_table_checksum", """
@@ -305,18 +287,14 @@ def a32(spark, sf):
 @query("A33_dropped_merge", """
 SELECT event_type, CAST(sum(user_id) AS BIGINT) AS dropped, round(sum(value * user_id) / sum(user_id), 4) AS mean, max(value) AS max, min(value) AS min FROM events GROUP BY 1""")
 def a33(spark, sf):
-    out = table(spark, sf, "events").groupBy("event_type").agg(
-        F.sum("user_id").alias("dropped"), (F.sum(F.col("value") * F.col("user_id")) / F.sum("user_id")).alias("mean"), F.max("value").alias("max"), F.min("value").alias("min")
-    )
-    return _rounded(out)
+    return _rounded(reports.merged_drops(table(spark, sf, "events"), "event_type", "user_id", "value"))
 
 
 @query("A34_imbalance", """
 WITH b AS (SELECT doc_id % 8 AS bucket, sum(n_chars) AS s FROM documents GROUP BY 1)
 SELECT CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s) - min(s) AS BIGINT) AS minmax_diff, round(avg(s), 4) AS mean FROM b""")
 def a34(spark, sf):
-    b = table(spark, sf, "documents").groupBy((F.col("doc_id") % 8).alias("bucket")).agg(F.sum("n_chars").alias("s"))
-    return _rounded(b.agg(F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("minmax_diff"), F.avg("s").alias("mean")))
+    return _rounded(reports.imbalance(table(spark, sf, "documents").withColumn("bucket", F.col("doc_id") % 8), "bucket", "n_chars"))
 
 
 @query("A35_multiset_equality", """
@@ -330,11 +308,8 @@ SELECT count(*) FILTER (user_id % 4 = 0) AS collected, count(*) FILTER (user_id
   round(avg(value) FILTER (user_id % 4 = 0), 4) AS mean_reward, round(avg(CASE WHEN value > 25 THEN 1 ELSE 0 END) FILTER (user_id % 4 = 0), 4) AS success_rate FROM events""")
 def a36(spark, sf):
     m, v = F.col("user_id") % 4, F.col("value")
-    out = table(spark, sf, "events").agg(
-        *[F.count_if(m == i).alias(n) for i, n in enumerate(("collected", "skipped", "dropped", "failed"))],
-        F.avg(F.when(m == 0, v)).alias("mean_reward"), F.avg(F.when(m == 0, (v > 25).cast("double"))).alias("success_rate"),
-    )
-    return _rounded(out)
+    outcomes = {n: m == i for i, n in enumerate(("collected", "skipped", "dropped", "failed"))}
+    return _rounded(reports.collect_result(table(spark, sf, "events"), outcomes, "value", v > 25))
 
 
 @query("A37_distinct_values", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
@@ -346,24 +321,19 @@ def a37(spark, sf):
 WITH l AS (SELECT user_id % 40 AS request, max_by(user_id, event_id) AS prompt, max_by(value, event_id) AS generated FROM events GROUP BY 1)
 SELECT count(*) AS requests, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, round(sum(generated), 4) AS generated_tokens, round(count(*) / 60.0, 4) AS samples_s, round(sum(generated) / 60.0, 4) AS tokens_s FROM l""")
 def a38(spark, sf):
-    last = table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("request")).agg(F.max_by("user_id", "event_id").alias("p"), F.max_by("value", "event_id").alias("g"))
-    return _rounded(last.agg(F.count("*").alias("requests"), F.sum("p").alias("prompt_tokens"), F.sum("g").alias("generated_tokens"), (F.count("*") / 60.0).alias("samples_s"), (F.sum("g") / 60.0).alias("tokens_s")))
+    rows = table(spark, sf, "events").withColumn("request", F.col("user_id") % 40)
+    return _rounded(reports.inference_totals(rows, "request", "event_id", "user_id", "value", 60.0))
 
 
 @query("A39_distributed_mean", """
 SELECT event_type, round(coalesce(sum(s) / nullif(sum(c), 0), -1), 4) AS mean FROM (SELECT event_type, user_id % 8 AS rank, sum(value) FILTER (value > 200) AS s, count(*) FILTER (value > 200) AS c FROM events GROUP BY ALL) GROUP BY 1""")
 def a39(spark, sf):
-    big = F.col("value") > 200
-    parts = table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 8).alias("rank")).agg(F.sum(F.when(big, F.col("value"))).alias("s"), F.count_if(big).alias("c"))
-    mean = F.coalesce(F.sum("s") / F.nullif(F.sum("c"), F.lit(0)), F.lit(-1.0))
-    return _rounded(parts.groupBy("event_type").agg(mean.alias("mean")))
+    rows = table(spark, sf, "events").withColumn("rank", F.col("user_id") % 8)
+    return _rounded(reports.distributed_mean(rows, "event_type", "rank", "value", F.col("value") > 200))
 
 
 @query("A40_tail_ratio", """
 WITH q AS (SELECT quantile_cont(value, 0.9) AS cut, min(value) AS min, max(value) AS max FROM events)
 SELECT round(avg(CASE WHEN value > cut THEN 1 ELSE 0 END), 4) AS tail_ratio, any_value(min) AS min, any_value(max) AS max FROM events, q""")
 def a40(spark, sf):
-    events = table(spark, sf, "events").select("value")
-    cut = events.agg(F.percentile("value", 0.9).alias("cut"))
-    rows = events.crossJoin(F.broadcast(cut))
-    return _rounded(rows.agg(F.avg((F.col("value") > F.col("cut")).cast("double")).alias("tail_ratio"), F.min("value").alias("min"), F.max("value").alias("max")))
+    return _rounded(reports.tail_ratio(table(spark, sf, "events"), "value"))

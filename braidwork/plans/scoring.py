@@ -352,16 +352,11 @@ def x32(spark, sf):
 @query("X32_rank_correlation", _E + """, s AS (SELECT vec_id, same, list_cosine_similarity(x, y) AS c FROM p), r AS (SELECT c, same, (rank() OVER (ORDER BY c)) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rc, (rank() OVER (ORDER BY same)) + (count(*) OVER (PARTITION BY same) - 1) / 2.0 AS rs FROM s)
 SELECT round(corr(c, same), 4) AS pearson, round(corr(rc, rs), 4) AS spearman FROM r""")
 def x32_rank(spark, sf):
+    from braidwork.operators.quantiles import average_ranks
     from braidwork.operators.retrieval import dot, norm
 
     s = vector_pairs(spark, sf).select("same", (dot("x", "y") / (norm("x") * norm("y"))).alias("c"))
-
-    def ranks(column: str):
-        by = s.groupBy(column).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return by.select(column, (before + (F.col("n") + 1) / 2).alias(f"r_{column}"))
-
-    both = s.join(ranks("c"), "c").join(ranks("same"), "same")
+    both = s.join(average_ranks(s, "c", "r_c"), "c").join(average_ranks(s, "same", "r_same"), "same")
     return both.agg(F.round(F.corr("c", "same"), 4).alias("pearson"), F.round(F.corr("r_c", "r_same"), 4).alias("spearman"))
 
 
