@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,27 +167,160 @@ def with_advice(messages: Column, advice: Column) -> Column:
     return F.when(first["role"] == "system", F.concat(F.array(more), rest)).otherwise(F.concat(F.array(message("system", advice)), messages))
 
 
+#: Kinds of media, each marked in a text as <kind>.
+MEDIA = ["image", "video", "audio"]
+
+
 def placeholder_segments(text: Column) -> Column:
     """(kind, value) of text pieces and <image>, <video>, <audio> placeholders, empty pieces left out."""
-    pieces = F.split(F.regexp_replace(text, "(<image>|<video>|<audio>)", "\u0001$1\u0001"), "\u0001")
-    kinds = ["image", "video", "audio"]
+    marks = "|".join(f"<{k}>" for k in MEDIA)
+    pieces = F.split(text, f"(?={marks})|(?<={marks})")
 
     def one(p: Column) -> Column:
-        kind = F.coalesce(*[F.when(p == f"<{k}>", k) for k in kinds], F.lit("text"))
+        kind = F.coalesce(*[F.when(p == f"<{k}>", k) for k in MEDIA], F.lit("text"))
         return F.struct(kind.alias("kind"), F.when(kind == "text", p).alias("value"))
 
     return F.transform(F.filter(pieces, lambda p: p != ""), one)
 
 
-def split_parts(text: Column, delimiters: list[str]) -> Column:
-    """(key, content): text before the first delimiter under the empty key, then each delimiter with what follows it. Parts rejoin to the text."""
-    import re
+def media_segments(messages: Column, media_columns: dict[str, Column]) -> Column:
+    """Per message the segments of its content; the n-th placeholder of a kind, counted through all messages, gets the n-th item of that kind's array.
 
-    pattern = "(" + "|".join(re.escape(d) for d in sorted(delimiters, key=len, reverse=True)) + ")"
-    pieces = F.split(F.regexp_replace(text, pattern, "\u0001$1\u0002"), "\u0001")
+    media_columns: kind to array<string>. A kind with more or fewer items than placeholders makes the query fail when it runs.
+    """
+    texts = F.transform(messages, lambda m: F.coalesce(m["content"], F.lit("")))
+    flat = placeholder_segments(F.array_join(texts, ""))
+    right = F.lit(True)
+    for kind in MEDIA:
+        items = F.coalesce(media_columns[kind], F.array().cast("array<string>")) if kind in media_columns else F.array().cast("array<string>")
+        count = F.size(F.filter(flat, lambda x: x["kind"] == kind))  # noqa: B023
+        right = right & F.when(count == F.size(items), True).otherwise(F.raise_error(F.lit(f"placeholders and items of {kind} differ in number")).cast("boolean"))
+
+    def before(i: Column, kind: str) -> Column:
+        """Placeholders of a kind in the messages before the i-th."""
+        return F.size(F.filter(placeholder_segments(F.array_join(F.slice(texts, F.lit(1), i), "")), lambda x: x["kind"] == F.lit(kind)))
+
+    def message_(text: Column, i: Column) -> Column:
+        own = placeholder_segments(text)
+
+        def one(seg: Column, j: Column) -> Column:
+            value = seg["value"]
+            for kind, items in media_columns.items():
+                place = before(i, kind) + F.size(F.filter(F.slice(own, F.lit(1), j), lambda x: x["kind"] == kind))
+                value = F.when(seg["kind"] == kind, F.get(items, place)).otherwise(value)
+            return F.struct(seg["kind"].alias("kind"), value.alias("value"))
+
+        return F.transform(own, one)
+
+    return F.when(right, F.transform(texts, message_))
+
+
+def split_text(text: str, delimiters: list[str], regex: bool = False) -> list[tuple[str, str]]:
+    """(key, content) of a text cut at delimiters. Literal: text before the first under the empty key, then each delimiter with what
+    follows it; keys and contents rejoin to the text. Regular expressions: every non-empty piece, matches under their expression and
+    what lies between under the empty key; contents rejoin to the text."""
+    pattern = "|".join(f"(?:{d if regex else re.escape(d)})" for d in delimiters)
+    found = [m for m in re.finditer(pattern, text, re.DOTALL) if m[0]] if delimiters else []
+    ends = [m.start() for m in found[1:]] + [len(text)]
+    head = text[: found[0].start()] if found else text
+    if not regex:
+        return ([("", head)] if head else []) + [(m[0], text[m.end() : e]) for m, e in zip(found, ends)]
+    pieces = [p for p in [head, *(x for m, e in zip(found, ends) for x in (m[0], text[m.end() : e]))] if p]
+    return [(next((d for d in delimiters if re.match(d, p, re.DOTALL)), ""), p) for p in pieces]
+
+
+def split_parts(text: Column, delimiters: list[str], regex: bool = False) -> Column:
+    """array<struct<key, content>> of split_text; delimiters may overlap, so the cuts are made from the left by Python."""
+
+    @F.pandas_udf("array<struct<key: string, content: string>>")
+    def cut(column: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"key": k, "content": c} for k, c in split_text(t, delimiters, regex)] for t in column], dtype="object")
+
+    return cut(text)
+
+
+#: Columns that hold conversations, and those of instructions.
+CONVERSATION_KEYS, INSTRUCTION_KEYS = ["conversation", "conversations", "messages"], ["instruction", "input"]
+
+
+def preprocessor_kind(df: DataFrame) -> str:
+    """Which preparation a table's columns ask for: messages, alpaca (instruction and input) or response."""
+    if any(c in df.columns for c in CONVERSATION_KEYS):
+        return "messages"
+    return "alpaca" if all(c in df.columns for c in INSTRUCTION_KEYS) else "response"
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """`messages` by the preparation that the table's columns ask for; other standard columns stay."""
+    kind = preprocessor_kind(df)
+    if kind == "messages":
+        name = next(c for c in CONVERSATION_KEYS if c in df.columns)
+        return keep_standard(df.withColumn("messages", normalised(F.col(name))))
+    if kind == "alpaca":
+        df = df.withColumn("query", merge_instruction(F.col("instruction"), F.col("input"))).drop("instruction", "input")
+    df = alias_columns(df)
+    response = F.col("response")
+    if dict(df.dtypes)["response"].startswith("array"):
+        response = one_response(response)
+    system = F.col("system") if "system" in df.columns else None
+    history = F.col("history") if "history" in df.columns else None
+    return keep_standard(df.withColumn("messages", from_pairs(F.col("query"), response, system, history)))
+
+
+def one_response(responses: Column, key: Column | None = None, seed: int = 42) -> Column:
+    """Of several responses the first; with a key, one that its hash picks. Null of none."""
+    at = F.lit(0) if key is None else F.pmod(F.xxhash64(F.lit(seed), key), F.greatest(F.size(responses), F.lit(1)).cast("long")).cast("int")
+    return F.get(responses, at)
+
+
+def label_text(df: DataFrame, label: str, names: list[str], name: str = "response") -> DataFrame:
+    """Class numbers as their names; rows without a label go, a number without a name makes the query fail when it runs."""
+    number = F.col(label).cast("int")
+    text = F.get(F.array(*map(F.lit, names)), F.when(number < 0, F.lit(len(names))).otherwise(number))
+    known = F.coalesce(text, F.raise_error(F.concat(F.lit("no name for label "), number.cast("string"))))
+    return df.filter(F.col(label).isNotNull()).withColumn(name, known)
+
+
+def class_prompt(task: str, names: list[str], first: Column, second: Column | None = None) -> Column:
+    """The question for the class of a sentence, or of a pair."""
+    given = [F.lit("Sentence: "), first] if second is None else [F.lit("Sentence1: "), first, F.lit("\nSentence2: "), second]
+    return F.concat(F.lit(f"Task: {task}\n"), *given, F.lit(f"\nCategory: {', '.join(names)}\nOutput:"))
+
+
+def search_rows(df: DataFrame, split: str, index: str, system: str, prefix: str, source_tag: str = "searchR1_") -> DataFrame:
+    """Question rows as those of search training: data_source, prompt, ability, ground_truth (of reward_model, else golden_answers), extra_info.
+
+    df has question, data_source, ability, ground_truth and golden_answers (arrays of text).
+    """
+    question = F.coalesce("question", F.lit(""))
+    truth = F.coalesce("ground_truth", "golden_answers")
+    tag = F.concat(F.lit(source_tag), F.coalesce(F.col("data_source").cast("string"), F.lit("")))
+    extra = F.struct(F.col(index).alias("index"), F.lit(True).alias("need_tools_kwargs"), question.alias("question"), F.lit(split).alias("split"), truth.alias("ground_truth"), tag.alias("data_source"))
+    prompt = F.array(message("system", F.lit(system)), message("user", F.concat(F.lit(prefix.rstrip("\n")), question)))
+    return df.select(tag.alias("data_source"), prompt.alias("prompt"), "ability", truth.alias("ground_truth"), extra.alias("extra_info"))
+
+
+def choice_cleanup(text: Column) -> Column:
+    """A multiple-choice context without marks: ` [title]` ends a sentence, other brackets go, double spaces become one."""
+    return F.replace(F.regexp_replace(F.replace(F.trim(text), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
+
+
+def with_defaults(df: DataFrame, struct: str, defaults: dict[str, Column]) -> DataFrame:
+    """Fields of a struct (which may be null) as columns, with a default where null."""
+    return df.withColumns({n: F.coalesce(F.col(struct)[n], d) for n, d in defaults.items()})
+
+
+def path_columns(df: DataFrame, names: list[str], path: Column | None = None) -> DataFrame:
+    """The folders above a row's file as columns, the nearest last; of `name=value` the value."""
+    pieces = F.split(path if path is not None else F.input_file_name(), "/")
+    return df.withColumns({n: F.regexp_replace(F.try_element_at(pieces, F.lit(i - len(names) - 1)), "^[^=]*=", "") for i, n in enumerate(names)})
+
+
+def parsed_columns(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
+    """Columns of JSON text parsed by their schema; what does not parse is null."""
+    return df.withColumns({c: F.from_json(c, schema) for c, schema in schemas.items()})
 
-    def one(p: Column) -> Column:
-        has = F.contains(p, F.lit("\u0002"))
-        return F.struct(F.when(has, F.substring_index(p, "\u0002", 1)).otherwise("").alias("key"), F.when(has, F.substring_index(p, "\u0002", -1)).otherwise(p).alias("content"))
 
-    return F.filter(F.transform(pieces, one), lambda x: (x["key"] != "") | (x["content"] != ""))
+def with_task_ids(df: DataFrame, task_id: Column, kind: str, index: str) -> DataFrame:
+    """`task_id`, by default the kind and the sample's index."""
+    return df.withColumn("task_id", F.coalesce(task_id, F.concat_ws("_", kind, F.col(index).cast("string"))))

@@ -41,13 +41,18 @@ def p03(spark, sf):
     return ms.alias_columns(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("Question"), (F.col("item_id") % 3).alias("system_prompt")))
 
 
-@query("P04_preprocessor_choice", "SELECT 'messages' AS kind, 'conversations' AS name UNION ALL SELECT 'alpaca', 'instruct' UNION ALL SELECT 'response', 'plain'")
+@query("P04_preprocessor_choice", """
+SELECT 'messages' AS kind, 'conversations' AS name, count(DISTINCT conv_id) AS rows, CAST(count(*) AS BIGINT) AS messages FROM conversations
+UNION ALL SELECT 'alpaca', 'instruct', count(*), CAST(2 * count(*) AS BIGINT) FROM part UNION ALL SELECT 'response', 'plain', count(*), CAST(2 * count(*) AS BIGINT) FROM part""")
 def p04(spark, sf):
-    def kind(columns):
-        return "messages" if "messages" in columns else "alpaca" if {"instruction", "input"} <= set(columns) else "response"
-
-    found = {"conversations": conversations(spark, sf).columns, "instruct": ["instruction", "input", "output"], "plain": ["query", "response"]}
-    return spark.createDataFrame([(kind(c), n) for n, c in found.items()], "kind string, name string")
+    tables = {
+        "conversations": conversations(spark, sf),
+        "instruct": table(spark, sf, "part").select(F.col("p_name").alias("instruction"), F.col("p_type").alias("input"), F.col("p_brand").alias("output")),
+        "plain": table(spark, sf, "part").select(F.col("p_name").alias("query"), F.col("p_brand").alias("response")),
+    }
+    rows = [ms.prepared(df).select(F.size("messages").alias("size")).agg(F.count("*").alias("rows"), F.sum("size").alias("messages")) for df in tables.values()]
+    kinds = [r.select(F.lit(ms.preprocessor_kind(df)).alias("kind"), F.lit(n).alias("name"), "rows", "messages") for r, (n, df) in zip(rows, tables.items())]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
 @query("P05_history_to_messages", "SELECT c_custkey AS conv_id, unnest([0, 1, 2, 3]) AS i, unnest(['user', 'assistant', 'user', 'assistant']) AS role, unnest(['q', 'a', c_name, c_mktsegment]) AS content FROM customer")
@@ -57,6 +62,13 @@ def p05(spark, sf):
     return turns(rows, ms.from_pairs(F.col("c_name"), F.col("c_mktsegment"), F.lit(None).cast("string"), history))
 
 
+@query("P05_list_responses", """
+SELECT o_custkey AS conv_id, unnest([0, 1]) AS i, unnest(['user', 'assistant']) AS role, unnest(['c' || o_custkey, list(o_orderpriority ORDER BY o_orderkey)[1]]) AS content FROM orders GROUP BY o_custkey""")
+def p05_lists(spark, sf):
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("conv_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("answers"))
+    return turns(rows, ms.from_pairs(F.concat(F.lit("c"), F.col("conv_id").cast("string")), ms.one_response(F.col("answers"))))
+
+
 @query("P06_merge_instruction", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || chr(10) || p_type ELSE p_name END AS query FROM part")
 def p06(spark, sf):
     return table(spark, sf, "part").select("p_partkey", ms.merge_instruction(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("")).alias("query"))
@@ -101,8 +113,7 @@ def p12(spark, sf):
 
 @query("P13_label_text", "SELECT doc_id, CASE quality WHEN 0 THEN 'poor' ELSE 'good' END AS label FROM labels WHERE quality IS NOT NULL")
 def p13(spark, sf):
-    names = F.array(F.lit("poor"), F.lit("good"))
-    return table(spark, sf, "labels").filter("quality is not null").select("doc_id", F.element_at(names, F.col("quality") + 1).alias("label"))
+    return ms.label_text(table(spark, sf, "labels"), "quality", ["poor", "good"], "label").select("doc_id", "label")
 
 
 @query("P14_media_cast", "SELECT page_id, url AS path FROM pages")
@@ -144,17 +155,19 @@ def p19(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(both).alias("x")).select("p_partkey", "x.kind", "x.response")
 
 
-@query("P20_search_rows", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS target FROM part")
+@query("P20_search_rows", """
+SELECT p_partkey AS index, 'searchR1_' || p_brand AS data_source, 'Ask: ' || p_name AS question, CASE WHEN p_size > 25 THEN [p_brand] ELSE [p_type, p_name] END AS ground_truth, 'train' AS split FROM part""")
 def p20(spark, sf):
-    target = F.coalesce(F.when(F.col("p_size") > 25, F.col("p_brand")), F.col("p_type"))
-    return table(spark, sf, "part").select("p_partkey", target.alias("target"))
+    truth = F.when(F.col("p_size") > 25, F.array("p_brand"))
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("question"), F.col("p_brand").alias("data_source"), F.lit("qa").alias("ability"), truth.alias("ground_truth"), F.array("p_type", "p_name").alias("golden_answers"))
+    out = ms.search_rows(rows, "train", "p_partkey", "Search first.", "Ask: \n")
+    return out.select("extra_info.index", "data_source", F.col("prompt")[1]["content"].alias("question"), "ground_truth", "extra_info.split")
 
 
 @query("P21_choice_cleanup", "SELECT p_partkey, p_name || '. ' || p_type AS text FROM part")
 def p21(spark, sf):
     raw = F.concat("p_name", F.lit(" [title] "), "p_type", F.lit("[substeps]"))
-    text = F.replace(F.regexp_replace(F.replace(F.trim(raw), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
-    return table(spark, sf, "part").select("p_partkey", text.alias("text"))
+    return table(spark, sf, "part").select("p_partkey", ms.choice_cleanup(raw).alias("text"))
 
 
 @query("P22_flat_tool_turns", """SELECT c_custkey AS conv_id, unnest([0, 1, 2, 3]) AS i, unnest(['user', 'assistant', 'tool_call', 'tool_response']) AS role,
@@ -213,10 +226,19 @@ def p28(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.posexplode(ms.placeholder_segments(t)).alias("i", "s")).select("p_partkey", "i", "s.kind", "s.value")
 
 
+@query("P28_media_segments", """
+SELECT p_partkey, unnest([0, 0, 0, 1, 1, 1]) AS m, unnest([0, 1, 2, 0, 1, 2]) AS i, unnest(['text', 'image', 'video', 'text', 'image', 'text']) AS kind, unnest([p_name, p_brand, p_brand, p_type, p_name, chr(1) || 'x']) AS value FROM part""")
+def p28_media(spark, sf):
+    raw = F.array(ms.message("user", F.concat("p_name", F.lit("<image><video>"))), ms.message("user", F.concat("p_type", F.lit("<image>\x01x"))))
+    segments = ms.media_segments(raw, {"image": F.array("p_brand", "p_name"), "video": F.array("p_brand")})
+    rows = table(spark, sf, "part").select("p_partkey", F.posexplode(segments).alias("m", "segs"))
+    return rows.select("p_partkey", "m", F.posexplode("segs").alias("i", "s")).select("p_partkey", "m", "i", "s.kind", "s.value")
+
+
 @query("P29_strip_metadata", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS index, 'none' AS tools FROM events")
 def p29(spark, sf):
-    extra = F.from_json("props", "k long, tools string")
-    return table(spark, sf, "events").select("event_id", F.coalesce(extra["k"], F.lit(0)).alias("index"), F.coalesce(extra["tools"], F.lit("none")).alias("tools"))
+    rows = table(spark, sf, "events").withColumn("extra", F.from_json("props", "k long, tools string"))
+    return ms.with_defaults(rows, "extra", {"k": F.lit(0), "tools": F.lit("none")}).select("event_id", F.col("k").alias("index"), "tools")
 
 
 @query("P30_path_columns", "SELECT lang AS model, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1")
@@ -228,9 +250,8 @@ def p30(spark, sf):
     # the folder of a language is its text in hex after an x, so that any name, an empty one and null (no x) are told apart
     folder = F.coalesce(F.concat(F.lit("x"), F.hex(F.col("lang").cast("binary"))), F.lit("null"))
     docs.select("doc_id", folder.alias("model"), F.lit("plain").alias("mode"), F.lit("qa").alias("task")).write.partitionBy("model", "mode", "task").parquet(root)
-    name = F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -4), "^model=(.*)$", 1)
-    model = F.when(name != "null", F.decode(F.unhex(F.substring(name, 2, 1 << 30)), "UTF-8"))
-    rows = spark.read.schema("doc_id long").parquet(f"{root}/*/*/*")
+    rows = ms.path_columns(spark.read.schema("doc_id long").parquet(f"{root}/*/*/*"), ["name", "mode", "task"]).filter("mode = 'plain' and task = 'qa'")
+    model = F.when(F.col("name") != "null", F.decode(F.unhex(F.substring("name", 2, 1 << 30)), "UTF-8"))
     return rows.groupBy(model.alias("model")).agg(F.count("*").alias("n"))
 
 
@@ -251,10 +272,21 @@ def p32(spark, sf):
     return rows.select("event_id", "i", "p.key", "p.content")
 
 
+@query("P32_overlapping_parts", """
+SELECT event_id, 'literal' AS mode, unnest([0, 1, 2]) AS i, unnest(['', 'aab', 'ab']) AS key, unnest([event_type || chr(1), 'x' || chr(2), '']) AS content FROM events
+UNION ALL SELECT event_id, 'regex', unnest([0, 1, 2]), unnest(['', '<.*?>', '']), unnest([event_type, '<' || user_id || chr(10) || '>', 'z']) FROM events""")
+def p32_overlap(spark, sf):
+    literal = ms.split_parts(F.concat("event_type", F.lit("\x01aabx\x02ab")), ["aab", "ab"])
+    regex = ms.split_parts(F.concat("event_type", F.lit("<"), F.col("user_id").cast("string"), F.lit("\n>z")), ["<.*?>"], regex=True)
+    e = table(spark, sf, "events")
+    parts = [e.select("event_id", F.lit(n).alias("mode"), F.posexplode(c).alias("i", "p")) for n, c in (("literal", literal), ("regex", regex))]
+    return parts[0].unionByName(parts[1]).select("event_id", "mode", "i", "p.key", "p.content")
+
+
 @query("P33_parse_columns", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type || '_' || CAST(event_id AS VARCHAR) AS task_id FROM events")
 def p33(spark, sf):
-    task = F.coalesce(F.get_json_object("props", "$.task_id"), F.concat_ws("_", "event_type", F.col("event_id").cast("string")))
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), task.alias("task_id"))
+    rows = ms.parsed_columns(table(spark, sf, "events").withColumn("raw", F.col("props")), {"props": "k long"})
+    return ms.with_task_ids(rows, F.get_json_object("raw", "$.task_id"), "event_type", "event_id").select("event_id", "props.k", "task_id")
 
 
 @query("P34_truncation_flag", "SELECT event_id, user_id % 3 = 0 AS truncated, event_type AS route FROM events")
