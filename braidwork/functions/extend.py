@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,3 +66,65 @@ def metric(df: DataFrame, key: str, value: str, kind: type) -> DataFrame:
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value")).filter("key is not null and value is not null")
     return rows.mapInArrow(partial, "key string, state binary").groupBy("key").applyInArrow(final, "key string, value double")
+
+
+class Registry:
+    """Named implementations of one kind of extension; a name can be taken once."""
+
+    def __init__(self, kind: str):
+        self.kind, self._known = kind, {}
+
+    def register(self, name: str, made: Callable | None = None):
+        """Registers a function or class; without one, a decorator."""
+        if made is None:
+            return lambda f: self.register(name, f)
+        if name in self._known:
+            raise ValueError(f"{self.kind} {name} is registered already")
+        self._known[name] = made
+        return made
+
+    def get(self, name: str) -> Callable:
+        if name not in self._known:
+            raise ValueError(f"no {self.kind} {name}; there are {sorted(self._known)}")
+        return self._known[name]
+
+    def names(self) -> list[str]:
+        return sorted(self._known)
+
+
+#: Samplers: (df, n, key, seed) -> DataFrame. Replay samplers: classes with sample(groups, n), groups having uid and step.
+#: Scorers: () -> Column of a data source.
+SAMPLERS, REPLAY, SCORERS = Registry("sampler"), Registry("replay sampler"), Registry("scorer")
+
+
+@SAMPLERS.register("hashed")
+def hashed(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """The first n rows in hash order."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
+
+
+@SAMPLERS.register("in order")
+def in_order(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    return df.orderBy(key).limit(n)
+
+
+@REPLAY.register("oldest")
+class Oldest:
+    """The groups with the smallest step."""
+
+    def sample(self, groups: DataFrame, n: int) -> DataFrame:
+        return groups.orderBy("step", "uid").limit(n)
+
+
+def dispatched(source, scorers: dict) -> Column:
+    """The score by data source; a source without a scorer, null too, makes the query fail when it runs."""
+    score = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(source, F.lit("null")))).cast("double")
+    for name, value in scorers.items():
+        score = F.when(source == name, value).otherwise(score)
+    return score
+
+
+def keep_episodes(df: DataFrame, keep: Callable[[DataFrame], object]) -> tuple[DataFrame, DataFrame]:
+    """(episodes kept, one row with `kept` and `dropped`): keep gets the table and gives a condition; a null condition drops."""
+    condition = F.coalesce(keep(df), F.lit(False))
+    return df.filter(condition), df.agg(F.count_if(condition).alias("kept"), F.count_if(~condition).alias("dropped"))

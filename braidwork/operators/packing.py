@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,31 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
+#: Items that are packed together, and in a stream.
+BATCH_ITEMS, STREAM_ITEMS = 1000, 128
+
+
+def batched(lengths: list[int], capacity: int, batch: int = BATCH_ITEMS, strategy: str = "binpack") -> list[int]:
+    """Pack number of each item of a shard. Items come in batches; the last pack of a batch stays open and is packed anew with the next.
+
+    `binpack`: best fit, longest first; `sequential`: next fit in order.
+    """
+    if strategy not in ("binpack", "sequential"):
+        raise ValueError("strategy is binpack or sequential")
+    if strategy == "sequential":  # an open pack that is carried goes on as if there were no batches
+        return next_fit(lengths, capacity)
+    out, packs, held = [0] * len(lengths), 0, []
+    for begin in range(0, len(lengths), batch):
+        held += range(begin, min(begin + batch, len(lengths)))
+        bins = best_fit([lengths[i] for i in held], capacity)
+        finished = begin + batch >= len(lengths)
+        done = max(bins) + 1 if finished else max(bins)  # bins are numbered as they were opened; the last is carried
+        for i, b in zip(held, bins):
+            out[i] = packs + b
+        held, packs = [i for i, b in zip(held, bins) if b >= done], packs + done
+    return out
+
+
 def greedy(values: list[int], k: int, equal_size: bool = False) -> list[int]:
     """Partition of each value, in order: the one with the smallest sum, of equal ones the first."""
     bias = sum(values) + 1 if equal_size else 0
@@ -82,6 +107,15 @@ def differencing(values: list[int], k: int, equal_size: bool = False) -> list[in
     return out
 
 
+def balanced(values: list[int], k: int, equal_size: bool = False) -> list[int]:
+    """Partition of each value by differencing; every partition has a value, and with equal_size as many as the others, or ValueError."""
+    out = differencing(values, k, equal_size)
+    sizes = np.bincount(out, minlength=k)
+    if len(sizes) != k or not sizes.all() or (equal_size and len(set(sizes.tolist())) != 1):
+        raise ValueError("a partition is empty, or sizes differ")
+    return out
+
+
 def workload(n: Column) -> Column:
     return 24576 * n + n * n
 
@@ -97,29 +131,77 @@ def by_shard(df: DataFrame, shard: Column, ordinal: str, value: str, fold: Calla
     return rows.groupBy("shard").applyInArrow(run, f"shard long, ordinal long, value long, {name} long")
 
 
+def uid_partitions(df: DataFrame, batch: Column, uid: str, ordinal: str, length: str, k: int) -> DataFrame:
+    """shard, uid, workload, part: the groups of a batch in k partitions of equally many groups and about equal workload.
+
+    A group's rows, of one uid, stay together; its workload is the sum of theirs, its place that of its first row. A batch whose groups
+    are no multiple of k fails.
+    """
+    load = F.sum(workload(F.col(length).cast("long")))
+    by = df.groupBy(batch.cast("long").alias("shard"), F.col(uid).alias("uid")).agg(F.min(ordinal).alias("_first"), load.alias("_load"))
+    parts = by_shard(by, F.col("shard"), "_first", "_load", lambda x: balanced(x, k, True), "part")
+    return by.join(parts, (by["shard"] == parts["shard"]) & (by["_first"] == parts["ordinal"])).select(by["shard"], "uid", parts["value"].alias("workload"), "part")
+
+
+def arranged(df: DataFrame, shard: str, part: str, ordinal: str) -> DataFrame:
+    """Adds `position`: the row's place in its shard when partitions stand one after the other, rows in order within."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(shard).orderBy(part, ordinal)) - 1)
+
+
+def restored(df: DataFrame, shard: str, ordinal: str, position: str = "position") -> DataFrame:
+    """Adds `source`: for each place of the original order, the position to take the row from (the inverse of the arrangement).
+
+    df has a row for each position, with the ordinal of the row that went there.
+    """
+    place = F.row_number().over(Window.partitionBy(shard).orderBy(ordinal)) - 1
+    return df.withColumn("place", place).withColumnRenamed(position, "source")
+
+
+def centre_out(loads: list[int]) -> list[int]:
+    """Place of each batch when the largest stand in the middle and the smallest first and last."""
+    big_first = sorted(range(len(loads)), key=lambda j: (-loads[j], j))
+    order = big_first[::2][::-1] + big_first[1::2]
+    out = [0] * len(loads)
+    for place, j in enumerate(order):
+        out[j] = place
+    return out
+
+
+def micro_count(rows: int, total: int, most: int, divided_by: int = 1) -> int:
+    """Micro-batches of at most `most` on average, no more than rows, rounded up to a multiple where rows allow."""
+    n = min(rows, -(-total // most))
+    return max(1, min(rows, -(-n // divided_by) * divided_by))
+
+
 def micro_batches(df: DataFrame, group: str, ordinal: str, length: str, most: int, divided_by: int = 1) -> DataFrame:
-    """Rows of each batch in micro-batches of about equal workload, numbered from the ends to the middle: small ones stand first and last."""
+    """Rows of each batch in micro-batches of about equal workload, numbered so that small ones stand first and last."""
 
     def fold(lengths: list[int]) -> list[int]:
-        n = min(len(lengths), -(-sum(lengths) // most))
-        n = min(len(lengths), -(-n // divided_by) * divided_by)
+        n = micro_count(len(lengths), sum(lengths), most, divided_by)
         loads = [24576 * x + x * x for x in lengths]
-        part = differencing(loads, max(n, 1))
-        total = np.bincount(part, weights=loads, minlength=max(n, 1))
-        big_first = sorted(range(len(total)), key=lambda j: (-total[j], j))
-        place = big_first[::2][::-1] + big_first[1::2]
-        rank = {j: i for i, j in enumerate(place)}
-        return [rank[j] for j in part]
+        part = differencing(loads, n)
+        place = centre_out(np.bincount(part, weights=loads, minlength=n).tolist())
+        return [place[j] for j in part]
 
     return by_shard(df, F.col(group), ordinal, length, fold, "micro")
 
 
+#: Fixed value: bounds of token bins, in units of 1024.
+BIN_KS = (4, 8, 16, 32, 64)
+
+
+def token_bin(n: Column) -> Column:
+    """Name of the smallest bin that holds n tokens: 4K, 8K .. 64K, else 128K."""
+    out = F.lit("128K")
+    for k in reversed(BIN_KS):
+        out = F.when(n <= k * 1024, f"{k}K").otherwise(out)
+    return out
+
+
 def padded(df: DataFrame, multiple: int, ordinal: str) -> DataFrame:
     """Adds `is_padding`, and copies of the first rows in order until the number of rows is a multiple. At most `multiple` - 1 rows are added."""
     total = df.agg(F.count("*").alias("_n"))
     first = df.orderBy(ordinal).limit(multiple - 1) if multiple > 1 else df.limit(0)
-    from pyspark.sql import Window
-
     first = first.withColumn("_i", F.row_number().over(Window.orderBy(ordinal))).crossJoin(F.broadcast(total))
     short = F.pmod(-F.col("_n"), F.lit(multiple))
     extra = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((short - F.col("_i") + 1) / F.least(F.col("_n"), F.lit(max(multiple - 1, 1)))) - 1, F.lit(-1)).cast("int"), F.lit(1)))

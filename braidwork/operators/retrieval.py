@@ -135,3 +135,20 @@ def _keyword_join(docs: DataFrame, questions: DataFrame, key: str, text: str, qu
     counted = docs.select(key, F.size(words(text)).alias("_n"), F.explode(words(text)).alias("_w")).groupBy(key, "_n", "_w").agg(F.count("*").alias("_c"))
     asked = questions.select(F.col(question_key).alias("question"), F.explode(words(question_text)).alias("_w")).distinct()
     return counted.join(asked, "_w").groupBy("question", key).agg(F.sum(F.col("_c") / F.greatest("_n", F.lit(1))).alias("score"))
+
+
+def clusters(df: DataFrame, key: str, vector: str, k: int, n_init: int = 20, iterations: int = 20, seed: int = 42) -> DataFrame:
+    """key, cluster: k-means over vectors of length one. Of n_init runs, each from seeds of its own, the one with the least cost counts."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    length = norm(vector)
+    unit = F.transform(vector, lambda x: x.cast("double") / F.greatest(length, F.lit(1e-12)))
+    rows = df.select(key, array_to_vector(unit).alias("features")).persist()
+    try:
+        models = [KMeans(k=k, seed=seed + i, maxIter=iterations).fit(rows) for i in range(n_init)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        rows.unpersist()
+    plain = df.select(key, array_to_vector(unit).alias("features"))
+    return best.transform(plain).select(key, F.col("prediction").alias("cluster"))

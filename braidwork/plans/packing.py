@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from braidwork.operators import curation, packing
+from braidwork.operators import curation, packing, retrieval
 from braidwork.streaming import buffer
 
 from .registry import query, table
@@ -31,16 +31,38 @@ def b01(spark, sf):
     return packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 100), "doc_id", "n_chars", lambda x: packing.next_fit(x, _CAP))
 
 
-@query("B02_bin_packing", "SELECT doc_id // 1000 AS shard, count(*) AS items, CAST(sum(n_chars) AS BIGINT) AS total, true AS fits FROM documents GROUP BY 1")
+def _best_fit_sql(shard, items, cap):
+    """Items longest first; rooms of the bins opened so far as a list."""
+    return f"""
+WITH RECURSIVE d AS (SELECT {shard} AS shard, doc_id AS ordinal, n_chars AS value, row_number() OVER (PARTITION BY {shard} ORDER BY n_chars DESC, doc_id) AS k FROM {items}),
+r AS (SELECT shard, ordinal, value, k, CAST(1 AS BIGINT) AS bin, [CAST({cap} - value AS BIGINT)] AS rooms FROM d WHERE k = 1
+  UNION ALL SELECT shard, ordinal, value, k, bin, CASE WHEN bin > len(rooms) THEN list_append(rooms, CAST({cap} - value AS BIGINT)) ELSE list_transform(rooms, lambda x, i: CASE WHEN i = bin THEN x - value ELSE x END) END
+  FROM (SELECT d.shard, d.ordinal, d.value, d.k, r.rooms, CAST(coalesce(list_position(r.rooms, list_min(list_filter(r.rooms, lambda x: x >= d.value AND x > 0))), len(r.rooms) + 1) AS BIGINT) AS bin FROM r JOIN d ON d.shard = r.shard AND d.k = r.k + 1))
+SELECT shard, ordinal, value, bin - 1 AS pack FROM r"""
+
+
+@query("B02_bin_packing", _best_fit_sql("CAST(doc_id // 200 AS BIGINT)", "documents", 40_000))
 def b02(spark, sf):
-    packs = packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 1000), "doc_id", "n_chars", lambda x: packing.best_fit(x, 40_000))
-    bins = packs.groupBy("shard", "pack").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
-    return bins.groupBy("shard").agg(F.sum("n").alias("items"), F.sum("s").alias("total"), F.bool_and((F.col("s") <= 40_000) | (F.col("n") == 1)).alias("fits"))
+    return packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 200), "doc_id", "n_chars", lambda x: packing.best_fit(x, 40_000))
 
 
-@query("B03_sharded_packing", _next_fit_sql("CAST(doc_id // 1000 AS BIGINT)"))
+@query("B02_carried_bins", f"""
+WITH a AS ({_best_fit_sql("CAST(doc_id // 200 AS BIGINT)", "(SELECT * FROM documents WHERE doc_id % 200 < 100)", 40_000)}),
+c AS (SELECT shard, max(pack) AS last, max(pack) FILTER (shard IS NOT NULL) AS n FROM a GROUP BY 1),
+b AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 200 >= 100 UNION ALL SELECT ordinal, value FROM a JOIN c USING (shard) WHERE pack = last),
+z AS ({_best_fit_sql("CAST(doc_id // 200 AS BIGINT)", "b", 40_000)})
+SELECT shard, ordinal, value, pack FROM a JOIN c USING (shard) WHERE pack < last
+UNION ALL SELECT shard, ordinal, value, pack + coalesce(last, 0) FROM z LEFT JOIN c USING (shard)""")
+def b02_carried(spark, sf):
+    """Shards of 200 in batches of 100; the last bin of the first batch is packed anew with the second."""
+    docs = _docs(spark, sf)
+    return packing.by_shard(docs, F.floor(F.col("doc_id") / 200), "doc_id", "n_chars", lambda x: packing.batched(x, 40_000, 100))
+
+
+@query("B03_sharded_packing", _next_fit_sql("CAST(doc_id // 3000 AS BIGINT)"))
 def b03(spark, sf):
-    return packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 1000), "doc_id", "n_chars", lambda x: packing.next_fit(x, _CAP))
+    """Contiguous shards of 3000 rows, in batches of 1000 with the open pack carried."""
+    return packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 3000), "doc_id", "n_chars", lambda x: packing.batched(x, _CAP, strategy="sequential"))
 
 
 @query("B05_workload", "SELECT doc_id, 24576 * n_chars + n_chars * n_chars AS workload FROM documents")
@@ -48,66 +70,101 @@ def b05(spark, sf):
     return _docs(spark, sf).select("doc_id", packing.workload(F.col("n_chars")).alias("workload"))
 
 
-@query("B06_differencing", "SELECT doc_id // 1000 AS shard, CAST(count(*) AS BIGINT) AS items, CAST(sum(n_chars) AS BIGINT) AS total, true AS balanced FROM documents GROUP BY 1")
+def _difference_sql(values):
+    """How far two partitions by differencing are apart: the two largest numbers of a list become their difference, again and again."""
+    return f"""r(shard, l) AS (SELECT shard, list_reverse_sort({values}) FROM v GROUP BY shard
+  UNION ALL SELECT shard, list_reverse_sort(list_append(l[3:], l[1] - l[2])) FROM r WHERE len(l) > 1),
+x AS (SELECT shard, l[1] AS difference FROM r WHERE len(l) = 1)"""
+
+
+@query("B06_differencing", f"""
+WITH RECURSIVE v AS (SELECT CAST(doc_id // 50 AS BIGINT) AS shard, CAST(n_chars AS BIGINT) AS value FROM documents), {_difference_sql("list(value)")}
+SELECT shard, count(*) AS items, CAST(sum(value) AS BIGINT) AS total, CAST(any_value(difference) AS BIGINT) AS difference FROM v JOIN x USING (shard) GROUP BY shard""")
 def b06(spark, sf):
-    parts = packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 1000), "doc_id", "n_chars", lambda x: packing.differencing(x, min(8, len(x))), "part")
-    sums = parts.groupBy("shard", "part").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.max("value").alias("m"))
-    return sums.groupBy("shard").agg(F.sum("n").alias("items"), F.sum("s").alias("total"), (F.max("s") - F.min("s") <= F.max("m")).alias("balanced"))
+    parts = packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 50), "doc_id", "n_chars", lambda x: packing.differencing(x, 2), "part")
+    return _apart(parts)
+
+
+def _apart(parts):
+    sums = parts.groupBy("shard").agg(F.count("*").alias("items"), F.sum("value").alias("total"), F.sum(F.when(F.col("part") == 0, F.col("value")).otherwise(-F.col("value"))).alias("d"))
+    return sums.select("shard", "items", "total", F.abs("d").alias("difference"))
+
+
+@query("B06_equal_sizes", f"""
+WITH RECURSIVE d AS (SELECT CAST(doc_id // 50 AS BIGINT) AS shard, CAST(n_chars AS BIGINT) AS value, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY n_chars, doc_id) - 1 AS k FROM documents),
+v AS (SELECT shard, k // 2 AS p, max(value) - min(value) AS value, CAST(sum(value) AS BIGINT) AS s FROM d GROUP BY ALL), {_difference_sql("list(value)")}
+SELECT shard, CAST(2 * count(*) AS BIGINT) AS items, CAST(sum(s) AS BIGINT) AS total, CAST(any_value(difference) AS BIGINT) AS difference, CAST(count(*) AS BIGINT) AS each FROM v JOIN x USING (shard) GROUP BY shard""")
+def b06_equal(spark, sf):
+    parts = packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 50), "doc_id", "n_chars", lambda x: packing.differencing(x, 2, True), "part")
+    each = parts.groupBy("shard", "part").agg(F.count("*").alias("each")).select("shard", "each").distinct()
+    return _apart(parts).join(each, "shard")
 
 
-@query("B07_greedy", """
-WITH RECURSIVE d AS (SELECT conv_id AS shard, turn AS ordinal, CAST(length(text) AS BIGINT) AS value, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+_GREEDY = """d AS (SELECT conv_id AS shard, turn AS ordinal, CAST(length(text) AS BIGINT) AS value, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 r AS (SELECT shard, ordinal, value, k, CAST(0 AS BIGINT) AS part, value AS a, CAST(0 AS BIGINT) AS b FROM d WHERE k = 1
-  UNION ALL SELECT d.shard, d.ordinal, d.value, d.k, CASE WHEN r.a <= r.b THEN 0 ELSE 1 END, r.a + CASE WHEN r.a <= r.b THEN d.value ELSE 0 END, r.b + CASE WHEN r.a <= r.b THEN 0 ELSE d.value END FROM r JOIN d ON d.shard = r.shard AND d.k = r.k + 1)
-SELECT shard, ordinal, value, part FROM r""")
+  UNION ALL SELECT d.shard, d.ordinal, d.value, d.k, CASE WHEN r.a <= r.b THEN 0 ELSE 1 END, r.a + CASE WHEN r.a <= r.b THEN d.value ELSE 0 END, r.b + CASE WHEN r.a <= r.b THEN 0 ELSE d.value END FROM r JOIN d ON d.shard = r.shard AND d.k = r.k + 1)"""
+
+
+@query("B07_greedy", f"WITH RECURSIVE {_GREEDY} SELECT shard, ordinal, value, part FROM r")
 def b07(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
     return packing.by_shard(rows, F.col("conv_id"), "turn", "n", lambda x: packing.greedy(x, 2), "part")
 
 
-@query("B08_balanced_partition", "SELECT doc_id // 1000 AS shard, CAST(count(*) AS BIGINT) AS items, true AS covered FROM documents GROUP BY 1 HAVING count(*) >= 4")
+@query("B08_balanced_partition", f"""
+WITH RECURSIVE v AS (SELECT CAST(doc_id // 40 AS BIGINT) AS shard, 24576 * CAST(n_chars AS BIGINT) + CAST(n_chars AS BIGINT) * n_chars AS value FROM documents), {_difference_sql("list(value)")}
+SELECT shard, CAST((sum(value) - any_value(difference)) / 2 AS BIGINT) AS smaller, CAST((sum(value) + any_value(difference)) / 2 AS BIGINT) AS larger FROM v JOIN x USING (shard) GROUP BY shard""")
 def b08(spark, sf):
-    parts = packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 1000), "doc_id", "n_chars", lambda x: packing.differencing(x, 4) if len(x) >= 4 else [0] * len(x), "part")
-    out = parts.groupBy("shard").agg(F.count("*").alias("items"), (F.count_distinct("part") == 4).alias("covered"))
-    return out.filter("items >= 4")
+    rows = _docs(spark, sf).withColumn("load", packing.workload(F.col("n_chars").cast("long")))
+    parts = packing.by_shard(rows, F.floor(F.col("doc_id") / 40), "doc_id", "load", lambda x: packing.balanced(x, 2), "part")
+    sums = parts.groupBy("shard", "part").agg(F.sum("value").alias("s"))
+    return sums.groupBy("shard").agg(F.min("s").alias("smaller"), F.max("s").alias("larger"))
 
 
-@query("B09_micro_batches", "SELECT doc_id // 500 AS shard, CAST(least(count(*), ceil(ceil(sum(n_chars) / 40000.0) / 2) * 2) AS BIGINT) AS micro_batches, CAST(count(*) AS BIGINT) AS items FROM documents GROUP BY 1")
+@query("B09_micro_batches", f"""
+WITH RECURSIVE c AS (SELECT CAST(doc_id // 10 AS BIGINT) AS shard, CAST(n_chars AS BIGINT) AS n, least(count(*) OVER g, ceil(ceil(sum(n_chars) OVER g / 40000.0) / 2) * 2) AS micro FROM documents WINDOW g AS (PARTITION BY doc_id // 10)),
+v AS (SELECT shard, 24576 * n + n * n AS value FROM c WHERE micro = 2), {_difference_sql("list(value)")}
+SELECT shard, CAST((sum(value) - any_value(difference)) / 2 AS BIGINT) AS second, CAST((sum(value) + any_value(difference)) / 2 AS BIGINT) AS first FROM v JOIN x USING (shard) GROUP BY shard""")
 def b09(spark, sf):
-    rows = _docs(spark, sf).withColumn("g", F.floor(F.col("doc_id") / 500))
+    """Of batches that make two micro-batches the workload of both in their order: the larger stands first, as of two none is the middle."""
+    rows = _docs(spark, sf).withColumn("g", F.floor(F.col("doc_id") / 10))
     out = packing.micro_batches(rows, "g", "doc_id", "n_chars", 40_000, divided_by=2)
-    return out.groupBy("shard").agg(F.count_distinct("micro").alias("micro_batches"), F.count("*").alias("items"))
+    by = out.groupBy("shard", "micro").agg(F.sum(packing.workload(F.col("value"))).alias("load"))
+    return by.groupBy("shard").agg(F.count("*").alias("n"), F.min_by("load", "micro").alias("first"), F.max_by("load", "micro").alias("second")).filter("n = 2").select("shard", "first", "second")
 
 
-@query("B10_uid_groups", "SELECT count(DISTINCT l_orderkey) AS uids, CAST(count(*) AS BIGINT) AS items, true AS whole FROM lineitem")
+@query("B10_uid_groups", f"""
+WITH RECURSIVE u AS (SELECT o_custkey, l_orderkey, CAST(sum(24576 * CAST(l_quantity AS BIGINT) + CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS BIGINT) AS load FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+e AS (SELECT CAST(o_custkey AS BIGINT) AS shard, load, row_number() OVER (PARTITION BY o_custkey ORDER BY load, l_orderkey) - 1 AS k FROM u QUALIFY count(*) OVER (PARTITION BY o_custkey) % 2 = 0),
+v AS (SELECT shard, k // 2 AS p, max(load) - min(load) AS value, CAST(sum(load) AS BIGINT) AS s FROM e GROUP BY ALL), {_difference_sql("list(value)")}
+SELECT shard, CAST(count(*) AS BIGINT) AS groups_each, CAST((sum(s) - any_value(difference)) / 2 AS BIGINT) AS smaller, CAST((sum(s) + any_value(difference)) / 2 AS BIGINT) AS larger FROM v JOIN x USING (shard) GROUP BY shard""")
 def b10(spark, sf):
-    by = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("n"), F.count("*").alias("c"))
-    parts = packing.by_shard(by, F.floor(F.col("l_orderkey") / 4000), "l_orderkey", "n", lambda x: packing.differencing(x, min(4, len(x))), "part")
-    rows = table(spark, sf, "lineitem").select("l_orderkey").join(parts.select(F.col("ordinal").alias("l_orderkey"), "shard", "part"), "l_orderkey")
-    per = rows.groupBy("l_orderkey").agg(F.count("*").alias("c"), F.count_distinct("shard", "part").alias("p"))
-    return per.agg(F.count("*").alias("uids"), F.sum("c").alias("items"), F.bool_and(F.col("p") == 1).alias("whole"))
-
-
-@query("B11_restore_order", "SELECT doc_id, n_chars FROM documents")
+    """A customer's orders in two partitions of equally many orders; customers with an odd number are left to another k."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("n"))
+    rows = lines.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    even = rows.groupBy("o_custkey").agg(F.count_distinct("l_orderkey").alias("u")).filter("u % 2 = 0").select("o_custkey")
+    parts = packing.uid_partitions(rows.join(even, "o_custkey"), F.col("o_custkey"), "l_orderkey", "l_orderkey", "n", 2)
+    sums = parts.groupBy("shard", "part").agg(F.count("*").alias("g"), F.sum("workload").alias("s"))
+    return sums.groupBy("shard").agg(F.max("g").alias("groups_each"), F.min("s").alias("smaller"), F.max("s").alias("larger"))
+
+
+@query("B11_restore_order", f"""
+WITH RECURSIVE {_GREEDY}
+SELECT shard, ordinal, value, row_number() OVER (PARTITION BY shard ORDER BY ordinal) - 1 AS place, row_number() OVER (PARTITION BY shard ORDER BY part, ordinal) - 1 AS source FROM r""")
 def b11(spark, sf):
-    packs = packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 1000), "doc_id", "n_chars", lambda x: packing.greedy(x, 4), "part")
-    back = packs.join(_docs(spark, sf), packs["ordinal"] == F.col("doc_id"))
-    return back.select("doc_id", F.col("value").alias("n_chars"))
+    return packing.restored(packing.arranged(b07(spark, sf), "shard", "part", "ordinal"), "shard", "ordinal").select("shard", "ordinal", "value", "place", "source")
 
 
-@query("B12_pad_to_multiple", "SELECT count(*) + (-count(*) % 64 + 64) % 64 AS rows, CAST((-count(*) % 64 + 64) % 64 AS BIGINT) AS padding FROM documents")
+@query("B12_pad_to_multiple", """
+WITH n AS (SELECT (-count(*) % 64 + 64) % 64 AS short FROM documents)
+SELECT doc_id, n_chars, false AS is_padding FROM documents UNION ALL SELECT doc_id, n_chars, true FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents), n WHERE i <= short""")
 def b12(spark, sf):
-    out = packing.padded(_docs(spark, sf), 64, "doc_id")
-    return out.agg(F.count("*").alias("rows"), F.count_if("is_padding").alias("padding"))
+    return packing.padded(_docs(spark, sf).select("doc_id", "n_chars"), 64, "doc_id")
 
 
 @query("B13_token_bins", "SELECT CASE WHEN n_chars <= 4096 THEN '4K' WHEN n_chars <= 8192 THEN '8K' WHEN n_chars <= 16384 THEN '16K' WHEN n_chars <= 32768 THEN '32K' WHEN n_chars <= 65536 THEN '64K' ELSE '128K' END AS bin, count(*) AS n FROM documents GROUP BY 1")
 def b13(spark, sf):
-    n = F.col("n_chars")
-    bin_ = F.lit("128K")
-    for k in (64, 32, 16, 8, 4):
-        bin_ = F.when(n <= k * 1024, f"{k}K").otherwise(bin_)
-    return _docs(spark, sf).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return _docs(spark, sf).groupBy(packing.token_bin(F.col("n_chars")).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("B14_fixed_length", "SELECT o_custkey, list_resize(o[1:4], 4, -1) AS ids FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS o FROM orders GROUP BY 1)")
@@ -118,15 +175,7 @@ def b14(spark, sf):
 
 @query("B15_kmeans")
 def b15(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from braidwork.operators.retrieval import norm
-
-    length = norm("embedding")
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.greatest(length, F.lit(1e-12)))
-    rows = table(spark, sf, "embeddings").select("vec_id", array_to_vector(unit).alias("features"))
-    return KMeans(k=10, seed=42, maxIter=20).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+    return retrieval.clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 10).select("vec_id", "cluster")
 
 
 _ROUNDS = "(SELECT user_id AS task, event_id AS round, round(value / 500, 6) AS score, event_type = 'purchase' AND value > 150 AS complete, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS errors FROM events)"
@@ -194,11 +243,14 @@ def r05(spark, sf):
 
 
 @query("R06_pool_refill", """
-WITH RECURSIVE r AS (SELECT -1 AS step, CAST(0 AS BIGINT) AS admitted, CAST(0 AS BIGINT) AS queued, CAST(100 AS BIGINT) AS remaining
-  UNION ALL SELECT step + 1, least(greatest(32 - queued, 0), remaining), queued + least(greatest(32 - queued, 0), remaining) - least(24, queued + least(greatest(32 - queued, 0), remaining)), remaining - least(greatest(32 - queued, 0), remaining) FROM r WHERE step < 5)
-SELECT CAST(step AS BIGINT) AS step, admitted, queued FROM r WHERE step >= 0""")
+WITH RECURSIVE t AS (SELECT count(*) AS total FROM customer), e AS (SELECT CAST(user_id % 6 AS BIGINT) AS step, CAST(count(DISTINCT user_id) AS BIGINT) AS done FROM events GROUP BY 1),
+r AS (SELECT CAST(-1 AS BIGINT) AS step, CAST(0 AS BIGINT) AS admitted, CAST(0 AS BIGINT) AS queued, total AS remaining FROM t
+  UNION ALL SELECT r.step + 1, least(greatest(32 - queued, 0), remaining), queued + least(greatest(32 - queued, 0), remaining) - least(done, queued + least(greatest(32 - queued, 0), remaining)), remaining - least(greatest(32 - queued, 0), remaining) FROM r JOIN e ON e.step = r.step + 1)
+SELECT step, admitted, queued FROM r WHERE step >= 0""")
 def r06(spark, sf):
-    return spark.createDataFrame(buffer.refill_plan(32, 100, [24] * 6), "step long, admitted long, queued long")
+    """A pool of 32 refilled from the customers, from which each step takes as many as it has users."""
+    done = table(spark, sf, "events").groupBy((F.col("user_id") % 6).alias("step")).agg(F.count_distinct("user_id").alias("done"))
+    return buffer.refilled(table(spark, sf, "customer"), done, "step", "done", 32)
 
 
 @query("R07_reconcile", f"SELECT uid, min(line) AS first_line, coalesce(max_by(value, line) FILTER (status = 'complete'), max_by(value, line)) AS value, bool_or(status = 'complete') AS complete FROM (SELECT uid, line, value, CASE WHEN status = 'finished' THEN 'complete' ELSE 'started' END AS status FROM {_LOG}) GROUP BY uid")
@@ -207,10 +259,16 @@ def r07(spark, sf):
     return buffer.reconcile(rows, "uid", "line", "status")
 
 
-@query("R08_resume_batches", "SELECT doc_id, doc_id // 64 AS batch FROM documents WHERE doc_id // 64 >= 3")
+@query("R08_resume_batches", "SELECT doc_id, doc_id // 64 AS batch, CASE WHEN doc_id // 64 < 2 THEN 1 ELSE 2 END AS run FROM documents")
 def r08(spark, sf):
-    done = spark.createDataFrame([(i,) for i in range(3)], "batch long")
-    return _docs(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 64).alias("batch")).join(done, "batch", "left_anti").select("doc_id", "batch")
+    """Two batches in a first run, whose index is saved; a second run takes what the index says is left."""
+    from braidwork.sources import files
+
+    batches = _docs(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 64).alias("batch"))
+    index = files.new_path(spark, "sampling-index")
+    first = buffer.remaining_batches(batches, "batch", index).filter("batch < 2").withColumn("run", F.lit(1))
+    buffer.save_batches(first, "batch", index)
+    return first.unionByName(buffer.remaining_batches(batches, "batch", index).withColumn("run", F.lit(2)))
 
 
 @query("R09_resample", "SELECT doc_id FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 400) WHERE lang <> 'en' ORDER BY doc_id LIMIT 50")
@@ -263,9 +321,17 @@ def e06(spark, sf):
     return out.select(F.col("key").alias("event_type"), F.round("value", 4).alias("mean"))
 
 
-@query("E08_rubric_columns", "SELECT event_id, CASE WHEN value > 40 THEN 1.0 ELSE 0.0 END AS score FROM events")
+@query("E08_rubric_columns", "SELECT event_id, round(0.5 * CASE WHEN value > 40 THEN 1.0 ELSE 0.0 END + 0.5 * CASE WHEN value >= 10 THEN value / 500 ELSE 0 END, 6) AS score, 2 AS seen, CASE WHEN value > 40 THEN 1.0 ELSE 0.0 END AS high FROM events")
 def e08(spark, sf):
-    return table(spark, sf, "events").select("event_id", (F.col("value") > 40).cast("double").alias("score"))
+    from braidwork.functions import rubrics
+
+    high = rubrics.Rubric("high", lambda action, seen: (seen > 40).cast("double"))
+    scaled = rubrics.Rubric("scaled", lambda action, seen: rubrics.gate(seen / 500, 0.02))
+    both = rubrics.Rubric("both", children=[(high, 0.5), (scaled, 0.5)])
+    calls = []
+    both.before(lambda r, action, seen: calls.append(r.name)).after(lambda r, action, seen, score: calls.append(r.name))
+    rows = both.scored(table(spark, sf, "events"), F.col("event_type"), F.col("value"))
+    return rows.select("event_id", F.round("both", 6).alias("score"), F.lit(len(calls)).alias("seen"), F.col("both/high").alias("high"))
 
 
 @query("E09_parser_registry", "SELECT event_id, event_type AS name, CAST(user_id AS VARCHAR) AS id FROM events")
@@ -279,9 +345,10 @@ def e09(spark, sf):
 
 @query("E11_keep_callback", "SELECT event_id FROM events WHERE value > 25 AND user_id % 2 = 0")
 def e11(spark, sf):
-    keep = lambda e: (e["value"] > 25) & (e["user_id"] % 2 == 0)
-    events = table(spark, sf, "events")
-    return events.filter(keep(events)).select("event_id")
+    from braidwork.functions import extend
+
+    kept, _ = extend.keep_episodes(table(spark, sf, "events"), lambda e: (e["value"] > 25) & (e["user_id"] % 2 == 0))
+    return kept.select("event_id")
 
 
 @query("W16_running_window", "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from braidwork.functions import extend
 from braidwork.functions import text as tx
 
 from .registry import query, table
@@ -136,10 +137,7 @@ def x11(spark, sf):
 def x12(spark, sf):
     e = F.col("event_type")
     scorers = {"view": (F.col("user_id") % 2 == 0).cast("double"), "click": F.col("value"), "purchase": F.lit(-1.0), "signup": F.lit(-1.0), "error": F.lit(-1.0)}
-    score = F.raise_error(F.concat(F.lit("no scorer for "), e)).cast("double")
-    for name, value in scorers.items():
-        score = F.when(e == name, value).otherwise(score)
-    return table(spark, sf, "events").select("event_id", F.round(score, 4).alias("score"))
+    return table(spark, sf, "events").select("event_id", F.round(extend.dispatched(e, scorers), 4).alias("score"))
 
 
 @query("X13_format_reward", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS think, CASE WHEN event_id % 3 = 1 THEN 1.0 ELSE 0.0 END AS react FROM events")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import extend
 from braidwork.functions import text as tx
-from braidwork.operators import sampling
 from braidwork.sources import files
 from braidwork.streaming import buffer, run
 
@@ -61,17 +60,13 @@ def e04(spark, sf):
 
 @query("E05_custom_sampler", "SELECT doc_id FROM documents ORDER BY md5('7|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
 def e05(spark, sf):
-    samplers = {"hashed": lambda df, n: df.orderBy(sampling.hash_order("doc_id", 7), "doc_id").limit(n)}
-    return samplers["hashed"](table(spark, sf, "documents").select("doc_id"), 100)
+    return extend.SAMPLERS.get("hashed")(table(spark, sf, "documents").select("doc_id"), 100, "doc_id", 7)
 
 
 @query("E07_replay_sampler", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1 ORDER BY 2, 1 LIMIT 20")
 def e07(spark, sf):
-    class Oldest:
-        def sample(self, groups, n):
-            return groups.orderBy("event_id", "user_id").limit(n)
-
-    return Oldest().sample(table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id")), 20)
+    groups = table(spark, sf, "events").groupBy(F.col("user_id").alias("uid")).agg(F.min("event_id").alias("step"))
+    return extend.REPLAY.get("oldest")().sample(groups, 20).select(F.col("uid").alias("user_id"), F.col("step").alias("event_id"))
 
 
 @query("E10_batched_scores", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM benchmark")

@@ -59,6 +59,30 @@ def refill_plan(target: int, total: int, done_each_step: list[int]) -> list[tupl
     return out
 
 
+def refilled(items: DataFrame, done: DataFrame, step: str, taken: str, target: int) -> DataFrame:
+    """step, admitted, queued of a pool refilled from a table's rows before each step, as refill_plan; done says what each step takes.
+
+    A step depends on the one before, so the few rows of done, one a step, are folded by the driver.
+    """
+    steps = [r[1] for r in done.select(step, taken).orderBy(step).collect()]
+    return items.sparkSession.createDataFrame(refill_plan(target, items.count(), steps), "step long, admitted long, queued long")
+
+
+def save_batches(done: DataFrame, batch: str, index: str) -> None:
+    """Adds the batches of a run to the saved index."""
+    done.select(F.col(batch).cast("long").alias("batch")).distinct().write.mode("append").parquet(index)
+
+
+def remaining_batches(df: DataFrame, batch: str, index: str) -> DataFrame:
+    """The rows of batches that the saved index does not hold; all where there is no index yet."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(index)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return df
+    done = spark.read.schema("batch long").parquet(index).distinct().withColumnRenamed("batch", "_done")
+    return df.join(done, F.col(batch) == F.col("_done"), "left_anti")
+
+
 def reconcile(df: DataFrame, task: str, line: str, status: str) -> DataFrame:
     """Log entries of a task merged: place of the first, values of the last complete one, else of the last."""
     complete = F.col(status).isNull() | (F.col(status) == "complete")
