@@ -41,13 +41,23 @@ def clipped(df: DataFrame, start: str, end: str, low, high) -> DataFrame:
     return overlapping(df, start, end, low, high).withColumn(start, F.greatest(F.col(start), F.lit(low))).withColumn(end, F.least(F.col(end), F.lit(high)))
 
 
-def merged_periods(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Periods of a group joined where they overlap or touch: a new one begins where start lies beyond every end before."""
-    w = Window.partitionBy(group).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.select(group, start, end, F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0).alias("_new"))
-    rows = rows.withColumn("_island", F.sum("_new").over(w))
-    return rows.groupBy(group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+def merged_periods(df: DataFrame, group: str, start: str, end: str, width: int = 7 * 86_400) -> DataFrame:
+    """Periods of a group joined where they overlap or touch: a new one begins where start lies beyond every end before.
+
+    Periods that begin within the same `width` seconds (units, for plain numbers) are joined first, so that a group with very many is not one task's work:
+    what is left for the last step is a row a gap.
+    """
+
+    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(start, end)
+        before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
+        rows = rows.withColumn("_island", F.sum("_new").over(w))
+        return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+    at = {"timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(F.col(c).cast("timestamp")), "date": F.unix_date}.get(kind := dict(df.dtypes)[start], F.col)(start)
+    slot = F.floor(at / F.lit(width * 1_000_000 if kind.startswith("timestamp") else max(1, width // 86_400) if kind == "date" else width))
+    return joined(joined(df.select(group, start, end, slot.alias("_slot")), [group, "_slot"]), [group])
 
 
 def page(df: DataFrame, order: list[str | Column], offset: int, limit: int) -> DataFrame:

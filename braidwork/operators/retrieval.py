@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,15 +63,15 @@ def cosine_top_k(base: DataFrame, queries: DataFrame, k: int, least: float, key:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-#: Questions up to this number are broadcast; more are joined by word.
-MAX_QUESTIONS = 4096
+#: Questions that are sent to the texts at once, and their bytes; more go in several passes.
+MAX_QUESTIONS, MAX_QUESTION_BYTES = 4096, 16 << 20
 
 
 def keyword_top_k(docs: DataFrame, questions: DataFrame, key: str, text: str, question_key: str, question_text: str, k: int) -> DataFrame:
     """question, key, score, rank: sum over the question's distinct words of count / words of the text; rows without a common word don't count.
 
-    A common word joins nearly all texts with nearly all questions, so a bounded number of questions goes to the texts
-    instead: a task scores its texts by one sparse product and passes on k rows a question and batch.
+    A common word joins nearly all texts with nearly all questions, so questions go to the texts instead, a bounded number and size of
+    them at once: a task scores its texts by one product of counts and passes on k rows a question and batch.
 
     Texts that share an id are one entry with the sum of their scores, questions that share an id are one of the distinct words
     of all; rows without id or text don't count. Texts of a repeated id are joined by word, since their sum is known only
@@ -80,60 +79,62 @@ def keyword_top_k(docs: DataFrame, questions: DataFrame, key: str, text: str, qu
     """
     docs = docs.select(F.col(key).cast("long").alias(key), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
     asked = questions.select(F.col(question_key).cast("long"), question_text).filter(F.col(question_key).isNotNull() & F.col(question_text).isNotNull())
-    few = asked.limit(MAX_QUESTIONS + 1).collect()
-    if len(few) > MAX_QUESTIONS:
-        scored = _keyword_join(docs, asked, key, text, question_key, question_text)
-    else:
-        repeated = docs.groupBy(F.col(key).alias("_repeated")).count().filter("count > 1").select("_repeated")
-        once = docs.join(repeated, docs[key] == repeated["_repeated"], "left_anti")
-        more = docs.join(repeated, docs[key] == repeated["_repeated"], "left_semi")
-        scored = _keyword_scan(once, [tuple(r) for r in few], key, text, k).unionByName(_keyword_join(more, asked, key, text, question_key, question_text))
+    # one row a question: the distinct words of all its rows
+    asked = asked.select(F.col(question_key).alias("question"), _words(question_text).alias("words")).groupBy("question").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    n, size = asked.agg(F.count("*"), F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w)))).first()
+    repeated = docs.groupBy(F.col(key).alias("_repeated")).count().filter("count > 1").select("_repeated")
+    once = docs.join(repeated, docs[key] == repeated["_repeated"], "left_anti")
+    more = docs.join(repeated, docs[key] == repeated["_repeated"], "left_semi")
+    scored = _keyword_join(more, asked, key, text)
+    passes = max(1, -(-n // MAX_QUESTIONS), -(-(size or 0) // MAX_QUESTION_BYTES))
+    for i in range(passes):
+        few = asked.filter(F.pmod(F.xxhash64("question"), F.lit(passes)) == i).collect()
+        scored = scored.unionByName(_keyword_scan(once, [tuple(r) for r in few], key, text, k))
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.round("score", 10).desc(), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _keyword_scan(docs: DataFrame, questions: list[tuple[int, str]], key: str, text: str, k: int) -> DataFrame:
-    place = {q: i for i, q in enumerate(dict.fromkeys(q for q, _ in questions))}
-    ids = np.array(list(place), np.int64)
-    owners: dict[str, list[int]] = {}
-    for q, t in questions:
-        for w in set(_words(t)):
-            owners.setdefault(w, []).append(place[q])
-    shared = docs.sparkSession.sparkContext.broadcast((ids, {w: np.unique(o) for w, o in owners.items()}))
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def _keyword_scan(docs: DataFrame, questions: list[tuple[int, list[str]]], key: str, text: str, k: int) -> DataFrame:
+    ids = np.array([q for q, _ in questions], np.int64)
+    names = {w: i for i, w in enumerate(sorted({w for _, words in questions for w in words}))}
+    pairs = np.array([(names[w], q) for q, (_, words) in enumerate(questions) for w in words], np.int64).reshape(-1, 2)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, pa.array(list(names), pa.string()), pairs[np.argsort(pairs[:, 0], kind="stable")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, owners = shared.value
+        ids, names, pairs = shared.value
+        first = np.searchsorted(pairs[:, 0], np.arange(len(names) + 1))  # of the questions that have each word
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
-                keys, scores = part.column("_key").to_numpy(), np.zeros((part.num_rows, len(ids)))
-                for row, t in zip(scores, part.column("_text").to_pylist()):
-                    found = Counter(_words(t))
-                    n = max(1, found.total())
-                    for w, c in found.items():
-                        if (o := owners.get(w)) is not None:
-                            row[o] += c / n
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                lists = part.column("_words")
+                size = np.diff(lists.offsets.to_numpy())
+                word = pc.fill_null(pc.index_in(lists.flatten(), names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(part.num_rows), size)
+                # how often each text has each word that is asked for, then that share to each question with the word
+                pair, count = np.unique(row[word >= 0] * len(names) + word[word >= 0], return_counts=True) if len(names) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                row, word = np.divmod(pair, max(1, len(names)))
+                each = first[word + 1] - first[word]
+                at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[word], each)
+                keys, share = part.column("_key").to_numpy(), np.repeat(count / np.maximum(size[row], 1), each)
+                flat = np.repeat(row, each) * len(ids) + pairs[at, 1]
+                scores = np.bincount(flat, weights=share, minlength=part.num_rows * len(ids)).reshape(part.num_rows, len(ids))
                 order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -np.round(scores, 10)), axis=0)[:k]
                 best = np.take_along_axis(scores, order, 0)
                 a, q = np.nonzero(best > 0)
                 yield pa.RecordBatch.from_pydict({"question": pa.array(ids[q]), key: pa.array(keys[order[a, q]]), "score": pa.array(best[a, q])})
 
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).filter("_key is not null and _text is not null")
+    rows = docs.select(F.col(key).cast("long").alias("_key"), _words(text).alias("_words"))
     return rows.mapInArrow(run, f"question long, `{key}` long, score double")
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
-
-
-def _keyword_join(docs: DataFrame, questions: DataFrame, key: str, text: str, question_key: str, question_text: str) -> DataFrame:
+def _keyword_join(docs: DataFrame, questions: DataFrame, key: str, text: str) -> DataFrame:
     """Words of texts are counted before they meet those of questions: one row a word and text on either side."""
-
-    def words(c: str) -> Column:
-        return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-
-    counted = docs.select(key, F.size(words(text)).alias("_n"), F.explode(words(text)).alias("_w")).groupBy(key, "_n", "_w").agg(F.count("*").alias("_c"))
-    asked = questions.select(F.col(question_key).alias("question"), F.explode(words(question_text)).alias("_w")).distinct()
+    counted = docs.select(key, F.size(_words(text)).alias("_n"), F.explode(_words(text)).alias("_w")).groupBy(key, "_n", "_w").agg(F.count("*").alias("_c"))
+    asked = questions.select("question", F.explode("words").alias("_w"))
     return counted.join(asked, "_w").groupBy("question", key).agg(F.sum(F.col("_c") / F.greatest("_n", F.lit(1))).alias("score"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from braidwork.functions import extend
+from braidwork.functions import extend, payloads
 from braidwork.functions import text as tx
 
 from .registry import query, table
@@ -264,12 +264,18 @@ def x23_steps(spark, sf):
     return parsed_plans(spark, sf)
 
 
-@query("X24_advice_kind", "SELECT event_id, event_type AS body, CASE WHEN event_type = 'error' THEN 'fix' ELSE 'plan' END AS kind FROM events")
+@query("X24_advice_kind", """
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'tool_chain' ELSE 'advice' END AS type,
+  CASE event_type WHEN 'view' THEN '[Reference plan] ' || user_id WHEN 'error' THEN 'Plain ' || user_id WHEN 'click' THEN 'Do ' || user_id || chr(10) || 'then stop' ELSE 'This task is within your ability and can be solved directly.' END AS body,
+  CASE WHEN event_type IN ('purchase', 'signup') THEN 'positive' ELSE 'corrective' END AS kind FROM events""")
 def x24(spark, sf):
-    t = F.concat(F.lit("[Expert advice] "), F.when(F.col("event_type") == "error", "FIX: ").otherwise("PLAN: "), "event_type", F.lit(" (end of advice)"))
-    body = F.trim(F.regexp_extract(t, r"(?s)^\[Expert advice\]\s*(?:FIX|PLAN):\s*(.*?)\s*(?:\(end of advice\))?$", 1))
-    kind = F.when(F.startswith(F.trim(F.substring_index(t, "]", -1)), F.lit("FIX")), "fix").otherwise("plan")
-    return table(spark, sf, "events").select("event_id", body.alias("body"), kind.alias("kind"))
+    e, u = F.col("event_type"), F.col("user_id").cast("string")
+    tail = F.when(F.col("event_id") % 2 == 0, F.lit("\n\nNotice: go")).otherwise(F.lit("\n\n[User Question]\nwhat? # Advice: no"))
+    text = F.when(e == "view", F.concat(F.lit("[Reference plan] "), u)).when(e == "error", F.concat(F.lit("Plain "), u))
+    text = text.when(e == "click", F.concat(F.lit("[Expert advice]\n# Advice:\n Do "), u, F.lit("\nthen stop "))).otherwise(F.lit(f"[Expert advice] # Advice: {payloads.SOLVED_MARK}"))
+    prompt = F.concat(text, tail)
+    body = payloads.advice_body(prompt)
+    return table(spark, sf, "events").select("event_id", payloads.prompt_type(prompt).alias("type"), body.alias("body"), payloads.advice_kind(body).alias("kind"))
 
 
 @query("X25_code_block", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'x = ' || CAST(user_id AS VARCHAR) ELSE 'plain' END AS code FROM events")
@@ -291,17 +297,21 @@ def x26_runs(spark, sf):
     return table(spark, sf, "events").select("event_id", tx.longest_code_udf(t).alias("code"))
 
 
-@query("X27_test_payload", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 2 END AS cases FROM events")
+@query("X27_test_payload", "SELECT event_id, CASE event_id % 6 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS cases, CASE event_id % 6 WHEN 2 THEN event_type END AS fn_name FROM events")
 def x27(spark, sf):
-    body = F.when(F.col("event_id") % 3 == 0, F.lit('{"inputs": ["1"], "outputs": ["1", "2"]}')).otherwise(F.lit('{"inputs": ["1", "2"], "outputs": ["1", "2"]}'))
-    p = F.from_json(body, "inputs array<string>, outputs array<string>")
-    n = F.when(F.size(p["inputs"]) == F.size(p["outputs"]), F.size(p["inputs"]))
-    return table(spark, sf, "events").select("event_id", n.alias("cases"))
+    m, e = F.col("event_id") % 6, F.col("event_type")
+    body = F.when(m == 0, F.lit('{"inputs": ["1"], "outputs": ["1", "2"]}')).when(m == 1, F.lit('{"inputs": ["1", "2"], "outputs": ["1", "2"]}')).when(m == 2, F.concat(F.lit('{"inputs": [[1]], "outputs": [2], "fn_name": "'), e, F.lit('"}')))
+    body = body.when(m == 3, F.lit('{"inputs": [], "outputs": []}')).when(m == 4, F.lit('{"inputs": ["1"], "outputs": ["1"], "fn_name": " "}')).otherwise(F.lit("{broken"))
+    rows = table(spark, sf, "events").select("event_id", payloads.parsed_tests(body).alias("p"))
+    return rows.select("event_id", F.when(F.col("p").isNotNull(), F.size("p.inputs")).alias("cases"), "p.fn_name")
 
 
-@query("X28_decode_tests", "SELECT event_id, props AS payload FROM events")
+@query("X28_decode_tests", """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '[{"input": "' || user_id || '", "output": "é ' || event_type || '"}]' END AS tests FROM events""")
 def x28(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.unbase64(F.base64(F.col("props").cast("binary"))).cast("string").alias("payload"))
+    m = F.col("event_id") % 3
+    plain = F.concat(F.lit('[{"input": "'), F.col("user_id").cast("string"), F.lit('", "output": "é '), "event_type", F.lit('"}]'))
+    raw = F.when(m == 0, plain).when(m == 1, payloads.encoded_tests(plain)).otherwise(F.lit("aGVsbG8="))
+    return table(spark, sf, "events").select("event_id", payloads.decoded_tests(raw).alias("tests"))
 
 
 @query("X29_finance_match", "SELECT event_id, CASE WHEN user_id = 0 THEN 1.0 WHEN event_id % 3 = 0 THEN 1.0 WHEN event_id % 3 = 1 THEN 1.0 ELSE CASE WHEN user_id * 0.05 <= user_id * 0.01 THEN 1.0 ELSE 0.0 END END AS score FROM events")
@@ -359,22 +369,23 @@ def x32_rank(spark, sf):
 
 
 @query("X33_info_nce", """
-SELECT user_id, round(max(CASE WHEN event_type = 'view' THEN value END) - max(CASE WHEN event_type <> 'view' THEN value END), 4) + 0.0 AS margin, max(CASE WHEN event_type = 'view' THEN value END) > max(CASE WHEN event_type <> 'view' THEN value END) AS top1 FROM events GROUP BY 1""")
+SELECT user_id, round(max(CASE WHEN event_type = 'view' THEN value END) - max(CASE WHEN event_type <> 'view' THEN value END), 4) + 0.0 AS margin, max(CASE WHEN event_type = 'view' THEN value END) > max(CASE WHEN event_type <> 'view' THEN value END) AS top1,
+  round(avg(CASE WHEN event_type = 'view' THEN value END), 4) AS mean_pos, round(avg(CASE WHEN event_type <> 'view' THEN value END), 4) AS mean_neg FROM events GROUP BY 1""")
 def x33(spark, sf):
-    pos, neg = F.max(F.when(F.col("event_type") == "view", F.col("value"))), F.max(F.when(F.col("event_type") != "view", F.col("value")))
-    return table(spark, sf, "events").groupBy("user_id").agg((F.round(pos - neg, 4) + 0.0).alias("margin"), (pos > neg).alias("top1"))
+    out = payloads.info_nce(table(spark, sf, "events"), "user_id", "value", F.col("event_type") == "view")
+    return out.select("user_id", (F.round("margin", 4) + 0.0).alias("margin"), "top1", F.round("mean_pos", 4).alias("mean_pos"), F.round("mean_neg", 4).alias("mean_neg"))
 
 
 @query("X34_token_accuracy", """
-WITH s AS (SELECT l_orderkey, l_linenumber AS t, CASE WHEN l_linenumber = 3 THEN -100 ELSE l_linenumber END AS label, CASE WHEN l_returnflag = 'A' THEN l_linenumber ELSE 0 END AS pred FROM lineitem)
-SELECT l_orderkey, round(avg(CASE WHEN pred = label THEN 1 ELSE 0 END) FILTER (label <> -100), 4) AS token_acc, coalesce(bool_and(pred = label) FILTER (label <> -100), true) AS seq_acc FROM s GROUP BY 1""")
+WITH s AS (SELECT l_orderkey, list(CASE WHEN l_linenumber = 3 THEN -100 ELSE l_linenumber END ORDER BY l_partkey, l_suppkey) AS labels, list(CASE WHEN l_returnflag = 'A' THEN l_linenumber ELSE 0 END ORDER BY l_partkey, l_suppkey) AS preds FROM lineitem GROUP BY 1),
+z AS (SELECT l_orderkey, list_filter(list_transform(range(1, len(labels)), lambda i: CASE WHEN labels[i + 1] <> -100 THEN preds[i] = labels[i + 1] END), lambda x: x IS NOT NULL) AS hits FROM s)
+SELECT l_orderkey, round(len(list_filter(hits, lambda x: x)) / nullif(len(hits), 0), 4) AS token_acc, len(list_filter(hits, lambda x: NOT x)) = 0 AS seq_acc FROM z""")
 def x34(spark, sf):
     n = F.col("l_linenumber")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.when(n == 3, -100).otherwise(n).alias("label"), F.when(F.col("l_returnflag") == "A", n).otherwise(0).alias("pred")).alias("t"))
-    seqs = rows.groupBy("l_orderkey").agg(F.collect_list("t").alias("ts"))
-    live = F.filter("ts", lambda t: t["label"] != -100)
-    hits = F.size(F.filter(live, lambda t: t["label"] == t["pred"]))
-    return seqs.select("l_orderkey", F.round(F.when(F.size(live) > 0, hits / F.size(live)), 4).alias("token_acc"), F.forall(live, lambda t: t["label"] == t["pred"]).alias("seq_acc"))
+    pair = F.struct("l_partkey", "l_suppkey", F.when(n == 3, -100).otherwise(n).alias("label"), F.when(F.col("l_returnflag") == "A", n).otherwise(0).alias("pred"))
+    seqs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(pair)).alias("ts"))
+    hits = payloads.label_hits(F.transform("ts", lambda t: t["pred"]), F.transform("ts", lambda t: t["label"]))
+    return seqs.select("l_orderkey", F.round(payloads.token_accuracy(hits), 4).alias("token_acc"), payloads.sequence_accuracy(hits).alias("seq_acc"))
 
 
 @query("X36_loss_weights", """

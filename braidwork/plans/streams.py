@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from braidwork.functions import extend
+from braidwork.functions import extend, payloads
 from braidwork.functions import text as tx
 from braidwork.sources import files
 from braidwork.streaming import buffer, run
@@ -86,16 +86,28 @@ def c11(spark, sf):
     return rows.unionByName(spark.createDataFrame([(1000, "new")], "n_nationkey long, n_name string"))
 
 
-@query("X35_rouge_1", """
-WITH p AS (SELECT conv_id, turn, list_filter(string_split(lower(text), ' '), lambda w: w <> '') AS x, list_filter(string_split(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)), ' '), lambda w: w <> '') AS y FROM conversations),
-q AS (SELECT * FROM p WHERE y IS NOT NULL),
-u AS (SELECT conv_id, turn, w, sum(i) AS i, sum(j) AS j FROM (SELECT conv_id, turn, unnest(x) AS w, 1 AS i, 0 AS j FROM q UNION ALL SELECT conv_id, turn, unnest(y), 0, 1 FROM q) GROUP BY ALL),
-c AS (SELECT conv_id, turn, sum(least(i, j)) AS c FROM u GROUP BY ALL)
-SELECT conv_id, turn, round(CASE WHEN coalesce(c, 0) = 0 THEN 0 ELSE 2.0 * c / (len(x) + len(y)) END, 6) AS rouge_1 FROM q LEFT JOIN c USING (conv_id, turn)""")
+_NEXT_WORDS = """p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS x, list_filter(regexp_split_to_array(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)), '\\s+'), lambda w: w <> '') AS y FROM conversations),
+q AS (SELECT * FROM p WHERE len(x) > 0 AND len(y) > 0)"""
+
+
+def _rouge_sql(n):
+    grams = lambda c: f"list_transform(range(1, greatest(len({c}) - {n - 2}, 1)), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))"
+    return f"""u{n} AS (SELECT conv_id, turn, w, sum(i) AS i, sum(j) AS j FROM (SELECT conv_id, turn, unnest({grams("x")}) AS w, 1 AS i, 0 AS j FROM q UNION ALL SELECT conv_id, turn, unnest({grams("y")}), 0, 1 FROM q) GROUP BY ALL),
+c{n} AS (SELECT conv_id, turn, 2.0 * sum(least(i, j)) / sum(i + j) AS f FROM u{n} GROUP BY ALL)"""
+
+
+@query("X35_rouge", f"""
+WITH {_NEXT_WORDS}, {_rouge_sql(1)}, {_rouge_sql(2)}
+SELECT conv_id, turn, round(coalesce(c1.f, 0), 6) AS rouge_1, round(coalesce(c2.f, 0), 6) AS rouge_2 FROM q LEFT JOIN c1 USING (conv_id, turn) LEFT JOIN c2 USING (conv_id, turn)""")
 def x35(spark, sf):
-    """ROUGE-1 F over words parted by blanks; segmenters and stemmers of the usual libraries are not there."""
+    return x35_all(spark, sf).select("conv_id", "turn", F.round("rouge_1", 6).alias("rouge_1"), F.round("rouge_2", 6).alias("rouge_2"))
+
+
+@query("X35_rouge_l_bleu")
+def x35_all(spark, sf):
+    """ROUGE and BLEU of a turn against the next, over words parted by white space; segmenters and stemmers of the usual libraries are not there."""
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf, "conversations").withColumn("next", nxt).filter("next is not null")
-    rows = rows.select("conv_id", "turn", tx.words(F.lower("text")).alias("x"), tx.words(F.lower("next")).alias("y"))
-    both, n = tx.word_overlap_udf(F.col("x"), F.col("y")), F.size("x") + F.size("y")
-    return rows.select("conv_id", "turn", F.round(F.when(both == 0, 0.0).otherwise(2.0 * both / n), 6).alias("rouge_1"))
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    rows = table(spark, sf, "conversations").withColumn("next", nxt).select("conv_id", "turn", words("text").alias("x"), words("next").alias("y"))
+    rows = rows.filter("size(x) > 0 and size(y) > 0").select("conv_id", "turn", payloads.overlaps_udf("x", "y").alias("o"))
+    return rows.select("conv_id", "turn", "o.*")

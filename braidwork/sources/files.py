@@ -141,9 +141,9 @@ def dated_rows(df: DataFrame, column: str, first: str | None, last: str | None)
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes, sha256 of each file. A file is one row, so it must be smaller than 2 GB."""
+    """path, name, bytes, sha256 of each file. A file is one row, so it must be smaller than 2 GB."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def by_ordinal(df: DataFrame, ordinal: str, wanted: list[int], rows: int | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 """Hand-computed cases of single operators."""
 
 import ast
+import itertools
 import json
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -372,3 +374,143 @@ def test_keyword_top_k_of_repeated_ids_either_way(spark, monkeypatch):
     assert ranked() == want
     monkeypatch.setattr(retrieval, "MAX_QUESTIONS", 1)
     assert ranked() == want
+
+
+def test_encoded_payloads():
+    import base64
+    import pickle
+    import zlib
+
+    from braidwork.functions import payloads
+
+    pack = lambda x, protocol=4: base64.b64encode(zlib.compress(pickle.dumps(x, protocol))).decode()
+    for protocol in range(6):
+        assert payloads.decode_tests(pack('[{"a": "é"}]', protocol)) == [{"a": "é"}]
+    assert payloads.decode_tests("[1]") == [1] and payloads.decode_tests(pack(b"[2]", 4)) == [2]
+    for bad in (pack(["[1]"]), pack(print), pack("{}"), "{}", "no", "aGVsbG8=", pack(7)):
+        with pytest.raises(ValueError):
+            payloads.decode_tests(bad)
+
+
+def test_overlaps_of_words():
+    from braidwork.functions import payloads
+
+    a, b = "the cat sat on the mat".split(), "the cat is on the mat".split()
+    got = payloads.overlaps(a, b)
+    assert got["rouge_1"] == pytest.approx(5 / 6) and got["rouge_2"] == pytest.approx(3 / 5) and got["rouge_l"] == pytest.approx(5 / 6)
+    # precisions 5/6, 3/5, 1/4 and, smoothed, 1 / (2 * 3)
+    assert got["bleu_4"] == pytest.approx((5 / 6 * 3 / 5 * 1 / 4 * 1 / 6) ** 0.25)
+    assert payloads.overlaps(["x"], ["y"]) == {"rouge_1": 0.0, "rouge_2": 0.0, "rouge_l": 0.0, "bleu_4": 0.0} and payloads.overlaps([], ["y"]) is None
+    assert payloads.bleu(["a"] * 4, ["a"] * 8) == pytest.approx(math.exp(-1)) and payloads.bleu(a, a) == pytest.approx(1.0)
+    rng = random.Random(1)
+    for _ in range(200):
+        x, y = ([rng.choice("abc") for _ in range(rng.randint(0, 7))] for _ in range(2))
+        brute = max((len(s) for n in range(len(x) + 1) for s in itertools.combinations(x, n) if all(w in it for it in [iter(y)] for w in s)), default=0)
+        assert payloads.common_subsequence(x, y) == brute
+
+
+def test_metric_weights(spark):
+    rows = [
+        (1, "actor/pg_loss/mean", 1.0, 1), (2, "actor/pg_loss/mean", 3.0, 3), (1, "actor/kl", 2.0, 1), (2, "actor/kl", 4.0, 3), (1, "grad/max", 1.0, 1), (2, "grad/max", 5.0, 1), (3, "grad/max", 3.0, 1),
+        (1, "timing_s/update_actor", 1.5, 1), (2, "timing_s/update_actor", 2.5, 1), (1, "some/total_tokens", 10.0, 1), (2, "some/total_tokens", 20.0, 1),
+        (1, "training/off_policy/dropped_samples", 2.0, 9), (2, "training/off_policy/dropped_samples", 3.0, 9), (1, "training/global_step", 7.0, 1), (2, "training/global_step", 8.0, 1),
+        (1, "validation/off_policy/dropped_samples", 1.0, 9), (2, "validation/off_policy/dropped_samples", 3.0, 9),
+        (1, "validation/off_policy/dropped_samples_staleness/mean", 10.0, 9), (2, "validation/off_policy/dropped_samples_staleness/mean", 2.0, 9),
+    ]
+    df = metrics.staleness_weighted(spark.createDataFrame(rows, "step long, name string, value double, weight long"))
+    got = {r["name"]: r["value"] for r in metrics.reduce_metrics(df, metrics.weighted_rule(F.col("name"))).collect()}
+    assert got["actor/pg_loss/mean"] == 2.5 and got["actor/kl"] == 3.5 and got["grad/max"] == 5 and got["timing_s/update_actor"] == 4.0 and got["some/total_tokens"] == 30
+    assert got["training/off_policy/dropped_samples"] == 5 and got["training/global_step"] == 8 and got["validation/off_policy/dropped_samples_staleness/mean"] == 4.0
+
+
+def test_quantiles_and_ranks(spark):
+    from braidwork.operators import quantiles
+
+    rng = np.random.default_rng(2)
+    for values in ([1.0], [2.0] * 50, rng.normal(size=999).tolist(), (rng.integers(0, 5, 400) * 1.0).tolist(), [0.0] * 900 + rng.normal(size=99).tolist()):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert quantiles.quantiles(df, "v", [0, 0.5, 0.95, 0.99, 1]) == pytest.approx(np.quantile(values, [0, 0.5, 0.95, 0.99, 1]).tolist())
+        ranks = {r["v"]: r["r"] for r in quantiles.average_ranks(df, "v", "r").collect()}
+        assert ranks == {v: (np.sum(np.array(values) < v) + (values.count(v) + 1) / 2) for v in set(values)}
+    assert quantiles.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_packing_carries_the_last_bin():
+    rng = random.Random(4)
+    for _ in range(50):
+        lengths = [rng.randint(1, 60) for _ in range(rng.randint(0, 40))]
+        packs = packing.batched(lengths, 50, 7)
+        assert sorted(set(packs)) == list(range(len(set(packs))))
+        for p in set(packs):
+            own = [n for n, q in zip(lengths, packs) if q == p]
+            assert sum(own) <= 50 or len(own) == 1
+        # by hand: the last bin of a batch is packed anew with the next one
+        held, want = [], []
+        for begin in range(0, len(lengths), 7):
+            held += list(range(begin, min(begin + 7, len(lengths))))
+            bins = packing.best_fit([lengths[i] for i in held], 50)
+            groups = [[i for i, b in zip(held, bins) if b == j] for j in range(max(bins) + 1)]
+            held = [] if begin + 7 >= len(lengths) else sorted(groups.pop())
+            want += groups
+        assert [sorted(i for i, q in enumerate(packs) if q == p) for p in range(len(want))] == [sorted(g) for g in want]
+    assert packing.batched([5, 5, 5], 10, 1, "sequential") == packing.next_fit([5, 5, 5], 10)
+    assert packing.centre_out([5, 1, 9, 3]) == [2, 3, 1, 0]
+    assert packing.micro_count(10, 100, 30, 4) == 4 and packing.micro_count(3, 100, 1) == 3 and packing.micro_count(0, 0, 5) == 1
+    with pytest.raises(ValueError):
+        packing.balanced([1, 2, 3], 2, True)
+
+
+def test_select_tasks(spark):
+    from braidwork.operators import filters
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "n long, id string")
+    ids = lambda **a: [r["id"] for r in filters.select_tasks(df, "id", "n", **a).orderBy("n").collect()]
+    assert ids(places="0-2, 5") == ["t0", "t1", "t2", "t5"] and ids(ids=["t3", "t1"]) == ["t1", "t3"] and ids(places="4-9", most=2) == ["t4", "t5"]
+    assert ids(places="0-5", ids=["t5", "t9"]) == ["t5"] and ids(ids=["t1", "x"], unknown="ignore") == ["t1"]
+    for wrong in ({"places": "3-1"}, {"places": "10"}, {"places": "a"}, {"ids": ["x"]}, {"most": 0}, {"places": "0", "ids": ["t1"]}):
+        with pytest.raises(ValueError):
+            ids(**wrong)
+    with pytest.raises(ValueError, match="repeated"):
+        filters.select_tasks(df.union(df), "id", "n")
+
+
+def test_interleave_loses_no_row(spark):
+    a, b = spark.range(10), spark.range(100, 102)
+    rows = sampling.interleave([(a, 0.9997), (b, 0.0003)], "id", until="all").collect()
+    assert {r["id"] for r in rows} == {*range(10), 100, 101} and sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    with pytest.raises(ValueError):
+        sampling.interleave([(a, 1 - 1e-9), (b, 1e-9)], "id", until="all")
+
+
+def test_media_and_labels(spark):
+    df = spark.createDataFrame([("a <image> b", ["p"])], "t string, m array<string>")
+    seg = messages.media_segments(F.array(messages.message("user", F.col("t"))), {"image": F.col("m")})
+    assert [tuple(x) for x in df.select(F.flatten(seg).alias("s")).first()["s"]] == [("text", "a "), ("image", "p"), ("text", " b")]
+    with pytest.raises(Exception, match="differ in number"):
+        df.select(messages.media_segments(F.array(messages.message("user", F.col("t"))), {"image": F.array()})).collect()
+    labels = spark.createDataFrame([(0,), (1,), (None,)], "l int")
+    assert [r["response"] for r in messages.label_text(labels, "l", ["no", "yes"]).collect()] == ["no", "yes"]
+    with pytest.raises(Exception, match="no name for label"):
+        messages.label_text(labels, "l", ["no"]).collect()
+    assert messages.split_text("aab", ["ab", "aab"]) == [("aab", "")]
+    assert messages.split_text("x<1>y", ["<.>"], True) == [("", "x"), ("<.>", "<1>"), ("", "y")] and messages.split_text("", ["a"]) == []
+
+
+def test_rubric_hooks_and_registries(spark):
+    from braidwork.functions import extend
+
+    inner = rubrics.Rubric("inner", lambda a, o: o * 2)
+    seen = []
+    outer = rubrics.Rubric("outer", children=[(inner, 1.0)]).before(lambda r, a, o: seen.append("before")).after(lambda r, a, o, s: s + 1)
+    row = outer.scored(spark.range(1), F.lit("x"), F.lit(3.0)).first()
+    assert row["outer"] == 7.0 and row["outer/inner"] == 6.0 and seen == ["before"]
+    with pytest.raises(ValueError):
+        rubrics.Rubric("both")
+    registry = extend.Registry("thing")
+    registry.register("a", len)
+    with pytest.raises(ValueError, match="already"):
+        registry.register("a", len)
+    with pytest.raises(ValueError, match="no thing b"):
+        registry.get("b")
+    with pytest.raises(Exception, match="no scorer for z"):
+        spark.range(1).select(extend.dispatched(F.lit("z"), {"a": F.lit(1.0)})).collect()
