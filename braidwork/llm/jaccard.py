@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, Plan, ask, in_order, join_blobs, plan_for, planes, split_blobs, unplanes, write_blocks
+from .blocks import Block, Plan, ask_keys, in_order, plan_for, split_blobs, unplanes, write_blocks
 from .components import components
 from .scratch import drop, finished, materialise, path_of, recorded
-from .substring import _grouped
 from .words import hashes, lower_ascii, mix, spans, windows
 
 N_WORDS = 4
@@ -71,25 +70,18 @@ def _sets(payload: bytes, n: int) -> tuple[Block, list[np.ndarray]]:
 
 
 def _ask_frequency(plan: Plan, n: int):
-    def question(row: dict) -> Iterator[tuple[int, bytes]]:
+    def question(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
         _, sets = _sets(row["payload"], n)
         keys, times = np.unique(plan.keys(np.concatenate(sets)), return_counts=True)
-        bounds = plan.bounds(keys)
-        for b in np.flatnonzero(np.diff(bounds)):
-            cut = slice(bounds[b], bounds[b + 1])
-            yield int(b), join_blobs([plan.pack_keys(keys[cut]), planes(times[cut].astype(np.uint32))])
+        return keys, [times.astype(np.uint32)]
 
     return question
 
 
-def _answer_frequency(blobs: list[bytes]) -> list[bytes]:
+def _answer_frequency(values: list[np.ndarray]) -> list[np.ndarray]:
     """0 for an n-gram that one document has, else the bit length of its frequency."""
-    parts = [split_blobs(b) for b in blobs]
-    keys = [Plan.unpack_keys(p[0]) for p in parts]
-    order, first, group = _grouped(np.concatenate(keys))
-    total = np.add.reduceat(np.concatenate([unplanes(p[1]) for p in parts]).astype(np.uint64)[order], first)
-    level = np.where(total < 2, 0, np.frexp(total.astype(np.float64))[1]).astype(np.uint8)[group]
-    return [planes(x) for x in np.split(level, np.cumsum([len(k) for k in keys])[:-1])]
+    (total,) = values
+    return [np.where(total < 2, 0, np.frexp(total.astype(np.float64))[1]).astype(np.uint8)]
 
 
 def _mark(keys: np.ndarray) -> np.ndarray:
@@ -115,7 +107,7 @@ def _select(plan: Plan, n: int, percent: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 block, sets = _sets(row["payload"], n)
                 keys = np.unique(plan.keys(np.concatenate(sets)))
-                levels = [unplanes(x) for x in in_order(row["answers"])]
+                levels = [unplanes(split_blobs(x)[0]) for x in in_order(row["answers"])]
                 levels = np.concatenate(levels) if levels else np.zeros(0, np.uint8)
                 size, digest, lead, kept, kept_level, mark = [], [], [], [], [], []
                 bounds = list(zip(block.begin.tolist(), block.end.tolist()))
@@ -233,23 +225,24 @@ def _relabel(comp: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(merged, "comp", "left").select("uid", F.coalesce("_to", "comp").alias("comp"))
 
 
-def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", pairs_per_class: int = PAIRS_PER_CLASS, pairs_per_turn: int = PAIRS_PER_TURN) -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", pairs_per_class: int = PAIRS_PER_CLASS, pairs_per_turn: int = PAIRS_PER_TURN, plan: Plan | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; linked where intersection / union >= percent / 100."""
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
     with recorded() as paths:
-        out = _similarity_components(docs, n, percent, id_col, text_col, pairs_per_class, pairs_per_turn)
+        out = _similarity_components(docs, n, percent, id_col, text_col, pairs_per_class, pairs_per_turn, plan)
     return finished(out, "jaccard", paths)
 
 
-def _similarity_components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, pairs_per_class: int, pairs_per_turn: int) -> DataFrame:
+def _similarity_components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, pairs_per_class: int, pairs_per_turn: int, plan: Plan | None) -> DataFrame:
     spark = docs.sparkSession
     with recorded() as paths:
         blocks = write_blocks(docs, id_col, text_col, lower_ascii)
-    plan = plan_for(blocks)
-    plan.bits = max(40, plan.bits // 2 + 12)  # a hash that meets another by chance only looks shared
+    if plan is None:
+        plan = plan_for(blocks)
+        plan.bits = max(40, plan.bits // 2 + 12)  # a hash that meets another by chance only looks shared
     payload = blocks.select("block_id", "payload")
-    known = payload.join(ask(payload, _ask_frequency(plan, n), _answer_frequency), "block_id", "left")
+    known = payload.join(ask_keys(payload, plan, _ask_frequency(plan, n), ["sum"], _answer_frequency), "block_id", "left")
     sets = materialise(known.mapInArrow(_select(plan, n, percent), SETS).withColumn("uid", F.monotonically_increasing_id()), "jaccard-sets")
     drop(spark, paths)
 

@@ -2,14 +2,16 @@
 
 Every window of k words is an edge of a de Bruijn graph (from its first k - 1 words to its last k - 1). Blocks ask buckets of edge
 hashes how often each edge occurs in all texts and whether the word after it is always the same. Where an edge that repeats is
-always followed by one word, and the edge so reached occurs equally often, nothing branches between the two: a block joins
-such edges to paths, and the answers return to the blocks through Spark joins. All occurrences of a path then begin with its first
-edge, so one record per path and block, not one per window, decides: who has it, in which document it starts first.
+always followed by one word, and the edge so reached occurs equally often, nothing branches between the two. A block cuts runs of
+such edges to segments, where a window's hash says so, so that all texts cut a passage alike; segments are rows, one a block
+that has it, and are compacted to paths by Spark joins, each segment with the one behind it, in rounds that double what is joined.
+All occurrences of a path begin with its first edge, so one record a path, not one a window, decides: who has it, in which document
+it starts first.
 
-Source coordinates verify each path: every occurrence is read again at (document, word, length) and digested, and a path counts as
-settled only if all digests agree and its occurrences are as many as its edges'. Then no occurrence of any of its windows lies
-elsewhere. What is not settled (hashes that met by chance, or a branch that a one-byte fingerprint hid) is decided window by
-window over 128-bit digests of the words.
+Source coordinates verify each segment: every occurrence is read again at (document, word, length) and digested, and it counts as
+settled only if all digests agree, the same follows everywhere, and its occurrences are as many as its edges'; a path, if all
+its segments are and every run of it is as long. Then no occurrence of any of its windows lies elsewhere. What is not settled
+(hashes that met by chance, or a branch that a one-byte fingerprint hid) is decided window by window over 128-bit digests.
 
 Defined results: null and empty texts have no words; fewer than k words make no window; of repeated rows with one doc_id none is
 smaller, so they remove nothing from each other; a null doc_id counts as larger than any other. Words are the runs without \\x20
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, Plan, ask, in_order, join_blobs, plan_for, planes, split_blobs, squeeze, unplanes, unsqueeze, write_blocks
-from .scratch import materialise
+from .blocks import Block, Plan, ask, ask_keys, grouped, in_order, join_blobs, one_value, plan_for, planes, split_blobs, unplanes, write_blocks
+from .scratch import drop, materialise, recorded
 from .words import hashes, spans, windows
 
 WINDOW = 13
@@ -63,138 +65,137 @@ class Edges:
         return hashlib.blake2b(self.text[self.start[at] : self.end[at + words - 1]], digest_size=16).digest()
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that sorts the keys, where each distinct key begins in it, and the number of each key's group (by position before sorting)."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    group = np.empty(len(keys), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order, first, group
-
-
-def _one_value(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The value that a group has throughout, else 255. values lie in group order."""
-    low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
-    return np.where(low == high, low, 255).astype(np.uint8)
-
-
 def _ask_edges(plan: Plan, k: int):
-    def question(row: dict) -> Iterator[tuple[int, bytes]]:
+    def question(row: dict) -> tuple[np.ndarray, list[np.ndarray]] | None:
         e = Edges(row["payload"], k)
         if not len(e.at):
-            return
+            return None
         keys = plan.keys(e.key)
         # the word after each window, as one byte; 255 where the document ends
         after = np.full(len(e.at), 255, np.uint8)
         inner = np.flatnonzero(e.at + k < len(e.doc))
         inner = inner[e.doc[e.at[inner]] == e.doc[e.at[inner] + k]]
         after[inner] = (e.hash[e.at[inner] + k] % np.uint64(255)).astype(np.uint8)
-        order, first, _ = _grouped(keys)
-        keys, times, after = keys[order][first], np.diff(np.r_[first, len(order)]), _one_value(after[order], first)
-        bounds = plan.bounds(keys)
-        for b in np.flatnonzero(np.diff(bounds)):
-            cut = slice(bounds[b], bounds[b + 1])
-            yield int(b), join_blobs([plan.pack_keys(keys[cut]), planes(times[cut].astype(np.uint32)), planes(after[cut])])
+        order, first, _ = grouped(keys)
+        return keys[order][first], [np.diff(np.r_[first, len(order)]).astype(np.uint32), one_value(after[order], first)]
 
     return question
 
 
-def _answer_edges(blobs: list[bytes]) -> list[bytes]:
-    parts = [split_blobs(b) for b in blobs]
-    keys = [Plan.unpack_keys(p[0]) for p in parts]
-    cuts = np.cumsum([len(x) for x in keys])[:-1]
-    order, first, group = _grouped(np.concatenate(keys))
-    times = np.concatenate([unplanes(p[1]) for p in parts]).astype(np.uint64)
-    after = np.concatenate([unplanes(p[2]) for p in parts])
-    count, one = np.add.reduceat(times[order], first)[group], (_one_value(after[order], first) != 255)[group]
-    return [join_blobs([planes(c), squeeze(np.packbits(o).tobytes())]) for c, o in zip(np.split(count, cuts), np.split(one, cuts))]
+def _answer_edges(values: list[np.ndarray]) -> list[np.ndarray]:
+    """How often an edge occurs, and whether one word follows it always."""
+    times, after = values
+    return [times, (after != 255).astype(np.uint8)]
 
 
-PATHS = "block_id long, blob binary"
+SEGMENT = "head: long, next: long, windows: long, low: long, times: long, count: long, a: long, b: long, same: boolean"
+SEGMENTS = f"block_id long, blob binary, heads array<long>, segments array<struct<{SEGMENT}>>"
+#: Windows of a segment, on average: a path is cut where a window's hash ends in so many zeros.
+CUT = np.uint64(63)
 
 
-def _paths(plan: Plan, k: int):
-    """Joins the unbranched edges of each block to paths, and digests them at their coordinates."""
+def _segments(plan: Plan, k: int):
+    """Runs of unbranched edges of each block, their first edges, and the distinct segments that they are cut to, digested at their coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                blob = _paths_of(row, plan, k)
-                if blob is not None:
-                    yield pa.RecordBatch.from_pydict({"block_id": pa.array([row["block_id"]], pa.int64()), "blob": pa.array([blob], pa.binary())})
+                found = _segments_of(row, plan, k)
+                if found is not None:
+                    blob, heads, columns = found
+                    kinds = [f.type for f in pa.struct([(c, pa.bool_() if c == "same" else pa.int64()) for c in columns])]
+                    struct = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), kinds)], list(columns))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "block_id": pa.array([row["block_id"]], pa.int64()),
+                            "blob": pa.array([blob], pa.binary()),
+                            "heads": pa.ListArray.from_arrays(pa.array([0, len(heads)], pa.int32()), pa.array(heads, pa.int64())),
+                            "segments": pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct),
+                        }
+                    )
 
     return run
 
 
-def _paths_of(row: dict, plan: Plan, k: int) -> bytes | None:
+def _segments_of(row: dict, plan: Plan, k: int) -> tuple[bytes, np.ndarray, dict[str, np.ndarray]] | None:
     e = Edges(row["payload"], k)
     if not len(e.at):
         return None
-    _, _, group = _grouped(plan.keys(e.key))
-    count, one = [], []
-    for blob in in_order(row["answers"]):
-        c, o = split_blobs(blob)
-        count.append(unplanes(c))
-        one.append(np.unpackbits(np.frombuffer(unsqueeze(o), np.uint8), count=len(count[-1])).astype(bool))
-    count, one = np.concatenate(count)[group], np.concatenate(one)[group]
+    _, _, group = grouped(plan.keys(e.key))
+    parts = [split_blobs(b) for b in in_order(row["answers"])]
+    count, one = (np.concatenate([unplanes(p[i]) for p in parts])[group] for i in (0, 1))
     repeats = count >= 2
     joined = np.zeros(len(e.at), bool)  # to the edge before
-    joined[1:] = repeats[1:] & one[:-1] & (count[1:] == count[:-1]) & (e.at[1:] == e.at[:-1] + 1) & (e.doc[e.at[1:]] == e.doc[e.at[:-1]])
+    joined[1:] = repeats[1:] & (one[:-1] == 1) & (count[1:] == count[:-1]) & (e.at[1:] == e.at[:-1] + 1) & (e.doc[e.at[1:]] == e.doc[e.at[:-1]])
     head = np.flatnonzero(repeats & ~joined)
     if not len(head):
         return None
-    # a path goes on while edges are joined
-    stop = np.flatnonzero(~joined)
-    nexts = np.r_[stop, len(e.at)]
-    length = nexts[np.searchsorted(stop, head) + 1] - head
-    at = e.at[head]
-    seen = np.frombuffer(b"".join([e.digest(a, n + k - 1) for a, n in zip(at.tolist(), length.tolist())]), np.uint64).reshape(-1, 2)
-    order, first, number = _grouped(e.key[head])
-    low = np.minimum.reduceat(e.ids[e.doc[at]][order], first)
-    same = np.ones(len(first), bool)
-    for side in (0, 1):
-        same &= np.minimum.reduceat(seen[order, side], first) == np.maximum.reduceat(seen[order, side], first)
-    times = np.diff(np.r_[first, len(order)])
-    lead = order[first]
-    return join_blobs(
-        [planes(x) for x in (at, length, number)]  # every occurrence
-        + [planes(x) for x in (e.key[head][lead], low, times, count[head][lead], np.ascontiguousarray(seen[lead, 0]), np.ascontiguousarray(seen[lead, 1]), same.astype(np.uint8))]  # every path
-    )
-
-
-def _ask_paths(plan: Plan):
-    def question(row: dict) -> Iterator[tuple[int, bytes]]:
-        columns = [unplanes(x) for x in split_blobs(row["blob"])[3:]]
-        bounds = plan.bounds(columns[0])
-        for b in np.flatnonzero(np.diff(bounds)):
-            yield int(b), join_blobs([planes(c[bounds[b] : bounds[b + 1]]) for c in columns])
 
-    return question
-
-
-def _answer_paths(blobs: list[bytes]) -> list[bytes]:
-    parts = [[unplanes(x) for x in split_blobs(b)] for b in blobs]
-    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-    key, low, times, count, a, b, same = (np.concatenate(x) for x in zip(*parts))
-    order, first, group = _grouped(key)
-    settled = np.minimum.reduceat(same[order], first) == 1
-    for x in (count, a, b):
-        settled &= np.minimum.reduceat(x[order], first) == np.maximum.reduceat(x[order], first)
-    settled &= np.add.reduceat(times[order].astype(np.uint64), first) == count[order][first]
-    winner = np.minimum.reduceat(low[order], first)[group]
-    settled = settled[group].astype(np.uint8)
-    return [join_blobs([planes(w), planes(s)]) for w, s in zip(np.split(winner, cuts), np.split(settled, cuts))]
+    def upto(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Where what begins at one of the stops ends."""
+        return np.r_[stop, len(e.at)][np.searchsorted(stop, begin) + 1]
+
+    # a run goes on while edges are joined, a segment of it up to the next cut
+    length = upto(head, np.flatnonzero(~joined)) - head
+    cut = ~joined | ((e.key & CUT) == 0)
+    seg = np.flatnonzero(repeats & cut)
+    end = upto(seg, np.flatnonzero(cut))
+    on = (end < len(e.at)) & joined[np.minimum(end, len(e.at) - 1)]
+    follows = np.where(on, e.key[np.minimum(end, len(e.at) - 1)], 0).view(np.int64)
+    at, windows = e.at[seg], end - seg
+    seen = np.frombuffer(b"".join([e.digest(a, n + k - 1) for a, n in zip(at.tolist(), windows.tolist())]), np.int64).reshape(-1, 2)
+    order, first, _ = grouped(e.key[seg])
+    lead = order[first]
+    agreed = {"next": follows, "windows": windows, "count": count[seg].astype(np.int64), "a": seen[:, 0], "b": seen[:, 1]}
+    same = np.ones(len(first), bool)
+    for v in (*agreed.values(), on):
+        same &= np.minimum.reduceat(v[order], first) == np.maximum.reduceat(v[order], first)
+    heads, number = np.unique(e.key[head].view(np.int64), return_inverse=True)
+    columns = {"head": e.key[seg][lead].view(np.int64)} | {c: v[lead] for c, v in agreed.items()}
+    columns["next"] = np.ma.masked_array(columns["next"], ~on[lead])
+    columns |= {"low": np.minimum.reduceat(e.ids[e.doc[at]][order], first), "times": np.diff(np.r_[first, len(order)]), "same": same}
+    names = [x.split(":")[0].strip() for x in SEGMENT.split(",")]
+    return join_blobs([planes(x) for x in (e.at[head], length, number)]), heads, {c: columns[c] for c in names}
+
+
+def compacted(segments: DataFrame) -> DataFrame:
+    """Paths from segments (SEGMENT; a row for each block that has it): head, low, windows, settled of the path that begins with each segment.
+
+    A segment is settled if its digests agree wherever it lies, it is always followed by the same, and its occurrences are as many as
+    its edges'. Each round joins every path to the one that begins with the segment behind it, so paths double in length.
+    """
+    spark = segments.sparkSession
+    ends = lambda c: F.min(c).eqNullSafe(F.max(c)) & (F.count(c).isin(0) | (F.count(c) == F.count("*")))
+    settled = F.bool_and("same") & (F.sum("times") == F.max("count"))
+    for c in ("next", "windows", "count", "a", "b"):
+        settled = settled & ends(c)
+    by = segments.groupBy("head").agg(F.min("low").alias("low"), F.max("windows").alias("windows"), settled.alias("settled"), F.max("next").alias("next"))
+    with recorded() as old:
+        paths = materialise(by.withColumn("next", F.when(F.col("settled"), F.col("next"))), "paths")
+    while not paths.filter("next is not null").isEmpty():
+        behind = paths.select(F.col("head").alias("_h"), F.col("low").alias("_low"), F.col("windows").alias("_windows"), F.col("settled").alias("_settled"), F.col("next").alias("_next"))
+        both = paths.join(behind, F.col("next") == F.col("_h"), "left")
+        more = both.select(
+            "head",
+            F.least("low", "_low").alias("low"),
+            (F.col("windows") + F.coalesce("_windows", F.lit(0))).alias("windows"),
+            (F.col("settled") & F.coalesce("_settled", F.col("next").isNull())).alias("settled"),
+            F.col("_next").alias("next"),
+        )
+        with recorded() as new:
+            paths = materialise(more, "paths")
+        drop(spark, old)
+        old = new
+    return paths.drop("next")
 
 
 def _verdicts(row: dict) -> tuple[np.ndarray, ...]:
-    """Of each occurrence of a path in the block: first word, windows, smallest document that has it, settled."""
-    at, length, number = (unplanes(x) for x in split_blobs(row["blob"])[:3])
-    parts = [split_blobs(b) for b in in_order(row["answers"])]
-    winner, settled = (np.concatenate([unplanes(p[i]) for p in parts]) for i in (0, 1))
-    return at, length, winner[number], settled[number].astype(bool)
+    """Of each run in the block: first word, windows, smallest document that has its path, settled."""
+    at, length, number = (unplanes(x) for x in split_blobs(row["blob"]))
+    found = sorted(row["paths"], key=lambda p: p["head"])
+    low, windows, settled = (np.array([p[c] for p in found])[number] for c in ("low", "windows", "settled"))
+    return at, length, low, settled & (windows == length)
 
 
 def _open_windows(e: Edges, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -209,7 +210,7 @@ def _window_digests(e: Edges, first: np.ndarray) -> np.ndarray:
 def _ask_windows(plan: Plan, k: int):
     def question(row: dict) -> Iterator[tuple[int, bytes]]:
         e = Edges(row["payload"], k)
-        at, length, _, settled = _verdicts({"blob": row["blob"], "answers": row["path_answers"]})
+        at, length, _, settled = _verdicts(row)
         first = _open_windows(e, at[~settled], length[~settled])
         if not len(first):
             return
@@ -244,7 +245,7 @@ def _removed(row: dict, k: int) -> tuple[Edges, np.ndarray]:
         np.subtract.at(change, at + words, 1)
 
     if row["blob"] is not None:
-        at, length, winner, settled = _verdicts({"blob": row["blob"], "answers": row["path_answers"]})
+        at, length, winner, settled = _verdicts(row)
         lost = settled & (winner < e.ids[e.doc[at]])
         remove(at[lost], length[lost] + k - 1)
         if row.get("window_answers"):
@@ -286,21 +287,22 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", t
     blocks = write_blocks(docs, id_col, text_col)
     plan = plan or plan_for(blocks)
     payload = blocks.select("block_id", "payload")
-    edges = ask(payload, _ask_edges(plan, k), _answer_edges)
-    paths = materialise(payload.join(edges, "block_id").mapInArrow(_paths(plan, k), PATHS), "paths")
+    edges = ask_keys(payload, plan, _ask_edges(plan, k), ["sum", "one"], _answer_edges)
+    found = materialise(payload.join(edges, "block_id").mapInArrow(_segments(plan, k), SEGMENTS), "segments")
+    paths = compacted(found.select(F.inline("segments")))
+    runs = found.select("block_id", F.explode("heads").alias("_head")).join(paths, F.col("_head") == F.col("head"))
+    runs = runs.groupBy("block_id").agg(F.collect_list(F.struct("head", "low", "windows", "settled")).alias("paths"))
+    decided = materialise(found.select("block_id", "blob").join(runs, "block_id"), "path-verdicts")
     by_hash = Plan(0, 1)
     by_hash.bits, by_hash.buckets = 64, plan.buckets
-    verdicts = materialise(ask(paths, _ask_paths(by_hash), _answer_paths).withColumnRenamed("answers", "path_answers"), "path-verdicts")
-    decided = paths.join(verdicts, "block_id")
 
     def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                n = sum(int((unplanes(split_blobs(x)[1]) == 0).sum()) for x in in_order(row["path_answers"]))
-                yield pa.RecordBatch.from_pydict({"block_id": pa.array([row["block_id"]], pa.int64()), "n": pa.array([n], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"block_id": pa.array([row["block_id"]], pa.int64()), "n": pa.array([int((~_verdicts(row)[3]).sum())], pa.int64())})
 
-    open_ = verdicts.mapInArrow(unsettled, "block_id long, n long").filter("n > 0")
+    open_ = materialise(decided.mapInArrow(unsettled, "block_id long, n long").filter("n > 0"), "unsettled")
     rows = payload.join(decided, "block_id", "left")
     if not open_.isEmpty():
         asked = payload.join(decided, "block_id").join(open_, "block_id", "left_semi")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braidwork.llm import bpecodec, chat, decontaminate, exactdedup, jaccard, substring, tokencount, toxicity, urlfilter, vocabulary, warc
+from braidwork.llm import blocks, bpecodec, chat, decontaminate, exactdedup, jaccard, substring, tokencount, toxicity, urlfilter, vocabulary, warc
 from braidwork.llm.blocks import Plan
 from braidwork.llm.components import components
 from braidwork.llm import words as words_
@@ -269,6 +269,44 @@ def test_substrings_whatever_the_hashes(texts, make, bits):
     assert rows(substring.dedup_substrings(make(texts), digest=True, plan=plan)) == brute_substrings(texts, 13)
 
 
+def test_substrings_in_two_hops(texts, make):
+    plan = Plan(100_000, 1, 50)
+    plan.buckets = 23
+    plan.in_two_hops(5, 50, 1000)
+    plan.bundles = 3
+    assert (plan.coarse, plan.fine) == (5, 5)
+    small = texts[:60]
+    assert rows(substring.dedup_substrings(make(small).repartition(7), digest=True, plan=plan)) == brute_substrings(small, 13)
+    assert rows(jaccard.similarity_components(make(small).repartition(7), plan=plan)) == brute_jaccard(small)
+
+
+def test_questions_stay_as_full_however_large_the_input():
+    """Hashes of a row, on either hop, at sizes from a gigabyte to a hundred terabytes; so rows grow as the input."""
+    for size in (10**9, 3 * 10**10, 10**12, 10**13, 10**14):
+        words, blocks_ = size // 6, size // blocks.BLOCK_BYTES
+        plan = Plan(words, 200, blocks_)
+        each = words // blocks_
+        if plan.coarse:
+            assert each // plan.coarse >= blocks.MIN_KEYS and words // (plan.bundles * plan.buckets) >= blocks.MIN_KEYS
+            assert words // (plan.bundles * plan.coarse) < 1 << 24  # hashes of a bundle in a coarse range, which one task merges
+        else:
+            assert each // plan.buckets >= blocks.MIN_KEYS or plan.buckets <= 800
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 70, 1000])
+def test_paths_are_compacted_by_joins(spark, n):
+    """A chain of n segments, one that is unsettled in the middle of another chain, and one alone."""
+    def seg(head, nxt, low, times=2, count=2, a=1, same=True):
+        return (head, nxt, 10, low, times, count, a, 1, same)
+
+    chain = [seg(i, i + 1 if i < n - 1 else None, 100 + i if i else 5) for i in range(n)]
+    broken = [seg(5000, 5001, 7), seg(5001, 5002, 7, times=1), seg(5002, None, 7), seg(6000, None, 9, times=1), seg(6000, None, 8, times=1), seg(6001, None, 9, times=1), seg(6001, None, 8, times=1, a=2)]
+    df = spark.createDataFrame(chain + broken, substring.SEGMENT.replace(": ", " "))
+    got = {r["head"]: (r["low"], r["windows"], r["settled"]) for r in substring.compacted(df).collect()}
+    assert got[0] == (5, 10 * n, True) and (n == 1 or got[n - 1] == (100 + n - 1, 10, True))
+    assert not got[5000][2] and not got[5001][2] and got[5002] == (7, 10, True) and got[6000] == (8, 10, True) and not got[6001][2]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substrings_with_few_words(make, seed):
     rng = random.Random(seed)
