@@ -9,7 +9,7 @@ from .scratch import drop, materialise, recorded
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(v, comp) of every vertex with an edge: comp is the smallest vertex it reaches.
+    """(v, comp) of every vertex with an edge to another: comp is the smallest vertex it reaches. Edges with a null end, and from a vertex to itself, count as none.
 
     Each round takes the least label among a vertex and its neighbours, then follows the labels' own labels once, so long
     paths shorten by half. Labels are written each round, which cuts the lineage and deals both sides of the join anew.

@@ -5,7 +5,7 @@ length of the path. An expression meets the rules by the first four bytes of its
 of it is DataFrame functions, so nothing leaves the JVM.
 
 Defined results: a null url or one without `://` has empty host and path and fits no rule; repeated rows give repeated
-results; an empty rule table gives the default verdict everywhere; among rules that fit, the longest `host || path` wins, then the
+results; very long urls are judged whole; an empty rule table gives the default verdict everywhere; among rules that fit, the longest `host || path` wins, then the
 longest host, then block before allow. Columns of the input other than the id and the url are not read.
 """
 
@@ -46,7 +46,7 @@ def _digest(host: Column, path: Column) -> Column:
 
 
 def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """One row per input row: id, host, path, rule (`host/path` as written, else null), verdict."""
+    """One row per input row: id, host, path, rule (host, lower-cased, and path of the rule that decides, else null), verdict."""
     lowered = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"))
     lowered = lowered.filter(F.col("rule_host").isNotNull() & F.col("rule_path").isNotNull())
     one = Window.partitionBy("rule_host", "rule_path").orderBy(F.col("verdict").desc())

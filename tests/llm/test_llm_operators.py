@@ -416,7 +416,7 @@ def test_jaccard_of_documents_that_share_one_line(make):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 5), (200, None), (100, 101)]
     got = {r["v"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}}
 
@@ -613,6 +613,14 @@ def brute_url(url, rules, default="allow"):
     return host, path, best[3] if best else None, best[4] if best else default
 
 
+def test_urls_that_are_very_long(spark):
+    rules = [("block", "a.org", "/x/"), ("allow", "a.org", "/x/" + "y" * 5000)]
+    long = "y" * 200_000
+    urls = [f"http://{'s.' * 3000}a.org/x/{long}", f"http://a.org/x/z{long}", "http://" + long, f"http://a.org/{long}?{long}#{long}", "http://" + "é." * 100 + "a.org/x/1"]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), urlfilter.rules_table(spark, rules))
+    assert rows(got) == Counter((i, *brute_url(u, rules)) for i, u in enumerate(urls))
+
+
 @pytest.mark.parametrize("cap", [8 << 20, 0])
 @pytest.mark.parametrize("shapes", [4096, 1])
 def test_urls(spark, monkeypatch, cap, shapes):

@@ -72,6 +72,17 @@ def test_stages_drop_the_rows_judged_whatever_their_ids(spark, make, sf):
     assert left(corpus_pipeline.near_dedup, near) == sorted(near[2:], key=str)
 
 
+def test_stages_bear_odd_rows_and_empty_tables(spark, make, odd, sf):
+    for rows in (odd, []):
+        docs = make(rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == make([]).columns, name
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+        assert (docs.count() > 0) == bool(rows)
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     for p in (root / "braidwork").rglob("*.py"):
