@@ -67,6 +67,20 @@ def batched(lengths: list[int], capacity: int, batch: int = BATCH_ITEMS, strateg
     return out
 
 
+def cyclic(lengths: list[int], capacity: int, packs: int, batch: int = STREAM_ITEMS) -> list[list[int]]:
+    """The first `packs` packs of items that begin again when they are through: places of each pack's items. Empty for no items."""
+    out: list[list[int]] = []
+    held, at = [], 0
+    while lengths and len(out) < packs:
+        held += [(at + i) % len(lengths) for i in range(batch)]
+        at = (at + batch) % len(lengths)
+        bins = best_fit([lengths[i] for i in held], capacity)
+        last = max(bins)
+        out += [[i for i, b in zip(held, bins) if b == j] for j in range(last)]
+        held = [i for i, b in zip(held, bins) if b == last]
+    return out[:packs]
+
+
 def greedy(values: list[int], k: int, equal_size: bool = False) -> list[int]:
     """Partition of each value, in order: the one with the smallest sum, of equal ones the first."""
     bias = sum(values) + 1 if equal_size else 0

@@ -22,6 +22,16 @@ def b04(spark, sf):
     return packed.select("shard", "ordinal", "value", "pack")
 
 
+@query("B04_stream_bins")
+def b04_bins(spark, sf):
+    """Best fit of every 32 documents of a shard, in two increments, and an end of each shard."""
+    docs = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    half, top = docs.agg((F.max("doc_id") / 2), F.max("doc_id")).first()
+    ends = docs.select("shard").distinct().select("shard", F.lit((top or 0) + 1).alias("doc_id"), F.lit(None).cast("long").alias("n_chars"))
+    increments = [docs.filter(F.col("doc_id") <= (half or 0)), docs.filter(F.col("doc_id") > (half or 0)), ends]
+    return run.run_increments(increments, lambda s: buffer.bin_stream(s, "shard", "doc_id", "n_chars", 40_000, 32)).select("shard", "ordinal", "value", "pack")
+
+
 @query("R11_stream_packing", "SELECT CAST(doc_id % 4 AS BIGINT) AS shard, count(*) AS items, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY 1")
 def r11(spark, sf):
     return b04(spark, sf).groupBy("shard").agg(F.count("*").alias("items"), F.sum("value").alias("total"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from braidwork.operators.packing import STREAM_ITEMS, best_fit
+
 TERMINAL = ("finished", "failure")
 
 
@@ -159,3 +161,42 @@ def pack_stream(stream: DataFrame, shard: str, ordinal: str, value: str, capacit
     """Next-fit packs of a stream whose micro-batches come in order of the ordinal; what is open stays until the next batch."""
     rows = stream.select(F.col(shard).cast("long").alias("shard"), F.lit(capacity).cast("long").alias("capacity"), F.col(ordinal).cast("long").alias("ordinal"), F.col(value).cast("long").alias("value"))
     return rows.groupBy("shard", "capacity").applyInPandasWithState(pack_state, "shard long, ordinal long, value long, pack long", "pack long, held long", "append", "NoTimeout")
+
+
+def bin_state(key, frames, state):
+    """applyInPandasWithState: best-fit packing of every `interval` items; the last bin is held and packed anew with the next ones.
+
+    A row without a value ends the shard: what is held is packed. The state holds one interval and one bin at most.
+    """
+    shard, capacity, interval = key
+    packs, ordinals, values = state.get if state.exists else (0, [], [])
+    held, out = list(zip(ordinals, values)), []
+    # items of the interval that has begun stand behind the bin that is carried
+    rows = [r for pdf in frames for r in pdf.sort_values("ordinal")[["ordinal", "value"]].itertuples(index=False)]
+    carried, waiting = ([x for x in held if x[1] < 0], [x for x in held if x[1] >= 0])
+    carried = [(i, -n - 1) for i, n in carried]  # values of the carried bin are stored below zero
+
+    def pack(last: bool) -> None:
+        nonlocal carried, waiting, packs
+        items = carried + waiting
+        bins = best_fit([n for _, n in items], capacity) if items else []
+        done = (max(bins) + 1 if last else max(bins)) if bins else 0
+        out.extend((shard, i, n, packs + b) for (i, n), b in zip(items, bins) if b < done)
+        carried, waiting, packs = [x for x, b in zip(items, bins) if b >= done], [], packs + done
+
+    for i, n in rows:
+        if pd.isna(n):
+            pack(True)
+            continue
+        waiting.append((int(i), int(n)))
+        if len(waiting) == interval:
+            pack(False)
+    held = [(i, -n - 1) for i, n in carried] + waiting
+    state.update((packs, [i for i, _ in held], [n for _, n in held]))
+    yield pd.DataFrame(out, columns=["shard", "ordinal", "value", "pack"])
+
+
+def bin_stream(stream: DataFrame, shard: str, ordinal: str, value: str, capacity: int, interval: int = STREAM_ITEMS) -> DataFrame:
+    """Packs of a stream by best fit, as packing.batched makes them of a table. A null value ends its shard."""
+    rows = stream.select(F.col(shard).cast("long").alias("shard"), F.lit(capacity).cast("long").alias("capacity"), F.lit(interval).cast("long").alias("interval"), F.col(ordinal).cast("long").alias("ordinal"), F.col(value).cast("long").alias("value"))
+    return rows.groupBy("shard", "capacity", "interval").applyInPandasWithState(bin_state, "shard long, ordinal long, value long, pack long", "packs long, ordinals array<long>, waiting array<long>", "append", "NoTimeout")

@@ -514,3 +514,22 @@ def test_rubric_hooks_and_registries(spark):
         registry.get("b")
     with pytest.raises(Exception, match="no scorer for z"):
         spark.range(1).select(extend.dispatched(F.lit("z"), {"a": F.lit(1.0)})).collect()
+
+
+def test_stream_bins_are_those_of_the_table(spark, sf):
+    from braidwork.plans import catalogue
+
+    got = catalogue.queries()["B04_stream_bins"](spark, sf).collect()
+    docs = sorted((r["doc_id"], r["n_chars"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars").collect())
+    want = set()
+    for shard in range(4):
+        own = [d for d in docs if d[0] % 4 == shard]
+        want |= {(shard, i, n, p) for (i, n), p in zip(own, packing.batched([n for _, n in own], 40_000, 32))}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_cyclic_packs():
+    packs = packing.cyclic([3, 4, 5], 8, 20, 4)
+    assert len(packs) == 20 and all(sum([3, 4, 5][i] for i in p) <= 8 for p in packs) and packing.cyclic([], 8, 3) == []
+    flat = [i for p in packing.cyclic([3, 4, 5], 8, 1000, 4) for i in p]
+    assert abs(flat.count(0) - flat.count(1)) <= 3
