@@ -51,10 +51,100 @@ def merge_exactly(v: Vocabulary, symbols: list[int]) -> list[int]:
     return symbols
 
 
+class Trie:
+    """The vocabulary's entries by their bytes, as arrays: children are found by a hash of (node, byte)."""
+
+    _BITS = 19
+
+    def __init__(self, entries: dict[int, tuple[bytes, bool]]):
+        nodes: dict[tuple[int, int], int] = {}
+        inner, last = [-1], [-1]  # id of the entry that ends at a node, without and with the word end
+        for i, (data, end) in entries.items():
+            node = 0
+            for byte in data:
+                at = nodes.get((node, byte))
+                if at is None:
+                    at = nodes[node, byte] = len(inner)
+                    inner.append(-1)
+                    last.append(-1)
+                node = at
+            (last if end else inner)[node] = i
+        self.inner, self.last = np.array(inner, np.int32), np.array(last, np.int32)
+        keys, to, self.tables = np.array([n * 256 + b for n, b in nodes], np.int64), np.array(list(nodes.values()), np.int32), []
+        while len(keys):
+            slot = self._slot(keys, len(self.tables))
+            table, child = np.full(1 << self._BITS, -1, np.int32), np.full(1 << self._BITS, -1, np.int32)
+            table[slot], child[slot] = keys, to
+            lost = table[slot] != keys
+            self.tables.append((table, child))
+            keys, to = keys[lost], to[lost]
+
+    def _slot(self, keys: np.ndarray, table: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * table & (2**64 - 1))) >> np.uint64(64 - self._BITS)).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The child of each node by a byte; -1 without one."""
+        keys = node * 256 + byte
+        slot = self._slot(keys, 0)
+        table, child = self.tables[0]
+        out = np.where(table[slot] == keys, child[slot], -1)
+        missing = np.flatnonzero(out < 0)
+        for i, (table, child) in enumerate(self.tables[1:], 1):
+            slot = self._slot(keys[missing], i)
+            hit = table[slot] == keys[missing]
+            out[missing[hit]] = child[slot[hit]]
+            missing = missing[~hit]
+        return out
+
+    def greedy(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words that lie end to end, and the word of each: the longest entry that begins the rest, again and again.
+
+        All words go on by a byte at once. An entry with the word end must end the word, one without must not.
+        """
+        end = np.cumsum(size)
+        word = np.arange(len(size))
+        at = end - size
+        node, place = np.zeros(len(size), np.int64), at.copy()
+        best, best_place = np.full(len(size), -1, np.int64), at.copy()
+        tokens, words = [], []
+        while len(word):
+            child = self.step(node, data[place])
+            going = child >= 0
+            place = place + going
+            node = np.where(going, child, 0)
+            over = going & (place == end[word])
+            final = np.where(over, self.last[node], -1)
+            inner = np.where(going & ~over, self.inner[node], -1)
+            best, best_place = np.where(inner >= 0, inner, best), np.where(inner >= 0, place, best_place)
+            stopped = ~going | over
+            if stopped.any():
+                done = final >= 0
+                emit = np.flatnonzero(stopped)
+                tokens.append(np.where(done[emit], final[emit], best[emit]))
+                words.append(word[emit])
+                # the others begin anew behind what they took
+                place, node = np.where(stopped, best_place, place), np.where(stopped, 0, node)
+                best = np.where(stopped, -1, best)
+                if done.any():
+                    word, place, node, best, best_place = (x[~done] for x in (word, place, node, best, best_place))
+        if not tokens:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words_, tokens_ = np.concatenate(words), np.concatenate(tokens)
+        order = np.argsort(words_, kind="stable")  # a word's tokens were taken in their order
+        return tokens_[order], words_[order]
+
+
+#: Bytes of a word up to which words are matched together; longer ones go one by one.
+LONG = 256
+
+
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = v = vocabulary
         self.longest = max(map(len, v.ids))
+        self.trie = Trie(v.bytes_of)
+        self.by_bytes = {x: i for i, x in v.bytes_of.items()}
+        self.strings, self.texts = list(map(str, range(v.size))), [v.names.get(i, "") for i in range(v.size)]
         self.failures = self.words = 0
         n, none = v.size, len(v.merges)
         made_by = np.full(n, -1, np.int64)
@@ -64,7 +154,9 @@ class Codec:
         self.left_edge = self._edges(made_by, v.merges[:, 0], none)
         # Tokens that rank-order merging really yields from their own symbols.
         self.reached: dict[int, bool] = {}
+        # Results by chunk: those of late, and those of the generation before, of which what is asked for again moves on.
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.older: dict[str, tuple[str, str, int]] = {}
 
     def _edges(self, made_by: np.ndarray, side: np.ndarray, none: int) -> list[tuple[np.ndarray, np.ndarray]]:
         piece, until, out = np.arange(self.v.size), np.full(self.v.size, none, np.int64), []
@@ -94,21 +186,14 @@ class Codec:
                 good[test[(rank < pa_[test]) & (rank <= q[right[test]]) & (rank < len(self.v.merges))]] = False
         return good
 
-    def guess(self, pre_token: str) -> list[int]:
-        """Greedy longest match; the last token carries the word end."""
-        ids, whole, out, i = self.v.ids, pre_token, [], 0
-        suffix, n = self.v.suffix, len(pre_token)
+    def guess(self, word: bytes) -> list[int]:
+        """Greedy longest match of one word; the last token carries the word end."""
+        out, i, n = [], 0, len(word)
         while i < n:
-            found = ids.get(whole[i:] + suffix) if n - i <= self.longest else None
-            if found is not None:
-                out.append(found)
-                break
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                found = ids.get(whole[i:j])
-                if found is not None:
-                    break
-            else:  # the last symbol alone always has an entry with the word end; others have one without
-                j, found = i + 1, ids[whole[i]]
+            found = self.by_bytes.get((word[i:], True)) if n - i <= self.longest else None
+            j = n
+            if found is None:  # an entry of one byte there always is
+                j, found = next((j, t) for j in range(min(n - 1, i + self.longest), i, -1) if (t := self.by_bytes.get((word[i:j], False))) is not None)
             out.append(found)
             i = j
         return out
@@ -116,23 +201,26 @@ class Codec:
     def _proper(self, token: int) -> bool:
         got = self.reached.get(token)
         if got is None:
-            name = self.v.names[token]
-            if name in self.v.special:
-                got = False
-            else:
-                end = name.endswith(self.v.suffix) and len(name) > len(self.v.suffix)
-                body = name[: -len(self.v.suffix)] if end else name
-                first = self.v.first_ids(body) if end else [self.v.ids[c] for c in body]
-                got = merge_exactly(self.v, first) == [token]
-            self.reached[token] = got
+            data, end = self.v.bytes_of[token]
+            first = self.v.first_ids(data) if end else self.v.symbol_ids[0][list(data)].tolist()
+            got = self.reached[token] = merge_exactly(self.v, first) == [token]
         return got
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each pre-token."""
-        guesses = [self.guess(w) for w in words]
-        flat = np.fromiter((t for g in guesses for t in g), np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(g) for g in guesses])
-        bad = np.zeros(len(words), bool)
+    def encode_words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie end to end, and how many each has."""
+        short = size <= LONG
+        begin = np.cumsum(size) - size
+        if short.all():
+            flat, owner = self.trie.greedy(data, size)
+        else:
+            flat, owner = self.trie.greedy(data[np.repeat(short, size)], size[short])
+            owner = np.flatnonzero(short)[owner]
+            for i in np.flatnonzero(~short).tolist():
+                own = self.guess(data[begin[i] : begin[i] + size[i]].tobytes())
+                flat, owner = np.r_[flat, own], np.r_[owner, np.full(len(own), i)]
+            order = np.argsort(owner, kind="stable")
+            flat, owner = flat[order], owner[order]
+        bad = np.zeros(len(size), bool)
         inner = np.flatnonzero(owner[:-1] == owner[1:]) if len(owner) else np.zeros(0, np.int64)
         pairs, back = np.unique(flat[inner] * self.v.size + flat[inner + 1], return_inverse=True)
         good = self.compatible(pairs // self.v.size, pairs % self.v.size)
@@ -140,38 +228,38 @@ class Codec:
         tokens, back = np.unique(flat, return_inverse=True)
         proper = np.array([self._proper(int(t)) for t in tokens], bool)
         bad[owner[~proper[back]]] = True
-        failed = np.flatnonzero(bad)
-        if len(failed):
-            ids, of = merge_ragged(self.v, [self.v.first_ids(words[i]) for i in failed])
-            bounds = np.searchsorted(of, np.arange(len(failed) + 1)).tolist()
-            ids = ids.tolist()
-            for i, begin, end in zip(failed.tolist(), bounds, bounds[1:]):
-                guesses[i] = ids[begin:end]
-        self.words += len(words)
+        if bad.any():
+            failed = np.flatnonzero(bad)
+            ids, of = merge_ragged(self.v, self.v.first_symbols(data[np.repeat(bad, size)], size[bad]), size[bad])
+            right = ~bad[owner]
+            flat, owner = np.r_[flat[right], ids], np.r_[owner[right], failed[of]]
+            order = np.argsort(owner, kind="stable")
+            flat, owner = flat[order], owner[order]
+        self.words += len(size)
         self.failures += int(bad.sum())
-        return guesses
+        return flat, np.bincount(owner, minlength=len(size))
 
     def _learn(self, chunks: list[str], into: dict[str, tuple[str, str, int]]) -> None:
-        words, of = [], []
-        for i, chunk in enumerate(chunks):
-            for pre in self.v.pre_tokens(chunk):
-                words.append(pre)
-                of.append(i)
-        ids: list[list[int]] = [[] for _ in chunks]
-        if words:
-            for i, got in zip(of, self.encode_words(words)):
-                ids[i] += got
-        for chunk, got in zip(chunks, ids):
-            into[chunk] = (" ".join(map(str, got)), self.decode(got), len(got))
+        data, size, of = self.v.words(chunks)
+        flat, count = self.encode_words(data, size)
+        # odd chunks' words stand behind the others: bring tokens into the order of chunks
+        per_word = np.repeat(of, count)
+        flat = flat[np.argsort(per_word, kind="stable")].tolist()
+        stops = np.cumsum(np.bincount(per_word, minlength=len(chunks))).tolist()
+        strings, texts, begin = self.strings, self.texts, 0
+        for chunk, stop in zip(chunks, stops):
+            own = flat[begin:stop]
+            into[chunk] = (" ".join([strings[i] for i in own]), " ".join([texts[i] for i in own]), stop - begin)
+            begin = stop
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.v.names.__getitem__, ids))
+        return " ".join(map(self.texts.__getitem__, ids))
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, str, int]]:
         """Of each text: its ids in decimal and its decoded text, both joined by spaces, and the number of ids."""
         v = self.v
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {}
         plans, new = [], {}
         for text in texts:
             plan = []
@@ -185,10 +273,12 @@ class Codec:
                         if c not in self.known:
                             new[c] = None
             plans.append(plan)
+        known, older = self.known, self.older
+        kept = {c: older[c] for c in new if c in older}
+        known.update(kept)
         fresh: dict[str, tuple[str, str, int]] = {}
-        if new:
-            self._learn(list(new), fresh)
-        known = self.known
+        if len(kept) < len(new):
+            self._learn([c for c in new if c not in kept], fresh)
         known.update(fresh)
         out = []
         for plan in plans:

@@ -33,10 +33,9 @@ BATCH_SYMBOLS = 1 << 20
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def merge_ragged(vocabulary: Vocabulary, sequences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving symbols of all sequences, end to end, and the number of the sequence each belongs to."""
-    owner = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
-    symbols = np.fromiter((i for s in sequences for i in s), np.int64, len(owner))
+def merge_ragged(vocabulary: Vocabulary, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving symbols of sequences that lie end to end, `size` symbols each, and the number of the sequence each belongs to."""
+    owner, symbols = np.repeat(np.arange(len(size)), size), symbols.copy()
     done_symbols, done_owner, none = [], [], len(vocabulary.merges)
     rank = np.full(len(symbols), none, np.int64)  # of the pair that begins here
     stale = np.arange(len(symbols))  # where it isn't known
@@ -75,37 +74,28 @@ def merge_ragged(vocabulary: Vocabulary, sequences: list[list[int]]) -> tuple[np
 
 def chunk_counts(vocabulary: Vocabulary, chunks: list[str]) -> list[int]:
     """Tokens of each chunk."""
-    counts = np.zeros(len(chunks), np.int64)
-    sequences, of, held = [], [], 0
-
-    def flush():
-        nonlocal held
-        if sequences:
-            _, owner = merge_ragged(vocabulary, sequences)
-            np.add.at(counts, of, np.bincount(owner, minlength=len(sequences)))
-            sequences.clear()
-            of.clear()
-        held = 0
-
-    for i, chunk in enumerate(chunks):
-        for pre in vocabulary.pre_tokens(chunk):
-            sequences.append(vocabulary.first_ids(pre))
-            of.append(i)
-            held += len(pre)
-        if held > BATCH_SYMBOLS:
-            flush()
-    flush()
+    data, size, of = vocabulary.words(chunks)
+    counts, end = np.zeros(len(chunks), np.int64), np.cumsum(size)
+    begin = 0
+    while begin < len(size):
+        base = end[begin] - size[begin]
+        stop = max(begin + 1, int(np.searchsorted(end, base + BATCH_SYMBOLS, side="right")))
+        part = size[begin:stop]
+        _, owner = merge_ragged(vocabulary, vocabulary.first_symbols(data[base : end[stop - 1]], part), part)
+        np.add.at(counts, of[begin:stop], np.bincount(owner, minlength=len(part)))
+        begin = stop
     return counts.tolist()
 
 
 class Counter:
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+        # counts by chunk: those of late, and those of the generation before, of which what is asked for again moves on
+        self.vocabulary, self.known, self.older = vocabulary, {}, {}
 
     def count(self, texts: list[str | None]) -> list[int]:
-        v, known = self.vocabulary, self.known
-        if len(known) > CACHE:
-            known.clear()
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {}
+        v, known, older = self.vocabulary, self.known, self.older
         out, pending, new = [], [], {}
         for text in texts:
             n, missing = 0, []
@@ -115,6 +105,8 @@ class Counter:
                     continue
                 for chunk in v.chunks(part):
                     got = known.get(chunk)
+                    if got is None and (got := older.get(chunk)) is not None:
+                        known[chunk] = got
                     if got is None:
                         missing.append(new.setdefault(chunk, len(new)))
                     else:

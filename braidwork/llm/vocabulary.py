@@ -45,13 +45,17 @@ def _known(kinds: tuple[str, ...]) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
+#: A character from the first of UNORDERED on.
+_HIGH = regex.compile("[\u07fd-\U0010ffff]")
+
+
 @cache
-def _odd() -> tuple[regex.Pattern, regex.Pattern, dict[int, int], dict[str, str]]:
-    """Characters that Python's tables may treat otherwise than the library's; those that part what composes; lower-casing; classes."""
+def _odd() -> tuple[regex.Pattern, dict[int, int], dict[str, str]]:
+    """The characters that part what composes; lower-casing; classes: where the library's tables differ from Python's."""
     lowered = {c: c + by for r, by in LOWERED for a, b in _ranges(r) for c in range(a, b + 1)}
     apart = _inside(_ranges(UNORDERED))
     classes = {"L": _inside(_known(("L",)) + _ranges(LETTERS)), "N": _inside(_known(("N",)) + _ranges(NUMBERS))}
-    return regex.compile(f"[{apart}{_inside(_known(('Cn',)))}]"), regex.compile(f"([{apart}])"), lowered, classes
+    return regex.compile(f"([{apart}])"), lowered, classes
 
 
 def byte_symbols() -> list[str]:
@@ -74,12 +78,12 @@ class Vocabulary:
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         spelled = pattern.replace(r"\s", r"\p{White_Space}")
-        self._pattern = regex.compile(spelled)
+        self._pattern, spelled_plain = regex.compile(spelled), spelled
         # the same with classes spelled out, for text with characters that Python's tables treat otherwise
-        for name, inside in _odd()[3].items():
+        for name, inside in _odd()[2].items():
             spelled = spelled.replace(rf"\p{{{name}}}", inside)
         self._spelled = regex.compile(spelled)
-        self._symbols = byte_symbols()
+        self._lines = regex.compile(f"{spelled_plain}|\n")
         self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._opening = os.path.commonprefix(list(self.special))
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -148,18 +152,69 @@ class Vocabulary:
         return text.split()
 
     def pre_tokens(self, chunk: str) -> list[str]:
-        """The chunk normalised and cut into pre-tokens, each as byte symbols."""
+        """The chunk normalised and cut into pre-tokens."""
         pattern = self._pattern
         if not chunk.isascii():
-            odd, apart, lowered, _ = _odd()
-            if odd.search(chunk):
-                pattern = self._spelled
+            if self._is_odd(chunk):
+                pattern, (apart, lowered, _) = self._spelled, _odd()
                 chunk = "".join(unicodedata.normalize("NFC", x) for x in apart.split(chunk)).translate(lowered)
             else:
                 chunk = unicodedata.normalize("NFC", chunk)
             chunk = chunk.replace("Σ", "σ")  # characters are lowered one by one: no final sigma
-        return ["".join(map(self._symbols.__getitem__, p.encode("utf-8", "surrogatepass"))) for p in pattern.findall(chunk.lower())]
+        return pattern.findall(chunk.lower())
 
-    def first_ids(self, pre_token: str) -> list[int]:
-        """Ids of the pre-token's symbols before any merge; the last carries the word end."""
-        return [self.ids[c] for c in pre_token[:-1]] + [self.ids[pre_token[-1] + self.suffix]]
+    @staticmethod
+    def _is_odd(chunk: str) -> bool:
+        """Whether Python's tables may treat a character otherwise than the library's; what they don't know is not printable for them."""
+        return not chunk.isprintable() or (_HIGH.search(chunk) is not None and _odd()[0].search(chunk) is not None)
+
+    def words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pre-tokens end to end, the bytes of each, and the chunk of each.
+
+        Chunks without odd characters are normalised and cut as one text: nothing reaches over the line ends between them.
+        """
+        odd = [not c.isascii() and self._is_odd(c) for c in chunks]
+        text = "\n".join("" if o else c for o, c in zip(odd, chunks))
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        found = self._lines.findall(text.lower())
+        line = np.fromiter((f == "\n" for f in found), bool, len(found))
+        of = np.cumsum(line)[~line]
+        made = [f.encode("utf-8", "surrogatepass") for f in found if f != "\n"]
+        for i in [i for i, o in enumerate(odd) if o]:
+            own = [p.encode("utf-8", "surrogatepass") for p in self.pre_tokens(chunks[i])]
+            made += own
+            of = np.r_[of, np.full(len(own), i)]
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        return np.frombuffer(b"".join(made), np.uint8), size, of.astype(np.int64)
+
+    @cached_property
+    def symbol_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Id of each byte's symbol, inside a word and at its end."""
+        symbols = byte_symbols()
+        return np.array([self.ids[c] for c in symbols]), np.array([self.ids[c + self.suffix] for c in symbols])
+
+    def first_ids(self, word: bytes) -> list[int]:
+        """Ids of a word's symbols before any merge; the last carries the word end."""
+        inner, last = self.symbol_ids
+        return inner[list(word[:-1])].tolist() + [int(last[word[-1]])]
+
+    def first_symbols(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """As first_ids, of words end to end."""
+        inner, last = self.symbol_ids
+        out = inner[data]
+        end = np.cumsum(size) - 1
+        out[end] = last[data[end]]
+        return out
+
+    @cached_property
+    def bytes_of(self) -> dict[int, tuple[bytes, bool]]:
+        """Of every entry but special ones: its bytes, and whether it carries the word end."""
+        byte = {c: b for b, c in enumerate(byte_symbols())}
+        out = {}
+        for name, i in self.ids.items():
+            end = bool(self.suffix) and name.endswith(self.suffix) and len(name) > len(self.suffix)
+            body = name[: -len(self.suffix)] if end else name
+            if name not in self.special and all(c in byte for c in body):
+                out[i] = bytes(byte[c] for c in body), end
+        return out
