@@ -190,9 +190,9 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def one_value(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The value that a group has throughout, else 255. values lie in group order."""
+    """The value that a group has throughout, else the largest of the type. values lie in group order."""
     low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
-    return np.where(low == high, low, 255).astype(np.uint8)
+    return np.where(low == high, low, np.iinfo(values.dtype).max).astype(values.dtype)
 
 
 #: How values of equal hashes become one; values lie in group order.

@@ -11,7 +11,7 @@ it starts first.
 Source coordinates verify each segment: every occurrence is read again at (document, word, length) and digested, and it counts as
 settled only if all digests agree, the same follows everywhere, and its occurrences are as many as its edges'; a path, if all
 its segments are and every run of it is as long. Then no occurrence of any of its windows lies elsewhere. What is not settled
-(hashes that met by chance, or a branch that a one-byte fingerprint hid) is decided window by window over 128-bit digests.
+(hashes that met by chance, or a branch that a two-byte fingerprint hid) is decided window by window over 128-bit digests.
 
 Defined results: null and empty texts have no words; fewer than k words make no window; of repeated rows with one doc_id none is
 smaller, so they remove nothing from each other; a null doc_id counts as larger than any other. Words are the runs without \\x20
@@ -36,6 +36,8 @@ WINDOW = 13
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _LAST = 2**63 - 1
+#: Stands for the word after a window where there is none, or not one always.
+NO_WORD = 2**16 - 1
 
 
 class Edges:
@@ -71,11 +73,11 @@ def _ask_edges(plan: Plan, k: int):
         if not len(e.at):
             return None
         keys = plan.keys(e.key)
-        # the word after each window, as one byte; 255 where the document ends
-        after = np.full(len(e.at), 255, np.uint8)
+        # the word after each window, as two bytes; the largest where the document ends
+        after = np.full(len(e.at), NO_WORD, np.uint16)
         inner = np.flatnonzero(e.at + k < len(e.doc))
         inner = inner[e.doc[e.at[inner]] == e.doc[e.at[inner] + k]]
-        after[inner] = (e.hash[e.at[inner] + k] % np.uint64(255)).astype(np.uint8)
+        after[inner] = (e.hash[e.at[inner] + k] % np.uint64(NO_WORD)).astype(np.uint16)
         order, first, _ = grouped(keys)
         return keys[order][first], [np.diff(np.r_[first, len(order)]).astype(np.uint32), one_value(after[order], first)]
 
@@ -85,7 +87,7 @@ def _ask_edges(plan: Plan, k: int):
 def _answer_edges(values: list[np.ndarray]) -> list[np.ndarray]:
     """How often an edge occurs, and whether one word follows it always."""
     times, after = values
-    return [times, (after != 255).astype(np.uint8)]
+    return [times, (after != NO_WORD).astype(np.uint8)]
 
 
 SEGMENT = "head: long, next: long, windows: long, low: long, times: long, count: long, a: long, b: long, same: boolean"
