@@ -49,7 +49,7 @@ from .tokencount import slices
 from .words import encode, hashes, lower_ascii, mix, spans
 
 #: Weights of the shorter context, and steps of a quantised logarithm to a factor of ten.
-K2, K3, STEP = 20.0, 4.0, 1024
+K2, K3, STEP = 500.0, 4.0, 1024
 #: Added to each count of the base.
 ADDED = 0.1
 BLOCK_BYTES = 4 << 20
