@@ -81,6 +81,20 @@ def cyclic(lengths: list[int], capacity: int, packs: int, batch: int = STREAM_IT
     return out[:packs]
 
 
+def cyclic_packs(df: DataFrame, shard: Column, ordinal: str, value: str, capacity: int, packs: int, batch: int = STREAM_ITEMS) -> DataFrame:
+    """shard, pack, slot, ordinal, value: the first `packs` packs of each shard's rows in order, which begin again when they are through; by one task a shard."""
+    rows = df.select(shard.cast("long").alias("shard"), F.col(ordinal).cast("long").alias("ordinal"), F.col(value).cast("long").alias("value"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ordinal")
+        made = cyclic(t["value"].to_pylist(), capacity, packs, batch)
+        rows = [(p, s, i) for p, pack in enumerate(made) for s, i in enumerate(pack)]
+        taken = t.take(pa.array([i for _, _, i in rows], pa.int64()))
+        return taken.append_column("pack", pa.array([p for p, _, _ in rows], pa.int64())).append_column("slot", pa.array([s for _, s, _ in rows], pa.int64()))
+
+    return rows.groupBy("shard").applyInArrow(run, "shard long, ordinal long, value long, pack long, slot long")
+
+
 def greedy(values: list[int], k: int, equal_size: bool = False) -> list[int]:
     """Partition of each value, in order: the one with the smallest sum, of equal ones the first."""
     bias = sum(values) + 1 if equal_size else 0
@@ -145,15 +159,20 @@ def by_shard(df: DataFrame, shard: Column, ordinal: str, value: str, fold: Calla
     return rows.groupBy("shard").applyInArrow(run, f"shard long, ordinal long, value long, {name} long")
 
 
-def uid_partitions(df: DataFrame, batch: Column, uid: str, ordinal: str, length: str, k: int) -> DataFrame:
+def least_divisor(n: int) -> int:
+    """The least number above one that divides n; n itself where it is prime, one for one."""
+    return next((d for d in range(2, int(n**0.5) + 1) if n % d == 0), max(n, 1))
+
+
+def uid_partitions(df: DataFrame, batch: Column, uid: str, ordinal: str, length: str, k: int | Callable[[int], int]) -> DataFrame:
     """shard, uid, workload, part: the groups of a batch in k partitions of equally many groups and about equal workload.
 
-    A group's rows, of one uid, stay together; its workload is the sum of theirs, its place that of its first row. A batch whose groups
-    are no multiple of k fails.
+    A group's rows, of one uid, stay together; its workload is the sum of theirs, its place that of its first row. k may be a function of
+    the number of groups. A batch whose groups are no multiple of k fails.
     """
     load = F.sum(workload(F.col(length).cast("long")))
     by = df.groupBy(batch.cast("long").alias("shard"), F.col(uid).alias("uid")).agg(F.min(ordinal).alias("_first"), load.alias("_load"))
-    parts = by_shard(by, F.col("shard"), "_first", "_load", lambda x: balanced(x, k, True), "part")
+    parts = by_shard(by, F.col("shard"), "_first", "_load", lambda x: balanced(x, k(len(x)) if callable(k) else k, True), "part")
     return by.join(parts, (by["shard"] == parts["shard"]) & (by["_first"] == parts["ordinal"])).select(by["shard"], "uid", parts["value"].alias("workload"), "part")
 
 

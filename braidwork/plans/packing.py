@@ -121,31 +121,50 @@ def b08(spark, sf):
     return sums.groupBy("shard").agg(F.min("s").alias("smaller"), F.max("s").alias("larger"))
 
 
+_PARTS = "STRUCT(s BIGINT, n BIGINT, m BIGINT[])[]"
+
+
+def _differencing_sql(equal):
+    """CTEs from v (shard, i, load, k) on: `ranked` has the members i of each shard's partitions, these numbered by sum, then size, then members.
+
+    A state is a list of partitions, its sums negated so that the list sorts; the two of widest spread merge, the first partition of one
+    with the last of the other. With `equal`, states begin as k values of like size each, else as one value each.
+    """
+    starts = (
+        f"SELECT shard, k, o // k AS c, CAST(list_sort(list({{'s': -load, 'n': -1, 'm': [i]}})) AS {_PARTS}) AS p FROM o GROUP BY ALL"
+        if equal
+        else f"SELECT shard, k, o AS c, CAST(list_concat([{{'s': -load, 'n': -1, 'm': [i]}}], list_transform(range(1, k), lambda j: {{'s': 0, 'n': 0, 'm': []}})) AS {_PARTS}) AS p FROM o"
+    )
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY load, i) - 1 AS o FROM v),
+b AS ({starts}),
+r(shard, k, next, states) AS (
+  SELECT shard, k, count(*), list_sort(list({{'sp': p[1].s - p[k].s, 'c': c, 'p': p}})) FROM b GROUP BY shard, k
+  UNION ALL SELECT shard, k, next + 1, list_sort(list_append(states[3:], {{'sp': p[1].s - p[k].s, 'c': next, 'p': p}})) FROM (
+    SELECT *, list_sort(list_transform(range(1, k + 1), lambda j: {{'s': states[1].p[j].s + states[2].p[k + 1 - j].s, 'n': states[1].p[j].n + states[2].p[k + 1 - j].n,
+      'm': list_concat(states[1].p[j].m, states[2].p[k + 1 - j].m)}})) AS p FROM r WHERE len(states) > 1)),
+ranked AS (SELECT shard, k, j - 1 AS rank, unnest(states[1].p[j].m) AS i FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM r WHERE len(states) = 1))"""
+
+
 @query("B09_micro_batches", f"""
-WITH RECURSIVE c AS (SELECT CAST(doc_id // 10 AS BIGINT) AS shard, CAST(n_chars AS BIGINT) AS n, least(count(*) OVER g, ceil(ceil(sum(n_chars) OVER g / 40000.0) / 2) * 2) AS micro FROM documents WINDOW g AS (PARTITION BY doc_id // 10)),
-v AS (SELECT shard, 24576 * n + n * n AS value FROM c WHERE micro = 2), {_difference_sql("list(value)")}
-SELECT shard, CAST((sum(value) - any_value(difference)) / 2 AS BIGINT) AS second, CAST((sum(value) + any_value(difference)) / 2 AS BIGINT) AS first FROM v JOIN x USING (shard) GROUP BY shard""")
+WITH RECURSIVE d AS (SELECT CAST(doc_id // 10 AS BIGINT) AS shard, doc_id AS i, CAST(n_chars AS BIGINT) AS value, count(*) OVER g AS rows, ceil(sum(n_chars) OVER g / 9000.0) AS enough FROM documents WINDOW g AS (PARTITION BY doc_id // 10)),
+v AS (SELECT shard, i, value, 24576 * value + value * value AS load, CAST(greatest(1, least(rows, ceil(least(rows, enough) / 2) * 2)) AS BIGINT) AS k FROM d), {_differencing_sql(False)}
+SELECT shard, i AS ordinal, value, CASE WHEN rank % 2 = 0 THEN (k + 1) // 2 - 1 - rank // 2 ELSE (k + 1) // 2 + rank // 2 END AS micro FROM v JOIN ranked USING (shard, k, i)""")
 def b09(spark, sf):
-    """Of batches that make two micro-batches the workload of both in their order: the larger stands first, as of two none is the middle."""
+    """Every document's micro-batch: those of the largest workload stand in the middle of their batch, small ones first and last."""
     rows = _docs(spark, sf).withColumn("g", F.floor(F.col("doc_id") / 10))
-    out = packing.micro_batches(rows, "g", "doc_id", "n_chars", 40_000, divided_by=2)
-    by = out.groupBy("shard", "micro").agg(F.sum(packing.workload(F.col("value"))).alias("load"))
-    return by.groupBy("shard").agg(F.count("*").alias("n"), F.min_by("load", "micro").alias("first"), F.max_by("load", "micro").alias("second")).filter("n = 2").select("shard", "first", "second")
+    return packing.micro_batches(rows, "g", "doc_id", "n_chars", 9_000, divided_by=2)
 
 
 @query("B10_uid_groups", f"""
-WITH RECURSIVE u AS (SELECT o_custkey, l_orderkey, CAST(sum(24576 * CAST(l_quantity AS BIGINT) + CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS BIGINT) AS load FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
-e AS (SELECT CAST(o_custkey AS BIGINT) AS shard, load, row_number() OVER (PARTITION BY o_custkey ORDER BY load, l_orderkey) - 1 AS k FROM u QUALIFY count(*) OVER (PARTITION BY o_custkey) % 2 = 0),
-v AS (SELECT shard, k // 2 AS p, max(load) - min(load) AS value, CAST(sum(load) AS BIGINT) AS s FROM e GROUP BY ALL), {_difference_sql("list(value)")}
-SELECT shard, CAST(count(*) AS BIGINT) AS groups_each, CAST((sum(s) - any_value(difference)) / 2 AS BIGINT) AS smaller, CAST((sum(s) + any_value(difference)) / 2 AS BIGINT) AS larger FROM v JOIN x USING (shard) GROUP BY shard""")
+WITH RECURSIVE u AS (SELECT CAST(o_custkey AS BIGINT) AS shard, l_orderkey AS i, CAST(sum(24576 * CAST(l_quantity AS BIGINT) + CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS BIGINT) AS load FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+n AS (SELECT shard, count(*) AS n FROM u GROUP BY shard),
+v AS (SELECT shard, i, load, coalesce(list_filter(range(2, n + 1), lambda d: n % d = 0)[1], 1) AS k FROM u JOIN n USING (shard)), {_differencing_sql(True)}
+SELECT shard, i AS uid, load AS workload, rank AS part FROM v JOIN ranked USING (shard, k, i)""")
 def b10(spark, sf):
-    """A customer's orders in two partitions of equally many orders; customers with an odd number are left to another k."""
+    """Every customer's orders in partitions of equally many orders: as many as the least number above one that divides them."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("n"))
     rows = lines.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    even = rows.groupBy("o_custkey").agg(F.count_distinct("l_orderkey").alias("u")).filter("u % 2 = 0").select("o_custkey")
-    parts = packing.uid_partitions(rows.join(even, "o_custkey"), F.col("o_custkey"), "l_orderkey", "l_orderkey", "n", 2)
-    sums = parts.groupBy("shard", "part").agg(F.count("*").alias("g"), F.sum("workload").alias("s"))
-    return sums.groupBy("shard").agg(F.max("g").alias("groups_each"), F.min("s").alias("smaller"), F.max("s").alias("larger"))
+    return packing.uid_partitions(rows, F.col("o_custkey"), "l_orderkey", "l_orderkey", "n", packing.least_divisor)
 
 
 @query("B11_restore_order", f"""

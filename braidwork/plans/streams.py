@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import extend, payloads
 from braidwork.functions import text as tx
+from braidwork.operators import packing
 from braidwork.sources import files
 from braidwork.streaming import buffer, run
 
@@ -32,6 +33,12 @@ def b04_bins(spark, sf):
     return run.run_increments(increments, lambda s: buffer.bin_stream(s, "shard", "doc_id", "n_chars", 40_000, 32)).select("shard", "ordinal", "value", "pack")
 
 
+@query("B04_cyclic_packing")
+def b04_cyclic(spark, sf):
+    """The first 60 packs of each of four shards of documents, which begin again when they are through."""
+    return packing.cyclic_packs(table(spark, sf, "documents"), F.col("doc_id") % 4, "doc_id", "n_chars", 40_000, 60)
+
+
 @query("R11_stream_packing", "SELECT CAST(doc_id % 4 AS BIGINT) AS shard, count(*) AS items, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY 1")
 def r11(spark, sf):
     return b04(spark, sf).groupBy("shard").agg(F.count("*").alias("items"), F.sum("value").alias("total"))

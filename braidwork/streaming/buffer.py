@@ -143,24 +143,25 @@ def bounded_queue(stream: DataFrame, queue: str, ordinal: str, size: int) -> Dat
 def pack_state(key, frames, state):
     """applyInPandasWithState: next-fit packing over a stream; the open pack is carried in the state."""
     capacity = key[1]
-    pack, held = state.get if state.exists else (0, 0)
+    # `some`: the open pack has an item, which may be of no length
+    pack, held, some = state.get if state.exists else (0, 0, False)
     out = []
     for pdf in frames:
         for i, n in pdf.sort_values("ordinal")[["ordinal", "value"]].itertuples(index=False):
-            if held and held + n > capacity:
+            if some and held + n > capacity:
                 pack, held = pack + 1, 0
             out.append((key[0], int(i), int(n), pack))
-            held += int(n)
+            held, some = held + int(n), True
             if held >= capacity:
-                pack, held = pack + 1, 0
-    state.update((pack, held))
+                pack, held, some = pack + 1, 0, False
+    state.update((pack, held, some))
     yield pd.DataFrame(out, columns=["shard", "ordinal", "value", "pack"])
 
 
 def pack_stream(stream: DataFrame, shard: str, ordinal: str, value: str, capacity: int) -> DataFrame:
     """Next-fit packs of a stream whose micro-batches come in order of the ordinal; what is open stays until the next batch."""
     rows = stream.select(F.col(shard).cast("long").alias("shard"), F.lit(capacity).cast("long").alias("capacity"), F.col(ordinal).cast("long").alias("ordinal"), F.col(value).cast("long").alias("value"))
-    return rows.groupBy("shard", "capacity").applyInPandasWithState(pack_state, "shard long, ordinal long, value long, pack long", "pack long, held long", "append", "NoTimeout")
+    return rows.groupBy("shard", "capacity").applyInPandasWithState(pack_state, "shard long, ordinal long, value long, pack long", "pack long, held long, some boolean", "append", "NoTimeout")
 
 
 def bin_state(key, frames, state):

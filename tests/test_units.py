@@ -533,3 +533,44 @@ def test_cyclic_packs():
     assert len(packs) == 20 and all(sum([3, 4, 5][i] for i in p) <= 8 for p in packs) and packing.cyclic([], 8, 3) == []
     flat = [i for p in packing.cyclic([3, 4, 5], 8, 1000, 4) for i in p]
     assert abs(flat.count(0) - flat.count(1)) <= 3
+
+
+@pytest.mark.parametrize("lengths", [[0, 150, 10], [0, 0, 100, 0, 150, 0, 60, 40, 0, 1], [150, 0, 0, 99, 1, 0], [30, 80, 20, 0, 100, 100, 0]])
+def test_stream_packs_are_those_of_the_table(spark, lengths):
+    from braidwork.streaming import buffer, run
+
+    rows = [(0, i, n) for i, n in enumerate(lengths)]
+    parts = [spark.createDataFrame(part, "shard long, i long, n long") for part in (rows[:1], rows[1:4], rows[4:]) if part]
+    got = run.run_increments(parts, lambda s: buffer.pack_stream(s, "shard", "i", "n", 100)).collect()
+    assert [r["pack"] for r in sorted(got, key=lambda r: r["ordinal"])] == packing.next_fit(lengths, 100)
+
+
+def test_cyclic_packs_of_a_table(spark):
+    lengths = {0: [3, 4, 5], 1: [9, 0, 2, 2, 7]}
+    df = spark.createDataFrame([(s, i * 10, n) for s, own in lengths.items() for i, n in enumerate(own)], "s long, i long, n long")
+    got = packing.cyclic_packs(df, F.col("s"), "i", "n", 9, 12, 4).collect()
+    for s, own in lengths.items():
+        packs = [[r["ordinal"] // 10 for r in sorted(got, key=lambda r: r["slot"]) if (r["shard"], r["pack"]) == (s, p)] for p in range(12)]
+        assert packs == packing.cyclic(own, 9, 12, 4)
+    assert packing.cyclic_packs(df.limit(0), F.col("s"), "i", "n", 9, 12).count() == 0
+
+
+def test_uid_partitions_of_any_number_of_groups(spark):
+    assert [packing.least_divisor(n) for n in (1, 2, 3, 4, 9, 15, 35, 37)] == [1, 2, 3, 2, 3, 3, 5, 37]
+    rows = [(b, u, u * 10 + i, (u * 7 + i) % 50) for b, n in enumerate((1, 4, 9, 7)) for u in range(n) for i in range(3)]
+    df = spark.createDataFrame(rows, "b long, u long, o long, n long")
+    parts = packing.uid_partitions(df, F.col("b"), "u", "o", "n", packing.least_divisor).collect()
+    for b, n in enumerate((1, 4, 9, 7)):
+        own = [r for r in parts if r["shard"] == b]
+        sizes = [sum(r["part"] == p for r in own) for p in range(packing.least_divisor(n))]
+        assert sorted(r["uid"] for r in own) == list(range(n)) and len(set(sizes)) == 1 and sizes[0] > 0
+    with pytest.raises(Exception, match="multiple"):
+        packing.uid_partitions(df, F.col("b"), "u", "o", "n", 2).collect()
+
+
+def test_micro_batches_stand_centre_out(spark):
+    lengths = [50, 40, 30, 20, 10, 5, 5, 1]
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(lengths)], "g long, i long, n long")
+    got = packing.micro_batches(df, "g", "i", "n", 35).collect()
+    loads = [sum(24576 * r["value"] + r["value"] ** 2 for r in got if r["micro"] == m) for m in range(5)]
+    assert len({r["micro"] for r in got}) == 5 and max(loads) == loads[2] and loads[0] < loads[1] < loads[2] > loads[3] > loads[4]
