@@ -18,7 +18,6 @@ the named columns are read, so others may have any name.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
@@ -38,7 +37,7 @@ COPIES = FILTERS.index("E")
 _SETS = 1 << len(FILTERS)
 _LAST = 2**63 - 1
 
-JUDGED = "part string, doc_id long, mask int, head binary, first long, boundary boolean"
+JUDGED = "part string, doc_id long, mask int, head string, first long, boundary boolean"
 
 
 def own_mask(text: Column) -> Column:
@@ -50,10 +49,6 @@ def own_mask(text: Column) -> Column:
     return sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fails)), F.lit(0)).cast("int")
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one sorted range: its copies marked, its undecided heads with the digest of their text, and its first and last texts as boundary rows."""
     release()
@@ -61,13 +56,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = pc.fill_null(batch.column("doc_id"), _LAST).to_pylist()
         mask = batch.column("mask").to_pylist()
-        head: list[bytes | None] = [None] * len(ids)
+        head: list[str | None] = [None] * len(ids)
         for begin, texts in slices(batch.column("text")):
             for i, t in enumerate(texts, begin):
                 if t != text:
                     at_head, text, first = text is None, t, ids[i]
+                    digest = batch.column("_digest")[i].as_py()
                     if at_head:
-                        digest = _digest(t)
                         edges.append((digest, first))
                 if ids[i] > first:
                     mask[i] |= 1 << COPIES
@@ -78,15 +73,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "part": batch.column("part"),
                 "doc_id": batch.column("doc_id"),
                 "mask": pa.array(mask, pa.int32()),
-                "head": pa.array(head, pa.binary()),
+                "head": pa.array(head, pa.string()),
                 "first": pa.array(ids, pa.int64()),
                 "boundary": pa.array([False] * len(ids), pa.bool_()),
             }
         )
     if text is not None:
-        edges.append((_digest(text), first))
+        edges.append((digest, first))
         columns = {"part": [None, None], "doc_id": [None, None], "mask": [0, 0], "head": [e[0] for e in edges], "first": [e[1] for e in edges], "boundary": [True, True]}
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(columns.items(), kinds)})
 
 
@@ -95,10 +90,11 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     # the last key parts rows that are equal in the others, so that no group of them is bound to one range
-    keys = [F.col("_print"), F.col("text"), F.col("doc_id").asc_nulls_last(), F.col("_row")]
-    rows = rows.withColumns({"_print": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
-    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    judged = materialise(sorted_.select("part", "doc_id", "text", own_mask(F.col("text")).alias("mask")).mapInArrow(_compare, JUDGED), "audit-masks")
+    last = [F.col("doc_id").asc_nulls_last(), F.col("_row")]
+    rows = rows.withColumns({"_print": F.xxhash64("text"), "_digest": F.sha2(F.col("text").cast("binary"), 256), "_row": F.monotonically_increasing_id()})
+    # the driver samples the keys of ranges: there a digest stands for the text, in the order as in the ranges
+    sorted_ = rows.repartitionByRange("_print", "_digest", *last).sortWithinPartitions("_print", "_digest", "text", *last)
+    judged = materialise(sorted_.select("part", "doc_id", "text", "_digest", own_mask(F.col("text")).alias("mask")).mapInArrow(_compare, JUDGED), "audit-masks")
     # at most two rows a range; every head finds its text among them
     edges = materialise(judged.filter("boundary").groupBy(F.col("head").alias("_of")).agg(F.min("first").alias("_least")), "audit-edges")
     rows = judged.filter("not boundary")
