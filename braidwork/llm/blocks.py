@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,22 @@ BLOCKS = "words long, payload binary"
 ASKED = "bucket int, block_id long, blob binary"
 
 
+@cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeeze(data: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(data)
+    return _compressor(level).compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _decompressor().decompress(data)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -132,8 +143,6 @@ class Plan:
     `coarse` is 0 where blocks ask buckets, else the number of coarse ranges, `fine` buckets each, that bundles of `bundle` blocks ask from.
     """
 
-    _edges: np.ndarray | None = None
-
     def __init__(self, words: int, partitions: int, blocks: int = 1):
         self.bits = min(64, max(40, 2 * int(max(words, 1)).bit_length() + 2))
         self.buckets = max(4 * partitions, -(-words // BUCKET_ENTRIES))
@@ -151,15 +160,17 @@ class Plan:
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits)
 
-    def bounds(self, keys: np.ndarray) -> np.ndarray:
-        """Where each bucket begins among sorted keys; one more than there are buckets."""
-        if self._edges is None:
-            self._edges = np.array([(b << self.bits) // self.buckets for b in range(self.buckets)], np.uint64)
-        return np.r_[np.searchsorted(keys, self._edges), len(keys)]
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        """The bucket of each key, of ranges that are about equal: told by as many leading bits as a product with their number bears."""
+        top = min(self.bits, 63 - self.buckets.bit_length())
+        return ((keys >> np.uint64(self.bits - top)) * np.uint64(self.buckets) >> np.uint64(top)).astype(np.int64)
 
-    def coarse_bounds(self, keys: np.ndarray) -> np.ndarray:
-        """As bounds, of coarse ranges."""
-        return np.r_[self.bounds(keys)[: self.buckets : self.fine], len(keys)]
+    def cut(self, keys: np.ndarray, coarse: bool = False) -> Iterator[tuple[int, slice]]:
+        """The buckets, or coarse ranges, that sorted keys fall into, and which keys do; in time and memory of the keys, however many buckets there are."""
+        bucket = self.bucket(keys) // (self.fine if coarse else 1)
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(keys)]):
+            yield int(bucket[i]), slice(i, j)
 
     def pack_keys(self, keys: np.ndarray) -> bytes:
         """Of sorted distinct keys: the gaps, in four bytes each where they fit."""
@@ -223,15 +234,14 @@ def ask_keys(rows: DataFrame, plan: Plan, question: Callable[[dict], tuple[np.nd
     all blocks are combined; answer gets these and gives columns, of which each block gets its keys' entries, in their order.
     """
 
-    def cuts(keys, values, bounds):
-        for b in np.flatnonzero(np.diff(bounds)):
-            cut = slice(bounds[b], bounds[b + 1])
-            yield int(b), _pack_part(plan, keys[cut], [v[cut] for v in values])
+    def cuts(keys, values, coarse: bool = False):
+        for b, cut in plan.cut(keys, coarse):
+            yield b, _pack_part(plan, keys[cut], [v[cut] for v in values])
 
     def asked_by_block(row: dict) -> Iterator[tuple[int, bytes]]:
         got = question(row)
         if got is not None and len(got[0]):
-            yield from cuts(*got, plan.coarse_bounds(got[0]) if plan.coarse else plan.bounds(got[0]))
+            yield from cuts(*got, bool(plan.coarse))
 
     def answered(blobs: list[bytes]) -> list[bytes]:
         _, values, places = merged(list(map(_unpack_part, blobs)), how)
@@ -248,7 +258,7 @@ def ask_keys(rows: DataFrame, plan: Plan, question: Callable[[dict], tuple[np.nd
 
     def bundle(table: pa.Table) -> pa.Table:
         keys, values, _ = merged(list(map(_unpack_part, table["blob"].to_pylist())), how)
-        sent = list(cuts(keys, values, plan.bounds(keys)))
+        sent = list(cuts(keys, values))
         return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()), "block_id": pa.array([table["part"][0].as_py()] * len(sent), pa.int64()), "blob": pa.array([x for _, x in sent], pa.binary())})
 
     def spread(replies: pa.Table, asks: pa.Table) -> pa.Table:

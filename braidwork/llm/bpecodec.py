@@ -134,8 +134,9 @@ class Trie:
         return tokens_[order], words_[order]
 
 
-#: Bytes of a word up to which words are matched together; longer ones go one by one.
-LONG = 256
+#: Bytes of a word up to which words are matched together; longer ones are matched together by length, a factor of two at a time, or one
+#: by one where there are fewer than FEW of a length.
+LONG, FEW = 256, 16
 
 
 class Codec:
@@ -213,11 +214,19 @@ class Codec:
         if short.all():
             flat, owner = self.trie.greedy(data, size)
         else:
-            flat, owner = self.trie.greedy(data[np.repeat(short, size)], size[short])
-            owner = np.flatnonzero(short)[owner]
-            for i in np.flatnonzero(~short).tolist():
-                own = self.guess(data[begin[i] : begin[i] + size[i]].tobytes())
-                flat, owner = np.r_[flat, own], np.r_[owner, np.full(len(own), i)]
+            parts = []
+            # doublings of LONG that a word takes
+            grade = np.ceil(np.log2(np.maximum(size, LONG) / LONG)).astype(np.int64)
+            for g in np.unique(grade).tolist():
+                own = np.flatnonzero(grade == g)
+                if g and len(own) < FEW:
+                    for i in own.tolist():
+                        tokens = self.guess(data[begin[i] : begin[i] + size[i]].tobytes())
+                        parts.append((np.array(tokens, np.int64), np.full(len(tokens), i)))
+                else:
+                    tokens, of = self.trie.greedy(data[np.repeat(grade == g, size)], size[own])
+                    parts.append((tokens, own[of]))
+            flat, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
             order = np.argsort(owner, kind="stable")
             flat, owner = flat[order], owner[order]
         bad = np.zeros(len(size), bool)

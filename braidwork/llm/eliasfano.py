@@ -107,30 +107,50 @@ def write_monotone(w: Writer, name: str, values: np.ndarray) -> None:
     write_packed(w, f"{name}.low", values & np.uint64(2**low - 1), low)
 
 
+_ODD, _PAIRS, _NIBBLES = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
 def _nth_in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
-    raw = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_POP[raw], axis=1, dtype=np.uint8)
-    byte = (upto <= r[:, None]).sum(1)
-    rows = np.arange(len(raw))
-    r = r - np.where(byte > 0, upto[rows, byte - 1], 0)
-    return byte * 8 + _NTH[raw[rows, byte], r]
+    """Place of the r-th set bit (from 0) of each word: bits are counted in all bytes at once, then looked up in the byte that has it."""
+    r = r.astype(np.uint64)
+    upto = words - ((words >> np.uint64(1)) & _ODD)
+    upto = (upto & _PAIRS) + ((upto >> np.uint64(2)) & _PAIRS)
+    upto = ((upto + (upto >> np.uint64(4))) & _NIBBLES) * _BYTES  # in each byte the set bits up to its end
+    before = (((r * _BYTES) | _TOPS) - upto) & _TOPS  # marks the bytes with no more than r
+    begin = np.bitwise_count(before).astype(np.uint64) * np.uint64(8)
+    left = r - (((upto << np.uint64(8)) >> begin) & np.uint64(255))
+    return (begin + _NTH[(words >> begin) & np.uint64(255), left]).astype(np.int64)
 
 
 class Monotone:
     def __init__(self, r: Reader, name: str):
         self.n, self.bits = r.number(f"{name}.n"), r.number(f"{name}.bits")
-        self.high, self.before, self.low = r.array(f"{name}.high"), r.array(f"{name}.before"), Packed(r, f"{name}.low")
+        self.high, self.before, self.low = r.array(f"{name}.high"), r.array(f"{name}.before").astype(np.int64), Packed(r, f"{name}.low")
         self.zeros = 64 * np.arange(len(self.before), dtype=np.int64) - self.before
 
     def __len__(self) -> int:
         return self.n
 
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.before, at, side="right") - 1
+        return word * 64 + _nth_in_word(self.high[word], at - self.before[word])
+
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         """The elements at places that are all within the sequence."""
         at = np.asarray(at, np.int64)
-        word = np.searchsorted(self.before, at, side="right") - 1
-        place = word * 64 + _nth_in_word(self.high[word], at - self.before[word])
-        return ((place - at).astype(np.uint64) << np.uint64(self.low.width)) | self.low[at]
+        return ((self._bit(at) - at).astype(np.uint64) << np.uint64(self.low.width)) | self.low[at]
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements at places and those behind them, which are there too; these mostly lie in the same 64 bits."""
+        at = np.asarray(at, np.int64)
+        bit = self._bit(at)
+        rest = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) >> np.uint64(1)
+        behind = bit + 1 + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        behind[far] = self._bit(at[far] + 1)
+        width = np.uint64(self.low.width)
+        return ((bit - at).astype(np.uint64) << width) | self.low[at], ((behind - at - 1).astype(np.uint64) << width) | self.low[at + 1]
 
     def _smaller_highs(self, high: np.ndarray) -> np.ndarray:
         """How many elements have smaller high bits: the ones before the zero that ends those."""
@@ -143,8 +163,7 @@ class Monotone:
         """How many set bits follow from a place on; 64 stands for as many or more."""
         word, off = bit >> 6, (bit & 63).astype(np.uint64)
         ahead = ~((self.high[word] >> off) | ((self.high[word + 1] << np.uint64(1)) << (np.uint64(63) - off)))
-        lowest = ahead & (~ahead + np.uint64(1))
-        return np.where(ahead == 0, 64, np.frexp(lowest.astype(np.float64))[1] - 1)
+        return np.bitwise_count((ahead & (~ahead + np.uint64(1))) - np.uint64(1)).astype(np.int64)
 
     def successor(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first element not below each value (the length where there is none), and whether it is equal."""

@@ -2,10 +2,10 @@
 
 Words are counted in Spark and numbered by frequency. Blocks of texts, coded as word numbers, send every shard the distinct word triples
 that it owns with their counts; a shard merges them to a trie of three levels. A level holds the words of its nodes, made monotone by
-adding what the contexts before took up; monotone pointers cut it to the children of each context; each node holds a quantised
-smoothed probability, each context the quantised weight of what is known without it. All are Elias-Fano sequences or packed integers in
-one file a shard in the shared folder, which tasks map into memory. A query looks up its first word, then in the range of each
-context the successor of the next word: what lies there either is the word or shows that it was never seen there.
+adding what the contexts before took up; monotone pointers cut it to the children of each context; each node holds its quantised
+share of the smoothed probability. All are Elias-Fano sequences or packed integers in one file a shard in the shared folder, which tasks
+map into memory. A query looks up its first word, then in the range of each context the successor of the next word: what lies
+there either is the word or shows that it was never seen there.
 
 The model is the hierarchical Dirichlet language model of MacKay and Peto: with c(..) the counts in the training texts and K2, K3
 the weights of the shorter context,
@@ -14,7 +14,8 @@ the weights of the shorter context,
     p2(z | y) = c(y z) / (c(y) + K2) + K2 / (c(y) + K2) p1(z)
     p3(z | x y) = c(x y z) / (c(x y) + K3) + K3 / (c(x y) + K3) p2(z | y)
 
-Each first summand and each weight is kept as the nearest multiple of 1 / STEP of its common logarithm. A text is a beginning, its words
+Each first summand is kept as the nearest multiple of 1 / STEP of its common logarithm; the weight K3 / (c(x y) + K3) takes c(x y) from
+the share that the pair (x, y) has. A text is a beginning, its words
 and one end; the first word has the beginning alone for a context, and every word and the end are scored.
 
 Shards are chosen by a hash of the first two words, so their size follows the number of triples; two words that are both so frequent
@@ -49,7 +50,7 @@ from .tokencount import slices
 from .words import encode, hashes, lower_ascii, mix, spans
 
 #: Weights of the shorter context, and steps of a quantised logarithm to a factor of ten.
-K2, K3, STEP = 500.0, 4.0, 1024
+K2, K3, STEP = 500.0, 4.0, 128
 #: Added to each count of the base.
 ADDED = 0.1
 BLOCK_BYTES = 4 << 20
@@ -82,6 +83,11 @@ def _pack(ids: list[int | None], learn: list[bool], texts: list[bytes]) -> pa.Re
     each = [hashes(text, start[i : i + _HASHED], end[i : i + _HASHED]) for i in range(0, len(start), _HASHED)]
     word, place = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_inverse=True)
     lengths, learned = np.diff(first), np.array(learn, bool)
+    # the most frequent first, so that their places are small
+    order = np.argsort(-np.bincount(place, minlength=len(word)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    word, place = word[order], rank[place]
     count = np.bincount(place[np.repeat(learned, lengths)], minlength=len(word))
     parts = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), learned.astype(np.uint8), lengths, word, count.astype(np.uint32), place.astype(np.uint32)]
     return pa.RecordBatch.from_pydict(
@@ -135,16 +141,21 @@ class Vocabulary:
         return (count + ADDED) / (self.tokens + ADDED * (self.distinct + 1))
 
 
+BLOCK_WORDS = "block_id long, place int, hash long, n long"
+
+
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block_id, payload in zip(batch.column("block_id").to_pylist(), batch.column("payload")):
             parts = split_blobs(payload.as_py())
             word, count = unplanes(parts[4]), unplanes(parts[5])
-            yield pa.RecordBatch.from_pydict({"block_id": pa.array(np.full(len(word), block_id)), "hash": pa.array(word.view(np.int64)), "n": pa.array(count.astype(np.int64))})
+            yield pa.RecordBatch.from_pydict(
+                {"block_id": pa.array(np.full(len(word), block_id)), "place": pa.array(np.arange(len(word)), pa.int32()), "hash": pa.array(word.view(np.int64)), "n": pa.array(count.astype(np.int64))}
+            )
 
 
 def learn_words(blocks: DataFrame) -> Vocabulary:
-    words = blocks.select("block_id", "payload").mapInArrow(_block_words, "block_id long, hash long, n long")
+    words = blocks.select("block_id", "payload").mapInArrow(_block_words, BLOCK_WORDS)
     words = words.filter("n > 0").groupBy("hash").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "hash")
     words = materialise(words.withColumn("number", F.monotonically_increasing_id() + WORDS), "lm-words")
     docs, tokens = blocks.agg(F.sum("learned_docs"), F.sum("learned_tokens")).first()
@@ -156,22 +167,21 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Payloads with texts as places in the block's known words, these sorted by number."""
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, null, learned, lengths, word, _, place = split_blobs(batch.column("payload")[i].as_py())
-            known = batch.column("known")[i]
-            found = known.values if known.is_valid else pa.array([], pa.struct([("hash", pa.int64()), ("count", pa.int64()), ("number", pa.int64())]))
-            hash_, count, number = (found.field(c).to_numpy() for c in ("hash", "count", "number"))
+            ids, null, learned, lengths, word, _, seq = split_blobs(batch.column("payload")[i].as_py())
+            known, count, number = (batch.column(c)[i].values.to_numpy() if batch.column(c)[i].is_valid else np.zeros(0, np.int64) for c in ("place", "count", "number"))
             order = np.argsort(number)
             rank = np.full(unplanes(word).shape, UNKNOWN, np.uint32)
-            rank[np.searchsorted(unplanes(word), hash_.view(np.uint64)[order])] = WORDS + np.arange(len(order))
-            seq = rank[unplanes(place)] if len(rank) else rank
-            payload = join_blobs([ids, null, learned, lengths, planes(number[order].astype(np.uint64)), planes(count[order]), planes(seq)])
+            rank[known[order]] = WORDS + np.arange(len(order))
+            seq = rank[unplanes(seq)] if len(rank) else rank
+            payload = join_blobs([ids, null, learned, lengths, planes(np.diff(number[order].astype(np.uint64), prepend=np.uint64(0))), planes(count[order]), planes(seq)])
             yield pa.RecordBatch.from_pydict({"block_id": batch.column("block_id").slice(i, 1), "payload": pa.array([payload], pa.binary())})
 
 
 def code(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """block_id and payload, with words as the vocabulary numbers them."""
-    own = blocks.select("block_id", "payload").mapInArrow(_block_words, "block_id long, hash long, n long").drop("n")
-    known = own.join(vocabulary.words, "hash").groupBy("block_id").agg(F.collect_list(F.struct("hash", "count", "number")).alias("known"))
+    own = blocks.select("block_id", "payload").mapInArrow(_block_words, BLOCK_WORDS).drop("n")
+    # the lists of a block are gathered together, so they agree in order
+    known = own.join(vocabulary.words, "hash").groupBy("block_id").agg(*[F.collect_list(c).alias(c) for c in ("place", "count", "number")])
     return materialise(blocks.select("block_id", "payload").join(known, "block_id", "left").mapInArrow(_code, CODED), "lm-coded")
 
 
@@ -183,9 +193,10 @@ class Coded:
 
     def __init__(self, payload: bytes, vocabulary_docs: int, learned_only: bool = False):
         ids, null, learned, lengths, number, count, seq = (unplanes(p) for p in split_blobs(payload))
+        number = np.cumsum(number, dtype=np.uint64)
         self.ids, self.null, self.learned = ids, null.astype(bool), learned.astype(bool)
         if learned_only:
-            seq, lengths = seq[np.repeat(self.learned, lengths)], lengths[self.learned]
+            seq, lengths, self.learned = seq[np.repeat(self.learned, lengths)], lengths[self.learned], self.learned[self.learned]
         self.number = np.r_[np.arange(WORDS, dtype=np.uint64), number]
         self.count = np.r_[np.array([vocabulary_docs, vocabulary_docs, 0, 0]), count]
         self.lengths = lengths
@@ -201,15 +212,19 @@ class Coded:
         at[stop - 2] = at[stop - 1] = False
         self.at = np.flatnonzero(at)
 
-    def triples(self) -> None:
-        """Sorts the triples whose first two words are known; of the others nothing is asked."""
+    def triples(self, of: np.ndarray | None = None) -> None:
+        """Sorts the triples whose first two words are known, or among `of` (by symbol); of the others nothing is asked."""
         s = self.symbols
-        self.asked = self.at[(s[self.at] != UNKNOWN) & (s[self.at + 1] != UNKNOWN)]
+        of = np.arange(len(self.number)) != UNKNOWN if of is None else of
+        self.asked = self.at[of[s[self.at]] & of[s[self.at + 1]]]
         pairs, pair = np.unique((s[self.asked] << 32) | s[self.asked + 1], return_inverse=True)
         self.x, self.y = pairs >> 32, pairs & (2**32 - 1)
-        triples, self.triple, self.times = np.unique((pair << 32) | s[self.asked + 2], return_inverse=True, return_counts=True)
+        triples, self.triple = np.unique((pair << 32) | s[self.asked + 2], return_inverse=True)
         self.pair_of, self.z = triples >> 32, triples & (2**32 - 1)
-        self.pair_times = np.bincount(pair, minlength=len(pairs))
+        # occurrences in the texts that may be learned from
+        learned = np.repeat(self.learned, self.lengths + 3)[self.asked]
+        self.times = np.bincount(self.triple[learned], minlength=len(triples))
+        self.pair_times = np.bincount(self.pair_of, self.times, len(pairs)).astype(np.int64)
 
 
 @dataclass
@@ -299,7 +314,6 @@ def build_trie(x: np.ndarray, y: np.ndarray, pair_of: np.ndarray, z: np.ndarray,
     write_monotone(w, "roots", roots)
     _write_children(w, "second", root_of, y, len(roots))
     write_packed(w, "second.share", quantise(count_xy / (count_x + K2)))
-    write_packed(w, "second.weight", quantise(K3 / (count_xy + K3)))
     _write_children(w, "third", pair_of, z, len(y))
     share = times / (count_xy[pair_of] + K3)
     code = np.full(len(times), NONE)
@@ -316,7 +330,7 @@ class Level:
 
     def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the children of each context end, and what their words follow on from."""
-        begin, end = self.pointers[context].astype(np.int64), self.pointers[context + 1].astype(np.int64)
+        begin, end = (p.astype(np.int64) for p in self.pointers.pairs(context))
         base = np.where(begin > 0, self.words[np.maximum(begin, 1) - 1] + np.uint64(1), np.uint64(0)) if len(begin) else np.zeros(0, np.uint64)
         return end, base
 
@@ -330,24 +344,26 @@ class Trie:
     def __init__(self, buffer):
         r = Reader(buffer)
         self.roots, self.second, self.third = Monotone(r, "roots"), Level(r, "second"), Level(r, "third")
-        self.share2, self.weight2, self.share3 = Packed(r, "second.share"), Packed(r, "second.weight"), Packed(r, "third.share")
-
-    def look_up(self, x: np.ndarray, y: np.ndarray, pair_of: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the share and weight of each pair, and of the share of each triple (pair_of, z); NONE where there is no node."""
-        root, there = self.roots.successor(x)
-        node = np.full(len(x), -1, np.int64)
+        self.share2, self.share3 = Packed(r, "second.share"), Packed(r, "third.share")
+
+    def look_up(self, x: np.ndarray, y: np.ndarray, pair_of: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the share of each pair, and of each triple (pair_of, z); NONE where there is no node."""
+        share2, share3 = (np.full(n, NONE) for n in (len(x), len(z)))
+        first, of = np.unique(x, return_inverse=True)
+        root, there = self.roots.successor(first)
+        end, base = np.zeros(len(first), np.int64), np.zeros(len(first), np.uint64)
         some = np.flatnonzero(there)
-        node[some] = self.second.find(*self.second.ranges(root[some]), y[some])
-        share2, weight2, share3 = (np.full(n, NONE) for n in (len(x), len(x), len(z)))
+        end[some], base[some] = self.second.ranges(root[some])
+        node = self.second.find(end[of], base[of], y)
         some = np.flatnonzero(node >= 0)
-        share2[some], weight2[some] = self.share2[node[some]], self.weight2[node[some]]
+        share2[some] = self.share2[node[some]]
         end, base = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64)
         end[some], base[some] = self.third.ranges(node[some])
         some = np.flatnonzero(node[pair_of] >= 0)
         leaf = self.third.find(end[pair_of[some]], base[pair_of[some]], z[some])
         some, leaf = some[leaf >= 0], leaf[leaf >= 0]
         share3[some] = self.share3[leaf]
-        return share2, weight2, share3
+        return share2, share3
 
 
 def _map(path: str):
@@ -376,12 +392,12 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _hot_pairs(coded: DataFrame, vocabulary: Vocabulary, routes: Routes) -> DataFrame:
+def _hot_pairs(coded: DataFrame, vocabulary: Vocabulary, routes: Routes, learned_only: bool) -> DataFrame:
     """block_id and counts (of all training texts, in order) of the pairs of each block that are dealt over shards."""
 
     def question(row: dict):
-        c = Coded(row["payload"], vocabulary_docs, learned_only=True)
-        c.triples()
+        c = Coded(row["payload"], vocabulary_docs, learned_only)
+        c.triples(c.count > routes.pair_limit)
         dealt = np.flatnonzero(routes.salts(c) > 1)
         key = routes.pair_key(c, dealt)
         order = np.argsort(key)
@@ -394,9 +410,9 @@ def _hot_pairs(coded: DataFrame, vocabulary: Vocabulary, routes: Routes) -> Data
     return ask_keys(coded, plan, question, ["sum"], lambda values: values).withColumnRenamed("answers", "hot")
 
 
-def _count_message(routes: Routes, docs: int):
+def _count_message(routes: Routes, docs: int, learned_only: bool):
     def question(row: dict) -> Iterator[tuple[int, bytes]]:
-        c = Coded(row["payload"], docs, learned_only=True)
+        c = Coded(row["payload"], docs, learned_only)
         c.triples()
         routes.with_homes(c)
         stated = np.zeros(len(c.x), np.uint64)
@@ -404,8 +420,9 @@ def _count_message(routes: Routes, docs: int):
             dealt = np.flatnonzero(routes.salts(c) > 1)
             order = np.argsort(routes.pair_key(c, dealt))
             stated[dealt[order]] = np.concatenate([unplanes(split_blobs(b)[0]) for b in in_order(row["hot"])])
+        more = [c.count[c.x], stated]
         for shard, at in routes.cut(c):
-            yield shard, join_blobs([_message(c, at, [c.count[c.x], stated]), planes(_narrow(c.times[at]))])
+            yield shard, join_blobs([_message(c, at, more), planes(_narrow(c.times[at]))])
 
     return question
 
@@ -416,27 +433,39 @@ def _merge(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     parts = [[unplanes(p) for p in split_blobs(m)] for m in messages]
     x, y, n, z, count_x, stated = (np.concatenate([p[i] for p in parts]) for i in range(6))
     times = np.concatenate([unplanes(t) for t in times]).astype(np.int64)
-    order = np.lexsort((y, x))
+    # numbers mostly fit into four bytes, so that pairs and triples sort as one integer each
+    small = max(int(v.max()) for v in (x, y)) < 2**31
+    order = np.argsort((x.astype(np.int64) << 32) | y.astype(np.int64)) if small else np.lexsort((y, x))
     new = np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]
     pair = np.empty(len(x), np.int64)
     pair[order] = np.cumsum(new) - 1
     lead = order[new]
-    words, z = np.unique(z, return_inverse=True)
+    words, z = (None, z.astype(np.int64)) if int(z.max()) < 2**32 else np.unique(z, return_inverse=True)
     key = (np.repeat(pair, n) << 32) | z
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     times = np.add.reduceat(times[order], first)
     pair_of = key[first] >> 32
     seen = np.bincount(pair_of, times, len(lead))
     count_xy = np.where(stated[lead] > 0, stated[lead], seen)
-    return x[lead].astype(np.uint64), y[lead].astype(np.uint64), pair_of, words[key[first] & (2**32 - 1)].astype(np.uint64), times, count_x[lead].astype(np.float64), count_xy.astype(np.float64)
+    z = key[first] & (2**32 - 1)
+    z = z.astype(np.uint64) if words is None else words[z].astype(np.uint64)
+    return x[lead].astype(np.uint64), y[lead].astype(np.uint64), pair_of, z, times, count_x[lead].astype(np.float64), count_xy.astype(np.float64)
+
+
+def _learned(merged: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Without the triples that no text to learn from has, but for those that keep a pair, and without pairs that none has."""
+    x, y, pair_of, z, times, count_x, count_xy = merged
+    kept = np.flatnonzero((times > 0) | ((z == PAD) & (count_xy[pair_of] > 0)))
+    pairs, pair_of = np.unique(pair_of[kept], return_inverse=True)
+    return x[pairs], y[pairs], pair_of, z[kept], times[kept], count_x[pairs], count_xy[pairs]
 
 
 def _shard_writer(folder: str):
     def write(table: pa.Table) -> pa.Table:
         shard = table["bucket"][0].as_py()
-        merged = _merge(table["blob"].to_pylist())
+        merged = _learned(_merge(table["blob"].to_pylist()))
         data = build_trie(*merged)
         fs, root = pafs.FileSystem.from_uri(folder)
         context = TaskContext.get()
@@ -447,20 +476,47 @@ def _shard_writer(folder: str):
         fs.move(f"{root}/.{name}.part", f"{root}/{name}")
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "bytes": pa.array([len(data)], pa.int64()), "nodes": pa.array([len(merged[3])], pa.int64())})
 
-    return write
+    def write_and_answer(table: pa.Table) -> pa.Table:
+        """The shard's row, and rows of answers to the blocks that sent the counts."""
+        written = write(table)
+        questions = [split_blobs(b.as_py())[0] for b in table["blob"]]
+        asked = pa.table({"bucket": table["bucket"], "block_id": table["block_id"], "blob": pa.array(questions, pa.binary()), "path": pa.repeat(written["path"][0], len(questions))})
+        answers = _answer(asked)
+        return pa.concat_tables([written, answers], promote_options="default").select(list(WRITTEN_NAMES))
+
+    return write, write_and_answer
+
+
+WRITTEN = "shard int, path string, bytes long, nodes long"
+WRITTEN_NAMES = ("shard", "path", "bytes", "nodes", "bucket", "block_id", "blob")
+
+
+def learn_and_answer(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int = SHARD_TRIPLES, pair_limit: int = SHARD_PAIR) -> tuple[Model, DataFrame]:
+    """A model, and what it says to the blocks it was learned from, which then need not ask again: (bucket, block_id, blob).
+
+    Blocks send the triples of all their texts; those of held-out texts alone count as none.
+    """
+    sent, routes, folder = _counts(coded, vocabulary, shard_triples, pair_limit, learned_only=False)
+    made = sent.groupBy("bucket").applyInArrow(_shard_writer(folder)[1], f"{WRITTEN}, {ASKED}")
+    made = materialise(made, "lm-made")
+    return Model(vocabulary, routes, made.filter("shard is not null").select("shard", "path", "bytes", "nodes")), made.filter("shard is null").select("bucket", "block_id", "blob")
 
 
 def learn_ngrams(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int = SHARD_TRIPLES, pair_limit: int = SHARD_PAIR) -> Model:
+    sent, routes, folder = _counts(coded, vocabulary, shard_triples, pair_limit, learned_only=True)
+    return Model(vocabulary, routes, materialise(sent.groupBy("bucket").applyInArrow(_shard_writer(folder)[0], WRITTEN), "lm-manifest"))
+
+
+def _counts(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int, pair_limit: int, learned_only: bool) -> tuple[DataFrame, Routes, str]:
+    """What blocks send to shards (ASKED), the routes it takes, and the folder for tries."""
     spark = coded.sparkSession
     routes = Routes(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.tokens // shard_triples)), pair_limit)
     rows = coded
     if vocabulary.second > pair_limit:
-        rows = coded.join(materialise(_hot_pairs(coded, vocabulary, routes), "lm-hot"), "block_id", "left")
+        rows = coded.join(materialise(_hot_pairs(coded, vocabulary, routes, learned_only), "lm-hot"), "block_id", "left")
     folder = new_path(spark, "lm-shards")
     make_dir(spark, folder)
-    sent = rows.mapInArrow(_sender(_count_message(routes, vocabulary.docs)), ASKED)
-    shards = sent.groupBy("bucket").applyInArrow(_shard_writer(folder), "shard int, path string, bytes long, nodes long")
-    return Model(vocabulary, routes, materialise(shards, "lm-manifest"))
+    return rows.mapInArrow(_sender(_count_message(routes, vocabulary.docs, learned_only)), ASKED), routes, folder
 
 
 # --- scoring --------------------------------------------------------------------------------------------------------------
@@ -490,9 +546,9 @@ def _answer(table: pa.Table) -> pa.Table:
     def flush() -> None:
         x, y, n, z = (np.concatenate([a[i] for a in asked]).astype(np.uint64) for i in range(4))
         pair_of = np.repeat(np.arange(len(x)), n.astype(np.int64))
-        codes = trie.look_up(x, y, pair_of, z) if trie else [np.full(k, NONE) for k in (len(x), len(x), len(z))]
+        codes = trie.look_up(x, y, pair_of, z) if trie else [np.full(k, NONE) for k in (len(x), len(z))]
         pairs, triples = np.cumsum([len(a[0]) for a in asked])[:-1], np.cumsum([len(a[3]) for a in asked])[:-1]
-        for own in zip(np.split(codes[0], pairs), np.split(codes[1], pairs), np.split(codes[2], triples)):
+        for own in zip(np.split(codes[0], pairs), np.split(codes[1], triples)):
             blobs.append(join_blobs([planes(v) for v in own]))
 
     for blob in table["blob"]:
@@ -510,22 +566,20 @@ def _scores(row: dict, vocabulary: Vocabulary, routes: Routes) -> pa.RecordBatch
     c = Coded(row["payload"], vocabulary.docs)
     c.triples()
     routes.with_homes(c)
-    share2, weight2 = (np.zeros(len(c.x)) for _ in range(2))
-    weight2[:] = 1.0
-    share3 = np.zeros(len(c.z))
+    share2, share3 = np.zeros(len(c.x)), np.zeros(len(c.z))
     salts = routes.salts(c)
     for (_, at), blob in zip(routes.cut(c), in_order(row["answers"])):
         pair = c.pair_of[at]
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         own = pair[first]
-        codes2, codes_w, codes3 = (unplanes(b) for b in split_blobs(blob))
+        codes2, codes3 = (unplanes(b) for b in split_blobs(blob))
         share3[at] = _VALUES[codes3]
         # a pair that is dealt speaks where its triple with PAD is
         home = np.zeros(len(own), bool)
         home[np.searchsorted(own, pair[c.z[at] == PAD])] = True
         home |= salts[own] == 1
         share2[own[home]] = _VALUES[codes2[home]]
-        weight2[own[home]] = np.where(codes_w[home] == NONE, 1.0, _VALUES[codes_w[home]])
+    weight2 = K3 / (share2 * (c.count[c.x] + K2) + K3)
     # where each symbol's pair and triple end on it: the asked triple that begins one or two places before
     s = c.symbols
     of_pair, of_triple = np.full(len(s), -1, np.int64), np.full(len(s), -1, np.int64)
@@ -536,7 +590,7 @@ def _scores(row: dict, vocabulary: Vocabulary, routes: Routes) -> pa.RecordBatch
     p1 = vocabulary.base(c.count[s[scored]])
     known = c.count[before]
     p2 = np.where(of_pair >= 0, share2[of_pair], 0.0) + K2 / (known + K2) * p1 if len(c.x) else p1
-    # a context seen in training has a weight, of its own pair; the first word has the beginning alone
+    # the context of a word is the pair that ends before it; the first word has the beginning alone
     context = np.full(len(scored), -1, np.int64)
     context[1:] = of_pair[:-1]
     context[before == BEGIN] = -1
@@ -559,11 +613,14 @@ def _scores(row: dict, vocabulary: Vocabulary, routes: Routes) -> pa.RecordBatch
 
 def score(coded: DataFrame, model: Model) -> DataFrame:
     """Rows of SCORES for every text of coded blocks; held_out says that the block was told not to learn from it."""
+    sent = coded.mapInArrow(_sender(_score_message(model.routes, model.vocabulary.docs)), ASKED)
+    asked = sent.join(model.shards.select(F.col("shard").alias("bucket"), "path"), "bucket", "left")
+    return _scored(coded, asked.groupBy("bucket").applyInArrow(_answer, ASKED), model)
+
+
+def _scored(coded: DataFrame, answered: DataFrame, model: Model) -> DataFrame:
     v, routes = model.vocabulary, model.routes
     slim = Vocabulary(None, v.docs, v.tokens, v.distinct, v.second)
-    sent = coded.mapInArrow(_sender(_score_message(routes, v.docs)), ASKED)
-    asked = sent.join(model.shards.select(F.col("shard").alias("bucket"), "path"), "bucket", "left")
-    answered = asked.groupBy("bucket").applyInArrow(_answer, ASKED)
     answers = answered.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -594,6 +651,7 @@ def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         vocabulary = learn_words(blocks)
         coded = code(blocks, vocabulary)
         drop(spark, raw)
-        out = materialise(score(coded, learn_ngrams(coded, vocabulary)), "lm-scores")
+        model, answers = learn_and_answer(coded, vocabulary)
+        out = materialise(_scored(coded, answers, model), "lm-scores")
     drop(spark, [p for p in worked if "lm-scores" not in p])
     return out

@@ -230,6 +230,10 @@ def _crc32(key: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295], list_transform(list_filter(string_split({key}, ''), lambda x: x <> ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
 
 
+def _rounded(share: str) -> str:
+    return f"coalesce(pow(10, -round(-log10({share}) * {ngramlm.STEP}) / {ngramlm.STEP}), 0)"
+
+
 _OP12 = rf"""
 WITH RECURSIVE {_CRC_TABLE},
 d AS (SELECT row_number() OVER () AS r, doc_id, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 10 = 0 AS held_out,
@@ -239,12 +243,11 @@ c1 AS (SELECT z, count(*) AS c FROM s WHERE NOT held_out GROUP BY z UNION ALL SE
 c2 AS (SELECT y, z, count(*) AS c FROM s WHERE NOT held_out GROUP BY ALL),
 c3 AS (SELECT x, y, z, count(*) AS c FROM s WHERE NOT held_out AND x IS NOT NULL GROUP BY ALL),
 n AS (SELECT coalesce(sum(c), 0) AS n, count(*) FILTER (c > 0) AS v FROM c1 WHERE z <> ' b'),
-p AS (SELECT s.*, n.n AS train_tokens, coalesce(a.c, 0) AS c, (coalesce(a.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (v + 1)) AS p1, coalesce(b.c, 0) AS cy, c2.c AS cyz, c3.c AS cxyz, e.c AS cxy
-  FROM s CROSS JOIN n LEFT JOIN c1 a ON a.z = s.z LEFT JOIN c1 b ON b.z = s.y LEFT JOIN c2 ON c2.y = s.y AND c2.z = s.z
+p AS (SELECT s.*, n.n AS train_tokens, coalesce(a.c, 0) AS c, (coalesce(a.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (v + 1)) AS p1, coalesce(b.c, 0) AS cy, c2.c AS cyz, c3.c AS cxyz, e.c AS cxy, coalesce(g.c, 0) AS cx
+  FROM s CROSS JOIN n LEFT JOIN c1 a ON a.z = s.z LEFT JOIN c1 b ON b.z = s.y LEFT JOIN c1 g ON g.z = s.x LEFT JOIN c2 ON c2.y = s.y AND c2.z = s.z
   LEFT JOIN c3 ON c3.x = s.x AND c3.y = s.y AND c3.z = s.z LEFT JOIN c2 e ON e.y = s.x AND e.z = s.y),
-q AS (SELECT *, coalesce(pow(10, -round(-log10(cyz / (cy + {ngramlm.K2}::DOUBLE)) * {ngramlm.STEP}) / {ngramlm.STEP}), 0) + {ngramlm.K2}::DOUBLE / (cy + {ngramlm.K2}::DOUBLE) * p1 AS p2 FROM p),
-u AS (SELECT *, CASE WHEN x IS NULL THEN p2 ELSE coalesce(pow(10, -round(-log10(cxyz / (cxy + {ngramlm.K3}::DOUBLE)) * {ngramlm.STEP}) / {ngramlm.STEP}), 0)
-  + coalesce(pow(10, -round(-log10({ngramlm.K3}::DOUBLE / (cxy + {ngramlm.K3}::DOUBLE)) * {ngramlm.STEP}) / {ngramlm.STEP}), 1) * p2 END AS p3 FROM q)
+q AS (SELECT *, {_rounded("cyz / (cy + k2)")} + k2 / (cy + k2) * p1 AS p2, {_rounded("cxy / (cx + k2)")} * (cx + k2) AS near FROM p, (SELECT {ngramlm.K2}::DOUBLE AS k2, {ngramlm.K3}::DOUBLE AS k3)),
+u AS (SELECT *, CASE WHEN x IS NULL THEN p2 ELSE {_rounded("cxyz / (cxy + k3)")} + k3 / (near + k3) * p2 END AS p3 FROM q)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(any_value(train_tokens) AS BIGINT) AS train_tokens,
   sum(log10(p1)) AS base_score, sum(log10(least(p3, 1))) AS score FROM u GROUP BY r, doc_id, held_out
 """

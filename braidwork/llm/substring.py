@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, Plan, ask, ask_keys, grouped, in_order, join_blobs, one_value, plan_for, planes, split_blobs, unplanes, write_blocks
-from .scratch import drop, materialise, recorded
+from .scratch import finished, materialise, recorded
 from .words import hashes, spans, windows
 
 WINDOW = 13
@@ -165,31 +166,32 @@ def compacted(segments: DataFrame) -> DataFrame:
     """Paths from segments (SEGMENT; a row for each block that has it): head, low, windows, settled of the path that begins with each segment.
 
     A segment is settled if its digests agree wherever it lies, it is always followed by the same, and its occurrences are as many as
-    its edges'. Each round joins every path to the one that begins with the segment behind it, so paths double in length.
+    its edges'. Each round joins every open path to the one that begins with the segment behind it, so paths double in length; a path
+    that is through is written once and only looked up from then on.
     """
-    spark = segments.sparkSession
     ends = lambda c: F.min(c).eqNullSafe(F.max(c)) & (F.count(c).isin(0) | (F.count(c) == F.count("*")))
     settled = F.bool_and("same") & (F.sum("times") == F.max("count"))
     for c in ("next", "windows", "count", "a", "b"):
         settled = settled & ends(c)
     by = segments.groupBy("head").agg(F.min("low").alias("low"), F.max("windows").alias("windows"), settled.alias("settled"), F.max("next").alias("next"))
-    with recorded() as old:
-        paths = materialise(by.withColumn("next", F.when(F.col("settled"), F.col("next"))), "paths")
-    while not paths.filter("next is not null").isEmpty():
-        behind = paths.select(F.col("head").alias("_h"), F.col("low").alias("_low"), F.col("windows").alias("_windows"), F.col("settled").alias("_settled"), F.col("next").alias("_next"))
-        both = paths.join(behind, F.col("next") == F.col("_h"), "left")
+    paths = materialise(by.withColumn("next", F.when(F.col("settled"), F.col("next"))), "paths")
+    through = [paths.filter("next is null")]
+    open_ = paths.filter("next is not null")
+    while not open_.isEmpty():
+        behind = reduce(DataFrame.union, through, open_)
+        behind = behind.select(F.col("head").alias("_h"), F.col("low").alias("_low"), F.col("windows").alias("_windows"), F.col("settled").alias("_settled"), F.col("next").alias("_next"))
+        both = open_.join(behind, F.col("next") == F.col("_h"), "left")
         more = both.select(
             "head",
             F.least("low", "_low").alias("low"),
             (F.col("windows") + F.coalesce("_windows", F.lit(0))).alias("windows"),
-            (F.col("settled") & F.coalesce("_settled", F.col("next").isNull())).alias("settled"),
+            F.coalesce("_settled", F.lit(False)).alias("settled"),
             F.col("_next").alias("next"),
         )
-        with recorded() as new:
-            paths = materialise(more, "paths")
-        drop(spark, old)
-        old = new
-    return paths.drop("next")
+        paths = materialise(more, "paths")
+        through.append(paths.filter("next is null"))
+        open_ = paths.filter("next is not null")
+    return reduce(DataFrame.union, through).drop("next")
 
 
 def _verdicts(row: dict) -> tuple[np.ndarray, ...]:
@@ -219,10 +221,8 @@ def _ask_windows(plan: Plan, k: int):
         digests, back = np.unique(_window_digests(e, first), return_inverse=True)
         low = np.full(len(digests), _LAST)
         np.minimum.at(low, back, e.ids[e.doc[first]])
-        bounds = plan.bounds(digests["a"].astype(np.uint64))
-        for b in np.flatnonzero(np.diff(bounds)):
-            cut = slice(bounds[b], bounds[b + 1])
-            yield int(b), join_blobs([digests[cut].tobytes(), planes(low[cut])])
+        for b, cut in plan.cut(digests["a"].astype(np.uint64)):
+            yield b, join_blobs([digests[cut].tobytes(), planes(low[cut])])
 
     return question
 
@@ -285,7 +285,16 @@ def _finish(k: int, digest: bool):
 
 
 def dedup_substrings(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, plan: Plan | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept words joined by one space (or, with `digest`, kept_sha256) of each row."""
+    """doc_id, n_words, n_removed and the kept words joined by one space (or, with `digest`, kept_sha256) of each row.
+
+    Digests are short, so they are written and the tables that they come from go at once.
+    """
+    with recorded() as worked:
+        out = _dedup_substrings(docs, k, id_col, text_col, digest, plan)
+    return finished(out, "substring", worked) if digest else out
+
+
+def _dedup_substrings(docs: DataFrame, k: int, id_col: str, text_col: str, digest: bool, plan: Plan | None) -> DataFrame:
     blocks = write_blocks(docs, id_col, text_col)
     plan = plan or plan_for(blocks)
     payload = blocks.select("block_id", "payload")

@@ -109,6 +109,8 @@ def test_monotone_sequences(n, top):
         found, packed = eliasfano.Monotone(r, "a"), eliasfano.Packed(r, "b")
         assert (found[np.arange(n)] == values).all() and (packed[np.arange(n)] == values[::-1]).all()
         asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, 2 * top + 2, 300).astype(np.uint64), np.array([0, 2**63], np.uint64)])
+        if n > 1:
+            assert all((x == y).all() for x, y in zip(found.pairs(np.arange(n - 1)), (values[:-1], values[1:])))
         place, equal = found.successor(asked)
         want = np.searchsorted(values, asked)
         assert (place == want).all()
@@ -130,12 +132,11 @@ def test_tries_hold_what_was_put_in():
     ask = triples + [(9, 0, 0), (0, 41, 5), (8, 39, 2**40 + 1)] + [tuple(t) for t in rng.integers(0, [11, 45, 2**34], (500, 3)).tolist()]
     own = sorted({t[:2] for t in ask})
     number = {p: i for i, p in enumerate(own)}
-    share2, weight2, share3 = trie.look_up(*(np.array([p[i] for p in own], np.uint64) for i in (0, 1)), np.array([number[t[:2]] for t in ask]), np.array([t[2] for t in ask], np.uint64))
+    share2, share3 = trie.look_up(*(np.array([p[i] for p in own], np.uint64) for i in (0, 1)), np.array([number[t[:2]] for t in ask]), np.array([t[2] for t in ask], np.uint64))
     of = dict(zip(triples, times.tolist()))
-    for p, s, w in zip(own, share2.tolist(), weight2.tolist()):
+    for p, s in zip(own, share2.tolist()):
         n = count_xy[place[p]] if p in place else None
         assert s == (int(ngramlm.NONE) if n is None else round(-math.log10(n / (3 * n + ngramlm.K2)) * ngramlm.STEP))
-        assert w == (int(ngramlm.NONE) if n is None else round(-math.log10(ngramlm.K3 / (n + ngramlm.K3)) * ngramlm.STEP))
     for t, s in zip(ask, share3.tolist()):
         assert s == (round(-math.log10(of[t] / (count_xy[place[t[:2]]] + ngramlm.K3)) * ngramlm.STEP) if t in of else int(ngramlm.NONE))
 
@@ -165,7 +166,8 @@ def brute_scores(rows):
             if j > 1:
                 context = c2[w[j - 2], w[j - 1]]
                 share = rounded(c3[w[j - 2], w[j - 1], w[j]] / (context + ngramlm.K3))
-                p = share + (rounded(ngramlm.K3 / (context + ngramlm.K3)) if context else 1.0) * p
+                before = docs if j == 2 else c1[w[j - 2]]
+                p = share + ngramlm.K3 / (rounded(context / (before + ngramlm.K2)) * (before + ngramlm.K2) + ngramlm.K3) * p
             base += math.log10(p1)
             score += math.log10(min(p, 1.0))
         out.append((i, held, len(w) - 1, sum(c1[x] > 0 for x in w[1:]), n, base, score))
@@ -195,6 +197,9 @@ def test_scores_with_small_blocks_and_pairs_dealt_over_shards(spark, make, texts
     model = ngramlm.learn_ngrams(coded, vocabulary, shard_triples=2000, pair_limit=20)
     assert vocabulary.second > 20 and model.shards.count() > 8 and coded.count() > 10
     assert_scores(ngramlm.score(coded, model).collect(), rows)
+    again, answers = ngramlm.learn_and_answer(coded, vocabulary, shard_triples=2000, pair_limit=20)
+    assert_scores(ngramlm._scored(coded, answers, again).collect(), rows)
+    assert {(r["shard"], r["nodes"]) for r in again.shards.collect()} >= {(r["shard"], r["nodes"]) for r in model.shards.filter("nodes > 0").collect()}
     # what is dealt by the third word too lies in several shards
     many = model.shards.agg(F.sum("nodes")).first()[0]
     plain = ngramlm.learn_ngrams(coded, vocabulary, shard_triples=2000).shards.agg(F.sum("nodes")).first()[0]
