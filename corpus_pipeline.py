@@ -26,6 +26,10 @@ from braidwork.llm import bpecodec, decontaminate, exactdedup, jaccard, toxicity
 from braidwork.llm.scratch import drop, materialise, recorded
 
 
+#: Rows to drop that a task of the exact stage may hash, about 200 bytes each.
+HASHED_ROWS = 100_000
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -33,8 +37,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows of equal id and text are judged alike, so id and digest tell the rows to drop
     judged = exactdedup.dedup(docs).filter("not kept").select(F.col("doc_id").alias("_dropped"), "text_sha256")
-    # the rows to drop are few and short: hashed, so that the texts need not be sorted for the join
-    judged = materialise(judged.distinct(), "dropped").hint("shuffle_hash")
+    judged = materialise(judged.distinct(), "dropped")
+    # hashed only where every task's share is small, so that the texts need not be sorted for the join
+    if judged.count() <= HASHED_ROWS * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        judged = judged.hint("shuffle_hash")
     digest = F.sha2(exactdedup.normalised(docs["text"]).cast("binary"), 256)
     return docs.join(judged, docs["doc_id"].cast("long").eqNullSafe(judged["_dropped"]) & (digest == judged["text_sha256"]), "left_anti")
 
