@@ -212,7 +212,7 @@ def _braced(text: str, at: int) -> str | None:
 #: Fixed values of final-answer normalising: texts replaced, texts removed, then patterns replaced, in this order.
 REPLACED = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), (r"\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
 REMOVED = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", r"\mathrm{th}", r"^\circ", r"^{\circ}", r"\;", r",\!", "{,}", '"', "\\dots"]
-UNWRAPPED = [(r".*?\$(.*?)\$.*", r"\1"), (r"\\text\{(.*?)\}", r"\1"), (r"\\textbf\{(.*?)\}", r"\1"), (r"\\overline\{(.*?)\}", r"\1"), (r"\\boxed\{(.*)\}", r"\1"), (r"frac([^{])(.)", r"frac{\1}{\2}"), (r"sqrt([^{])", r"sqrt{\1}"), (r"\$", "")]
+UNWRAPPED = [(r"(.*?)(\$)(.*?)(\$)(.*)", r"$\3$"), (r"(\\text\{)(.*?)(\})", r"\2"), (r"(\\textbf\{)(.*?)(\})", r"\2"), (r"(\\overline\{)(.*?)(\})", r"\2"), (r"(\\boxed\{)(.*)(\})", r"\2"), (r"(frac)([^{])(.)", r"frac{\2}{\3}"), (r"(sqrt)([^{])", r"sqrt{\2}"), (r"\$", "")]
 _FINAL = [(re.compile(p), r) for p, r in [*((re.escape(a), b.replace("\\", r"\\")) for a, b in [*REPLACED, *((x, "") for x in REMOVED)]), *UNWRAPPED]]
 
 
