@@ -417,6 +417,16 @@ def t12(spark, sf):
     return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("T12_index_recall")
+def t12_recall(spark, sf):
+    """Of each query's ten nearest rows, how many the lists of a quarter of the cells hold."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.filter("vec_id % 50 = 0")
+    index = retrieval.vector_index(vectors)
+    found = retrieval.index_top_k(index, asked, 10, 0.1, probes=-(-len(index.centres) // 4), exact=False)
+    return retrieval.recall(found, retrieval.index_top_k(index, asked, 10, 0.1))
+
+
 @query("T13_tiered_retrieval", """
 WITH v AS (SELECT vec_id, CAST(label % 4 AS VARCHAR) AS tier, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT q.vec_id AS query_id, v.tier, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 12) AS sim FROM q, v WHERE q.vec_id <> v.vec_id),
