@@ -349,7 +349,8 @@ class Trie:
     def look_up(self, x: np.ndarray, y: np.ndarray, pair_of: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the share of each pair, and of each triple (pair_of, z); NONE where there is no node."""
         share2, share3 = (np.full(n, NONE) for n in (len(x), len(z)))
-        first, of = np.unique(x, return_inverse=True)
+        new = np.diff(x, prepend=~x[:1]) != 0  # pairs lie sorted, mostly
+        first, of = x[new], np.cumsum(new) - 1
         root, there = self.roots.successor(first)
         end, base = np.zeros(len(first), np.int64), np.zeros(len(first), np.uint64)
         some = np.flatnonzero(there)
@@ -462,7 +463,7 @@ def _learned(merged: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     return x[pairs], y[pairs], pair_of, z[kept], times[kept], count_x[pairs], count_xy[pairs]
 
 
-def _shard_writer(folder: str):
+def _shard_writer(folder: str, keep: bool = True):
     def write(table: pa.Table) -> pa.Table:
         shard = table["bucket"][0].as_py()
         merged = _learned(_merge(table["blob"].to_pylist()))
@@ -477,11 +478,14 @@ def _shard_writer(folder: str):
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "bytes": pa.array([len(data)], pa.int64()), "nodes": pa.array([len(merged[3])], pa.int64())})
 
     def write_and_answer(table: pa.Table) -> pa.Table:
-        """The shard's row, and rows of answers to the blocks that sent the counts."""
+        """The shard's row, and rows of answers to the blocks that sent the counts. A shard that is not kept goes when it has answered."""
         written = write(table)
         questions = [split_blobs(b.as_py())[0] for b in table["blob"]]
         asked = pa.table({"bucket": table["bucket"], "block_id": table["block_id"], "blob": pa.array(questions, pa.binary()), "path": pa.repeat(written["path"][0], len(questions))})
         answers = _answer(asked)
+        if not keep:
+            fs, root = pafs.FileSystem.from_uri(written["path"][0].as_py())
+            fs.delete_file(root)
         return pa.concat_tables([written, answers], promote_options="default").select(list(WRITTEN_NAMES))
 
     return write, write_and_answer
@@ -491,13 +495,13 @@ WRITTEN = "shard int, path string, bytes long, nodes long"
 WRITTEN_NAMES = ("shard", "path", "bytes", "nodes", "bucket", "block_id", "blob")
 
 
-def learn_and_answer(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int = SHARD_TRIPLES, pair_limit: int = SHARD_PAIR) -> tuple[Model, DataFrame]:
+def learn_and_answer(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int = SHARD_TRIPLES, pair_limit: int = SHARD_PAIR, keep: bool = True) -> tuple[Model, DataFrame]:
     """A model, and what it says to the blocks it was learned from, which then need not ask again: (bucket, block_id, blob).
 
-    Blocks send the triples of all their texts; those of held-out texts alone count as none.
+    Blocks send the triples of all their texts; those of held-out texts alone count as none. Without `keep` the model's shards are gone afterwards.
     """
     sent, routes, folder = _counts(coded, vocabulary, shard_triples, pair_limit, learned_only=False)
-    made = sent.groupBy("bucket").applyInArrow(_shard_writer(folder)[1], f"{WRITTEN}, {ASKED}")
+    made = sent.groupBy("bucket").applyInArrow(_shard_writer(folder, keep)[1], f"{WRITTEN}, {ASKED}")
     made = materialise(made, "lm-made")
     return Model(vocabulary, routes, made.filter("shard is not null").select("shard", "path", "bytes", "nodes")), made.filter("shard is null").select("bucket", "block_id", "blob")
 
@@ -545,8 +549,14 @@ def _answer(table: pa.Table) -> pa.Table:
 
     def flush() -> None:
         x, y, n, z = (np.concatenate([a[i] for a in asked]).astype(np.uint64) for i in range(4))
-        pair_of = np.repeat(np.arange(len(x)), n.astype(np.int64))
-        codes = trie.look_up(x, y, pair_of, z) if trie else [np.full(k, NONE) for k in (len(x), len(z))]
+        # a pair that many blocks ask for is looked up once
+        if len(x) and max(int(x.max()), int(y.max())) < 2**32:
+            pairs, of = np.unique((x << np.uint64(32)) | y, return_inverse=True)
+            x, y = pairs >> np.uint64(32), pairs & np.uint64(2**32 - 1)
+        else:
+            of = np.arange(len(x))
+        codes = trie.look_up(x, y, np.repeat(of, n.astype(np.int64)), z) if trie else [np.full(k, NONE) for k in (len(x), len(z))]
+        codes = codes[0][of], codes[1]
         pairs, triples = np.cumsum([len(a[0]) for a in asked])[:-1], np.cumsum([len(a[3]) for a in asked])[:-1]
         for own in zip(np.split(codes[0], pairs), np.split(codes[1], triples)):
             blobs.append(join_blobs([planes(v) for v in own]))
@@ -585,9 +595,10 @@ def _scores(row: dict, vocabulary: Vocabulary, routes: Routes) -> pa.RecordBatch
     of_pair, of_triple = np.full(len(s), -1, np.int64), np.full(len(s), -1, np.int64)
     of_pair[c.asked + 1] = c.pair_of[c.triple]
     of_triple[c.asked + 2] = c.triple
-    scored = np.flatnonzero(np.isin(s, (BEGIN, PAD), invert=True))
+    scored = np.flatnonzero((s != BEGIN) & (s != PAD))
     of_pair, of_triple, before = of_pair[scored], of_triple[scored], s[scored - 1]
-    p1 = vocabulary.base(c.count[s[scored]])
+    base = vocabulary.base(c.count)  # of each symbol
+    p1, log_base = base[s[scored]], np.log10(base)[s[scored]]
     known = c.count[before]
     p2 = np.where(of_pair >= 0, share2[of_pair], 0.0) + K2 / (known + K2) * p1 if len(c.x) else p1
     # the context of a word is the pair that ends before it; the first word has the beginning alone
@@ -596,7 +607,7 @@ def _scores(row: dict, vocabulary: Vocabulary, routes: Routes) -> pa.RecordBatch
     context[before == BEGIN] = -1
     inner = (of_triple >= 0) & (before != BEGIN)
     p = np.where(inner, share3[of_triple], 0.0) + np.where(context >= 0, weight2[context], 1.0) * p2 if len(c.z) else p2
-    logs, base = np.log10(np.minimum(p, 1.0)), np.log10(p1)
+    logs = np.log10(np.minimum(p, 1.0))
     begin = np.cumsum(c.lengths + 1) - c.lengths - 1
     return pa.RecordBatch.from_pydict(
         {
@@ -605,7 +616,7 @@ def _scores(row: dict, vocabulary: Vocabulary, routes: Routes) -> pa.RecordBatch
             "n_tokens": pa.array(c.lengths + 1, pa.int64()),
             "n_known": pa.array(np.add.reduceat((c.count[s[scored]] > 0).astype(np.int64), begin), pa.int64()),
             "train_tokens": pa.array(np.full(len(c.ids), vocabulary.tokens), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(base, begin), pa.float64()),
+            "base_score": pa.array(np.add.reduceat(log_base, begin), pa.float64()),
             "score": pa.array(np.add.reduceat(logs, begin), pa.float64()),
         }
     )
@@ -651,7 +662,7 @@ def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         vocabulary = learn_words(blocks)
         coded = code(blocks, vocabulary)
         drop(spark, raw)
-        model, answers = learn_and_answer(coded, vocabulary)
+        model, answers = learn_and_answer(coded, vocabulary, keep=False)
         out = materialise(_scored(coded, answers, model), "lm-scores")
     drop(spark, [p for p in worked if "lm-scores" not in p])
     return out
