@@ -52,6 +52,50 @@ def r01(spark, sf):
     return out.groupBy("queue").agg(*[F.max_by(c, "produced").alias(c) for c in ("kept", "dropped")], F.max("produced").alias("produced"))
 
 
+_REPLAY = """l AS (SELECT 'b' || user_id % 4 AS buffer, 'u' || user_id AS uid, event_id % 4 AS member, event_id AS line, user_id % 20 AS step, CASE event_type WHEN 'view' THEN 'running' WHEN 'error' THEN 'failure' ELSE 'finished' END AS status FROM events),
+s AS (SELECT buffer, uid, member, max_by(status, line) AS status, min_by(step, line) AS step FROM l GROUP BY ALL),
+g AS (SELECT buffer, uid, 20 - min(step) + 1 AS span, bool_and(status IN ('finished', 'failure')) AS done FROM s GROUP BY ALL)"""
+
+
+def _replay_rows(spark, sf):
+    """News of four buffers, and a request for four groups of each behind all of it."""
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "running").when(kind == "error", "failure").otherwise("finished")
+    none = F.lit(None).cast("long")
+    news = table(spark, sf, "events").select(F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string")).alias("buffer"), F.col("event_id").cast("long").alias("line"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uid"), (F.col("event_id") % 4).cast("long").alias("member"), status.alias("status"), (F.col("user_id") % 20).cast("long").alias("step"), none.alias("request"), none.alias("size"))
+    text = F.lit(None).cast("string")
+    asks = news.groupBy("buffer").agg((F.max("line") + 1).alias("line")).select("buffer", "line", text.alias("uid"), none.alias("member"), text.alias("status"), F.lit(20).cast("long").alias("step"), F.lit(1).cast("long").alias("request"), F.lit(4).cast("long").alias("size"))
+    return news, asks
+
+
+@query("R05_stream_sample", f"""
+WITH {_REPLAY}, c AS (SELECT *, CASE WHEN span > 18 THEN 'dropped' ELSE 'sampled' END AS action FROM g WHERE done),
+k AS (SELECT *, row_number() OVER (PARTITION BY buffer, action ORDER BY span DESC, uid) AS n, count(*) OVER (PARTITION BY buffer, action) AS many FROM c)
+SELECT k.buffer, k.action, k.uid, s.member, s.status, k.span FROM k JOIN s USING (buffer, uid) WHERE action = 'dropped' OR many >= 4 AND n <= 4""")
+def r05(spark, sf):
+    """Three increments of news, the last with the requests; every increment is a restart from the checkpoint."""
+    news, asks = _replay_rows(spark, sf)
+    third = news.agg((F.max("line") / 3).alias("h")).first()["h"] or 0
+    parts = [news.filter(F.col("line") <= third), news.filter((F.col("line") > third) & (F.col("line") <= 2 * third)), news.filter(F.col("line") > 2 * third).unionByName(asks)]
+    out = run.run_increments(parts, lambda s: buffer.replay_stream(s, "drop", 18), rocksdb=True)
+    return out.select("buffer", "action", "uid", "member", "status", "span")
+
+
+_STARTS = "l AS (SELECT event_id // 2 AS task, ts, CASE WHEN event_id % 2 = 0 THEN 'started' ELSE 'complete' END AS status, value FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0)"
+
+
+@query("R07_stream_merge", f"""
+WITH {_STARTS}, s AS (SELECT * FROM l WHERE status = 'started'), c AS (SELECT * FROM l WHERE status = 'complete')
+SELECT coalesce(s.task, c.task) AS task, coalesce(c.value, s.value) AS value, c.task IS NOT NULL AS complete FROM s FULL JOIN c ON s.task = c.task AND c.ts >= s.ts AND c.ts <= s.ts + INTERVAL 10 DAYS""")
+def r07(spark, sf):
+    """Starts and ends of a log in three increments, then one of either in the year 2200 that tell the stream that all is through."""
+    e = table(spark, sf, "events").filter("event_id % 2 = 0 or event_id % 3 = 0")
+    rows = e.select(F.floor(F.col("event_id") / 2).cast("long").alias("task"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_id") % 2 == 0, "started").otherwise("complete").alias("status"), "value", F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("part"))
+    end = spark.createDataFrame([(-1, "started"), (-1, "complete")], "task long, status string").select("task", F.to_timestamp(F.lit("2200-01-01")).alias("at"), "status", F.lit(0.0).alias("value"))
+    out = run.run_increments([*(rows.filter(F.col("part") == i).drop("part") for i in range(3)), end, end], lambda s: buffer.reconcile_stream(s, "task", "at", "status", "value", "10 DAYS", "2000 days"))
+    return out.filter("task >= 0").select("task", "value", "complete")
+
+
 @query("K08_metric_sink", "SELECT event_type AS name, round(sum(value), 3) AS total, count(*) AS n FROM events GROUP BY 1")
 def k08(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "event_type", "value")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from braidwork.operators.packing import STREAM_ITEMS, best_fit
 
@@ -101,6 +102,125 @@ def resample(df: DataFrame, valid: str, ordinal: str, wanted: int, attempts: int
     return tried.filter(valid).orderBy(ordinal).limit(wanted)
 
 
+STATUSES = ("pending", "running", *TERMINAL)
+
+REPLAY_INPUT = "buffer string, line long, uid string, member long, status string, step long, request long, size long"
+REPLAY_OUTPUT = "buffer string, action string, request long, uid string, member long, status string, span long"
+
+
+class ReplayProcessor(StatefulProcessor):
+    """transformWithStateInPandas: a replay buffer by name. A row with a status is news of a member of a group; one with a request asks for the
+    `size` oldest groups at global step `step`.
+
+    A group may be sampled when all its members are finished or failed; its step is the first that any of them had. With `drop`, groups
+    whose span step - first + 1 exceeds the threshold go at the next request; with `wait`, a request waits while a member that is not
+    done has reached it. A request waits until there are enough groups, and those behind it wait too; each is answered once, in
+    the increment that fills it. What was sampled or dropped is forgotten, so the state holds the members of groups that still count and
+    the requests that wait; news of a group that is gone begins it anew.
+    """
+
+    def __init__(self, strategy: str, threshold: int):
+        if strategy not in ("drop", "wait", "keep"):
+            raise ValueError("strategy is drop, wait or keep")
+        self.strategy, self.threshold = strategy, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        member = StructType([StructField("uid", StringType()), StructField("member", LongType())])
+        self.members = handle.getMapState("members", member, StructType([StructField("status", StringType()), StructField("step", LongType())]))
+        self.waiting = handle.getListState("waiting", StructType([StructField(c, LongType()) for c in ("request", "step", "size")]))
+
+    def _take(self, news: pd.DataFrame, held: dict) -> None:
+        """The last status and the first step of each member; one write to the state a member, however much news of it there is."""
+        wrong = set(news["status"]) - set(STATUSES)
+        if wrong:
+            raise ValueError(f"unknown status: {sorted(map(str, wrong))}")
+        by = news.groupby(["uid", "member"], sort=False).agg(status=("status", "last"), step=("step", "first"))
+        for (uid, member), status, step in by.itertuples():
+            key = (uid, int(member))
+            held[key] = (status, held[key][1] if key in held else int(step))
+            self.members.updateValue(key, held[key])
+
+    def _answer(self, request: tuple, held: dict) -> tuple[list[tuple], bool]:
+        """Rows of what a request drops and samples, and whether it was filled."""
+        number, now, size = request
+        groups: dict[str, list] = {}
+        for (uid, member), (status, step) in held.items():
+            groups.setdefault(uid, []).append((member, status, step))
+        span = {uid: now - min(m[2] for m in own) + 1 for uid, own in groups.items()}
+        done = [uid for uid, own in groups.items() if all(m[1] in TERMINAL for m in own)]
+        out = []
+
+        def forget(action: str, uid: str) -> None:
+            for member, status, _ in sorted(groups[uid]):
+                out.append((action, number, uid, member, status, span[uid]))
+                del held[uid, member]
+                self.members.removeKey((uid, member))
+
+        if self.strategy == "drop":
+            for uid in sorted(u for u in done if span[u] > self.threshold):
+                forget("dropped", uid)
+            done = [u for u in done if span[u] <= self.threshold]
+        late = self.strategy == "wait" and any(status not in TERMINAL and now - step + 1 >= self.threshold for status, step in held.values())
+        if late or len(done) < size:
+            return out, False
+        for uid in sorted(done, key=lambda u: (-span[u], u))[:size]:
+            forget("sampled", uid)
+        return out, True
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        news = pd.concat(list(rows)).sort_values("line", kind="stable")
+        held = {tuple(k): tuple(v) for k, v in self.members.iterator()} if self.members.exists() else {}
+        waiting = [tuple(map(int, r)) for r in self.waiting.get()]
+        out, asks = [], news["request"].notna().to_numpy()
+        begin = 0
+        # news up to a request, then the request, and so on; requests that wait are tried after all news before the next
+        for end in [*np.flatnonzero(asks).tolist(), len(news)]:
+            part = news.iloc[begin:end]
+            if len(part):
+                self._take(part, held)
+            if end < len(news):
+                waiting.append(tuple(int(news.iloc[end][c]) for c in ("request", "step", "size")))
+            while waiting:
+                made, filled = self._answer(waiting[0], held)
+                out += made
+                if not filled:
+                    break
+                waiting.pop(0)
+            begin = end + 1
+        self.waiting.put(waiting) if waiting else self.waiting.clear()
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in REPLAY_OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def replay_stream(stream: DataFrame, strategy: str = "drop", threshold: int = 2) -> DataFrame:
+    """A stream of REPLAY_INPUT as a replay buffer that evicts what it gives; see ReplayProcessor. Needs a state store with column families."""
+    return stream.groupBy("buffer").transformWithStateInPandas(ReplayProcessor(strategy, threshold), REPLAY_OUTPUT, "Append", "None")
+
+
+def reconcile_stream(log: DataFrame, task: str, at: str, status: str, value: str, wait: str, delay: str) -> DataFrame:
+    """task, started_at, started_value, completed_at, value, complete of a log stream: a started entry with the complete one of its task.
+
+    A complete entry counts if it comes no earlier than the start and no later than `wait` after; rows more than `delay` behind the newest are too
+    late. An entry that never ends comes out once, with its own value, when the watermark has passed all that it could wait for; so
+    does an end without a start. Of entries of one kind and task within `delay`, the first counts. The state holds entries that still wait.
+    """
+    rows = log.select(F.col(task).alias("task"), F.col(at).alias("at"), F.col(status).alias("status"), F.col(value).alias("value")).withWatermark("at", delay)
+    started = rows.filter("status = 'started'").dropDuplicatesWithinWatermark(["task"]).select("task", F.col("at").alias("started_at"), F.col("value").alias("started_value"))
+    complete = rows.filter("status = 'complete'").dropDuplicatesWithinWatermark(["task"]).select(F.col("task").alias("_task"), F.col("at").alias("completed_at"), F.col("value").alias("completed_value"))
+    near = (F.col("task") == F.col("_task")) & (F.col("completed_at") >= F.col("started_at")) & (F.col("completed_at") <= F.col("started_at") + F.expr(f"INTERVAL {wait}"))
+    both = started.join(complete, near, "fullOuter")
+    return both.select(
+        F.coalesce("task", "_task").alias("task"),
+        "started_at",
+        "started_value",
+        "completed_at",
+        F.coalesce("completed_value", "started_value").alias("value"),
+        F.col("_task").isNotNull().alias("complete"),
+    )
+
+
 class QueueProcessor(StatefulProcessor):
     """transformWithStateInPandas: a bounded FIFO by key; the oldest goes when it is full. Gives (queue, kept, produced, dropped) after each batch.
 
