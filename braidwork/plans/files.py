@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.sources import files
+from braidwork.sources import files, indexed
 
 from .registry import query, table
 
@@ -100,9 +100,11 @@ def s09_sum(spark, sf):
     return files.file_checksums(spark, f"{path}/*").select("sha256", "bytes", F.regexp_extract("path", "region=(\\d+)/", 1).cast("int").alias("region"))
 
 
-@query("S10_by_ordinal", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (0, 17, 150)")
+@query("S10_by_ordinal", "SELECT o AS ordinal, doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER () - 1 AS o FROM documents) WHERE o IN (0, 17, 150, 199)")
 def s10(spark, sf):
-    return files.by_ordinal(table(spark, sf, "documents"), "doc_id", [0, 17, 150], 200).select("doc_id", "n_chars")
+    docs = table(spark, sf, "documents")
+    index = files.ordinal_index(docs, ["doc_id", "n_chars"])
+    return files.by_ordinal(docs, index, [150, 0, 17, 199]).select("ordinal", "doc_id", "n_chars")
 
 
 @query("S11_csv_rows", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
@@ -176,11 +178,23 @@ def k03(spark, sf):
     return files.load_file(spark, path).select("item_id", "length")
 
 
-@query("K04_sharded_sink", "SELECT o_orderkey FROM orders")
+@query("K04_sharded_sink", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
 def k04(spark, sf):
-    path = files.new_path(spark, "k04.parquet")
-    files.write_shards(table(spark, sf, "orders").select("o_orderkey"), path, 1000)
-    return files.load_file(spark, path)
+    indexed.register(spark)
+    path = files.new_path(spark, "k04-shards")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    rows.write.format("indexed").mode("append").option("path", path).option("shardBytes", 1 << 16).save()
+    return spark.read.format("indexed").schema(rows.schema).load(path)
+
+
+@query("K04_shard_ranges", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal, c_custkey, c_name FROM customer QUALIFY ordinal BETWEEN 100 AND 139 OR ordinal = 7")
+def k04_ranges(spark, sf):
+    """Rows by place from shards that were written in order."""
+    indexed.register(spark)
+    path = files.new_path(spark, "k04-ranges")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name").orderBy("c_custkey")
+    rows.write.format("indexed").mode("append").option("path", path).option("shardBytes", 4096).save()
+    return spark.read.format("indexed").schema("ordinal long, c_custkey long, c_name string").option("rows", "100-139,7").load(path)
 
 
 @query("K05_leaderboard_sink", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")

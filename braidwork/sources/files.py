@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import time
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,11 +148,44 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def by_ordinal(df: DataFrame, ordinal: str, wanted: list[int], rows: int | None = None) -> DataFrame:
-    """Rows of stored ordinals. An ordinal outside [0, rows) raises before anything is read."""
-    if rows is not None and any(not 0 <= w < rows for w in wanted):
+@dataclass
+class OrdinalIndex:
+    """Files of a table in order, each with the ordinal that its first row has, and the number of rows."""
+
+    files: list[str]
+    first: list[int]
+    rows: int
+
+
+def ordinal_index(df: DataFrame, required: list[str] | None = None, rows: int | None = None) -> OrdinalIndex:
+    """An index of the rows of Parquet files by their places: file by file in order of their paths, as they lie in each.
+
+    Reads no column, only how many rows files have; a row a file comes to the driver. Missing columns and another number of rows than expected raise.
+    """
+    missing = sorted(set(required or []) - set(df.columns))
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    counts = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").count().collect()
+    files = sorted((r["file"], r["count"]) for r in counts)
+    first = list(accumulate((n for _, n in files), initial=0))
+    if rows is not None and first[-1] != rows:
+        raise ValueError(f"{first[-1]} rows where {rows} are expected")
+    return OrdinalIndex([f for f, _ in files], first[:-1], first[-1])
+
+
+def by_ordinal(df: DataFrame, index: OrdinalIndex, wanted: list[int]) -> DataFrame:
+    """`ordinal` and the rows of df at these places. Only files that have one are read; an ordinal out of range raises before that."""
+    if any(not 0 <= w < index.rows for w in wanted):
         raise IndexError("ordinal out of range")
-    return df.filter(F.col(ordinal).isin(wanted))
+    at: dict[int, list[int]] = {}
+    for w in sorted(set(wanted)):
+        at.setdefault(bisect_right(index.first, w) - 1, []).append(w)
+    spark = df.sparkSession
+    places = [(index.files[f], w - index.first[f], w) for f, own in at.items() for w in own]
+    places = spark.createDataFrame(places, "_file string, _row long, ordinal long")
+    # the list of files prunes the scan, the join picks their rows
+    rows = df.filter(F.col("_metadata.file_path").isin([index.files[f] for f in at])).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    return rows.join(places, (F.col("_path") == F.col("_file")) & (F.col("_index") == F.col("_row"))).drop("_path", "_index", "_file", "_row")
 
 
 def json_folder(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -212,11 +247,6 @@ def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     return df
 
 
-def write_shards(df: DataFrame, path: str, rows: int) -> None:
-    """Parquet files of at most `rows` rows."""
-    df.write.option("maxRecordsPerFile", rows).parquet(path)
-
-
 def manifest(df: DataFrame, key: Column, size: Column, seed: int) -> DataFrame:
     """One row: rows, seed, smallest, largest and mean size, and a checksum that doesn't depend on the order of rows."""
     h = F.conv(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
