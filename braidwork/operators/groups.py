@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import value_counts
 from .sampling import ordinals
 
 
@@ -26,7 +25,7 @@ def group_codes(df: DataFrame, label: str, name: str = "code") -> DataFrame:
     """Adds a code: where all labels of the column are whole numbers, their strings, or within 1e-6 of whole numbers, that number; else
     every label is numbered in sorted order. Null labels have no code.
 
-    Labels are numbered over their distinct values, in ranges of their leading characters, so no task orders all of them.
+    Labels are numbered over their distinct values, in ranges whose edges are sampled from the labels, so no task orders all of them.
     """
     column, kind = F.col(label), dict(df.dtypes)[label]
     if kind in ("double", "float"):
@@ -35,11 +34,7 @@ def group_codes(df: DataFrame, label: str, name: str = "code") -> DataFrame:
         whole = column.try_cast("long")
     distinct = df.filter(column.isNotNull()).select(column.alias("_label"), whole.alias("_whole")).distinct()
     all_whole = distinct.agg(F.coalesce(F.bool_and(F.col("_whole").isNotNull()), F.lit(True)).alias("_all"))
-    if kind in ("double", "float"):
-        ranked = value_counts(distinct.select("_label"), "_label").select(F.col("_label").alias("_v"), F.col("before").alias("_rank"))
-        ranked = distinct.join(ranked, F.col("_label") == F.col("_v")).drop("_v")
-    else:
-        ranked = ordinals(distinct, ["_label"], "_rank", F.substring(F.col("_label").cast("string"), 1, 2) if kind == "string" else F.floor(F.col("_label") / 4096))
+    ranked = ordinals(distinct, ["_label"], "_rank")
     ranked = ranked.withColumn("_rank", F.col("_rank").cast("long")).crossJoin(F.broadcast(all_whole))
     codes = ranked.select("_label", F.when(F.col("_all"), F.col("_whole")).otherwise(F.col("_rank")).alias(name))
     return df.join(codes, column == F.col("_label"), "left").drop("_label")

@@ -80,20 +80,47 @@ def role_rank(role: Column) -> Column:
     return F.coalesce(*[F.when(role == r, F.lit(i)) for i, r in enumerate(ROLES)], F.lit(-1))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """Pairs of rows whose [start, end) overlap, by equi-join on time slots of `width` seconds.
+def _cells(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Adds `_from` and `_upto`: the first slot of a period that isn't empty, and the one behind its last."""
+    size = F.lit(width * 1_000_000)
+    rows = df.filter(F.col(start) < F.col(end))
+    return rows.withColumns({"_from": F.floor(F.unix_micros(start) / size), "_upto": F.floor((F.unix_micros(end) - 1) / size) + 1})
 
-    A pair is made once, in the slot where the later of the two begins. b's columns come with the prefix `b_`.
+
+def dyadic_cover(first: str, upto: str, levels: int) -> Column:
+    """The fewest dyadic slots that make up the slots [first, upto), as an array of structs (level, number): two a level at most, none overlapping.
+
+    At the level of slots of 2^level, those left are [lo, hi); the first counts where it is a right half, and the last where it is a left
+    half and not gone already, as neither is part of a slot of the next level that lies within.
     """
+    lo, hi = f"-shiftright(-{first}, l)", f"shiftright({upto}, l)"
+    return F.expr(f"""flatten(transform(sequence(0, {levels}), l -> concat(
+      if({lo} < {hi} and ({lo} & 1) = 1, array(named_struct('level', l, 'number', {lo})), array()),
+      if({lo} < {hi} and ({hi} & 1) = 1, array(named_struct('level', l, 'number', {hi} - 1)), array()))))""")
 
-    def slots(df: DataFrame) -> DataFrame:
-        s, e = F.unix_micros(start), F.unix_micros(end) - 1
-        size = F.lit(width * 1_000_000)
-        return df.filter(F.col(start) < F.col(end)).withColumn("_slot", F.explode(F.sequence(F.floor(s / size), F.floor(e / size))))
 
+def overlap_join(a: DataFrame, b: DataFrame, start: str, end: str, width: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows whose [start, end) overlap, and whose columns `on` are equal. b's columns come with the prefix `b_`; empty periods have no pair.
+
+    One of two that overlap begins within the other, so it is enough to join beginnings with periods, either way. A period is the dyadic
+    slots that make it up, at most two a level, however long it is; a beginning is one slot of each level up to that of the longest
+    period. `width` is the smallest slot, in seconds. Slots of a period don't overlap, so a pair is made once.
+    """
     right = b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
-    left = slots(a)
-    right = slots(right.withColumnsRenamed({f"b_{start}": start, f"b_{end}": end})).withColumnsRenamed({start: f"b_{start}", end: f"b_{end}"})
-    both = left.join(right, "_slot").filter((F.col(start) < F.col(f"b_{end}")) & (F.col(f"b_{start}") < F.col(end)))
-    first = F.floor(F.unix_micros(F.greatest(F.col(start), F.col(f"b_{start}"))) / F.lit(width * 1_000_000))
-    return both.filter(F.col("_slot") == first).drop("_slot")
+    sides = [(_cells(a, start, end, width), start, end), (_cells(right, f"b_{start}", f"b_{end}", width), f"b_{start}", f"b_{end}")]
+
+    def within(inner: int, strictly: bool) -> DataFrame:
+        """Pairs in which the row of the inner side begins within the other's period."""
+        (points, p, _), (periods, s, e) = sides[inner], sides[1 - inner]
+        longest = periods.agg(F.max(F.col("_upto") - F.col("_from"))).first()[0] or 1
+        levels = int(longest).bit_length()
+        covered = periods.withColumn("_slot", F.explode(dyadic_cover("_from", "_upto", levels))).select("*", F.col("_slot.level").alias("_level"), F.col("_slot.number").alias("_number")).drop("_slot", "_from", "_upto")
+        begun = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_number", F.expr("shiftright(_from, _level)")).drop("_from", "_upto")
+        names = {f"{c}": f"_p{c}" for c in ("_level", "_number")}
+        equal = (F.col("_level") == F.col("_p_level")) & (F.col("_number") == F.col("_p_number"))
+        for c in on:
+            equal = equal & (F.col(c) == F.col(f"b_{c}"))
+        begins = (F.col(p) > F.col(s) if strictly else F.col(p) >= F.col(s)) & (F.col(p) < F.col(e))
+        return begun.withColumnsRenamed(names).join(covered, equal & begins).select(*a.columns, *right.columns)
+
+    return within(1, False).unionByName(within(0, True))

@@ -11,24 +11,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.sources.shared import new_path
+
 
 def hash_order(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def ordinals(df: DataFrame, order: list[str | Column], name: str = "ordinal", buckets: Column | None = None) -> DataFrame:
+#: Rows that one task puts in order, about.
+RANGE_ROWS = 1 << 20
+
+
+def ranged(df: DataFrame, order: list[str], name: str = "_b", rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """Adds the number of the range of the order that a row lies in: as many ranges as rows ask for, with edges from a sample of the order itself.
+
+    Where one range is enough nothing is moved; else rows are written as they were dealt, since a second sample could deal them otherwise. Rows that
+    are equal in all of the order's columns lie in one range.
+    """
+    n = -(-df.count() // rows_per_range)
+    if n <= 1:
+        return df.withColumn(name, F.lit(0))
+    path = new_path(df.sparkSession, "ranges")
+    df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def ordinals(df: DataFrame, order: list[str | Column], name: str = "ordinal", buckets: Column | None = None, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """Adds the row's place, from 0, in a total order of all rows.
 
-    Rows are dealt by the order's range; each range is numbered by itself and moved by the rows before it. Two passes over
-    the order's columns, and no single task.
+    Rows are dealt by the order's range; each range is numbered by itself and moved by the rows before it, and no single task orders all.
+    `buckets` may name the leading part of the order where it is known to part the rows evenly; else ranges are sampled.
     """
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     keyed = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(cols)])
     names = [f"_o{i}" for i in range(len(cols))]
-    if buckets is None:
-        # the first two hex digits of a hash, or the leading column's own value, part the order
-        raise ValueError("ordinals needs the leading part of the order as buckets")
-    keyed = keyed.withColumn("_b", buckets)
+    keyed = ranged(keyed, names, "_b", rows_per_range) if buckets is None else keyed.withColumn("_b", buckets)
     counts = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
@@ -37,9 +54,9 @@ def ordinals(df: DataFrame, order: list[str | Column], name: str = "ordinal", bu
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42, name: str = "ordinal") -> DataFrame:
-    """Adds the place of each row in hash order. Hash ranges have 4096 buckets, each a small window."""
+    """Adds the place of each row in hash order. Hashes are even, so their first four digits part them to 65,536 ranges without a sample."""
     h = hash_order(key, seed)
-    return ordinals(df, [h, key], name, F.substring(h, 1, 3))
+    return ordinals(df, [h, key], name, F.substring(h, 1, 4))
 
 
 def sample_repeating(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -102,7 +119,7 @@ def interleave(parts: list[tuple[DataFrame, float]], key: str, seed: int = 42, u
             break
         need *= 2
     # the place of a slot among its source's: by blocks of slots, each a small window, moved by the blocks before
-    block = F.floor(F.col("slot") / 4096)
+    block = F.floor(F.col("slot") / 65536)
     per = slots.groupBy("source", block.alias("_b")).agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select("source", "_b", before.alias("_before"))

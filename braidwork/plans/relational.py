@@ -489,8 +489,8 @@ def c01(spark, sf):
 @query("C01_overlap_join", f"SELECT a.event_id, b.event_id AS b_event_id FROM {_P} a JOIN {_P} b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e")
 def c01_join(spark, sf):
     rows = periods(spark, sf)
-    out = relational.overlap_join(rows.filter("event_type = 'view'"), rows.filter("event_type = 'click'"), "s", "e", 3600)
-    return out.filter("user_id = b_user_id").select("event_id", "b_event_id")
+    out = relational.overlap_join(rows.filter("event_type = 'view'"), rows.filter("event_type = 'click'"), "s", "e", 3600, ("user_id",))
+    return out.select("event_id", "b_event_id")
 
 
 @query("C02_clip", f"SELECT event_id, greatest(s, TIMESTAMP '{_LOW}') AS s, least(e, TIMESTAMP '{_HIGH}') AS e FROM {_P} WHERE s < TIMESTAMP '{_HIGH}' AND e > TIMESTAMP '{_LOW}'")

@@ -598,3 +598,40 @@ def test_vector_index(spark):
     assert retrieval.cosine_top_k(df.limit(0), asked, 3, 0.1).count() == 0
     plan = retrieval.index_top_k(index, asked, 5, 0.1)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "Join Inner, (cell" in plan
+
+
+def test_overlaps_of_periods_of_any_length(spark):
+    """Minutes, hours and decades, before and after 1970, against every pair; a period takes rows of the logarithm of its length."""
+    rng = random.Random(3)
+    base, rows = 1_700_000_000, []
+    for i in range(300):
+        s = base + rng.randrange(-10**6, 10**6) if i % 9 else rng.choice([-10**9, 0, base - 3 * 10**8])
+        rows.append((i, i % 3, s, s + rng.choice([0, 1, 60, 3599, 3600, 7200, 86_400, 10**6, 3 * 10**8, 8 * 10**8])))
+    df = spark.createDataFrame(rows, "id long, g long, x long, y long").select("id", "g", F.timestamp_seconds("x").alias("s"), F.timestamp_seconds("y").alias("e"))
+    a, b = df.filter("id % 2 = 0"), df.filter("id % 2 = 1 or id % 10 = 0")
+    for on in ((), ("g",)):
+        got = relational.overlap_join(a, b, "s", "e", 3600, on).select("id", "b_id").collect()
+        want = {(p[0], q[0]) for p in rows for q in rows if p[0] % 2 == 0 and (q[0] % 2 or q[0] % 10 == 0) and p[2] < p[3] and q[2] < q[3] and p[2] < q[3] and q[2] < p[3] and (not on or p[1] == q[1])}
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    cover = spark.createDataFrame([(5, 6), (-7, 9), (0, 210_384), (1, 2**40 - 1)], "f long, u long").select("f", "u", relational.dyadic_cover("f", "u", 41).alias("c")).collect()
+    for r in cover:
+        slots = sorted((x["number"] << x["level"], (x["number"] + 1) << x["level"]) for x in r["c"])
+        assert slots[0][0] == r["f"] and slots[-1][1] == r["u"] and all(p[1] == q[0] for p, q in zip(slots, slots[1:]))
+        assert len(slots) <= 2 * (r["u"] - r["f"]).bit_length()
+
+
+def test_ranges_are_even_whatever_labels_begin_with(spark):
+    df = spark.range(60_000).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("x"))
+    sizes = [r["count"] for r in sampling.ranged(df, ["x"], "b", 5000).groupBy("b").count().collect()]
+    assert sum(sizes) == 60_000 and len(sizes) >= 10 and max(sizes) < 15_000
+    got = sampling.ordinals(df.filter("x < 'user_3'"), ["x"], "o", rows_per_range=2000).collect()
+    assert [r["x"] for r in sorted(got, key=lambda r: r["o"])] == sorted(r["x"] for r in got) and {r["o"] for r in got} == set(range(len(got)))
+
+
+def test_value_counts_in_many_ranges(spark):
+    from braidwork.operators import quantiles
+
+    values = [(i * 7919) % 1000 / 8 for i in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = {r["v"]: (r["n"], r["before"]) for r in quantiles.value_counts(df, "v", 64).collect()}
+    assert got == {v: (values.count(v), sum(x < v for x in values)) for v in set(values)}
