@@ -32,6 +32,22 @@ def map_rows(df: DataFrame, preprocess: Callable[[dict], dict | list[dict] | Non
     return df.mapInArrow(run, schema)
 
 
+def table_function(preprocess: Callable[[dict], dict | list[dict] | None], schema: str, columns: list[str] | None = None):
+    """preprocess as a table function of SQL, for spark.udtf.register: `f(TABLE(t))` gets each row of a table, which may be partitioned and
+    ordered there; `t, LATERAL f(a, b)` gets values, under the names in `columns`. A row on which preprocess fails, fails the query.
+    """
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+
+    class RowFunction:
+        def eval(self, *values):
+            whole = len(values) == 1 and isinstance(values[0], T.Row)
+            got = preprocess(values[0].asDict(recursive=True) if whole else dict(zip(columns or [], values, strict=True)))
+            for row in [] if got is None else got if isinstance(got, list) else [got]:
+                yield tuple(row.get(n) for n in names)
+
+    return F.udtf(RowFunction, returnType=schema, useArrow=True)
+
+
 def batched_reward(f: Callable[..., list[float]]):
     """A vectorised reward over column batches as a pandas UDF."""
 

@@ -167,7 +167,7 @@ def k02(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     files.append_new(docs.filter("doc_id % 3 = 0"), path, "doc_id")
     files.append_new(docs, path, "doc_id")
-    return files.load_file(spark, path, docs.schema)
+    return files.read_appended(spark, path, docs.schema)
 
 
 @query("K03_cache_export", "SELECT item_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS length FROM benchmark")

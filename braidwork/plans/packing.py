@@ -311,6 +311,19 @@ def e01(spark, sf):
     return extend.map_rows(table(spark, sf, "events").select("event_id"), preprocess, "event_id long, copy long")
 
 
+@query("E01_table_function", "SELECT event_id, i AS copy, user_id FROM events, range(0, 3) AS r(i) WHERE i < event_id % 3")
+def e01_table(spark, sf):
+    """The row function from SQL, by LATERAL over the columns of a table."""
+    from braidwork.functions import extend
+
+    def preprocess(row):
+        n = row["event_id"] % 3
+        return None if n == 0 else [{"copy": i} for i in range(n)]
+
+    spark.udtf.register("copies_of", extend.table_function(preprocess, "copy long", ["event_id"]))
+    return spark.sql("SELECT e.event_id, c.copy, e.user_id FROM {events} e, LATERAL copies_of(e.event_id) c", events=table(spark, sf, "events"))
+
+
 @query("E03_batched_reward", "SELECT event_id, round(value * 2 + user_id, 4) AS reward FROM events")
 def e03(spark, sf):
     from braidwork.functions import extend

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -237,14 +238,74 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+class AppendLog:
+    """JSON rows that are appended run by run, each id once, whatever fails or runs beside.
+
+    A run writes to a folder of its own attempt and then claims the next number: a marker that only one run can create. Rows of attempts without
+    a marker are not there. A run that finds its number taken looks at what was committed since it began, leaves those ids out, and
+    tries the number behind; so a retried or concurrent run writes no id twice. Of rows of a run that share an id one is kept.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+    def _hadoop(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def attempts(self) -> list[str]:
+        """Names of the committed attempts by number; an empty marker, of a run that ended while it claimed, counts for none."""
+        fs, where = self._hadoop(f"{self.path}/commits")
+        if not fs.exists(where):
+            return []
+        found = self.spark.read.option("wholetext", True).text(f"{self.path}/commits").select(F.col("_metadata.file_name").alias("n"), "value").collect()
+        taken = {int(r["n"]): r["value"] for r in found}
+        # markers without content give no row of text
+        numbers = sorted(int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit())
+        return [taken.get(n, "") for n in numbers]
+
+    def _rows(self, attempts: list[str]) -> DataFrame:
+        paths = [f"{self.path}/attempts/{a}" for a in attempts if a]
+        return self.spark.read.schema(self.schema).json(paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._rows(self.attempts())
+
+    def _claim(self, number: int, attempt: str) -> bool:
+        fs, where = self._hadoop(f"{self.path}/commits/{number:08d}")
+        try:
+            out = fs.create(where, False)
+        except Exception as e:  # taken by another run
+            if "already exists" in str(e) or "FileAlreadyExists" in str(e):
+                return False
+            raise
+        out.write(attempt.encode())
+        out.close()
+        return True
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Appends the rows whose id isn't there; gives those rows."""
+        seen = self.attempts()
+        new = df.join(self._rows(seen).select(self.key).distinct(), self.key, "left_anti").dropDuplicates([self.key])
+        attempt = uuid.uuid4().hex
+        new.write.json(f"{self.path}/attempts/{attempt}")
+        while not self._claim(len(seen), attempt):
+            now = self.attempts()
+            since = self._rows(now[len(seen) :]).select(self.key).distinct()
+            left, attempt = self._rows([attempt]).join(since, self.key, "left_anti"), uuid.uuid4().hex
+            left.write.json(f"{self.path}/attempts/{attempt}")
+            seen = now
+        return self._rows([attempt])
+
+
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key isn't in the folder yet; gives those rows."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        df = df.join(spark.read.schema(df.schema).json(path).select(key), key, "left_anti")
-    write_jsonl(df, path)
-    return df
+    """Appends the rows whose key isn't in the folder yet; gives those rows. Read with read_appended."""
+    return AppendLog(df.sparkSession, path, df.schema, key).append(df)
+
+
+def read_appended(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    return AppendLog(spark, path, schema, "").read()
 
 
 def manifest(df: DataFrame, key: Column, size: Column, seed: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -321,3 +322,81 @@ def bin_stream(stream: DataFrame, shard: str, ordinal: str, value: str, capacity
     """Packs of a stream by best fit, as packing.batched makes them of a table. A null value ends its shard."""
     rows = stream.select(F.col(shard).cast("long").alias("shard"), F.lit(capacity).cast("long").alias("capacity"), F.lit(interval).cast("long").alias("interval"), F.col(ordinal).cast("long").alias("ordinal"), F.col(value).cast("long").alias("value"))
     return rows.groupBy("shard", "capacity", "interval").applyInPandasWithState(bin_state, "shard long, ordinal long, value long, pack long", "packs long, ordinals array<long>, waiting array<long>", "append", "NoTimeout")
+
+
+def _draw(*parts) -> int:
+    """A number told by what it is drawn for, so that a restarted stream draws the same."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def shuffle_state(key, frames, state):
+    """applyInPandasWithState: a reservoir of `size` rows; a row that comes when it is full takes the place of one that is drawn, which goes out.
+
+    A row without an ordinal ends the shard: what is held goes out in drawn order.
+    """
+    shard, size, seed = key
+    placed, held = state.get if state.exists else (0, [])
+    held, out = list(held), []
+    for i in (x for pdf in frames for x in pdf.sort_values("line", kind="stable")["ordinal"].tolist()):
+        if pd.isna(i):
+            out += [(shard, placed + n, x) for n, x in enumerate(sorted(held, key=lambda x: (_draw(seed, shard, "rest", x), x)))]
+            placed, held = placed + len(held), []
+        elif len(held) < size:
+            held.append(int(i))
+        else:
+            at = _draw(seed, shard, placed) % size
+            out.append((shard, placed, held[at]))
+            held[at], placed = int(i), placed + 1
+    state.update((placed, held))
+    yield pd.DataFrame(out, columns=["shard", "place", "ordinal"])
+
+
+def shuffle_stream(stream: DataFrame, shard: str, line: str, ordinal: str, size: int, seed: int = 42) -> DataFrame:
+    """shard, place, ordinal: a stream in buffered random order, each shard through a reservoir of its own; every row goes out once.
+
+    Rows of an increment come in order of `line`. The order depends on the seed and the rows alone, not on where increments or restarts fall.
+    The state holds `size` ordinals a shard.
+    """
+    rows = stream.select(F.col(shard).cast("long").alias("shard"), F.lit(size).cast("long").alias("size"), F.lit(seed).cast("long").alias("seed"), F.col(line).cast("long").alias("line"), F.col(ordinal).cast("double").alias("ordinal"))
+    return rows.groupBy("shard", "size", "seed").applyInPandasWithState(shuffle_state, "shard long, place long, ordinal long", "placed long, held array<long>", "append", "NoTimeout")
+
+
+def interleave_state(shares: list[float]):
+    """applyInPandasWithState: slot by slot the source that is drawn by its share gives its next row; a slot waits for it, and ends all if it has ended."""
+
+    def run(key, frames, state):
+        group, seed = key
+        slot, sources, ordinals, ended, over = state.get if state.exists else (0, [], [], [], False)
+        queues: list[list[int]] = [[] for _ in shares]
+        for s, i in zip(sources, ordinals):
+            queues[s].append(i)
+        ended, out = set(ended), []
+        rows = [r for pdf in frames for r in pdf.sort_values("line", kind="stable")[["source", "ordinal"]].itertuples(index=False)]
+        for source, i in rows:
+            ended.add(int(source)) if pd.isna(i) else queues[int(source)].append(int(i))
+        taken = [0] * len(shares)
+        while not over:
+            u, pick = _draw(seed, group, slot) / 2**32, 0
+            while pick < len(shares) - 1 and u >= sum(shares[: pick + 1]):
+                pick += 1
+            if taken[pick] == len(queues[pick]):
+                over = pick in ended
+                break
+            out.append((group, slot, pick, queues[pick][taken[pick]]))
+            taken[pick], slot = taken[pick] + 1, slot + 1
+        left = [] if over else [(s, i) for s, q in enumerate(queues) for i in q[taken[s] :]]
+        state.update((slot, [s for s, _ in left], [i for _, i in left], sorted(ended), over))
+        yield pd.DataFrame(out, columns=["shard", "slot", "source", "ordinal"])
+
+    return run
+
+
+def interleave_stream(stream: DataFrame, shard: str, source: str, line: str, ordinal: str, shares: list[float], seed: int = 42) -> DataFrame:
+    """shard, slot, source, ordinal of a stream whose rows name their source: the sources interleaved by probability until one is used up.
+
+    A row without an ordinal ends its source. What has no slot yet waits in the state, so a source that runs ahead is held whole.
+    """
+    if abs(sum(shares) - 1) > 1e-9:
+        raise ValueError("probabilities sum to 1")
+    rows = stream.select(F.col(shard).cast("long").alias("shard"), F.lit(seed).cast("long").alias("seed"), F.col(source).cast("int").alias("source"), F.col(line).cast("long").alias("line"), F.col(ordinal).cast("double").alias("ordinal"))
+    return rows.groupBy("shard", "seed").applyInPandasWithState(interleave_state(shares), "shard long, slot long, source int, ordinal long", "slot long, sources array<int>, ordinals array<long>, ended array<int>, over boolean", "append", "NoTimeout")

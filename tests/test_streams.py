@@ -68,3 +68,33 @@ def test_log_entries_meet_their_ends_over_increments(spark):
     out = run.run_increments(frames, lambda s: buffer.reconcile_stream(s, "task", "at", "status", "value", "4 DAYS", "1 day")).collect()
     got = sorted((r["task"], r["value"], r["complete"], r["started_at"] is not None, r["batch"]) for r in out if not r["task"].startswith("y"))
     assert [g[:4] for g in got] == [("a", 5.0, True, True), ("b", 2.0, False, True), ("c", 3.0, False, True), ("d", 6.0, True, False), ("late", 4.0, False, True), ("late", 7.0, True, False), ("z", 0.0, False, True)]
+
+
+def increments(spark, rows, cuts, schema):
+    return [spark.createDataFrame(rows[a:b], schema) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+
+
+def test_shuffled_streams_do_not_depend_on_where_increments_fall(spark):
+    rows = [(s, i, i * 10 + s) for i in range(40) for s in (0, 1)] + [(0, 99, None), (1, 99, None)]
+    schema, seen = "shard long, line long, ordinal long", []
+    for cuts in ([], [1, 30, 31], [79]):
+        out = run.run_increments(increments(spark, rows, cuts, schema), lambda s: buffer.shuffle_stream(s, "shard", "line", "ordinal", 8)).collect()
+        seen.append(sorted((r["shard"], r["place"], r["ordinal"]) for r in out))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 80
+    for s in (0, 1):
+        own = [o for shard, _, o in seen[0] if shard == s]
+        assert sorted(own) == [i * 10 + s for i in range(40)] and own != sorted(own)
+        assert all(own.index(o) >= (o // 10) - 8 for o in own)  # a row comes out no earlier than the reservoir lets it
+
+
+def test_interleaved_streams_wait_for_the_source_drawn_and_end_with_the_first(spark):
+    rows = [(0, 0, i, i) for i in range(30)] + [(0, 1, i, 100 + i) for i in range(60)] + [(0, 0, 98, None), (0, 1, 99, None)]
+    schema, seen = "shard long, source int, line long, ordinal long", []
+    for order, cuts in ((rows, []), (rows, [10, 45]), (sorted(rows, key=lambda r: (r[2], r[1])), [20, 21])):
+        out = run.run_increments(increments(spark, order, cuts, schema), lambda s: buffer.interleave_stream(s, "shard", "source", "line", "ordinal", [0.5, 0.5])).collect()
+        seen.append(sorted((r["slot"], r["source"], r["ordinal"]) for r in out))
+    assert seen[0] == seen[1] == seen[2]
+    assert [x[0] for x in seen[0]] == list(range(len(seen[0]))) and sum(x[1] == 0 for x in seen[0]) == 30
+    for source in (0, 1):
+        own = [o for _, s, o in seen[0] if s == source]
+        assert own == [100 * source + i for i in range(len(own))]
