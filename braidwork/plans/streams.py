@@ -99,8 +99,8 @@ def r07(spark, sf):
 @query("R10_stream_shuffle", """
 WITH RECURSIVE d AS (SELECT CAST(doc_id % 4 AS BIGINT) AS shard, CAST(doc_id AS BIGINT) AS i, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS k FROM documents),
 r(shard, k, held, place, i) AS (SELECT DISTINCT shard, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(-1 AS BIGINT), CAST(NULL AS BIGINT) FROM d
-  UNION ALL SELECT shard, k, CASE WHEN at IS NULL THEN list_append(held, i) ELSE list_transform(held, lambda x, j: CASE WHEN j = at THEN i ELSE x END) END, CASE WHEN at IS NULL THEN -1 ELSE k - 17 END, held[at] FROM (
-    SELECT d.shard, d.k, r.held, d.i, CASE WHEN len(r.held) = 16 THEN CAST('0x' || substr(md5('42|' || d.shard || '|' || (d.k - 17)), 1, 8) AS BIGINT) % 16 + 1 END AS at FROM r JOIN d ON d.shard = r.shard AND d.k = r.k + 1)),
+  UNION ALL SELECT shard, k, CASE WHEN spot IS NULL THEN list_append(held, i) ELSE list_transform(held, lambda x, j: CASE WHEN j = spot THEN i ELSE x END) END, CASE WHEN spot IS NULL THEN -1 ELSE k - 17 END, held[spot] FROM (
+    SELECT d.shard, d.k, r.held, d.i, CASE WHEN len(r.held) = 16 THEN CAST('0x' || substr(md5('42|' || d.shard || '|' || (d.k - 17)), 1, 8) AS BIGINT) % 16 + 1 END AS spot FROM r JOIN d ON d.shard = r.shard AND d.k = r.k + 1)),
 l AS (SELECT shard, k, unnest(held) AS i FROM r QUALIFY k = max(k) OVER (PARTITION BY shard))
 SELECT shard, place, i AS ordinal FROM r WHERE place >= 0
 UNION ALL SELECT shard, greatest(k - 16, 0) + row_number() OVER (PARTITION BY shard ORDER BY substr(md5('42|' || shard || '|rest|' || i), 1, 8), i) - 1, i FROM l""")
