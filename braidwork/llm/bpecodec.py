@@ -8,7 +8,7 @@ r <= q, the border falls (equal ranks merge from the left). All pairs of a batch
 Words that fail a test, and guesses with a token that does not encode to itself, alone undergo exact merging.
 
 Defined results: null and empty texts have no ids and decode to the empty text; special strings in a text become their id;
-repeated rows give repeated results. Decoding joins token strings by one space where the file names no decoder. Only the id
+repeated rows give repeated results; very long texts and words are encoded whole; an empty table gives no rows. Decoding joins token strings by one space where the file names no decoder. Only the id
 and text columns are read.
 """
 

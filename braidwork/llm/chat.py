@@ -10,7 +10,8 @@ a backslash, so control strings cannot arise from texts and unescaping is exact.
 
 Defined results: null text is empty, null role is empty; an event delivered twice (equal in all columns) counts once; events of
 one seq fold in order of kind, text; messages are ordered by the seq of their first event, then role, text and message; `seq` may be
-of any type that orders, nulls first; a null conv_id is a conversation; empty logs give no rows. Only the named columns are read.
+of any type that orders, nulls first; a null conv_id is a conversation; messages equal in all but their name stay apart; very long texts
+are whole, but a conversation must fit into one row (2 GB) and fails beyond it; empty logs give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations

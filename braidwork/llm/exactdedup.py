@@ -7,7 +7,7 @@ dealt, look up their slot and compare all 32 bytes: equal ones repeat history, t
 their own. The result has one row per distinct digest.
 
 Defined results: null text counts as empty; empty texts equal each other; of equal texts the row with the largest doc_id
-stays (repeated rows with that doc_id all stay, a null doc_id never wins over another); empty tables give empty results. Only
+stays (repeated rows with that doc_id all stay, a null doc_id never wins over another); very long texts are digested whole; empty tables give empty results. Only
 the id and text columns are read, so other columns may have any name.
 """
 

@@ -17,7 +17,7 @@ below the threshold, and wrong equality as many as the sets have n-grams apart.
 
 Defined results: null, empty and wordless texts have no n-grams and are linked with nothing, not even each other; texts of fewer
 words than n are one n-gram; of repeated rows each gets the result of its text; a null doc_id counts as larger than any other
-and is given back as null unless a smaller id is reached. Only the id and text columns are read.
+and is given back as null unless a smaller id is reached; very long texts count with all their n-grams; an empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations

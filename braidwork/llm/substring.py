@@ -14,7 +14,8 @@ its segments are and every run of it is as long. Then no occurrence of any of it
 (hashes that met by chance, or a branch that a two-byte fingerprint hid) is decided window by window over 128-bit digests.
 
 Defined results: null and empty texts have no words; fewer than k words make no window; of repeated rows with one doc_id none is
-smaller, so they remove nothing from each other; a null doc_id counts as larger than any other. Words are the runs without \\x20
+smaller, so they remove nothing from each other; a null doc_id counts as larger than any other; very long texts are whole, a block of their own;
+an empty table gives no rows. Words are the runs without \\x20
 and \\x09-\\x0D. Only the id and text columns are read.
 """
 

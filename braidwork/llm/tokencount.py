@@ -6,7 +6,8 @@ overlapping ones, as in `aaa`, every other from the left), until no pair has a r
 kept by white-space chunk, in a table of bounded size, as no token reaches over white space.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings in a text count as their one token;
-repeated rows give repeated results. Only the id and text columns are read.
+repeated rows give repeated results; very long texts are counted whole; an empty table gives no rows. Only the id and text columns
+are read.
 """
 
 from __future__ import annotations
