@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .blocks import ASKED, Plan, _sender, ask_keys, in_order, join_blobs, planes, split_blobs, unplanes
 from .eliasfano import Monotone, Packed, Reader, Writer, write_monotone, write_packed
 from .resident import release
-from .scratch import drop, make_dir, materialise, new_path, recorded
+from .scratch import collect_garbage, drop, make_dir, materialise, new_path, path_of, recorded
 from .tokencount import slices
 from .words import encode, hashes, lower_ascii, mix, spans
 
@@ -428,8 +428,8 @@ def _count_message(routes: Routes, docs: int, learned_only: bool):
     return question
 
 
-def _merge(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """x, y, pair_of, z, times, count_x, count_xy of all blocks' messages to a shard."""
+def _merge(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], list[tuple[np.ndarray, np.ndarray]]]:
+    """x, y, pair_of, z, times, count_x, count_xy of all blocks' messages to a shard, and of each message where its pairs and triples are among these."""
     messages, times = zip(*(split_blobs(b) for b in blobs))
     parts = [[unplanes(p) for p in split_blobs(m)] for m in messages]
     x, y, n, z, count_x, stated = (np.concatenate([p[i] for p in parts]) for i in range(6))
@@ -445,14 +445,18 @@ def _merge(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     key = (np.repeat(pair, n) << 32) | z
     order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
+    new = np.diff(key, prepend=-1) != 0
+    first, place = np.flatnonzero(new), np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    cuts = [np.cumsum([len(p[i]) for p in parts])[:-1] for i in (0, 3)]
+    places = list(zip(np.split(pair, cuts[0]), np.split(place, cuts[1])))
     times = np.add.reduceat(times[order], first)
     pair_of = key[first] >> 32
     seen = np.bincount(pair_of, times, len(lead))
     count_xy = np.where(stated[lead] > 0, stated[lead], seen)
     z = key[first] & (2**32 - 1)
     z = z.astype(np.uint64) if words is None else words[z].astype(np.uint64)
-    return x[lead].astype(np.uint64), y[lead].astype(np.uint64), pair_of, z, times, count_x[lead].astype(np.float64), count_xy.astype(np.float64)
+    return (x[lead].astype(np.uint64), y[lead].astype(np.uint64), pair_of, z, times, count_x[lead].astype(np.float64), count_xy.astype(np.float64)), places
 
 
 def _learned(merged: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -463,11 +467,27 @@ def _learned(merged: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     return x[pairs], y[pairs], pair_of, z[kept], times[kept], count_x[pairs], count_xy[pairs]
 
 
+def _look_up_all(trie: Trie, x: np.ndarray, y: np.ndarray, pair_of: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As look_up of pairs and triples in order, about _LOOKED_UP triples at a time."""
+    share2, share3, at = [], [], 0
+    while at < len(z):
+        upto = int(np.searchsorted(pair_of, pair_of[min(at + _LOOKED_UP, len(z)) - 1], side="right"))
+        first, last = int(pair_of[at]), int(pair_of[upto - 1]) + 1
+        codes = trie.look_up(x[first:last], y[first:last], pair_of[at:upto] - first, z[at:upto])
+        share2.append(codes[0])
+        share3.append(codes[1])
+        at = upto
+    return np.concatenate(share2), np.concatenate(share3)
+
+
+#: Triples looked up at a time.
+_LOOKED_UP = 1 << 18
+
+
 def _shard_writer(folder: str, keep: bool = True):
-    def write(table: pa.Table) -> pa.Table:
-        shard = table["bucket"][0].as_py()
-        merged = _learned(_merge(table["blob"].to_pylist()))
-        data = build_trie(*merged)
+    def put(shard: int, merged: tuple[np.ndarray, ...]) -> pa.Table:
+        learned = _learned(merged)
+        data = build_trie(*learned)
         fs, root = pafs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         # a name of the attempt's own: the table lists those of tasks that succeeded
@@ -475,17 +495,22 @@ def _shard_writer(folder: str, keep: bool = True):
         with fs.open_output_stream(f"{root}/.{name}.part", compression=None) as out:
             out.write(data)
         fs.move(f"{root}/.{name}.part", f"{root}/{name}")
-        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "bytes": pa.array([len(data)], pa.int64()), "nodes": pa.array([len(merged[3])], pa.int64())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "bytes": pa.array([len(data)], pa.int64()), "nodes": pa.array([len(learned[3])], pa.int64())})
+
+    def write(table: pa.Table) -> pa.Table:
+        return put(table["bucket"][0].as_py(), _merge(table["blob"].to_pylist())[0])
 
     def write_and_answer(table: pa.Table) -> pa.Table:
-        """The shard's row, and rows of answers to the blocks that sent the counts. A shard that is not kept goes when it has answered."""
-        written = write(table)
-        questions = [split_blobs(b.as_py())[0] for b in table["blob"]]
-        asked = pa.table({"bucket": table["bucket"], "block_id": table["block_id"], "blob": pa.array(questions, pa.binary()), "path": pa.repeat(written["path"][0], len(questions))})
-        answers = _answer(asked)
+        """The shard's row, and rows of answers to the blocks that sent the counts, each triple looked up once. A shard that is not kept goes when it has answered."""
+        merged, places = _merge(table["blob"].to_pylist())
+        written = put(table["bucket"][0].as_py(), merged)
+        path = written["path"][0].as_py()
+        share2, share3 = _look_up_all(Trie(_map(path)), *merged[:4])
         if not keep:
-            fs, root = pafs.FileSystem.from_uri(written["path"][0].as_py())
+            fs, root = pafs.FileSystem.from_uri(path)
             fs.delete_file(root)
+        blobs = [join_blobs([planes(share2[p]), planes(share3[t])]) for p, t in places]
+        answers = pa.table({"bucket": table["bucket"], "block_id": table["block_id"], "blob": pa.array(blobs, pa.binary())})
         return pa.concat_tables([written, answers], promote_options="default").select(list(WRITTEN_NAMES))
 
     return write, write_and_answer
@@ -537,10 +562,6 @@ def _score_message(routes: Routes, docs: int):
     return question
 
 
-#: Triples looked up at a time.
-_LOOKED_UP = 1 << 18
-
-
 def _answer(table: pa.Table) -> pa.Table:
     """Codes for each block's message to a shard: of its pairs, and of its triples."""
     path = table["path"][0].as_py()
@@ -662,7 +683,9 @@ def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         vocabulary = learn_words(blocks)
         coded = code(blocks, vocabulary)
         drop(spark, raw)
+        drop(spark, [path_of(vocabulary.words)] if vocabulary.words.inputFiles() else [])
         model, answers = learn_and_answer(coded, vocabulary, keep=False)
+        collect_garbage(spark)  # the counts that blocks sent are not needed any more
         out = materialise(_scored(coded, answers, model), "lm-scores")
     drop(spark, [p for p in worked if "lm-scores" not in p])
     return out
