@@ -34,6 +34,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ ADDED = 0.1
 BLOCK_BYTES = 4 << 20
 #: Triples of a shard, about, and occurrences of a pair that go to one shard.
 SHARD_TRIPLES, SHARD_PAIR = 1 << 20, 1 << 20
+#: Turns that shards take where counts and answers are made in one step.
+TURNS = 2
 #: Numbers of what is no word, before those of words; a word not seen in training is UNKNOWN.
 BEGIN, END, PAD, UNKNOWN, WORDS = 0, 1, 2, 3, 4
 #: Words hashed at a time.
@@ -411,7 +414,7 @@ def _hot_pairs(coded: DataFrame, vocabulary: Vocabulary, routes: Routes, learned
     return ask_keys(coded, plan, question, ["sum"], lambda values: values).withColumnRenamed("answers", "hot")
 
 
-def _count_message(routes: Routes, docs: int, learned_only: bool):
+def _count_message(routes: Routes, docs: int, learned_only: bool, turn: int = 0, turns: int = 1):
     def question(row: dict) -> Iterator[tuple[int, bytes]]:
         c = Coded(row["payload"], docs, learned_only)
         c.triples()
@@ -423,7 +426,8 @@ def _count_message(routes: Routes, docs: int, learned_only: bool):
             stated[dealt[order]] = np.concatenate([unplanes(split_blobs(b)[0]) for b in in_order(row["hot"])])
         more = [c.count[c.x], stated]
         for shard, at in routes.cut(c):
-            yield shard, join_blobs([_message(c, at, more), planes(_narrow(c.times[at]))])
+            if shard % turns == turn:
+                yield shard, join_blobs([_message(c, at, more), planes(_narrow(c.times[at]))])
 
     return question
 
@@ -524,20 +528,30 @@ def learn_and_answer(coded: DataFrame, vocabulary: Vocabulary, shard_triples: in
     """A model, and what it says to the blocks it was learned from, which then need not ask again: (bucket, block_id, blob).
 
     Blocks send the triples of all their texts; those of held-out texts alone count as none. Without `keep` the model's shards are gone afterwards.
+    Shards take TURNS, so that of what blocks send only a part lies on disk at once.
     """
-    sent, routes, folder = _counts(coded, vocabulary, shard_triples, pair_limit, learned_only=False)
-    made = sent.groupBy("bucket").applyInArrow(_shard_writer(folder, keep)[1], f"{WRITTEN}, {ASKED}")
-    made = materialise(made, "lm-made")
+    rows, routes, folder = _counting(coded, vocabulary, shard_triples, pair_limit, learned_only=False)
+
+    def turn(i: int) -> DataFrame:
+        sent = rows.mapInArrow(_sender(_count_message(routes, vocabulary.docs, False, i, TURNS)), ASKED)
+        return materialise(sent.groupBy("bucket").applyInArrow(_shard_writer(folder, keep)[1], f"{WRITTEN}, {ASKED}"), "lm-made")
+
+    parts = []
+    for i in range(TURNS):
+        parts.append(turn(i))
+        collect_garbage(coded.sparkSession)  # what blocks sent in this turn
+    made = reduce(DataFrame.union, parts)
     return Model(vocabulary, routes, made.filter("shard is not null").select("shard", "path", "bytes", "nodes")), made.filter("shard is null").select("bucket", "block_id", "blob")
 
 
 def learn_ngrams(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int = SHARD_TRIPLES, pair_limit: int = SHARD_PAIR) -> Model:
-    sent, routes, folder = _counts(coded, vocabulary, shard_triples, pair_limit, learned_only=True)
+    rows, routes, folder = _counting(coded, vocabulary, shard_triples, pair_limit, learned_only=True)
+    sent = rows.mapInArrow(_sender(_count_message(routes, vocabulary.docs, True)), ASKED)
     return Model(vocabulary, routes, materialise(sent.groupBy("bucket").applyInArrow(_shard_writer(folder)[0], WRITTEN), "lm-manifest"))
 
 
-def _counts(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int, pair_limit: int, learned_only: bool) -> tuple[DataFrame, Routes, str]:
-    """What blocks send to shards (ASKED), the routes it takes, and the folder for tries."""
+def _counting(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int, pair_limit: int, learned_only: bool) -> tuple[DataFrame, Routes, str]:
+    """Blocks with what they have to know to send their counts, the routes these take, and the folder for tries."""
     spark = coded.sparkSession
     routes = Routes(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.tokens // shard_triples)), pair_limit)
     rows = coded
@@ -545,7 +559,7 @@ def _counts(coded: DataFrame, vocabulary: Vocabulary, shard_triples: int, pair_l
         rows = coded.join(materialise(_hot_pairs(coded, vocabulary, routes, learned_only), "lm-hot"), "block_id", "left")
     folder = new_path(spark, "lm-shards")
     make_dir(spark, folder)
-    return rows.mapInArrow(_sender(_count_message(routes, vocabulary.docs, learned_only)), ASKED), routes, folder
+    return rows, routes, folder
 
 
 # --- scoring --------------------------------------------------------------------------------------------------------------
@@ -683,9 +697,9 @@ def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         vocabulary = learn_words(blocks)
         coded = code(blocks, vocabulary)
         drop(spark, raw)
+        collect_garbage(spark)
         drop(spark, [path_of(vocabulary.words)] if vocabulary.words.inputFiles() else [])
         model, answers = learn_and_answer(coded, vocabulary, keep=False)
-        collect_garbage(spark)  # the counts that blocks sent are not needed any more
         out = materialise(_scored(coded, answers, model), "lm-scores")
     drop(spark, [p for p in worked if "lm-scores" not in p])
     return out
