@@ -159,6 +159,25 @@ def by_shard(df: DataFrame, shard: Column, ordinal: str, value: str, fold: Calla
     return rows.groupBy("shard").applyInArrow(run, f"shard long, ordinal long, value long, {name} long")
 
 
+def equal_parts(df: DataFrame, shard: Column, ordinal: str, value: str, k: int) -> DataFrame:
+    """shard, ordinal, value, is_padding, part: each shard in k partitions of equally many places by differencing.
+
+    A shard whose rows are no multiple of k is filled up with copies of its largest row (of equal ones the last), which are marked:
+    they take a place and weigh as much as that row, but are no rows of the table.
+    """
+    rows = df.select(shard.cast("long").alias("shard"), F.col(ordinal).cast("long").alias("ordinal"), F.col(value).cast("long").alias("value"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ordinal")
+        values = t["value"].to_pylist()
+        largest = max(range(len(values)), key=lambda i: (values[i], i))
+        places = [*range(len(values)), *[largest] * (-len(values) % k)]
+        out = t.take(pa.array(places, pa.int64())).append_column("is_padding", pa.array([i >= len(values) for i in range(len(places))]))
+        return out.append_column("part", pa.array(balanced([values[i] for i in places], k, True), pa.int64()))
+
+    return rows.groupBy("shard").applyInArrow(run, "shard long, ordinal long, value long, is_padding boolean, part long")
+
+
 def least_divisor(n: int) -> int:
     """The least number above one that divides n; n itself where it is prime, one for one."""
     return next((d for d in range(2, int(n**0.5) + 1) if n % d == 0), max(n, 1))

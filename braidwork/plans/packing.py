@@ -95,9 +95,11 @@ WITH RECURSIVE d AS (SELECT CAST(doc_id // 50 AS BIGINT) AS shard, CAST(n_chars
 v AS (SELECT shard, k // 2 AS p, max(value) - min(value) AS value, CAST(sum(value) AS BIGINT) AS s FROM d GROUP BY ALL), {_difference_sql("list(value)")}
 SELECT shard, CAST(2 * count(*) AS BIGINT) AS items, CAST(sum(s) AS BIGINT) AS total, CAST(any_value(difference) AS BIGINT) AS difference, CAST(count(*) AS BIGINT) AS each FROM v JOIN x USING (shard) GROUP BY shard""")
 def b06_equal(spark, sf):
-    parts = packing.by_shard(_docs(spark, sf), F.floor(F.col("doc_id") / 50), "doc_id", "n_chars", lambda x: packing.differencing(x, 2, True), "part")
+    """Shards of an odd number are filled up with a copy of their largest row, which counts as an item and in the difference, not in the total."""
+    parts = packing.equal_parts(_docs(spark, sf), F.floor(F.col("doc_id") / 50), "doc_id", "n_chars", 2)
     each = parts.groupBy("shard", "part").agg(F.count("*").alias("each")).select("shard", "each").distinct()
-    return _apart(parts).join(each, "shard")
+    total = parts.filter("not is_padding").groupBy("shard").agg(F.sum("value").alias("total"))
+    return _apart(parts).drop("total").join(total, "shard").join(each, "shard").select("shard", "items", "total", "difference", "each")
 
 
 _GREEDY = """d AS (SELECT conv_id AS shard, turn AS ordinal, CAST(length(text) AS BIGINT) AS value, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
