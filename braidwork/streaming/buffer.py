@@ -261,20 +261,28 @@ def bounded_queue(stream: DataFrame, queue: str, ordinal: str, size: int) -> Dat
     return rows.groupBy("queue").transformWithStateInPandas(QueueProcessor(size), QUEUE_OUTPUT, "Update", "None")
 
 
+def _in_order(frames: Iterator[pd.DataFrame], by: str, columns: list[str]) -> Iterator[tuple]:
+    """The rows of a key in one increment, in order. They come in several frames where they are more than an Arrow batch holds, so each
+    frame's order is not theirs. What is held are the named columns and the order, 8 bytes a value."""
+    held = [pdf[[by, *(c for c in columns if c != by)]] for pdf in frames]
+    if held:
+        rows = (pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]).sort_values(by, kind="stable")
+        yield from rows[columns].itertuples(index=False, name=None)
+
+
 def pack_state(key, frames, state):
     """applyInPandasWithState: next-fit packing over a stream; the open pack is carried in the state."""
     capacity = key[1]
     # `some`: the open pack has an item, which may be of no length
     pack, held, some = state.get if state.exists else (0, 0, False)
     out = []
-    for pdf in frames:
-        for i, n in pdf.sort_values("ordinal")[["ordinal", "value"]].itertuples(index=False):
-            if some and held + n > capacity:
-                pack, held = pack + 1, 0
-            out.append((key[0], int(i), int(n), pack))
-            held, some = held + int(n), True
-            if held >= capacity:
-                pack, held, some = pack + 1, 0, False
+    for i, n in _in_order(frames, "ordinal", ["ordinal", "value"]):
+        if some and held + n > capacity:
+            pack, held = pack + 1, 0
+        out.append((key[0], int(i), int(n), pack))
+        held, some = held + int(n), True
+        if held >= capacity:
+            pack, held, some = pack + 1, 0, False
     state.update((pack, held, some))
     yield pd.DataFrame(out, columns=["shard", "ordinal", "value", "pack"])
 
@@ -294,7 +302,7 @@ def bin_state(key, frames, state):
     packs, ordinals, values = state.get if state.exists else (0, [], [])
     held, out = list(zip(ordinals, values)), []
     # items of the interval that has begun stand behind the bin that is carried
-    rows = [r for pdf in frames for r in pdf.sort_values("ordinal")[["ordinal", "value"]].itertuples(index=False)]
+    rows = _in_order(frames, "ordinal", ["ordinal", "value"])
     carried, waiting = ([x for x in held if x[1] < 0], [x for x in held if x[1] >= 0])
     carried = [(i, -n - 1) for i, n in carried]  # values of the carried bin are stored below zero
 
