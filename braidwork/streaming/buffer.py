@@ -345,7 +345,7 @@ def shuffle_state(key, frames, state):
     shard, size, seed = key
     placed, held = state.get if state.exists else (0, [])
     held, out = list(held), []
-    for i in (x for pdf in frames for x in pdf.sort_values("line", kind="stable")["ordinal"].tolist()):
+    for (i,) in _in_order(frames, "line", ["ordinal"]):
         if pd.isna(i):
             out += [(shard, placed + n, x) for n, x in enumerate(sorted(held, key=lambda x: (_draw(seed, shard, "rest", x), x)))]
             placed, held = placed + len(held), []
@@ -379,8 +379,7 @@ def interleave_state(shares: list[float]):
         for s, i in zip(sources, ordinals):
             queues[s].append(i)
         ended, out = set(ended), []
-        rows = [r for pdf in frames for r in pdf.sort_values("line", kind="stable")[["source", "ordinal"]].itertuples(index=False)]
-        for source, i in rows:
+        for source, i in _in_order(frames, "line", ["source", "ordinal"]):
             ended.add(int(source)) if pd.isna(i) else queues[int(source)].append(int(i))
         taken = [0] * len(shares)
         while not over:

@@ -33,7 +33,7 @@ def small_batches(spark):
     spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("name", ["B04_stream_packing"])
+@pytest.mark.parametrize("name", ["B04_stream_packing", "R10_stream_shuffle"])
 def test_streams_are_in_order_over_arrow_batches(spark, tmp_path, small_batches, name):
     sf = documents(tmp_path, [(i * 7919) % 9973 for i in range(203)])
     table = pq.read_table(f"{sf}/documents.parquet")
@@ -41,9 +41,14 @@ def test_streams_are_in_order_over_arrow_batches(spark, tmp_path, small_batches,
     oracle.same(driver.queries()[name](spark, sf), oracle.connect(sf), driver.oracle_sql()[name])
 
 
-def test_bins_are_in_order_over_arrow_batches(spark, small_batches):
+def test_bins_and_interleaved_streams_are_in_order_over_arrow_batches(spark, small_batches):
     lengths = [(i * 37) % 50 for i in range(203)]
     mixed = [(i * 89) % 203 for i in range(203)]
     rows = spark.createDataFrame([(0, i, lengths[i]) for i in mixed] + [(0, 203, None)], "shard long, line long, n long").coalesce(1)
     out = run.run_increments([rows], lambda s: buffer.bin_stream(s, "shard", "line", "n", 60, 32)).collect()
     assert [r["pack"] for r in sorted(out, key=lambda r: r["ordinal"])] == packing.batched(lengths, 60, 32)
+    rows = spark.createDataFrame([(0, i % 2, i, i) for i in mixed], "shard long, source int, line long, ordinal long").coalesce(1)
+    out = run.run_increments([rows], lambda s: buffer.interleave_stream(s, "shard", "source", "line", "ordinal", [0.5, 0.5])).collect()
+    for source in (0, 1):
+        own = [r["ordinal"] for r in sorted(out, key=lambda r: r["slot"]) if r["source"] == source]
+        assert len(own) > 50 and own == [source + 2 * i for i in range(len(own))]
