@@ -5,10 +5,15 @@ so that unseen endings of a known stem count. Filters of several widths run over
 response of each, rectified, goes through a logistic layer. Embeddings begin at the log-odds of their bucket in the training
 rows, shrunk to 0 for buckets that hardly occur, and are trained with filters and output by Adagrad.
 
-Training: at most `max_rows` labelled rows, the first by a hash of their id, and of these, in the same order, those that still
-fit into `max_bytes` of text. A row is taken with its whole text or not at all, so a text larger than the budget is scored but
-not learned from. Every fifth row is held back to calibrate: a scale and shift bring scores to probabilities, and each language with enough rows of both kinds gets a threshold of its own for `flagged`; `predicted`
-always uses 0.5. Labels, language, source and id are never inputs of a score.
+Training: all labelled rows that may be learned from, with their whole texts. They are dealt to blocks of about BLOCK_BYTES by a
+hash of what they hold, and written as word and stem numbers, a row a block. The log-odds are counted over all blocks. In every
+epoch each block trains on from the shared model in batches of its rows; what weights moved by, and Adagrad's sums, are then averaged over the
+blocks that moved them, in whole steps of GRAIN, so that neither the order of rows nor that of sums changes the model. The driver holds the
+model and its sums, whose size is fixed, and no texts. About every fifth row is held back to calibrate: a shift puts the cut with the fewest errors
+at 0.5, and each language with enough rows of both kinds gets a threshold of its own for `flagged`, from counts of all rows held back by steps of
+1 / BINS of a logit; `predicted` always uses 0.5. Labels, language, source and id are never inputs of a score.
+
+`max_rows` or `max_bytes` ask for less: a model of a sample, trained by the driver. No query asks for it.
 
 Scoring takes two look-ups and one product with all places of all filters a word.
 
@@ -27,7 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import _TABLE
@@ -38,8 +43,13 @@ from .words import encode, hashes, spans
 
 WORD_BUCKETS, STEM_BUCKETS, STEM_BYTES = 1 << 18, 1 << 16, 5
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
-MAX_ROWS, MAX_BYTES = 6000, 32 << 20
-#: What a text counts for at least in MAX_BYTES.
+#: Bytes of text of a block that is trained on at once, about.
+BLOCK_BYTES = 6 << 20
+#: Changes of weights are summed as multiples of this.
+GRAIN = 2.0**-36
+#: Steps of a logit that calibration tells apart, to 1.
+BINS = 256
+#: What a text counts for at least in BLOCK_BYTES, and in max_bytes where that is asked for.
 LEAST_BYTES = 512
 EPOCHS, BATCH, RATE = 6, 32, 0.15
 FOLDS = 5
@@ -153,12 +163,17 @@ class Model:
         return top
 
 
-def _start(words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Model:
-    n = WORD_BUCKETS + STEM_BUCKETS
-    seen = np.zeros((2, n))
+def _seen(words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """How many texts of either label have each bucket."""
+    seen = np.zeros((2, WORD_BUCKETS + STEM_BUCKETS), np.int64)
     for w, s, label in zip(words, stems, y):
         seen[int(label), np.unique(np.r_[w, s])] += 1
-    pos, neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    return seen
+
+
+def _start(seen: np.ndarray, pos: float, neg: float, rng: np.random.Generator) -> Model:
+    n = WORD_BUCKETS + STEM_BUCKETS
+    pos, neg = max(1.0, pos), max(1.0, neg)
     odds = np.log((seen[1] + 0.5) / (pos + 1)) - np.log((seen[0] + 0.5) / (neg + 1))
     odds *= np.clip((seen.sum(0) - 1) / 4, 0, 1)  # seen once: not at all
     direction = rng.normal(0, 0.3, DIM)
@@ -170,81 +185,110 @@ def _start(words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray, rng:
     return Model(embed, filters, np.full(total, -0.3), np.full(total, 0.5), shift=-1.0)
 
 
+@dataclass
+class Sums:
+    """Adagrad's sums of squares, as the weights of a model."""
+
+    embed: np.ndarray
+    filters: list[np.ndarray]
+    bias: np.ndarray
+    out: np.ndarray
+    shift: float = 0.05
+
+    @classmethod
+    def of(cls, m: Model) -> Sums:
+        return cls(np.full(len(m.embed), 0.05), [np.full_like(w, 0.05) for w in m.filters], np.full_like(m.bias, 0.05), np.full_like(m.out, 0.05))
+
+
+def _weights(pos: float, neg: float) -> tuple[float, float]:
+    """What a row of label 0 and of label 1 weighs; the mean is 1."""
+    more = max(1.0, 0.5 * neg / max(1, pos))
+    mean = (more * pos + neg) / (pos + neg)
+    return 1 / mean, more / mean
+
+
 def train(words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
-    rng = np.random.default_rng(seed)
-    m = _start(words, stems, y, rng)
-    pad, last, total = len(m.embed) - 1, max(WIDTHS), FILTERS * len(WIDTHS)
-    g_embed = np.full(len(m.embed), 0.05)
-    g_filters, g_bias, g_out, g_shift = [np.full_like(w, 0.05) for w in m.filters], np.full(total, 0.05), np.full(total, 0.05), 0.05
-    weight = np.where(y == 1, max(1.0, 0.5 * (len(y) - y.sum()) / max(1, y.sum())), 1.0)
-    weight /= weight.mean()
+    """A model of rows that one task holds."""
+    rng, pos = np.random.default_rng(seed), float(y.sum())
+    m = _start(_seen(words, stems, y), pos, len(y) - pos, rng)
+    g, weight = Sums.of(m), np.where(y == 1, *_weights(pos, len(y) - pos)[::-1])
     for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
-            gap = np.full(last, pad, np.int32)
-            ids = np.concatenate([a for i in batch for a in (words[i], gap)] + [gap])
-            ids2 = np.concatenate([a for i in batch for a in (stems[i], gap)] + [gap])
-            drop_ = rng.random(len(ids)) < 0.1
-            ids[drop_] = pad
-            ids2[drop_] = pad
-            n = len(ids) - last
-            first = np.cumsum([0] + [len(words[i]) + last for i in batch[:-1]])
-            size = np.array([len(words[i]) for i in batch])
-            pooled, where = np.full((len(batch), total), -np.inf), np.zeros((len(batch), total), np.int64)
-            for begin in range(0, n, TRAIN_WORDS):
-                end = min(n, begin + TRAIN_WORDS)
-                x = m.embed[ids[begin : end + last]] + m.embed[ids2[begin : end + last]]
-                owner = np.searchsorted(first, np.arange(begin, end), side="right") - 1
-                head = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
-                beyond = np.arange(begin, end) - first[owner] > size[owner]  # windows that would reach the next text
-                for k, w in enumerate(m.filters):
-                    resp = sum(x[o : end - begin + o] @ w[o] for o in range(len(w)))
-                    resp[beyond] = -np.inf
-                    part = slice(k * FILTERS, (k + 1) * FILTERS)
-                    # of equal responses the first counts, also across parts of a batch
-                    best = np.full((len(batch), FILTERS), np.nan)
-                    tops = np.maximum.reduceat(resp, head, axis=0)
-                    best[owner[head]] = np.where(tops > pooled[owner[head], part], tops, np.nan)
-                    at, f = np.nonzero(resp == best[owner])
-                    where[owner[at[::-1]], f[::-1] + k * FILTERS] = begin + at[::-1]
-                    pooled[owner[head], part] = np.maximum(pooled[owner[head], part], tops)
-            h = np.maximum(pooled + m.bias, 0)
-            p = 1 / (1 + np.exp(-np.clip(h @ m.out + m.shift, -30, 30)))
-            dz = (p - y[batch]) * weight[batch] / len(batch)
-            dh = dz[:, None] * m.out * (h > 0)
-            d_out, d_bias, d_shift = h.T @ dz, dh.sum(0), dz.sum()
-            rows, grads = [], []
-            for k, w in enumerate(m.filters):
-                part = slice(k * FILTERS, (k + 1) * FILTERS)
-                d = dh[:, part]
-                for o in range(len(w)):
-                    at = where[:, part] + o
-                    dw = np.einsum("bf,bfd->df", d, m.embed[ids[at]] + m.embed[ids2[at]])
-                    rows.append(at.ravel())
-                    grads.append((d[:, :, None] * w[o].T[None]).reshape(-1, DIM))
-                    g_filters[k][o] += dw**2
-                    w[o] -= RATE * dw / np.sqrt(g_filters[k][o])
-            at, grad = np.concatenate(rows), np.concatenate(grads)
-            for source in (ids, ids2):
-                bucket, back = np.unique(source[at], return_inverse=True)
-                d = np.zeros((len(bucket), DIM))
-                np.add.at(d, back, grad)
-                d[bucket == pad] = 0
-                g_embed[bucket] += (d**2).sum(1)
-                m.embed[bucket] -= RATE * d / np.sqrt(g_embed[bucket])[:, None]
-            g_out += d_out**2
-            g_bias += d_bias**2
-            g_shift += d_shift**2
-            m.out -= RATE * d_out / np.sqrt(g_out)
-            m.bias -= RATE * d_bias / np.sqrt(g_bias)
-            m.shift -= RATE * d_shift / np.sqrt(g_shift)
+        _epoch(m, g, words, stems, y, weight, rng)
     return m
 
 
-def _best_cut(score: np.ndarray, y: np.ndarray, fallback: float) -> float:
-    """The threshold with the fewest errors; of equal ones that nearest the fallback."""
-    order = np.unique(score)
+def _epoch(m: Model, g: Sums, words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+    """Trains once on every row, in batches in random order."""
+    pad, last, total = len(m.embed) - 1, max(WIDTHS), FILTERS * len(WIDTHS)
+    for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+        gap = np.full(last, pad, np.int32)
+        ids = np.concatenate([a for i in batch for a in (words[i], gap)] + [gap])
+        ids2 = np.concatenate([a for i in batch for a in (stems[i], gap)] + [gap])
+        drop_ = rng.random(len(ids)) < 0.1
+        ids[drop_] = pad
+        ids2[drop_] = pad
+        n = len(ids) - last
+        first = np.cumsum([0] + [len(words[i]) + last for i in batch[:-1]])
+        size = np.array([len(words[i]) for i in batch])
+        pooled, where = np.full((len(batch), total), -np.inf), np.zeros((len(batch), total), np.int64)
+        for begin in range(0, n, TRAIN_WORDS):
+            end = min(n, begin + TRAIN_WORDS)
+            x = m.embed[ids[begin : end + last]] + m.embed[ids2[begin : end + last]]
+            owner = np.searchsorted(first, np.arange(begin, end), side="right") - 1
+            head = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
+            beyond = np.arange(begin, end) - first[owner] > size[owner]  # windows that would reach the next text
+            for k, w in enumerate(m.filters):
+                resp = sum(x[o : end - begin + o] @ w[o] for o in range(len(w)))
+                resp[beyond] = -np.inf
+                part = slice(k * FILTERS, (k + 1) * FILTERS)
+                # of equal responses the first counts, also across parts of a batch
+                best = np.full((len(batch), FILTERS), np.nan)
+                tops = np.maximum.reduceat(resp, head, axis=0)
+                best[owner[head]] = np.where(tops > pooled[owner[head], part], tops, np.nan)
+                at, f = np.nonzero(resp == best[owner])
+                where[owner[at[::-1]], f[::-1] + k * FILTERS] = begin + at[::-1]
+                pooled[owner[head], part] = np.maximum(pooled[owner[head], part], tops)
+        h = np.maximum(pooled + m.bias, 0)
+        p = 1 / (1 + np.exp(-np.clip(h @ m.out + m.shift, -30, 30)))
+        dz = (p - y[batch]) * weight[batch] / len(batch)
+        dh = dz[:, None] * m.out * (h > 0)
+        d_out, d_bias, d_shift = h.T @ dz, dh.sum(0), dz.sum()
+        rows, grads = [], []
+        for k, w in enumerate(m.filters):
+            part = slice(k * FILTERS, (k + 1) * FILTERS)
+            d = dh[:, part]
+            for o in range(len(w)):
+                at = where[:, part] + o
+                dw = np.einsum("bf,bfd->df", d, m.embed[ids[at]] + m.embed[ids2[at]])
+                rows.append(at.ravel())
+                grads.append((d[:, :, None] * w[o].T[None]).reshape(-1, DIM))
+                g.filters[k][o] += dw**2
+                w[o] -= RATE * dw / np.sqrt(g.filters[k][o])
+        at, grad = np.concatenate(rows), np.concatenate(grads)
+        for source in (ids, ids2):
+            bucket, back = np.unique(source[at], return_inverse=True)
+            d = np.zeros((len(bucket), DIM))
+            np.add.at(d, back, grad)
+            d[bucket == pad] = 0
+            g.embed[bucket] += (d**2).sum(1)
+            m.embed[bucket] -= RATE * d / np.sqrt(g.embed[bucket])[:, None]
+        g.out += d_out**2
+        g.bias += d_bias**2
+        g.shift += d_shift**2
+        m.out -= RATE * d_out / np.sqrt(g.out)
+        m.bias -= RATE * d_bias / np.sqrt(g.bias)
+        m.shift -= RATE * d_shift / np.sqrt(g.shift)
+
+
+def _best_cut(score: np.ndarray, y: np.ndarray, fallback: float, n: np.ndarray | None = None) -> float:
+    """The threshold with the fewest errors; of equal ones that nearest the fallback. n: how often each score and kind occurs."""
+    n = np.ones(len(score), np.int64) if n is None else n
+    order, place = np.unique(score, return_inverse=True)
     cuts = np.r_[(order[1:] + order[:-1]) / 2, fallback]
-    errors = np.array([((score >= c) != y).sum() for c in cuts])
+    # of either kind, how many lie below each score
+    below = [np.r_[0, np.cumsum(np.bincount(place, weights=n * (y == kind), minlength=len(order)))] for kind in (False, True)]
+    at = np.searchsorted(order, cuts)
+    errors = below[True][at] + below[False][-1] - below[False][at]
     best = cuts[errors == errors.min()]
     return float(best[np.argmin(np.abs(best - fallback))])
 
@@ -296,14 +340,13 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the labels (doc_id, toxic) of docs."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.filter("doc_id is not null and toxic in (0, 1)").filter(fold(F.col("doc_id")) != 0)
+def fit_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of at most max_rows labels, the first by a hash of their id, and of these those whose whole texts fit into max_bytes; by the driver."""
+    rows = _usable(labels)
     drawn = [tuple(r) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows).collect()]
     # at most max_rows pairs of numbers, so they can be broadcast whatever the tables' size
     table = lambda pairs: F.broadcast(docs.sparkSession.createDataFrame(pairs, "doc_id long, toxic int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    texts = _texts(docs, id_col, text_col, lang_col)
     # one scan of documents: sizes and texts are taken from the rows of the ids drawn, which are written
     with recorded() as worked:
         texts = materialise(texts.join(table([(i, 0) for i in {i for i, _ in drawn}]), "doc_id").drop("toxic"), "toxicity-drawn")
@@ -318,9 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     drop(docs.sparkSession, worked)
     y = found["toxic"].to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
-        m = Model(np.zeros((1, DIM)), [np.zeros((w, DIM, FILTERS)) for w in WIDTHS], np.zeros(0), np.zeros(0))
-        m.constant = float(y.mean()) if len(y) else 0.0
-        return m
+        return _constant(float(y.mean()) if len(y) else 0.0)
     arrays = [[np.asarray(v.values.to_numpy()) for v in found[c]] for c in ("word", "stem")]
     lang, held = found["lang"].to_pylist(), np.arange(len(y)) % FOLDS == 0
     if not 0 < y[~held].sum() < (~held).sum():
@@ -337,6 +378,232 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     return m
 
 
+def _usable(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of labels that may be learned from."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    return rows.filter("doc_id is not null and toxic in (0, 1)").filter(fold(F.col("doc_id")) != 0)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+
+BLOCKS = "block long, held binary, toxic binary, n binary, lang array<string>, ids binary"
+
+
+def _pack(t: pa.Table) -> pa.Table:
+    """One row of a block's rows, in an order of their own; of each row its words and then its stems, as four bytes each."""
+    t = t.sort_by([(c, "ascending") for c in ("doc_id", "digest", "toxic", "lang")])
+    n, ids = [], []
+    for column in t["text"].chunks:
+        for _, texts in slices(column):
+            for word, stem in map(buckets, texts):
+                n.append(len(word))
+                ids += [word.tobytes(), stem.tobytes()]
+    one = {"block": t["block"].to_numpy()[:1], "lang": pa.array([t["lang"].to_pylist()], pa.list_(pa.string())), "ids": pa.array([b"".join(ids)], pa.binary())}
+    for c, kind, values in (("held", np.uint8, t["held"].to_pylist()), ("toxic", np.uint8, t["toxic"].to_pylist()), ("n", np.int64, n)):
+        one[c] = pa.array([np.array(values, kind).tobytes()], pa.binary())
+    return pa.table(one).select([c.split()[0] for c in BLOCKS.split(", ")])
+
+
+@dataclass
+class Block:
+    number: int
+    words: list[np.ndarray]
+    stems: list[np.ndarray]
+    y: np.ndarray
+    held: np.ndarray
+    lang: list[str | None]
+
+    def take(self, mask: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        at = np.flatnonzero(mask)
+        return [self.words[i] for i in at], [self.stems[i] for i in at], self.y[at]
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    release()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held, toxic, n = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("held", np.uint8), ("toxic", np.uint8), ("n", np.int64)))
+            ids, end = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int32), 2 * np.cumsum(n)
+            begin, middle = end - 2 * n, end - n
+            cut = lambda a, b: [ids[x:y] for x, y in zip(a, b)]
+            yield Block(batch.column("block")[i].as_py(), cut(begin, middle), cut(middle, end), toxic.astype(np.float64), held == 1, batch.column("lang")[i].as_py())
+
+
+def write_blocks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """(all labelled rows in blocks, how many there are by held and toxic).
+
+    Rows that are alike in all are numbered, so that copies of one go to many blocks too; the merge join leaves them where they are numbered.
+    """
+    spark = docs.sparkSession
+    rows = _texts(docs, id_col, text_col, lang_col).join(_usable(labels).hint("merge"), "doc_id").select("doc_id", "toxic", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    alike = ["doc_id", "digest", "toxic", "lang"]
+    rows = rows.withColumn("place", F.xxhash64(*alike, F.row_number().over(Window.partitionBy(*alike).orderBy("doc_id"))))
+    with recorded() as worked:
+        rows = materialise(rows.withColumn("held", (F.pmod(F.xxhash64("place"), F.lit(FOLDS)) == 0).cast("int")), "toxicity-rows")
+    size = F.greatest(F.octet_length("text"), F.lit(LEAST_BYTES)).cast("long")
+    found = rows.groupBy("held", "toxic").agg(F.count("*"), F.sum(size)).collect()
+    many = max(1, -(-sum(r[3] for r in found) // BLOCK_BYTES))
+    blocks = materialise(rows.withColumn("block", F.pmod("place", F.lit(many))).drop("place").groupBy("block").applyInArrow(_pack, BLOCKS), "toxicity-blocks")
+    drop(spark, worked)
+    return blocks, {(r[0], r[1]): r[2] for r in found}
+
+
+def _counter(all_rows: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, WORD_BUCKETS + STEM_BUCKETS), np.int64)
+        for b in _blocks_of(batches):
+            seen += _seen(*b.take(~b.held | all_rows))
+        key = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int32()), "clean": pa.array(seen[0, key]), "toxic": pa.array(seen[1, key])})
+
+    return run
+
+
+def _dense(m: Model | Sums) -> np.ndarray:
+    """All weights but those of buckets, end to end."""
+    return np.concatenate([*(w.ravel() for w in m.filters), m.bias, m.out, [m.shift]])
+
+
+def _set_dense(m: Model | Sums, values: np.ndarray) -> None:
+    at = np.cumsum([0, *(w.size for w in m.filters), m.bias.size, m.out.size])
+    m.filters = [values[a:b].reshape(w.shape).copy() for w, a, b in zip(m.filters, at, at[1:])]
+    k = len(m.filters)
+    m.bias, m.out, m.shift = values[at[k] : at[k + 1]].copy(), values[at[k + 1] : at[k + 2]].copy(), float(values[-1])
+
+
+#: Of each weight, or row of them by bucket: what it moved by and, last, what its sum of squares grew by, added up over n blocks.
+MOVED = ", ".join(["key int", "n long", *(f"v{i} long" for i in range(DIM + 1))])
+
+
+def _mover(shared, epoch: int, seed: int, all_rows: bool, weights: tuple[float, float]):
+    """An epoch of each block from the shared model, and what it moved; blocks of a task are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, sums = shared.value
+        rows, flat, flat_sums = len(start.embed), _dense(start), _dense(sums)
+        moved, n = np.zeros((rows + len(flat), DIM + 1), np.int64), np.zeros(rows + len(flat), np.int64)
+        for b in _blocks_of(batches):
+            words, stems, y = b.take(~b.held | all_rows)
+            if not len(y):
+                continue
+            m = Model(start.embed.astype(np.float64), [w.copy() for w in start.filters], start.bias.copy(), start.out.copy(), start.shift)
+            g = Sums(sums.embed.astype(np.float64), [w.copy() for w in sums.filters], sums.bias.copy(), sums.out.copy(), sums.shift)
+            _epoch(m, g, words, stems, y, np.where(y == 1, weights[1], weights[0]), np.random.default_rng([seed, epoch, b.number]))
+            at = np.flatnonzero(g.embed != sums.embed)
+            moved[at, :DIM] += np.rint((m.embed[at] - start.embed[at]) / GRAIN).astype(np.int64)
+            moved[at, DIM] += np.rint((g.embed[at] - sums.embed[at]) / GRAIN).astype(np.int64)
+            moved[rows:, 0] += np.rint((_dense(m) - flat) / GRAIN).astype(np.int64)
+            moved[rows:, DIM] += np.rint((_dense(g) - flat_sums) / GRAIN).astype(np.int64)
+            n[at] += 1
+            n[rows:] += 1
+        key = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int32()), "n": pa.array(n[key]), **{f"v{i}": pa.array(moved[key, i]) for i in range(DIM + 1)}})
+
+    return run
+
+
+def _advance(blocks: DataFrame, m: Model, g: Sums, epoch: int, seed: int, all_rows: bool, weights: tuple[float, float]) -> None:
+    """One epoch over all blocks; the driver gets at most a row a weight."""
+    shared = blocks.sparkSession.sparkContext.broadcast((m, g))
+    columns = [f"v{i}" for i in range(DIM + 1)]
+    moved = blocks.mapInArrow(_mover(shared, epoch, seed, all_rows, weights), MOVED)
+    found = moved.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *columns)]).toArrow()
+    shared.destroy()
+    key, n = found["key"].to_numpy(), found["n"].to_numpy()
+    mean = np.stack([found[c].to_numpy() for c in columns], axis=1) * (GRAIN / n)[:, None]
+    rows = len(m.embed)
+    own = key < rows
+    # whole numbers of GRAIN and float32 on, so that the broadcast is small
+    m.embed[key[own]] += mean[own, :DIM].astype(np.float32)
+    g.embed[key[own]] += mean[own, DIM].astype(np.float32)
+    for part, column in ((m, 0), (g, DIM)):
+        flat = _dense(part)
+        flat[key[~own] - rows] += mean[~own, column]
+        _set_dense(part, flat)
+
+
+def _judge(shared, held_only: bool):
+    """Language, label and logit in steps of 1 / BINS of each row that calibrates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for b in _blocks_of(batches):
+            at = np.flatnonzero(b.held | (not held_only))
+            pooled = np.stack([m.pool(b.words[i], b.stems[i]) for i in at]) if len(at) else np.zeros((0, FILTERS * len(WIDTHS)))
+            z = np.maximum(pooled + m.bias, 0) @ m.out + m.shift
+            bins = np.rint(np.clip(z, -30, 30) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([b.lang[i] for i in at], pa.string()), "toxic": pa.array(b.y[at].astype(np.int32)), "bin": pa.array(bins)})
+
+    return run
+
+
+def _middle(score: np.ndarray, n: np.ndarray) -> float:
+    """The median of scores that occur n times each."""
+    order = np.argsort(score)
+    return float(score[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
+
+
+def _calibrate_blocks(blocks: DataFrame, m: Model, held_only: bool) -> None:
+    """As calibrate(), by counts of all rows that calibrate; the driver gets a row a step and kind, and one a language."""
+    shared = blocks.sparkSession.sparkContext.broadcast(m)
+    with recorded() as worked:
+        tally = materialise(blocks.mapInArrow(_judge(shared, held_only), "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")), "toxicity-tally")
+    shared.destroy()
+    total = tally.groupBy("toxic", "bin").agg(F.sum("n").alias("n")).toArrow().sort_by([("bin", "ascending"), ("toxic", "ascending")])
+    y, z, n = total["toxic"].to_numpy() == 1, total["bin"].to_numpy() / BINS, total["n"].to_numpy()
+    cut = _best_cut(z, y, (_middle(z[y], n[y]) + _middle(z[~y], n[~y])) / 2, n)
+    m.moved = -m.scale * cut
+
+    def own(t: pa.Table) -> pa.Table:
+        z = t["bin"].to_numpy() / BINS - cut
+        return pa.table({"lang": t["lang"].slice(0, 1), "cut": pa.array([_best_cut(z, t["toxic"].to_numpy() == 1, 0.0, t["n"].to_numpy())])})
+
+    count = lambda kind: F.sum(F.when(F.col("toxic") == kind, F.col("n")).otherwise(0)) >= LANGUAGE_ROWS
+    enough = tally.filter("lang <> ''").groupBy("lang").agg(count(0).alias("_clean"), count(1).alias("_toxic")).filter("_clean and _toxic").select("lang")
+    cuts = tally.join(enough, "lang", "left_semi").groupBy("lang").applyInArrow(own, "lang string, cut double").collect()
+    m.thresholds = {r["lang"]: float(1 / (1 + np.exp(-r["cut"]))) for r in cuts}
+    drop(blocks.sparkSession, worked)
+
+
+def _constant(share: float) -> Model:
+    m = Model(np.zeros((1, DIM)), [np.zeros((w, DIM, FILTERS)) for w in WIDTHS], np.zeros(0), np.zeros(0))
+    m.constant = share
+    return m
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int | None = None, max_bytes: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of the labels (doc_id, toxic) of docs: of all that may be learned from, unless the caller asks for less."""
+    if max_rows is not None or max_bytes is not None:
+        most = 2**31 - 1
+        return fit_sample(docs, labels, most if max_rows is None else max_rows, most if max_bytes is None else max_bytes, seed, id_col, text_col, lang_col)
+    with recorded() as worked:
+        blocks, found = write_blocks(docs, labels, id_col, text_col, lang_col)
+    kinds = lambda held: [sum(found.get((h, t), 0) for h in held) for t in (0, 1)]
+    every = kinds((0, 1))
+    if not all(every):
+        drop(docs.sparkSession, worked)
+        return _constant(every[1] / sum(every) if sum(every) else 0.0)
+    # rows are held back only where both kinds are left to learn from
+    all_rows = not all(kinds((0,)))
+    neg, pos = every if all_rows else kinds((0,))
+    seen = np.zeros((2, WORD_BUCKETS + STEM_BUCKETS), np.int64)
+    counts = blocks.mapInArrow(_counter(all_rows), "key int, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    for label, c in enumerate(("clean", "toxic")):
+        seen[label, counts["key"].to_numpy()] = counts[c].to_numpy()
+    m = _start(seen, pos, neg, np.random.default_rng(seed))
+    g = Sums.of(m)
+    m.embed, g.embed = m.embed.astype(np.float32), g.embed.astype(np.float32)
+    for epoch in range(EPOCHS):
+        _advance(blocks, m, g, epoch, seed, all_rows, _weights(pos, neg))
+    m.filters = [w.astype(np.float32) for w in m.filters]
+    _calibrate_blocks(blocks, m, not all_rows and all(kinds((1,))))
+    drop(docs.sparkSession, worked)
+    return m
+
+
 def _scorer(shared, keep: bool, text_col: str = "text", lang_col: str = "lang"):
     """keep: pass on the whole rows that are not flagged, else give a row of SCORES for each."""
 
