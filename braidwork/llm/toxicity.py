@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import _TABLE
 from .resident import release
-from .scratch import drop, materialise, recorded
+from .scratch import collect_garbage, drop, materialise, recorded
 from .tokencount import slices
 from .words import encode, hashes, spans
 
@@ -443,11 +443,13 @@ def write_blocks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = rows.withColumn("place", F.xxhash64(*alike, F.row_number().over(Window.partitionBy(*alike).orderBy("doc_id"))))
     with recorded() as worked:
         rows = materialise(rows.withColumn("held", (F.pmod(F.xxhash64("place"), F.lit(FOLDS)) == 0).cast("int")), "toxicity-rows")
+    collect_garbage(spark)  # nothing refers to the join any more
     size = F.greatest(F.octet_length("text"), F.lit(LEAST_BYTES)).cast("long")
     found = rows.groupBy("held", "toxic").agg(F.count("*"), F.sum(size)).collect()
     many = max(1, -(-sum(r[3] for r in found) // BLOCK_BYTES))
     blocks = materialise(rows.withColumn("block", F.pmod("place", F.lit(many))).drop("place").groupBy("block").applyInArrow(_pack, BLOCKS), "toxicity-blocks")
     drop(spark, worked)
+    collect_garbage(spark)
     return blocks, {(r[0], r[1]): r[2] for r in found}
 
 
