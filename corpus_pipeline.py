@@ -11,6 +11,8 @@ are equal or near copies of each other all stay.
 Texts that are null or empty are documents like others: all of them but one go as exact copies. An empty table gives no rows; columns of
 any name pass through, but for those that begin with an underscore. Rows that tie go by the rules above; ties beyond them stay.
 
+The toxicity stage's model and thresholds come from all labelled rows that may be learned from.
+
 Near copies are those of op6's contract, 4 words and 85 percent, so that the stage drops what the query op6_jaccard_join links.
 """
 
