@@ -177,14 +177,22 @@ class Monotone:
         last = first + self._run(first + high)
         long = np.flatnonzero(last - first == 64)
         last[long] = self._smaller_highs(high[long] + 1)
-        end, open_ = last.copy(), np.flatnonzero(first < last)
+        # most have few that share their high bits: the first of these is tried before the others are halved
+        open_ = np.flatnonzero(first < last)
+        got, want = self.low[first[open_]], low[open_]
+        equal[inside[open_]] = got == want
+        open_ = open_[got < want]
+        first[open_] += 1
+        more = open_ = open_[first[open_] < last[open_]]
+        begin, end, want = first[open_], last[open_], low[open_]
         while len(open_):
-            middle = (first[open_] + last[open_]) >> 1
-            below = self.low[middle] < low[open_]
-            first[open_] = np.where(below, middle + 1, first[open_])
-            last[open_] = np.where(below, last[open_], middle)
-            open_ = open_[first[open_] < last[open_]]
+            middle = (begin + end) >> 1
+            below = self.low[middle] < want
+            begin, end = np.where(below, middle + 1, begin), np.where(below, end, middle)
+            first[open_] = begin
+            left = begin < end
+            open_, begin, end, want = open_[left], begin[left], end[left], want[left]
+        more = more[first[more] < last[more]]
+        equal[inside[more]] = self.low[first[more]] == low[more]
         found[inside] = first
-        some = np.flatnonzero(first < end)
-        equal[inside[some]] = self.low[first[some]] == low[some]
         return found, equal

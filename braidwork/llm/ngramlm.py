@@ -1,6 +1,7 @@
 """Language-model scoring with an n-gram trie in Elias-Fano levels.
 
-Words are counted in Spark and numbered by frequency. Blocks of texts, coded as word numbers, send every shard the distinct word triples
+Words are counted in Spark and numbered by frequency. Blocks of texts ask buckets of the hash space for the numbers of their words, one
+row each way, and, so coded, send every shard the distinct word triples
 that it owns with their counts; a shard merges them to a trie of three levels. A level holds the words of its nodes, made monotone by
 adding what the contexts before took up; monotone pointers cut it to the children of each context; each node holds its quantised
 share of the smoothed probability. All are Elias-Fano sequences or packed integers in one file a shard in the shared folder, which tasks
@@ -34,7 +35,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASKED, Plan, _sender, ask_keys, in_order, join_blobs, planes, split_blobs, unplanes
+from .blocks import ASKED, MIN_KEYS, Plan, _sender, ask_keys, in_order, join_blobs, planes, split_blobs, unplanes
 from .eliasfano import Monotone, Packed, Reader, Writer, write_monotone, write_packed
 from .resident import release
 from .scratch import collect_garbage, drop, make_dir, materialise, new_path, path_of, recorded
@@ -57,8 +57,6 @@ ADDED = 0.1
 BLOCK_BYTES = 4 << 20
 #: Triples of a shard, about, and occurrences of a pair that go to one shard.
 SHARD_TRIPLES, SHARD_PAIR = 1 << 20, 1 << 20
-#: Turns that shards take where counts and answers are made in one step.
-TURNS = 2
 #: Numbers of what is no word, before those of words; a word not seen in training is UNKNOWN.
 BEGIN, END, PAD, UNKNOWN, WORDS = 0, 1, 2, 3, 4
 #: Words hashed at a time.
@@ -66,7 +64,7 @@ _HASHED = 1 << 17
 #: Code of a node that is not there.
 NONE = np.uint16(2**16 - 1)
 
-BLOCKS = "learned_docs long, learned_tokens long, payload binary"
+BLOCKS = "words long, learned_docs long, learned_tokens long, payload binary"
 CODED = "block_id long, payload binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -95,6 +93,7 @@ def _pack(ids: list[int | None], learn: list[bool], texts: list[bytes]) -> pa.Re
     parts = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), learned.astype(np.uint8), lengths, word, count.astype(np.uint32), place.astype(np.uint32)]
     return pa.RecordBatch.from_pydict(
         {
+            "words": pa.array([len(word)], pa.int64()),
             "learned_docs": pa.array([int(learned.sum())], pa.int64()),
             "learned_tokens": pa.array([int(lengths[learned].sum() + learned.sum())], pa.int64()),
             "payload": pa.array([join_blobs([planes(p) for p in parts])], pa.binary()),
@@ -144,22 +143,22 @@ class Vocabulary:
         return (count + ADDED) / (self.tokens + ADDED * (self.distinct + 1))
 
 
-BLOCK_WORDS = "block_id long, place int, hash long, n long"
+BLOCK_WORDS = "hash long, n long"
+WORD_LISTS = "block_id long, payload binary"
 
 
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block_id, payload in zip(batch.column("block_id").to_pylist(), batch.column("payload")):
+        for payload in batch.column("payload"):
             parts = split_blobs(payload.as_py())
             word, count = unplanes(parts[4]), unplanes(parts[5])
-            yield pa.RecordBatch.from_pydict(
-                {"block_id": pa.array(np.full(len(word), block_id)), "place": pa.array(np.arange(len(word)), pa.int32()), "hash": pa.array(word.view(np.int64)), "n": pa.array(count.astype(np.int64))}
-            )
+            learned = count > 0
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(word[learned].view(np.int64)), "n": pa.array(count[learned].astype(np.int64))})
 
 
 def learn_words(blocks: DataFrame) -> Vocabulary:
-    words = blocks.select("block_id", "payload").mapInArrow(_block_words, BLOCK_WORDS)
-    words = words.filter("n > 0").groupBy("hash").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "hash")
+    words = blocks.select("payload").mapInArrow(_block_words, BLOCK_WORDS)
+    words = words.groupBy("hash").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "hash")
     words = materialise(words.withColumn("number", F.monotonically_increasing_id() + WORDS), "lm-words")
     docs, tokens = blocks.agg(F.sum("learned_docs"), F.sum("learned_tokens")).first()
     top = [r[0] for r in words.select("count").orderBy(F.desc("count")).limit(2).collect()]
@@ -168,24 +167,59 @@ def learn_words(blocks: DataFrame) -> Vocabulary:
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Payloads with texts as places in the block's known words, these sorted by number."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids, null, learned, lengths, word, _, seq = split_blobs(batch.column("payload")[i].as_py())
-            known, count, number = (batch.column(c)[i].values.to_numpy() if batch.column(c)[i].is_valid else np.zeros(0, np.int64) for c in ("place", "count", "number"))
-            order = np.argsort(number)
-            rank = np.full(unplanes(word).shape, UNKNOWN, np.uint32)
-            rank[known[order]] = WORDS + np.arange(len(order))
-            seq = rank[unplanes(seq)] if len(rank) else rank
-            payload = join_blobs([ids, null, learned, lengths, planes(np.diff(number[order].astype(np.uint64), prepend=np.uint64(0))), planes(count[order]), planes(seq)])
-            yield pa.RecordBatch.from_pydict({"block_id": batch.column("block_id").slice(i, 1), "payload": pa.array([payload], pa.binary())})
+    for row in _each(batches):
+        ids, null, learned, lengths, word, _, seq = split_blobs(row["payload"])
+        by_hash = np.argsort(unplanes(word))
+        answers = [list(map(unplanes, split_blobs(b))) for b in in_order(row["answers"])]
+        number, count = (np.concatenate([np.zeros(0, np.uint64), *[a[i] for a in answers]]).astype(np.int64) for i in (0, 1))
+        order = np.argsort(number)
+        order = order[np.searchsorted(number[order], 1) :]  # a word that was not seen in training has no number
+        rank = np.full(by_hash.shape, UNKNOWN, np.uint32)
+        rank[by_hash[order]] = WORDS + np.arange(len(order))
+        seq = rank[unplanes(seq)] if len(rank) else rank
+        payload = join_blobs([ids, null, learned, lengths, planes(np.diff(number[order].astype(np.uint64), prepend=np.uint64(0))), planes(count[order]), planes(seq)])
+        yield pa.RecordBatch.from_pydict({"block_id": pa.array([row["block_id"]], pa.int64()), "payload": pa.array([payload], pa.binary())})
+
+
+def _word_list(table: pa.Table) -> pa.Table:
+    """Words of a bucket in one row, by hash; its block_id is below 0, as those of blocks are not."""
+    word = table["hash"].to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    payload = join_blobs([planes(v[order]) for v in (word, _narrow(table["number"].to_numpy()), _narrow(table["count"].to_numpy()))])
+    return pa.table({"block_id": pa.array([-1 - table["bucket"][0].as_py()], pa.int64()), "payload": pa.array([payload], pa.binary())})
+
+
+def _word_question(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a list of words: these with their numbers and counts; of a block: its words, with nothing to add to those."""
+    parts = split_blobs(row["payload"])
+    if row["block_id"] < 0:
+        word, number, count = map(unplanes, parts)
+        return word, [number, count]
+    word = np.sort(unplanes(parts[4]))
+    return word, [np.zeros(len(word), np.uint8)] * 2
 
 
 def code(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """block_id and payload, with words as the vocabulary numbers them."""
-    own = blocks.select("block_id", "payload").mapInArrow(_block_words, BLOCK_WORDS).drop("n")
-    # the lists of a block are gathered together, so they agree in order
-    known = own.join(vocabulary.words, "hash").groupBy("block_id").agg(*[F.collect_list(c).alias(c) for c in ("place", "count", "number")])
-    return materialise(blocks.select("block_id", "payload").join(known, "block_id", "left").mapInArrow(_code, CODED), "lm-coded")
+    spark = blocks.sparkSession
+    words, count = blocks.agg(F.sum("words"), F.count("*")).first()
+    words = words or 0
+    # no more buckets for the sake of partitions than rows of MIN_KEYS words bear
+    plan = Plan(words, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, words // max(1, count) // (4 * MIN_KEYS))), count)
+    plan.bits = 64
+    # as plan.bucket() has it, so that a list of words goes to one bucket
+    top = 63 - plan.buckets.bit_length()
+    bucket = F.shiftright(F.shiftrightunsigned("hash", 64 - top) * F.lit(plan.buckets), top)
+    lists = vocabulary.words.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_word_list, WORD_LISTS)
+    with recorded() as worked:
+        asked = ask_keys(blocks.select("block_id", "payload").union(lists), plan, _word_question, ["sum", "sum"], lambda values: list(map(_narrow, values)))
+        answers = materialise(asked.filter("block_id >= 0"), "lm-numbers")  # not those to lists of words
+    del asked
+    drop(spark, [p for p in worked if "lm-numbers" not in p])
+    collect_garbage(spark)  # what blocks asked, before their payloads are shuffled
+    out = materialise(blocks.select("block_id", "payload").join(answers, "block_id", "left").mapInArrow(_code, CODED), "lm-coded")
+    drop(spark, [p for p in worked if "lm-numbers" in p])
+    return out
 
 
 class Coded:
@@ -251,7 +285,8 @@ class Routes:
         many = np.flatnonzero(salts > 1)
         key[many] = mix(key[many] + np.uint64(1) + mix(c.number[c.z[many]]) % salts[many])
         shard = ((key >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)
-        order = np.argsort(shard, kind="stable")
+        # two bytes are sorted by their digits, in time of the triples
+        order = np.argsort(shard.astype(np.uint16) if self.shards <= 2**16 else shard, kind="stable")
         at = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else order
         for a, b in zip(at, np.r_[at[1:], len(order)]):
             yield int(shard[order[a]]), order[a:b]
@@ -414,7 +449,7 @@ def _hot_pairs(coded: DataFrame, vocabulary: Vocabulary, routes: Routes, learned
     return ask_keys(coded, plan, question, ["sum"], lambda values: values).withColumnRenamed("answers", "hot")
 
 
-def _count_message(routes: Routes, docs: int, learned_only: bool, turn: int = 0, turns: int = 1):
+def _count_message(routes: Routes, docs: int, learned_only: bool):
     def question(row: dict) -> Iterator[tuple[int, bytes]]:
         c = Coded(row["payload"], docs, learned_only)
         c.triples()
@@ -426,8 +461,7 @@ def _count_message(routes: Routes, docs: int, learned_only: bool, turn: int = 0,
             stated[dealt[order]] = np.concatenate([unplanes(split_blobs(b)[0]) for b in in_order(row["hot"])])
         more = [c.count[c.x], stated]
         for shard, at in routes.cut(c):
-            if shard % turns == turn:
-                yield shard, join_blobs([_message(c, at, more), planes(_narrow(c.times[at]))])
+            yield shard, join_blobs([_message(c, at, more), planes(_narrow(c.times[at]))])
 
     return question
 
@@ -528,19 +562,12 @@ def learn_and_answer(coded: DataFrame, vocabulary: Vocabulary, shard_triples: in
     """A model, and what it says to the blocks it was learned from, which then need not ask again: (bucket, block_id, blob).
 
     Blocks send the triples of all their texts; those of held-out texts alone count as none. Without `keep` the model's shards are gone afterwards.
-    Shards take TURNS, so that of what blocks send only a part lies on disk at once.
     """
     rows, routes, folder = _counting(coded, vocabulary, shard_triples, pair_limit, learned_only=False)
-
-    def turn(i: int) -> DataFrame:
-        sent = rows.mapInArrow(_sender(_count_message(routes, vocabulary.docs, False, i, TURNS)), ASKED)
-        return materialise(sent.groupBy("bucket").applyInArrow(_shard_writer(folder, keep)[1], f"{WRITTEN}, {ASKED}"), "lm-made")
-
-    parts = []
-    for i in range(TURNS):
-        parts.append(turn(i))
-        collect_garbage(coded.sparkSession)  # what blocks sent in this turn
-    made = reduce(DataFrame.union, parts)
+    sent = rows.mapInArrow(_sender(_count_message(routes, vocabulary.docs, False)), ASKED)
+    made = materialise(sent.groupBy("bucket").applyInArrow(_shard_writer(folder, keep)[1], f"{WRITTEN}, {ASKED}"), "lm-made")
+    del sent
+    collect_garbage(coded.sparkSession)  # what blocks sent
     return Model(vocabulary, routes, made.filter("shard is not null").select("shard", "path", "bytes", "nodes")), made.filter("shard is null").select("bucket", "block_id", "blob")
 
 
